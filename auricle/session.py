@@ -35,6 +35,7 @@ def local_spark(cpus: int | None = None, **conf: str) -> SparkSession:
     settings = {
         "spark.sql.shuffle.partitions": str(n),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.host": "127.0.0.1",
