@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("curation", "health")
+GROUPS = ("curation", "health", "ledger", "windows")
 
 
 def load():
