@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("curation", "health", "ledger", "windows")
+GROUPS = ("curation", "health", "ledger", "windows", "io", "splits")
 
 
 def load():
