@@ -27,7 +27,8 @@ def group_class_stats(clips: DataFrame, group: str, cls: str, covariates: Sequen
     """Per group and class: clips, and sum and sum of squares of each covariate."""
     aggs = [F.count(F.lit(1)).alias("k")]
     for c in covariates:
-        aggs += [F.sum(c).alias(f"sum_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"sumsq_{c}")]
+        x = F.col(c).cast("double")
+        aggs += [F.sum(x).alias(f"sum_{c}"), F.sum(x * x).alias(f"sumsq_{c}")]
     return clips.groupBy(group, cls).agg(*aggs)
 
 

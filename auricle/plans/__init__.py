@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("curation", "health", "ledger", "windows", "io", "splits")
+GROUPS = ("curation", "health", "ledger", "windows", "io", "splits", "gates")
 
 
 def load():

@@ -39,11 +39,11 @@ def split_clips(spark, sf):
 
 @query(
     "group_class_stats",
-    f"""SELECT group_key, project_class, count(*) AS k, CAST(sum(cents) AS BIGINT) AS sum_cents,
-          CAST(sum(cents * cents) AS BIGINT) AS sumsq_cents FROM {CLIPS_SQL} GROUP BY ALL""",
+    f"""SELECT group_key, project_class, count(*) AS k, sum(days::DOUBLE) AS sum_days,
+          sum(days::DOUBLE * days) AS sumsq_days FROM {CLIPS_SQL} GROUP BY ALL""",
 )
 def group_class_stats(spark, sf):
-    return op.group_class_stats(clips(spark, sf), "group_key", "project_class", ["cents"])
+    return op.group_class_stats(clips(spark, sf), "group_key", "project_class", ["days"])
 
 
 @query("group_stratified_split", f"SELECT group_key, n_clips, stratum, split FROM {GROUPS_SQL}")
