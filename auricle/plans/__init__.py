@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("curation", "health", "ledger", "windows", "io", "splits", "gates")
+GROUPS = ("curation", "health", "ledger", "windows", "io", "splits", "gates", "evaluation", "diagnostics")
 
 
 def load():
