@@ -143,7 +143,7 @@ def class_centroids(spark, sf):
     return c.select("label", "n_train", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 9))
 
 
-MARGIN_SQL = f"""(SELECT v.vec_id, v.label, v.split, round(min(CASE WHEN c.label <> v.label THEN d END) - min(CASE WHEN c.label = v.label THEN d END), 8) + 0.0 AS margin
+MARGIN_SQL = f"""(SELECT v.vec_id, v.label, v.split, min(CASE WHEN c.label <> v.label THEN d END) - min(CASE WHEN c.label = v.label THEN d END) AS margin
   FROM (SELECT v.vec_id, v.label, v.split, c.label AS cl, list_sum(list_transform(list_zip(v.embedding::DOUBLE[], c.centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
         FROM {VECTORS_SQL} v, {CENTROID_SQL} c) v JOIN (SELECT label FROM {CENTROID_SQL}) c ON c.label = v.cl GROUP BY ALL)"""
 
@@ -151,16 +151,16 @@ MARGIN_SQL = f"""(SELECT v.vec_id, v.label, v.split, round(min(CASE WHEN c.label
 def margins(spark, sf):
     rows = vectors(spark, sf)
     out = op.centroid_margins(rows, "embedding", "label", op.class_centroids(rows, "embedding", "label"))
-    return out.select("vec_id", "label", "split", F.round("margin", 8).alias("margin"))
+    return out.select("vec_id", "label", "split", "margin")
 
 
 SUPPORT_SQL = f"""(SELECT split, label, count(*) AS n_windows, count(*) FILTER (WHERE margin <= 0) / count(*)::DOUBLE AS frac_centroid_confusable,
-  round(avg(margin), 8) AS mean_margin, round(quantile_cont(margin, 0.5), 10) AS median_margin FROM {MARGIN_SQL} GROUP BY ALL)"""
+  round(avg(margin), 8) AS mean_margin, round(quantile_cont(margin, 0.5), 8) AS median_margin FROM {MARGIN_SQL} GROUP BY ALL)"""
 
 
 def support(spark, sf):
     out = op.margin_support(margins(spark, sf), ["split", "label"])
-    return out.withColumns({"mean_margin": F.round("mean_margin", 8), "median_margin": F.round("median_margin", 10)})
+    return out.withColumns({"mean_margin": F.round("mean_margin", 8), "median_margin": F.round("median_margin", 8)})
 
 
 @query("centroid_margin", f"SELECT split, label, n_windows, frac_centroid_confusable, mean_margin + 0.0 AS mean_margin, median_margin + 0.0 AS median_margin FROM {SUPPORT_SQL}")
