@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.columns import messages, seeded_key
+from ..session import cut_lineage
 from .checks import DataContractError
 from .ordered import top_n
 
@@ -144,7 +145,8 @@ def binary_stack_outputs(df: DataFrame, features: str, label: str, n_classes: in
 
     ``df`` carries split. The loop is over classes (a handful), each fit being a Spark job.
     """
-    rows = df.withColumn("_x", array_to_vector(F.col(features)))
+    # Every fit reads the same rows many times: fix them once.
+    rows = cut_lineage(df.withColumn("_x", array_to_vector(F.col(features))))
     total = rows.filter("split = 'train'").count()
     counts = {r[label]: r["count"] for r in rows.filter("split = 'train'").groupBy(label).count().collect()}
     missing = [k for k in range(n_classes) if not counts.get(k)]
