@@ -87,3 +87,24 @@ POLICY_DEFAULTS = {
     "quick_action_label": None,
     "notify": True,
 }
+
+# Earbud response of each class.
+EARBUD_RESPONSES = {
+    "Aircraft": "Max ANC Mode",
+    "Alarm": "Alert Mode",
+    "Baby_Crying": "Transparency Mode",
+    "Car_Engine": "Max ANC Mode",
+    "Dog_Bark": "Transparency Mode",
+    "Doorbell": "Alert Mode",
+    "Drilling": "Max ANC Mode",
+    "Footsteps": "Max ANC Mode",
+    "Glass_Breaking": "Safety Transparency Mode",
+    "Gunshot": "Safety Transparency Mode",
+    "Help_Shouting": "Safety Transparency Mode",
+    "Jackhammer": "Max ANC Mode",
+    "Knocking": "Transparency Mode",
+    "Motorcycle": "Max ANC Mode",
+    "Siren": "Alert Mode",
+    "Train": "Max ANC Mode",
+    "Vehicle_Horn": "Alert Mode",
+}

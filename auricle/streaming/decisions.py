@@ -55,10 +55,11 @@ class DecisionProcessor(StatefulProcessor):
         stored = self._state.get() if self._state.exists() else None
         state = SessionState(**json.loads(stored[0])) if stored else None
         last = (stored[1], stored[2]) if stored else None
+        names = [f.split()[0] for f in output_schema("x").split(", ")]
         out = []
         for row in batch.itertuples(index=False):
             at = (int(row.ts_us), int(row.seq))
-            base = {
+            base = dict.fromkeys(names) | {
                 "session_id": key[0],
                 "seq": at[1],
                 "ts_us": at[0],
@@ -76,7 +77,6 @@ class DecisionProcessor(StatefulProcessor):
             out.append(base)
         if state is not None:
             self._state.update((json.dumps(asdict(state)), *last))
-        names = [f.split()[0] for f in output_schema("x").split(", ")]
         yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
