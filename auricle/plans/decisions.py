@@ -431,16 +431,20 @@ def duration_fallback(spark, sf):
 )
 def payload_screen(spark, sf):
     html = F.col("html")
-    wav = F.base64(F.concat(F.lit("RIFF0000WAVE"), html).cast("binary"))
+
+    def encoded(text):
+        return F.replace(F.base64(text.cast("binary")), F.lit("\r\n"), F.lit(""))
+
+    wav = encoded(F.concat(F.lit("RIFF0000WAVE"), html))
     kind = F.col("page_id") % 9
     rows = table(spark, sf, "pages").select(
         "page_id",
         (F.length(html) / 500.0).alias("seconds"),
         F.when(kind == 0, F.lit(None).cast("string"))
         .when(kind == 1, "***=")
-        .when(kind == 2, F.base64(F.lit("short").cast("binary")))
-        .when(kind == 3, F.base64(html.cast("binary")))
-        .when(kind == 4, F.base64(F.concat(F.lit("RIFF0000XXXX"), html).cast("binary")))
+        .when(kind == 2, encoded(F.lit("short")))
+        .when(kind == 3, encoded(html))
+        .when(kind == 4, encoded(F.concat(F.lit("RIFF0000XXXX"), html)))
         .when(kind == 5, wav.substr(F.lit(2), F.length(wav)))
         .otherwise(wav)
         .alias("data"),
