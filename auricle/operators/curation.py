@@ -10,16 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank_to_null, messages, seeded_key
-from .ordered import first_row, top_n
+from .ordered import first_row, small_side, top_n
 
 
 def label_map_filter(df: DataFrame, mapping: DataFrame, on: str) -> DataFrame:
-    """Keep the rows whose label is mapped and attach the mapping's columns.
-
-    No hint: the mapping is broadcast when its measured size is below the session's
-    threshold, and shuffled when it is not.
-    """
-    return df.join(mapping, on)
+    """Keep the rows whose label is mapped and attach the mapping's columns."""
+    return df.join(small_side(mapping), on)
 
 
 def match_any(labels: Column, wanted: Sequence[str]) -> Column:

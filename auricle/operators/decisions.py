@@ -12,7 +12,7 @@ unique in the session.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fixed, fixed_micros
 from ..session import cut_lineage
-from .ordered import MAX_ROWS_PER_KEY, OrderedRows, Running, per_key, row_index, split_hot
+from .ordered import MAX_ROWS_PER_KEY, OrderedRows, Running, join_keys, per_key, row_index, small_side, split_hot
 
 ORDER = ("ts_us", "seq")
 POLICY_COLUMNS = (
@@ -49,7 +49,6 @@ def attach_policy(detections: DataFrame, policies: DataFrame) -> DataFrame:
     """Detections with the policy of their (profile, class) and the profile's preferred mode.
 
     Without a profile column in the detections, ``policies`` must hold a single profile.
-    The joins carry no hint; the tables are broadcast when their measured size allows it.
     """
     on = ["profile_name"] if "profile_name" in detections.columns else []
     rows = policies.select(*on, F.col("class_name").alias("label"), *POLICY_COLUMNS).withColumn("_has_policy", F.lit(True))
@@ -57,9 +56,9 @@ def attach_policy(detections: DataFrame, policies: DataFrame) -> DataFrame:
         F.max("preferred_mode").alias("preferred_mode"),
         *([] if on else [F.max("profile_name").alias("profile_name")]),
     )
-    out = detections.join(rows, [*on, "label"], "left")
+    out = detections.join(small_side(rows), [*on, "label"], "left")
     if on:
-        return out.join(profiles, on, "left")
+        return out.join(small_side(profiles), on, "left")
     one = profiles.first()
     return out.withColumns(
         {
@@ -169,17 +168,29 @@ def cooldown_fires(edges: DataFrame, keys: Sequence[str], chunked: bool) -> Data
         return _fires_by_doubling(edges, keys)
     by = [*keys, "label"]
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        t, wait = pdf["ts_us"].to_numpy(), int(pdf["_cooldown"].iloc[0])
-        fired, i = [], 0
-        while i < len(t):
-            fired.append(i)
-            i = max(i + 1, int(np.searchsorted(t, t[i] + wait, side="left")))
-        return pdf.iloc[fired][[*keys, "n"]]
-
-    schema = edges.select(*keys, "n").schema
-    return edges.select(*by, "n", "ts_us", "_cooldown").groupBy(*by).applyInPandas(chain, schema)
+    def chain(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Groups arrive one after the other and may cross batches: only (key, end) is carried.
+        last, end = None, 0
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            t, wait = pdf["ts_us"].to_numpy(), pdf["_cooldown"].to_numpy()
+            cols = [pdf[c].to_numpy() for c in by]
+            new = np.any([np.append(True, c[1:] != c[:-1]) for c in cols], axis=0)
+            starts = np.append(np.flatnonzero(new), len(t))
+            fired = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                key = tuple(c[a] for c in cols)
+                i = a + int(np.searchsorted(t[a:b], end)) if key == last else a
+                while i < b:
+                    fired.append(i)
+                    end = t[i] + wait[i]
+                    i = max(i + 1, a + int(np.searchsorted(t[a:b], end)))
+                last = key
+            yield pdf.iloc[fired][[*keys, "n"]]
+
+    rows = edges.select(*by, "n", "ts_us", "_cooldown").repartition(*by).sortWithinPartitions(*by, "n")
+    return rows.mapInPandas(chain, edges.select(*keys, "n").schema)
 
 
 def _fires_by_doubling(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -314,6 +325,8 @@ def decide(
 ) -> DataFrame:
     """One decision per detection: keys, seq, ts_us and the 18 decision fields.
 
+    Session keys are not null.
+
     ``detections``: keys, seq, ts_us, label, confidence (and profile_name). ``actions``: keys,
     seq, ts_us, action ("confirm" / "reject") of the user, in the same order space. Sessions
     above ``max_rows`` rows are scanned in chunks, with the same result.
@@ -370,7 +383,7 @@ def _scan(detections, policies, classes, keys, actions, max_rows) -> DataFrame:
     for rows, chunked in parts:
         mine = actions
         if actions is not None and hot is not None:
-            mine = actions.join(hot.select(*keys).distinct(), list(keys), "left_semi" if chunked else "left_anti")
+            mine = join_keys(actions, hot.select(*keys).distinct(), keys, "left_semi" if chunked else "left_anti")
         done = _scan_part(rows, policies, classes, list(keys), mine, chunked)
         out = done if out is None else out.unionByName(done)
     return out

@@ -19,6 +19,7 @@ from ..params import (
     RATIOS,
     SILENCE_SPREAD,
 )
+from ..session import cut_lineage
 from .ordered import exact_quantiles, top_n
 from .splits import ks_statistic, unpivot
 
@@ -31,11 +32,17 @@ def level_of(value: Column, limits: tuple[float, float]) -> Column:
 def membership(kept: DataFrame, splits: DataFrame, key: str, examples: int = 3) -> DataFrame:
     """G1: ids in more than one split row, kept ids without a split, split ids not kept."""
     per_id = splits.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    kept = kept.select(key).distinct()
-    problems = (
-        per_id.filter("_n > 1").select(F.lit("duplicate").alias("problem"), key, (F.col("_n") - 1).alias("_w"))
-        .unionByName(kept.join(per_id, key, "left_anti").select(F.lit("missing").alias("problem"), key, F.lit(1).alias("_w")))
-        .unionByName(per_id.join(kept, key, "left_anti").select(F.lit("extra").alias("problem"), key, F.lit(1).alias("_w")))
+    ids = kept.select(key).distinct().withColumn("_kept", F.lit(True))
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("_n") > 1, F.struct(F.lit("duplicate").alias("problem"), (F.col("_n") - 1).alias("_w"))),
+            F.when(F.col("_n").isNull(), F.struct(F.lit("missing").alias("problem"), F.lit(1).cast("bigint").alias("_w"))),
+            F.when(F.col("_kept").isNull(), F.struct(F.lit("extra").alias("problem"), F.lit(1).cast("bigint").alias("_w"))),
+        )
+    )
+    # Read twice below: counted, and searched for examples.
+    problems = cut_lineage(
+        per_id.join(ids, key, "full_outer").select(key, F.explode(found).alias("_p")).select(key, "_p.*")
     )
     counts = problems.groupBy("problem").agg(F.sum("_w").alias("n"))
     shown = top_n(problems, ["problem"], [F.col(key)], examples, [key])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import messages
 from ..params import MIN_SECONDS, PRESETS, SAMPLE_RATE, SILENT_DBFS, TRUNCATE_SECONDS
 from .checks import DataContractError, duplicate_keys, pairing_report, require_zero
+from .ordered import small_side
 
 # Source-id patterns of the two grouped collections.
 SUBJECT_UUID = r"^donateacry:([0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12})"
@@ -44,7 +45,7 @@ def status_of(reason: str) -> Column:
 
 def class_id_lookup(df: DataFrame, taxonomy: DataFrame, cls: str, strict: bool = True) -> DataFrame:
     """Attach ``class_id``; an unknown class name is an error unless ``strict`` is off (then null)."""
-    out = df.join(taxonomy.withColumnRenamed("class_name", cls), cls, "left")
+    out = df.join(small_side(taxonomy.withColumnRenamed("class_name", cls)), cls, "left")
     if strict:
         unknown = [r[0] for r in out.filter(F.col("class_id").isNull()).select(cls).distinct().limit(5).collect()]
         if unknown:

@@ -22,6 +22,17 @@ from ..session import cut_lineage
 
 #: A key with more rows than this is not given to a single window task.
 MAX_ROWS_PER_KEY = 5_000_000
+#: A join side is broadcast only when it was counted to hold at most this many (narrow) rows.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a side counted to be small; beyond the bound the join is shuffled.
+
+    Without it a table of unknown size (local rows, a checkpoint) would shuffle the large
+    side on a key with few values.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -40,6 +51,13 @@ def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     )
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys where null meets null, so that rows without a key are not lost."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _carry_window(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -51,8 +69,9 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     starts = starts.withColumn(
         "_before", F.coalesce(F.sum("_n").over(_carry_window(keys)), F.lit(0))
     ).withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    starts = small_side(cut_lineage(starts))
     return (
-        rows.join(starts, [*keys, "_chunk"])
+        join_keys(rows, starts, [*keys, "_chunk"])
         .withColumn(name, F.col("_before") + F.col("_pos") - F.col("_first"))
         .withColumn(f"{name}_total", F.col("_total"))
         .drop("_chunk", "_pos", "_n", "_first", "_before", "_total")
@@ -101,7 +120,7 @@ class OrderedRows:
             *[getattr(F, s.kind)(f"_t_{n}").over(w).alias(f"_c_{n}") for n, s in specs.items()],
         )
         local = Window.partitionBy(*self.keys, "_chunk").orderBy("_pos")
-        out = rows.join(carry, [*self.keys, "_chunk"])
+        out = join_keys(rows, small_side(cut_lineage(carry)), [*self.keys, "_chunk"])
         joined = {}
         for n, s in specs.items():
             here = _windowed(replace(s, value=F.col(f"_v_{n}")), local)
@@ -129,8 +148,8 @@ def split_hot(
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select(*keys)
     if hot.isEmpty():
         return df, None
-    hot = cut_lineage(hot)
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+    hot = small_side(cut_lineage(hot))
+    return join_keys(df, hot, keys, "left_anti"), join_keys(df, hot, keys, "left_semi")
 
 
 def per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], scan, max_rows: int = MAX_ROWS_PER_KEY):
@@ -162,9 +181,9 @@ def hash_ordered_sum(
     inside = (
         Window.partitionBy(*keys, "_bucket").orderBy(hash_col, *tie).rowsBetween(Window.unboundedPreceding, -1)
     )
+    scanned = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return (
-        rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(sums, [*keys, "_bucket"])
+        join_keys(scanned, sums, [*keys, "_bucket"])
         .withColumn(name, F.col("_before") + F.col("_inside"))
         .drop("_bucket", "_inside", "_before")
     )
@@ -221,7 +240,7 @@ def exact_quantiles(
     )
     cum = cut_lineage(cumulative_counts(counts, keys, value, ["_n"]))
     totals = cum.groupBy(*keys).agg(F.max("cum__n").alias("_total"))
-    ranked = cum.join(totals, list(keys)) if keys else cum.withColumn("_total", totals.scalar())
+    ranked = join_keys(cum, small_side(cut_lineage(totals)), keys) if keys else cum.withColumn("_total", totals.scalar())
     aggs = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_total") - 1)

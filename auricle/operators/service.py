@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checks import DataContractError, duplicate_keys
-from .ordered import top_n
+from .ordered import small_side, top_n
 
 
 def duration_fallback(*texts: str) -> Column:
@@ -58,7 +58,7 @@ def payload_screen(data: str, duration: str, max_bytes: int, max_seconds: float)
 
 
 def attach_response(rows: DataFrame, responses: DataFrame, label: str) -> DataFrame:
-    return rows.join(responses.withColumnRenamed("class_name", label), label, "left")
+    return rows.join(small_side(responses.withColumnRenamed("class_name", label)), label, "left")
 
 
 def response_coverage(responses: DataFrame, taxonomy: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import seeded_key
 from ..params import KS_MIN_N, PROPORTION_TOLERANCE, RATIOS
+from ..session import cut_lineage
 from .checks import DataContractError
-from .ordered import cumulative_counts, hash_ordered_sum, row_index
+from .ordered import cumulative_counts, hash_ordered_sum, join_keys, row_index, small_side
 
 # Weights of the imbalance terms, and the activity bound of a deviation.
 WEIGHTS = {"count": 1.0, "mean": 1.0, "spread": 0.5, "histogram": 1.0}
@@ -158,7 +159,8 @@ def bin_histogram_match(binned: DataFrame, keys: Sequence[str], bin_col: str = "
 
     ``keys`` name the class, and the metric when there are several.
     """
-    counts = binned.groupBy(*keys, "split", bin_col).agg(F.count(F.lit(1)).alias("k"))
+    # A few rows per class, read four times below.
+    counts = cut_lineage(binned.groupBy(*keys, "split", bin_col).agg(F.count(F.lit(1)).alias("k")))
     split_n = counts.groupBy(*keys, "split").agg(F.sum("k").alias("split_n"))
     class_bin = counts.groupBy(*keys, bin_col).agg(F.sum("k").alias("class_k"))
     class_n = counts.groupBy(*keys).agg(F.sum("k").alias("class_n"))
@@ -232,8 +234,9 @@ def ks_statistic(df: DataFrame, keys: Sequence[str], value: str, split: str = "s
         .groupBy(*keys, value)
         .agg(*[F.count_if(F.col(split) == s).alias(s) for s in sides])
     )
-    totals = counts.groupBy(*keys).agg(*[F.sum(s).alias(f"n_{s}") for s in sides])
-    cum = cumulative_counts(counts, keys, value, sides).join(totals, list(keys))
+    cum = cut_lineage(cumulative_counts(counts, keys, value, sides))
+    totals = cum.groupBy(*keys).agg(*[F.max(f"cum_{s}").alias(f"n_{s}") for s in sides])
+    cum = join_keys(cum, small_side(cut_lineage(totals)), keys)
 
     def ecdf(s: str) -> Column:
         return F.try_divide(F.col(f"cum_{s}").cast("double"), F.col(f"n_{s}").cast("double"))

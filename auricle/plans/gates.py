@@ -22,13 +22,19 @@ W = 16
 
 def faulty_splits(spark, sf):
     """The split table with some rows lost, some doubled and some of unknown clips."""
-    rows = split_clips(spark, sf).select("clip_id", "group_key", "split")
-    lost = rows.filter("clip_id % 50 <> 7")
-    doubled = rows.filter("clip_id % 60 = 11").withColumn("split", F.lit("test"))
-    foreign = rows.filter("clip_id % 70 = 13").withColumns(
-        {"clip_id": F.col("clip_id") + 100000000, "group_key": F.col("group_key") + 100000000}
+    clip, group = F.col("clip_id"), F.col("group_key")
+
+    def row(clip_id, group_key, split):
+        return F.struct(clip_id.alias("clip_id"), group_key.alias("group_key"), split.alias("split"))
+
+    variants = F.array_compact(
+        F.array(
+            F.when(clip % 50 != 7, row(clip, group, F.col("split"))),
+            F.when(clip % 60 == 11, row(clip, group, F.lit("test"))),
+            F.when(clip % 70 == 13, row(clip + 100000000, group + 100000000, F.col("split"))),
+        )
     )
-    return lost.unionByName(doubled).unionByName(foreign)
+    return split_clips(spark, sf).select(F.explode(variants).alias("v")).select("v.*")
 
 
 FAULTY_SQL = f"""(SELECT clip_id, group_key, split FROM {SPLIT_CLIPS_SQL} WHERE clip_id % 50 <> 7

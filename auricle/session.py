@@ -22,6 +22,9 @@ def get_spark(app: str = "auricle", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # A join on (key, position) reuses rows already partitioned by key.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)
     for key, value in settings.items():
