@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.columns import ratio
-from .ordered import top_n
+from .ordered import split_hot, top_n
 
 
 def class_pairs(spark: SparkSession, n_classes: int) -> DataFrame:
@@ -83,54 +83,82 @@ def summary_metrics(prf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _class_means(probabilities: str, n_classes: int) -> list[Column]:
-    return [F.avg(F.get(F.col(probabilities), F.lit(i))).alias(f"_m{i}") for i in range(n_classes)]
+#: A clip with more windows is not gathered into one array.
+MAX_WINDOWS_PER_CLIP = 50_000
 
 
-def clip_mean_softmax(windows: DataFrame, clip: str, probabilities: str, n_classes: int) -> DataFrame:
-    """Mean probability vector per clip and its argmax; one wide aggregate, nothing exploded."""
-    means = windows.groupBy(clip).agg(F.count(F.lit(1)).alias("n_windows"), *_class_means(probabilities, n_classes))
-    vec = F.array(*[F.col(f"_m{i}") for i in range(n_classes)])
-    return means.select(clip, "n_windows", vec.alias("mean_p")).withColumn("pred_mean_softmax", v.argmax("mean_p"))
+def _clip_sums(windows: DataFrame, clip: str, probabilities: str, n_classes: int, votes: bool) -> DataFrame:
+    """Windows, mean vector ``mean_p`` and vote counts per clip: one wide aggregate, nothing exploded."""
+    aggs = [F.avg(F.get(F.col(probabilities), F.lit(i))).alias(f"_m{i}") for i in range(n_classes)]
+    if votes:
+        windows = windows.withColumn("_vote", v.argmax(probabilities))
+        aggs += [F.count_if(F.col("_vote") == i).alias(f"_v{i}") for i in range(n_classes)]
+    sums = windows.groupBy(clip).agg(F.count(F.lit(1)).alias("n_windows"), *aggs)
+    out = [F.array(*[F.col(f"_m{i}") for i in range(n_classes)]).alias("mean_p")]
+    if votes:
+        out.append(F.array(*[F.col(f"_v{i}") for i in range(n_classes)]).alias("votes"))
+    return sums.select(clip, "n_windows", *out)
+
 
+def _vote_of(n_classes: int) -> Column:
+    """Most votes; ties go to the higher mean probability, then the lower id."""
+    ranked = [
+        F.struct(F.col("votes")[i].alias("votes"), F.col("mean_p")[i].alias("mean"), F.lit(-i).alias("neg"))
+        for i in range(n_classes)
+    ]
+    return (-F.array_max(F.array(*ranked))["neg"]).cast("int")
 
-def clip_topk_mean(windows: DataFrame, clip: str, window: str, probabilities: str, n_classes: int, k: int) -> DataFrame:
-    """Per class the mean of the k best windows, then the argmax."""
-    long = windows.select(clip, window, F.posexplode(probabilities).alias("_class", "_p"))
-    best = top_n(long, [clip, "_class"], [F.desc("_p"), F.col(window)], k, [window], salts=8)
-    means = best.groupBy(clip).agg(
-        *[F.avg(F.when(F.col("_class") == i, F.col("_p"))).alias(f"_m{i}") for i in range(n_classes)]
+
+def clip_mean_softmax(windows: DataFrame, clip: str, probabilities: str, n_classes: int) -> DataFrame:
+    """Mean probability vector per clip and its argmax."""
+    return _clip_sums(windows, clip, probabilities, n_classes, votes=False).withColumn(
+        "pred_mean_softmax", v.argmax("mean_p")
     )
-    vec = F.array(*[F.col(f"_m{i}") for i in range(n_classes)])
-    return means.select(clip, vec.alias("_v")).select(clip, v.argmax("_v").alias("pred_topk_mean"))
 
 
-def clip_majority_vote(windows: DataFrame, clip: str, probabilities: str, n_classes: int) -> DataFrame:
-    """Most voted class per clip; ties go to the higher mean probability, then the lower id."""
-    voted = windows.withColumn("_vote", v.argmax(probabilities))
-    sums = voted.groupBy(clip).agg(
-        *[F.count_if(F.col("_vote") == i).alias(f"_v{i}") for i in range(n_classes)],
-        *_class_means(probabilities, n_classes),
-    )
-    best = F.array_max(
-        F.array(
-            *[
-                F.struct(F.col(f"_v{i}").alias("votes"), F.col(f"_m{i}").alias("mean"), F.lit(-i).alias("neg"))
-                for i in range(n_classes)
-            ]
+def clip_topk_mean(
+    windows: DataFrame, clip: str, window: str, probabilities: str, n_classes: int, k: int,
+    max_windows: int = MAX_WINDOWS_PER_CLIP,
+) -> DataFrame:
+    """Per class the mean of the k best windows, then the argmax.
+
+    The windows of an ordinary clip are gathered once. A clip above ``max_windows`` is cut to
+    its k best windows per class before anything meets in one task.
+    """
+    cold, hot = split_hot(windows.select(clip, window, probabilities), [clip], max_windows)
+    gathered = cold.groupBy(clip).agg(F.collect_list(probabilities).alias("_p"))
+
+    def best_mean(i):
+        best = F.slice(F.sort_array(F.transform("_p", lambda p: F.get(p, i)), asc=False), 1, k)
+        return F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
+
+    vectors = gathered.select(clip, F.array(*[best_mean(F.lit(i)) for i in range(n_classes)]).alias("_v"))
+    if hot is not None:
+        long = hot.select(clip, window, F.posexplode(probabilities).alias("_class", "_p"))
+        kept = top_n(long, [clip, "_class"], [F.desc("_p"), F.col(window)], k, [window])
+        means = kept.groupBy(clip).agg(
+            *[F.avg(F.when(F.col("_class") == i, F.col("_p"))).alias(f"_m{i}") for i in range(n_classes)]
         )
-    )
-    return sums.select(clip, (-best["neg"]).cast("int").alias("pred_majority_vote"))
+        vectors = vectors.unionByName(means.select(clip, F.array(*[F.col(f"_m{i}") for i in range(n_classes)]).alias("_v")))
+    return vectors.select(clip, v.argmax("_v").alias("pred_topk_mean"))
+
+
+def clip_majority_vote(windows: DataFrame, clip: str, probabilities: str, n_classes: int) -> DataFrame:
+    """Most voted class per clip."""
+    sums = _clip_sums(windows, clip, probabilities, n_classes, votes=True)
+    return sums.select(clip, _vote_of(n_classes).alias("pred_majority_vote"))
 
 
 def clip_predictions(
     windows: DataFrame, truth: DataFrame, clip: str, window: str, probabilities: str, n_classes: int, k: int = 5
 ) -> DataFrame:
     """Truth and the three clip-level predictions; clips without windows keep null predictions."""
+    sums = _clip_sums(windows, clip, probabilities, n_classes, votes=True).select(
+        clip, "n_windows", v.argmax("mean_p").alias("pred_mean_softmax"), _vote_of(n_classes).alias("pred_majority_vote")
+    )
     return (
-        truth.join(clip_mean_softmax(windows, clip, probabilities, n_classes).drop("mean_p"), clip, "left")
+        truth.join(sums, clip, "left")
         .join(clip_topk_mean(windows, clip, window, probabilities, n_classes, k), clip, "left")
-        .join(clip_majority_vote(windows, clip, probabilities, n_classes), clip, "left")
         .withColumn("n_windows", F.coalesce("n_windows", F.lit(0)))
     )
 

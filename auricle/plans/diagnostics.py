@@ -40,8 +40,8 @@ def normalization_audit(spark, sf):
 
 @query(
     "bounds_scope_check",
-    f"""SELECT 'GLOBAL' AS scope, min(value) AS lo, max(value) AS hi FROM events UNION ALL
-        SELECT 'NOT GLOBAL', min(value) FILTER (WHERE {hash_split_sql('event_id')} = 'train'), max(value) FILTER (WHERE {hash_split_sql('event_id')} = 'val') FROM events""",
+    f"""SELECT 'GLOBAL' AS scope, min(value) + 0.0 AS lo, max(value) + 0.0 AS hi FROM events UNION ALL
+        SELECT 'NOT GLOBAL', min(value) FILTER (WHERE {hash_split_sql('event_id')} = 'train') + 0.0, max(value) FILTER (WHERE {hash_split_sql('event_id')} = 'val') + 0.0 FROM events""",
 )
 def bounds_scope_check(spark, sf):
     rows = table(spark, sf, "events").withColumn("split", hash_split("event_id"))
@@ -55,7 +55,7 @@ def bounds_scope_check(spark, sf):
     def with_scope(stats):
         lo, hi = stats.columns
         scope = op.bounds_scope_check(stats, "db_min", "db_max", splits).scalar()
-        return stats.select(scope.alias("scope"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+        return stats.select(scope.alias("scope"), (F.col(lo) + 0.0).alias("lo"), (F.col(hi) + 0.0).alias("hi"))
 
     return with_scope(one).unionByName(with_scope(per_split))
 

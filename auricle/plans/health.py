@@ -291,8 +291,8 @@ def suspicious_topk(spark, sf):
         w AS (SELECT project_class, count(*) AS total_clips, count(DISTINCT source_dataset) AS source_dataset_count,
                 array_to_string(list_sort(list_distinct(list(source_dataset))), '|') AS sources,
                 min(duration) AS min_duration, quantile_cont(duration, 0.5) AS median_duration,
-                round(avg(duration), 3) AS mean_duration, max(duration) AS max_duration,
-                round(sum(duration) / 3600, 3) AS total_hours, count(*) FILTER (WHERE len(flags) > 0) AS suspicious_count,
+                ((2000 * CAST(sum(duration) AS BIGINT) + count(*)) // (2 * count(*))) / 1000.0::DOUBLE AS mean_duration, max(duration) AS max_duration,
+                ((2000 * CAST(sum(duration) AS BIGINT) + 3600) // 7200) / 1000.0::DOUBLE AS total_hours, count(*) FILTER (WHERE len(flags) > 0) AS suspicious_count,
                 count(*) FILTER (WHERE list_contains(flags, 'silent')) AS silent_count,
                 count(*) FILTER (WHERE list_contains(flags, 'low_energy')) AS low_energy_count,
                 count(*) FILTER (WHERE duration < 1) AS short_count_lt1s, count(*) FILTER (WHERE duration > 15) AS long_count_gt15s,
