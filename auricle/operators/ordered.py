@@ -80,11 +80,15 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
 
 @dataclass(frozen=True)
 class Running:
-    """One running aggregate: ``kind`` is "sum" or "max"; exclusive leaves the current row out."""
+    """One running aggregate: ``kind`` is "sum" or "max"; exclusive leaves the current row out.
+
+    ``total`` adds the aggregate over the whole key as ``<name>_total``.
+    """
 
     kind: str
     value: Column
     exclusive: bool = False
+    total: bool = False
 
 
 @dataclass(frozen=True)
@@ -95,29 +99,34 @@ class OrderedRows:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     chunked: bool
+    fixed: bool = False  # the rows are a checkpoint, or columns derived from one
 
     @staticmethod
     def of(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunked: bool = False) -> OrderedRows:
         rows = ordered_chunks(df, keys, order) if chunked else df
-        return OrderedRows(rows, tuple(keys), tuple(order), chunked)
+        return OrderedRows(rows, tuple(keys), tuple(order), chunked, fixed=chunked)
 
     def with_columns(self, **cols: Column) -> OrderedRows:
         return replace(self, df=self.df.withColumns(cols))
 
     def running(self, **specs: Running) -> OrderedRows:
+        whole = Window.partitionBy(*self.keys)
         if not self.chunked:
-            w = Window.partitionBy(*self.keys).orderBy(*self.order)
-            return self.with_columns(**{n: _windowed(s, w) for n, s in specs.items()})
-        # The rows feed both the scan and its summary: fix them once.
-        rows = cut_lineage(self.df.withColumns({f"_v_{n}": s.value for n, s in specs.items()}))
-        totals = rows.groupBy(*self.keys, "_chunk").agg(
+            w = whole.orderBy(*self.order)
+            totals = {f"{n}_total": getattr(F, s.kind)(s.value).over(whole) for n, s in specs.items() if s.total}
+            return self.with_columns(**{n: _windowed(s, w) for n, s in specs.items()}, **totals)
+        # The rows feed both the scan and its summary: compute them once.
+        rows = self.df.withColumns({f"_v_{n}": s.value for n, s in specs.items()})
+        rows = rows if self.fixed else cut_lineage(rows)
+        sums = rows.groupBy(*self.keys, "_chunk").agg(
             *[getattr(F, s.kind)(f"_v_{n}").alias(f"_t_{n}") for n, s in specs.items()]
         )
         w = _carry_window(self.keys)
-        carry = totals.select(
+        carry = sums.select(
             *self.keys,
             "_chunk",
             *[getattr(F, s.kind)(f"_t_{n}").over(w).alias(f"_c_{n}") for n, s in specs.items()],
+            *[getattr(F, s.kind)(f"_t_{n}").over(whole).alias(f"{n}_total") for n, s in specs.items() if s.total],
         )
         local = Window.partitionBy(*self.keys, "_chunk").orderBy("_pos")
         out = join_keys(rows, small_side(cut_lineage(carry)), [*self.keys, "_chunk"])
@@ -129,7 +138,7 @@ class OrderedRows:
             else:
                 joined[n] = F.greatest(F.col(f"_c_{n}"), here)
         drop = [f"_{p}_{n}" for n in specs for p in ("v", "c")]
-        return replace(self, df=out.withColumns(joined).drop(*drop))
+        return replace(self, df=out.withColumns(joined).drop(*drop), fixed=False)
 
     def result(self) -> DataFrame:
         return self.df.drop("_chunk", "_pos") if self.chunked else self.df
@@ -220,9 +229,9 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
 
 
 def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
-    """Running sums of pre-aggregated ``counts`` in value order, as ``cum_<count>``."""
+    """Running sums of pre-aggregated ``counts`` in value order, as ``cum_<count>``, and their totals."""
     rows = OrderedRows.of(df, keys, [value], chunked=True)
-    return rows.running(**{f"cum_{c}": Running("sum", F.col(c)) for c in counts}).result()
+    return rows.running(**{f"cum_{c}": Running("sum", F.col(c), total=True) for c in counts}).result()
 
 
 def exact_quantiles(
@@ -238,9 +247,7 @@ def exact_quantiles(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cum = cut_lineage(cumulative_counts(counts, keys, value, ["_n"]))
-    totals = cum.groupBy(*keys).agg(F.max("cum__n").alias("_total"))
-    ranked = join_keys(cum, small_side(cut_lineage(totals)), keys) if keys else cum.withColumn("_total", totals.scalar())
+    ranked = cumulative_counts(counts, keys, value, ["_n"]).withColumnRenamed("cum__n_total", "_total")
     aggs = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_total") - 1)

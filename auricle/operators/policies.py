@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -78,25 +78,29 @@ EXAMPLE_PROFILES = {
 }
 
 
-def policy_problems(classes: Sequence[str] = TAXONOMY, modes: Sequence[str] = AUDIO_MODES) -> Column:
-    """Names of the rules a policy row breaks, in rule order; empty when it is valid."""
+def policy_problems(
+    classes: Sequence[str] = TAXONOMY, modes: Sequence[str] = AUDIO_MODES, field: Callable[[str], Column] = F.col
+) -> Column:
+    """Names of the rules a policy breaks, in rule order; empty when it is valid.
+
+    ``field`` gives the column of a field name, by default the row's own column.
+    """
 
     def broken(rule: Column) -> Column:
         return ~F.coalesce(rule, F.lit(False))
 
-    threshold = F.col("confidence_threshold")
-    strong = F.col("high_priority") | F.col("critical")
-    label = F.coalesce(F.col("quick_action_label"), F.lit(""))
+    threshold, critical = field("confidence_threshold"), field("critical")
+    label = F.coalesce(field("quick_action_label"), F.lit(""))
     return messages(
-        (broken(F.col("class_name").isin(*classes)), "unknown_class"),
-        (F.col("target_mode").isNotNull() & ~F.col("target_mode").isin(*modes), "unknown_target_mode"),
+        (broken(field("class_name").isin(*classes)), "unknown_class"),
+        (field("target_mode").isNotNull() & ~field("target_mode").isin(*modes), "unknown_target_mode"),
         (broken((threshold > 0) & (threshold <= 1)), "threshold_not_in_0_1"),
-        (broken(F.col("confirm_windows") >= 1), "confirm_windows_below_1"),
-        (broken(F.col("release_seconds") >= 0), "negative_release"),
-        (broken(F.col("cooldown_seconds") >= 0), "negative_cooldown"),
-        (strong & ~F.col("enabled"), "priority_of_disabled_entry"),
-        (F.col("critical") & (F.trim(label) == ""), "critical_without_action"),
-        ((label != "") & ~F.col("critical"), "action_without_critical"),
+        (broken(field("confirm_windows") >= 1), "confirm_windows_below_1"),
+        (broken(field("release_seconds") >= 0), "negative_release"),
+        (broken(field("cooldown_seconds") >= 0), "negative_cooldown"),
+        ((field("high_priority") | critical) & ~field("enabled"), "priority_of_disabled_entry"),
+        (critical & (F.trim(label) == ""), "critical_without_action"),
+        ((label != "") & ~critical, "action_without_critical"),
     )
 
 
@@ -165,95 +169,99 @@ def parse_payloads(
     """(typed policy rows of accepted payloads, problems of rejected ones) from JSON texts.
 
     A payload is rejected for any unknown class or field, wrong type or broken policy rule.
-    A class that is absent or null is disabled; blank texts are null.
+    A class that is absent or null is disabled; blank texts are null. Everything is decided
+    inside the payload's own row, so nothing is shuffled.
     """
-    doc = payloads.select(key, F.try_parse_json(text).alias("_v"))
 
     def part(name: str) -> Column:
         return F.try_variant_get("_v", f"$.{name}", "variant")
 
-    kinds = {n: F.schema_of_variant(part(n)) for n in ("profile_name", "preferred_mode", "policies")}
-    is_object = F.startswith(F.coalesce(F.schema_of_variant("_v"), F.lit("")), F.lit("OBJECT"))
-    head = doc.select(
+    def members(value: Column, path: str) -> Column:
+        return F.map_entries(F.try_variant_get(value, path, "map<string, variant>"))
+
+    def is_object(kind: Column) -> Column:
+        return F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
+
+    doc = payloads.select(key, F.try_parse_json(text).alias("_v")).select(
         key,
-        "_v",
-        is_object.alias("_object"),
-        *[k.alias(f"_k_{n}") for n, k in kinds.items()],
+        F.schema_of_variant("_v").alias("_kind"),
+        F.schema_of_variant(part("profile_name")).alias("_k_name"),
+        F.try_variant_get("_v", "$.profile_name", "string").alias("_name"),
+        F.schema_of_variant(part("preferred_mode")).alias("_k_mode"),
+        blank_to_null(F.trim(F.try_variant_get("_v", "$.preferred_mode", "string"))).alias("_mode"),
+        F.schema_of_variant(part("policies")).alias("_k_policies"),
+        F.transform(
+            members(F.col("_v"), "$.policies"),
+            lambda e: F.struct(
+                e["key"].alias("class_name"),
+                F.schema_of_variant(e["value"]).alias("kind"),
+                F.transform(
+                    members(e["value"], "$"),
+                    lambda f: F.struct(f["key"].alias("name"), F.schema_of_variant(f["value"]).alias("type")),
+                ).alias("fields"),
+                *[_typed(e["value"], n, t).alias(n) for n, t in FIELDS.items()],
+            ),
+        ).alias("_entries"),
     )
-    falsy = F.try_variant_get("_v", "$.profile_name", "string").isin("", "0", "false", "0.0")
-    name_ok = F.col("_k_profile_name").isNull() | F.col("_k_profile_name").rlike("^(STRING|VOID)$") | F.coalesce(falsy, F.lit(False))
+
+    # An empty, false or zero name counts as none given.
+    no_name = F.col("_k_name").isNull() | F.col("_name").isNull() | F.col("_name").isin("", "0", "false", "0.0")
+    mode_kind = F.coalesce("_k_mode", F.lit("VOID"))
     # A missing "policies" is an empty one; an explicit null is not an object.
-    policies_ok = F.col("_k_policies").isNull() | F.startswith("_k_policies", F.lit("OBJECT"))
-    top = head.select(
-        key,
-        F.when(~F.col("_object"), F.array(F.lit("payload is not an object")))
-        .otherwise(
-            messages(
-                (~name_ok, "profile_name must be text"),
-                (~F.coalesce(F.col("_k_preferred_mode"), F.lit("VOID")).rlike(JSON_TYPES["string"]), "preferred_mode must be text or null"),
-                (
-                    ~F.coalesce(blank_to_null(F.trim(F.try_variant_get("_v", "$.preferred_mode", "string"))), F.lit(modes[0])).isin(*modes)
-                    & F.coalesce(F.col("_k_preferred_mode") == "STRING", F.lit(False)),
-                    "unknown preferred_mode",
-                ),
-                (~policies_ok, "policies must be an object"),
-            )
-        )
-        .alias("p"),
+    policies_ok = F.col("_k_policies").isNull() | is_object(F.col("_k_policies"))
+    top = messages(
+        (~no_name & (F.col("_k_name") != "STRING"), "profile_name must be text"),
+        (~mode_kind.rlike(JSON_TYPES["string"]), "preferred_mode must be text or null"),
+        ((mode_kind == "STRING") & ~F.coalesce(F.col("_mode").isin(*modes), F.lit(True)), "unknown preferred_mode"),
+        (~policies_ok, "policies must be an object"),
     )
 
-    spark = payloads.sparkSession
-    objects = doc.select(key, part("policies").alias("_p")).filter(
-        F.startswith(F.schema_of_variant("_p"), F.lit("OBJECT"))
-    )
-    entries = objects.lateralJoin(spark.tvf.variant_explode(F.col("_p").outer())).select(
-        key, F.col("key").alias("class_name"), F.col("value").alias("_e"), F.schema_of_variant("value").alias("_kind")
-    )
-    entry_problem = F.when(
-        ~F.col("class_name").isin(*classes), F.concat(F.lit("unknown class "), "class_name")
-    ).when(
-        ~F.startswith("_kind", F.lit("OBJECT")) & (F.col("_kind") != "VOID"),
-        F.concat("class_name", F.lit(": policy must be an object")),
-    )
-    fields = (
-        entries.filter(F.startswith("_kind", F.lit("OBJECT")))
-        .select(key, "class_name", "_e")
-        .lateralJoin(spark.tvf.variant_explode(F.col("_e").outer()))
-        .select(key, "class_name", F.col("key").alias("_f"), F.schema_of_variant("value").alias("_t"))
-    )
-    known = F.col("_f").isin(*FIELDS)
-    fits = reduce(or_, [(F.col("_f") == n) & F.col("_t").rlike(JSON_TYPES[t]) for n, t in FIELDS.items()])
-    field_problem = F.when(~known, F.concat("class_name", F.lit(": unknown field "), "_f")).when(
-        ~fits, F.concat("class_name", F.lit(": wrong type of "), "_f")
-    )
+    def entry_problems(e: Column) -> Column:
+        name = e["class_name"]
+        known = name.isin(*classes)
+        own = messages(
+            (~known, F.concat(F.lit("unknown class "), name)),
+            (known & ~is_object(e["kind"]) & (e["kind"] != "VOID"), F.concat(name, F.lit(": policy must be an object"))),
+        )
+        fields = F.coalesce(F.array_compact(F.transform(e["fields"], lambda f: field_problem(name, f))), F.array())
+        rules = F.transform(policy_problems(classes, modes, lambda n: e[n]), lambda p: F.concat(name, F.lit(": "), p))
+        checked = F.when(known & is_object(e["kind"]), rules).otherwise(F.array())
+        return F.concat(own, fields, checked)
 
-    def typed(name: str, kind: str) -> Column:
-        raw = F.try_variant_get("_e", f"$.{name}", kind)
-        if kind == "string":
-            return blank_to_null(F.trim(raw))
-        return F.coalesce(raw, F.lit(POLICY_DEFAULTS[name]).cast(kind))
+    def field_problem(name: Column, f: Column) -> Column:
+        fits = reduce(or_, [(f["name"] == n) & f["type"].rlike(JSON_TYPES[t]) for n, t in FIELDS.items()])
+        return F.when(~f["name"].isin(*FIELDS), F.concat(name, F.lit(": unknown field "), f["name"])).when(
+            ~fits, F.concat(name, F.lit(": wrong type of "), f["name"])
+        )
 
-    given = entries.filter(F.startswith("_kind", F.lit("OBJECT"))).select(
-        key, "class_name", *[typed(n, t).alias(n) for n, t in FIELDS.items()]
-    )
-    rule_problem = given.filter(F.col("class_name").isin(*classes)).select(
-        key, "class_name", F.explode(policy_problems(classes, modes)).alias("p")
+    nested = F.flatten(F.transform(F.coalesce("_entries", F.array()), entry_problems))
+    rows = doc.withColumn(
+        "_problems",
+        F.when(~is_object(F.col("_kind")), F.array(F.lit("payload is not an object"))).otherwise(F.concat(top, nested)),
     )
-    rejects = (
-        top.select(key, F.explode("p").alias("problem"))
-        .unionByName(entries.select(key, entry_problem.alias("problem")))
-        .unionByName(fields.select(key, field_problem.alias("problem")))
-        .unionByName(rule_problem.select(key, F.concat_ws(": ", "class_name", "p").alias("problem")))
-        .filter(F.col("problem").isNotNull())
+    rejects = rows.select(key, F.explode("_problems").alias("problem"))
+    listed = F.transform(
+        F.array(*[F.lit(c) for c in classes]),
+        lambda c: F.struct(
+            c.alias("class_name"),
+            F.get(F.filter("_entries", lambda e: (e["class_name"] == c) & is_object(e["kind"])), F.lit(0)).alias("own"),
+        ),
     )
-    accepted = head.join(rejects.select(key).distinct(), key, "left_anti").select(
+    accepted = rows.filter(F.size("_problems") == 0).select(
         key,
-        F.when(F.coalesce(falsy, F.lit(True)), "Custom")
-        .otherwise(F.try_variant_get("_v", "$.profile_name", "string"))
-        .alias("profile_name"),
-        blank_to_null(F.trim(F.try_variant_get("_v", "$.preferred_mode", "string"))).alias("preferred_mode"),
-        F.explode(F.array(*[F.lit(c) for c in classes])).alias("class_name"),
+        F.when(no_name, "Custom").otherwise(F.col("_name")).alias("profile_name"),
+        F.col("_mode").alias("preferred_mode"),
+        F.explode(listed).alias("c"),
     )
-    defaults = {n: F.coalesce(F.col(n), F.lit(POLICY_DEFAULTS[n]).cast(t)) for n, t in FIELDS.items()}
-    rows = accepted.join(given, [key, "class_name"], "left").withColumns(defaults)
-    return rows.select(key, "profile_name", "preferred_mode", "class_name", *FIELDS), rejects
+    fields = [
+        F.coalesce(F.col(f"c.own.{n}"), F.lit(POLICY_DEFAULTS[n]).cast(t)).alias(n) for n, t in FIELDS.items()
+    ]
+    return accepted.select(key, "profile_name", "preferred_mode", "c.class_name", *fields), rejects
+
+
+def _typed(entry: Column, name: str, kind: str) -> Column:
+    """A field of a policy object: its value, or the default where it is absent."""
+    raw = F.try_variant_get(entry, f"$.{name}", kind)
+    if kind == "string":
+        return blank_to_null(F.trim(raw))
+    return F.coalesce(raw, F.lit(POLICY_DEFAULTS[name]).cast(kind))

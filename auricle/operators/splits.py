@@ -15,7 +15,7 @@ from ..functions.columns import seeded_key
 from ..params import KS_MIN_N, PROPORTION_TOLERANCE, RATIOS
 from ..session import cut_lineage
 from .checks import DataContractError
-from .ordered import cumulative_counts, hash_ordered_sum, join_keys, row_index, small_side
+from .ordered import cumulative_counts, hash_ordered_sum, row_index
 
 # Weights of the imbalance terms, and the activity bound of a deviation.
 WEIGHTS = {"count": 1.0, "mean": 1.0, "spread": 0.5, "histogram": 1.0}
@@ -234,9 +234,7 @@ def ks_statistic(df: DataFrame, keys: Sequence[str], value: str, split: str = "s
         .groupBy(*keys, value)
         .agg(*[F.count_if(F.col(split) == s).alias(s) for s in sides])
     )
-    cum = cut_lineage(cumulative_counts(counts, keys, value, sides))
-    totals = cum.groupBy(*keys).agg(*[F.max(f"cum_{s}").alias(f"n_{s}") for s in sides])
-    cum = join_keys(cum, small_side(cut_lineage(totals)), keys)
+    cum = cumulative_counts(counts, keys, value, sides).withColumnsRenamed({f"cum_{s}_total": f"n_{s}" for s in sides})
 
     def ecdf(s: str) -> Column:
         return F.try_divide(F.col(f"cum_{s}").cast("double"), F.col(f"n_{s}").cast("double"))
