@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fixed, fixed_micros
 from ..session import cut_lineage
+from .checks import DataContractError
 from .ordered import MAX_ROWS_PER_KEY, OrderedRows, Running, join_keys, per_key, row_index, small_side, split_hot
 
 ORDER = ("ts_us", "seq")
@@ -59,7 +60,9 @@ def attach_policy(detections: DataFrame, policies: DataFrame) -> DataFrame:
     out = detections.join(small_side(rows), [*on, "label"], "left")
     if on:
         return out.join(small_side(profiles), on, "left")
-    one = profiles.first()
+    one = profiles.withColumn("_n", policies.agg(F.count_distinct("profile_name")).scalar()).first()
+    if one["_n"] > 1:
+        raise DataContractError("several profiles: detections need a profile_name")
     return out.withColumns(
         {
             "preferred_mode": F.lit(one["preferred_mode"]).cast("string"),
@@ -202,15 +205,14 @@ def _fires_by_doubling(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     by = [*keys, "label"]
     rows = cut_lineage(row_index(edges.select(*by, "n", "ts_us", "_cooldown"), by, ["n"], "i"))
     # Next edge at or after the end of the cooldown: count the edges before that time.
-    probes = rows.select(*by, (F.col("ts_us") + F.col("_cooldown")).alias("t"), F.lit(0).alias("is_edge"), "i")
-    marks = rows.select(*by, F.col("ts_us").alias("t"), F.lit(1).alias("is_edge"), "i")
+    probes = rows.select(*by, (F.col("ts_us") + F.col("_cooldown")).alias("t"), F.lit(0).alias("is_edge"), "i", "i_total")
+    marks = rows.select(*by, F.col("ts_us").alias("t"), F.lit(1).alias("is_edge"), "i", "i_total")
     counted = OrderedRows.of(probes.unionByName(marks), by, ["t", "is_edge", "i"], chunked=True)
     counted = counted.running(j=Running("sum", F.col("is_edge"))).result().filter("is_edge = 0")
     jump = cut_lineage(
-        counted.select(*by, "i", F.greatest(F.col("j"), F.col("i") + 1).alias("j"))
-        .join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")), by)
-        .filter(F.col("j") < F.col("_total"))
-        .drop("_total")
+        counted.select(*by, "i", F.greatest(F.col("j"), F.col("i") + 1).alias("j"), "i_total")
+        .filter(F.col("j") < F.col("i_total"))
+        .drop("i_total")
     )
     fired = rows.filter("i = 0").select(*by, "i")
     while True:

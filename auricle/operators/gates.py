@@ -20,6 +20,7 @@ from ..params import (
     SILENCE_SPREAD,
 )
 from ..session import cut_lineage
+from .models import mean_vectors
 from .ordered import exact_quantiles, top_n
 from .splits import ks_statistic, unpivot
 
@@ -169,11 +170,8 @@ def leakage_restate(gates: DataFrame) -> DataFrame:
 
 def class_mean_arrays(windows: DataFrame, values: str, cls: str) -> DataFrame:
     """C4: element-wise mean array per class and split, as (class, split, position, mean) rows."""
-    return (
-        windows.select(cls, "split", F.posexplode(values).alias("pos", "x"))
-        .groupBy(cls, "split", "pos")
-        .agg(F.avg("x").alias("mean"))
-    )
+    means = mean_vectors(windows, [cls, "split"], values, "_mean")
+    return means.select(cls, "split", F.posexplode("_mean").alias("pos", "mean"))
 
 
 def class_examples(windows: DataFrame, cls: str, clip: str, start: str, seed: int, n: int = 3) -> DataFrame:

@@ -20,12 +20,13 @@ from .checks import DataContractError
 from .ordered import top_n
 
 #: Largest parameter matrix (rows x columns) that may be sent to every executor.
-MAX_MATRIX_CELLS = 20_000_000
+MAX_MATRIX_CELLS = 5_000_000
 MAX_MATRIX_ROWS = 100_000
 
 
 def collect_matrix(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
     """(keys, matrix) of a small parameter table, refused above the size bounds."""
+    df = cut_lineage(df)
     size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d"), F.min(F.size(vector)).alias("d0")).first()
     if not size["n"]:
         raise DataContractError("empty parameter table")
@@ -148,7 +149,7 @@ def binary_stack_outputs(df: DataFrame, features: str, label: str, n_classes: in
     # Every fit reads the same rows many times: fix them once.
     rows = cut_lineage(df.withColumn("_x", array_to_vector(F.col(features))))
     total = rows.filter("split = 'train'").count()
-    counts = {r[label]: r["count"] for r in rows.filter("split = 'train'").groupBy(label).count().collect()}
+    counts = {r[label]: r["count"] for r in rows.filter("split = 'train'").filter(F.col(label).between(0, n_classes - 1)).groupBy(label).count().collect()}
     missing = [k for k in range(n_classes) if not counts.get(k)]
     if missing:
         raise DataContractError(f"no training rows for classes {missing}")

@@ -23,7 +23,7 @@ from ..session import cut_lineage
 #: A key with more rows than this is not given to a single window task.
 MAX_ROWS_PER_KEY = 5_000_000
 #: A join side is broadcast only when it was counted to hold at most this many (narrow) rows.
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_ROWS = 100_000
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -39,11 +39,12 @@ def frame_windows(df: DataFrame, samples: str, window: Column | int, step: Colum
     step = F.lit(step) if isinstance(step, int) else step
     last = F.size(samples) - window
     starts = F.when(last >= 0, F.sequence(F.lit(0), last, step))
-    return (
-        df.withColumn("start_sample", F.explode(starts))
-        .withColumn(name, F.slice(F.col(samples), F.col("start_sample") + 1, window))
-        .drop(samples)
+    # Cut inside the row first: the clip's whole array is never repeated per window.
+    cut = F.transform(
+        starts, lambda s: F.struct(s.alias("start_sample"), F.slice(F.col(samples), s + 1, window).alias(name))
     )
+    keep = [c for c in df.columns if c != samples]
+    return df.select(*keep, F.explode(cut).alias("_w")).select(*keep, "_w.*")
 
 
 def window_level(frame: str) -> Column:
