@@ -329,6 +329,26 @@ def representative_pick(spark, sf):
     return op.representative_pick(rows, "project_class", "duration", "rms_db", "doc_id")
 
 
-@query("signal_diagnostics")
+FRAME_SQL = "s[16 * f + 1 : 16 * f + 16]"
+
+
+@query(
+    "signal_diagnostics",
+    f"""WITH b AS (SELECT clip_id, samples::DOUBLE[] AS s FROM {SIGNALS_SQL}),
+        h AS (SELECT clip_id, s, list_transform(range(64), lambda i: s[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 63))) AS w FROM b),
+        k AS (SELECT clip_id, unnest(range(33)) AS k, w FROM h),
+        p AS (SELECT clip_id, k * 100 / 64.0::DOUBLE AS hz, sqrt(list_sum(list_transform(range(64), lambda i: w[i + 1] * cos(2 * pi() * k * i / 64))) ** 2
+               + list_sum(list_transform(range(64), lambda i: w[i + 1] * sin(2 * pi() * k * i / 64))) ** 2) AS m FROM k),
+        c AS (SELECT clip_id, sum(hz * m) / (sum(m) + 1e-12) AS centroid FROM p GROUP BY clip_id),
+        f AS (SELECT clip_id, unnest(range(4)) AS f, s FROM b),
+        z AS (SELECT clip_id, avg(list_sum(list_transform(range(1, 16), lambda i: abs(sign({FRAME_SQL}[i + 1]) - sign({FRAME_SQL}[i])))) / 15) / 2 AS zcr,
+               count(*) FILTER (WHERE 20 * log10(sqrt(list_sum(list_transform({FRAME_SQL}, lambda x: x * x)) / 16) + 1e-12) <= -60) / 4.0::DOUBLE AS silence_ratio
+              FROM f GROUP BY clip_id)
+        SELECT clip_id, round(list_sum(s) / 64, 8) + 0.0 AS dc_offset, silence_ratio, round(zcr, 8) AS zcr, round(centroid, 6) AS spectral_centroid_hz,
+          round(list_max(list_transform(s, lambda x: abs(x))) / sqrt(list_sum(list_transform(s, lambda x: x * x)) / 64), 6) AS crest_factor
+        FROM b JOIN c USING (clip_id) JOIN z USING (clip_id)""",
+)
 def signal_diagnostics(spark, sf):
-    return op.signal_diagnostics(signals(spark, sf), "clip_id", "samples", 100, 16)
+    out = op.signal_diagnostics(signals(spark, sf), "clip_id", "samples", 100, 16)
+    digits = {"dc_offset": 8, "zcr": 8, "spectral_centroid_hz": 6, "crest_factor": 6}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})

@@ -63,11 +63,30 @@ def window_energy_filter(spark, sf):
     return op.window_counts(frames(spark, sf), "frame", ["clip_id"], FLOOR_DB)
 
 
-@query("mel_features")
+BANDS = op.mel_matrix(1600, 8, 4)
+
+
+def dft_sql(wave: str) -> str:
+    taper = "(0.5 - 0.5 * cos(2 * pi() * i / 8))"
+    return f"list_sum(list_transform(range(8), lambda i: frame[4 * f + i + 1]::DOUBLE * {taper} * {wave}(2 * pi() * k * i / 8)))"
+
+
+@query(
+    "mel_features",
+    f"""WITH b AS (SELECT * FROM (VALUES {", ".join(f"({m}, {k}, {float(BANDS[m, k])!r}::DOUBLE)" for m in range(4) for k in range(5))}) AS t(m, k, weight)),
+        s AS (SELECT clip_id, class_id, start_sample, frame, f, unnest(range(5)) AS k FROM (
+              SELECT *, unnest(range(3)) AS f FROM {FRAMES_SQL} WHERE {LEVEL_SQL} > {FLOOR_DB})),
+        p AS (SELECT clip_id, class_id, start_sample, f, k, {dft_sql("cos")} ** 2 + {dft_sql("sin")} ** 2 AS power FROM s)
+        SELECT clip_id, class_id, CAST(start_sample AS INTEGER) AS start_sample, CAST(m * 3 + f AS INTEGER) AS pos,
+          round(10 * log10(greatest(sum(weight * power), 1e-10)), 4) AS db
+        FROM p JOIN b ON b.k = p.k GROUP BY ALL""",
+)
 def mel_features(spark, sf):
     kept = op.window_energy_filter(frames(spark, sf), "frame", FLOOR_DB)
     mel = op.mel_features(kept, "frame", sample_rate=1600, n_fft=8, hop=4, n_mels=4)
-    return mel.withColumn("mel", F.transform(v.power_to_db("mel"), lambda x: F.round(x, 6)))
+    return mel.select("clip_id", "class_id", "start_sample", F.posexplode(v.power_to_db("mel")).alias("pos", "db")).withColumn(
+        "db", F.round("db", 4)
+    )
 
 
 @query(

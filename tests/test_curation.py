@@ -101,3 +101,23 @@ def test_duplicate_groups_of_a_hot_hash(spark):
     row = groups.collect()[0]
     assert (row["sha"], row["n"], row["sources"], row["classes"]) == ("hot", 334, ["s0", "s1"], ["c"])
     assert health.duplicate_members(df, groups, "sha").count() == 334
+
+
+def test_signal_diagnostics(spark):
+    import numpy as np
+
+    n, rate, hop = 64, 640, 16
+    tone = np.sin(2 * np.pi * 100 * np.arange(n) / rate + 0.1)
+    x = np.concatenate([np.zeros(hop), tone[hop:]]) + 0.0
+    df = spark.createDataFrame([(1, x.tolist()), (2, [0.0] * n), (3, [])], "id int, s array<double>")
+    out = {r["id"]: r for r in health.signal_diagnostics(df, "id", "s", rate, hop).collect()}
+    r = out[1]
+    k, i = np.arange(n // 2 + 1)[:, None], np.arange(n)
+    spectrum = np.abs((np.exp(-2j * np.pi * k * i / n) * (x * np.hanning(n))).sum(axis=1))
+    centroid = (k[:, 0] * rate / n * spectrum).sum() / spectrum.sum()
+    crossings = [np.abs(np.diff(np.sign(f))).mean() / 2 for f in x.reshape(-1, hop)]
+    assert r["dc_offset"] == pytest.approx(x.mean()) and r["silence_ratio"] == 0.25
+    assert r["spectral_centroid_hz"] == pytest.approx(centroid) and r["zcr"] == pytest.approx(np.mean(crossings))
+    assert r["crest_factor"] == pytest.approx(np.abs(x).max() / np.sqrt((x * x).mean()))
+    assert out[2]["silence_ratio"] == 1.0 and out[2]["crest_factor"] is None
+    assert out[3]["silence_ratio"] == 1.0 and out[3]["zcr"] == 0.0
