@@ -2,8 +2,8 @@
 
 Every piece of state of a session is the latest of some kind of row: the start of the
 running streak, the last verified row, the last mode change, the last fired response.
-Each is a running maximum over (position, payload), so a session is one window, or many
-chunks when it is too large for one task. Only the cooldown needs a chain, and only over
+Each is the latest non-null value of a column, so a session is one window, or many chunks
+when it is too large for one task. Only the cooldown needs a chain, and only over
 the rows on which the active class changes.
 
 Times are whole microseconds. Rows of a session are ordered by (ts_us, seq), seq being
@@ -112,10 +112,10 @@ def persistence(rows: OrderedRows) -> OrderedRows:
     pending = F.when(F.col("candidate"), F.col("label"))
     at = rows.with_columns(pending=pending).running(
         n=Running("sum", F.lit(1)),
-        _before=Running("max", F.struct(*ORDER, F.col("pending").alias("pending")), exclusive=True),
+        _before=Running("last", F.struct("pending"), exclusive=True),
     )
     starts = F.col("candidate") & ~F.equal_null(F.col("_before.pending"), F.col("label"))
-    at = at.with_columns(_start=F.when(starts, F.col("n"))).running(_from=Running("max", F.col("_start")))
+    at = at.running(_from=Running("last", F.when(starts, F.col("n"))))
     streak = F.when(F.col("candidate"), F.col("n") - F.col("_from") + 1).otherwise(0)
     return at.with_columns(streak=streak)
 
@@ -125,7 +125,7 @@ def verification(rows: OrderedRows) -> OrderedRows:
     verified = F.col("candidate") & (F.col("streak") >= F.col("confirm_windows"))
     rows = rows.with_columns(verified=verified, _release=micros("release_seconds"))
     mark = F.when(F.col("verified"), F.struct("n", "label", "ts_us", "_release"))
-    rows = rows.running(_last=Running("max", mark, exclusive=True))
+    rows = rows.running(_last=Running("last", mark, exclusive=True))
     absent = (
         ~F.col("verified")
         & F.col("_last").isNotNull()
@@ -133,7 +133,7 @@ def verification(rows: OrderedRows) -> OrderedRows:
         & (F.col("ts_us") - F.col("_last.ts_us") >= F.col("_last._release"))
     )
     rows = rows.with_columns(_absent=F.when(absent, F.col("n"))).running(
-        _gone=Running("max", F.col("_absent"), exclusive=True)
+        _gone=Running("last", F.col("_absent"), exclusive=True)
     )
     # The class stays active until the first absent row after its last verified row.
     alive = F.col("_last").isNotNull() & ~F.coalesce(F.col("_gone") > F.col("_last.n"), F.lit(False))
@@ -153,8 +153,8 @@ def audio_mode(rows: OrderedRows) -> OrderedRows:
     """Adds the mode after each row: the target of a verified class, the preferred one once restored."""
     sets_target = F.col("verified") & F.col("target_mode").isNotNull()
     mode = F.when(sets_target, F.col("target_mode")).otherwise(F.col("preferred_mode"))
-    event = F.when(sets_target | F.col("restored"), F.struct("n", mode.alias("mode")))
-    rows = rows.running(_mode=Running("max", event))
+    event = F.when(sets_target | F.col("restored"), F.struct(mode.alias("mode")))
+    rows = rows.running(_mode=Running("last", event))
     return rows.with_columns(
         audio_mode=F.when(F.col("_mode").isNull(), F.col("preferred_mode")).otherwise(F.col("_mode.mode"))
     )
@@ -260,15 +260,14 @@ def pending_and_cooldown(rows: OrderedRows) -> OrderedRows:
     event = F.when(
         shows | clears,
         F.struct(
-            *ORDER,
             F.when(shows, F.col("quick_action_label")).alias("text"),
             F.when(shows, F.col("label")).alias("class_name"),
         ),
     )
     until = F.when(F.col("fired"), F.col("ts_us") + micros("cooldown_seconds"))
     rows = rows.running(
-        _qa=Running("max", event),
-        _qa_before=Running("max", event, exclusive=True),
+        _qa=Running("last", event),
+        _qa_before=Running("last", event, exclusive=True),
         _until=Running("max", until),
     )
     return rows.with_columns(
@@ -439,8 +438,8 @@ def virtual_clock(
     sets = F.col("kind") == "prediction"
 
     def scan(rows: OrderedRows) -> DataFrame:
-        mark = F.when(sets, F.struct(*order, F.col("label").alias("label"), F.col("confidence").alias("confidence")))
-        rows = rows.running(_last=Running("max", mark, exclusive=True))
+        mark = F.when(sets, F.struct("label", "confidence"))
+        rows = rows.running(_last=Running("last", mark, exclusive=True))
         error = F.when(F.col("advance_us") < 0, "advance_seconds must be >= 0").when(
             ~F.col("label_given") & F.col("_last.label").isNull(), "no detection yet - analyze a clip first"
         )

@@ -5,8 +5,8 @@ task. The helpers here keep the answer exact and the tasks bounded:
 
 * ``ordered_chunks`` range-partitions rows by (key, order), so that a large key is spread
   over many chunks, and fixes the chunk of each row with a reliable checkpoint;
-* running sums and maxima are taken inside each chunk and shifted by the summary of the
-  chunks before it (one summary row per key and chunk);
+* running sums, maxima and latest values are taken inside each chunk and completed by the
+  summary of the chunks before it (one summary row per key and chunk);
 * top-n per key is taken twice, first per salted part of the key.
 """
 
@@ -80,9 +80,10 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
 
 @dataclass(frozen=True)
 class Running:
-    """One running aggregate: ``kind`` is "sum" or "max"; exclusive leaves the current row out.
+    """One running aggregate; exclusive leaves the current row out.
 
-    ``total`` adds the aggregate over the whole key as ``<name>_total``.
+    ``kind`` is "sum", "max" or "last", the latest non-null value. ``total`` adds a sum over
+    the whole key as ``<name>_total``.
     """
 
     kind: str
@@ -113,20 +114,20 @@ class OrderedRows:
         whole = Window.partitionBy(*self.keys)
         if not self.chunked:
             w = whole.orderBy(*self.order)
-            totals = {f"{n}_total": getattr(F, s.kind)(s.value).over(whole) for n, s in specs.items() if s.total}
+            totals = {f"{n}_total": F.sum(s.value).over(whole) for n, s in specs.items() if s.total}
             return self.with_columns(**{n: _windowed(s, w) for n, s in specs.items()}, **totals)
         # The rows feed both the scan and its summary: compute them once.
         rows = self.df.withColumns({f"_v_{n}": s.value for n, s in specs.items()})
         rows = rows if self.fixed else cut_lineage(rows)
         sums = rows.groupBy(*self.keys, "_chunk").agg(
-            *[getattr(F, s.kind)(f"_v_{n}").alias(f"_t_{n}") for n, s in specs.items()]
+            *[_summary(s.kind, F.col(f"_v_{n}")).alias(f"_t_{n}") for n, s in specs.items()]
         )
         w = _carry_window(self.keys)
         carry = sums.select(
             *self.keys,
             "_chunk",
-            *[getattr(F, s.kind)(f"_t_{n}").over(w).alias(f"_c_{n}") for n, s in specs.items()],
-            *[getattr(F, s.kind)(f"_t_{n}").over(whole).alias(f"{n}_total") for n, s in specs.items() if s.total],
+            *[_aggregate(s.kind, F.col(f"_t_{n}")).over(w).alias(f"_c_{n}") for n, s in specs.items()],
+            *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n, s in specs.items() if s.total],
         )
         local = Window.partitionBy(*self.keys, "_chunk").orderBy("_pos")
         out = join_keys(rows, small_side(cut_lineage(carry)), [*self.keys, "_chunk"])
@@ -135,8 +136,10 @@ class OrderedRows:
             here = _windowed(replace(s, value=F.col(f"_v_{n}")), local)
             if s.kind == "sum":
                 joined[n] = F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.coalesce(here, F.lit(0))
-            else:
+            elif s.kind == "max":
                 joined[n] = F.greatest(F.col(f"_c_{n}"), here)
+            else:
+                joined[n] = F.coalesce(here, F.col(f"_c_{n}"))
         drop = [f"_{p}_{n}" for n in specs for p in ("v", "c")]
         return replace(self, df=out.withColumns(joined).drop(*drop), fixed=False)
 
@@ -144,9 +147,20 @@ class OrderedRows:
         return self.df.drop("_chunk", "_pos") if self.chunked else self.df
 
 
+def _aggregate(kind: str, value: Column) -> Column:
+    return F.last(value, ignorenulls=True) if kind == "last" else getattr(F, kind)(value)
+
+
+def _summary(kind: str, value: Column) -> Column:
+    """The aggregate over a chunk's rows, which arrive in no particular order."""
+    if kind == "last":
+        return F.max_by(value, F.when(value.isNotNull(), F.col("_pos")))
+    return getattr(F, kind)(value)
+
+
 def _windowed(spec: Running, w) -> Column:
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if spec.exclusive else Window.currentRow)
-    value = getattr(F, spec.kind)(spec.value).over(frame)
+    value = _aggregate(spec.kind, spec.value).over(frame)
     return F.coalesce(value, F.lit(0)) if spec.kind == "sum" else value
 
 

@@ -40,12 +40,13 @@ def test_running_chunked_equals_window(skewed, exclusive):
         "s": O.Running("sum", F.col("v"), exclusive=exclusive, total=True),
         "m": O.Running("max", F.struct("v", "id"), exclusive=exclusive),
         "x": O.Running("max", F.when(F.col("v") > 90, F.col("id")), exclusive=exclusive),
+        "y": O.Running("last", F.when(F.col("v") % 9 == 4, F.struct("id")), exclusive=exclusive),
     }
     out = []
     for chunked in (False, True):
         o = O.OrderedRows.of(skewed, ["k"], ["v", "id"], chunked).running(**specs)
         o = o.running(t=O.Running("sum", F.coalesce("x", F.lit(1))))
-        out.append(rows(o.result().select("k", "id", "s", "s_total", "m.v", "x", "t")))
+        out.append(rows(o.result().select("k", "id", "s", "s_total", "m.v", "x", "t", F.col("y.id").alias("y"))))
     assert out[0] == out[1] and len(out[0]) == 3000
 
 
