@@ -43,35 +43,29 @@ def ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:
 def fixed(c: str | Column, digits: int) -> Column:
     """Decimal text of a non-negative double rounded half-even on its exact binary value.
 
-    ``format_string`` rounds the shortest decimal form instead, which gives another last
-    digit for values such as 0.285. The product with 10**digits is split into its rounded
-    value and its exact error, so that ties are decided on the true value.
+    ``format_string`` rounds the shortest decimal form half-up, which gives another last
+    digit for values such as 0.285 or 0.125. The product with 10**digits is split into its
+    rounded value and its exact error; the sign of what lies beyond the half moves the value
+    off the tie before it is formatted.
     """
     x = as_col(c).cast("double")
     scale = float(10**digits)
     prod = x * F.lit(scale)
     big = x * F.lit(134217729.0)
     hi = big - (big - x)
-    err = (hi * F.lit(scale) - prod) + (x - hi) * F.lit(scale)
-    base = F.floor(prod)
-    side = (prod - base - F.lit(0.5)) + err
-    up = (side > 0) | ((side == 0) & (base % 2 == 1))
-    units = base + F.when(up, 1).otherwise(0)
-    whole = F.floor(units / F.lit(10**digits)).cast("bigint")
-    frac = (units % F.lit(10**digits)).cast("string")
-    return F.concat(whole.cast("string"), F.lit("."), F.lpad(frac, digits, "0"))
+    beyond_half = (prod - F.floor(prod) - F.lit(0.5)) + ((hi * F.lit(scale) - prod) + (x - hi) * F.lit(scale))
+    tie = (x * F.lit(2.0 ** (digits + 1))) % 2 == 1
+    down = F.when(tie & (F.floor(prod) % 2 == 0), 1.0).otherwise(0.0)
+    moved = x + (F.signum(beyond_half) - down) * F.lit(10.0 ** -(digits + 4))
+    return F.format_string(f"%.{digits}f", F.greatest(moved, F.lit(0.0)))
 
 
 def fixed_micros(c: str | Column, digits: int) -> Column:
-    """Seconds text, rounded half-even, of an integer microsecond count (non-negative)."""
+    """Seconds text, rounded half-even, of a non-negative whole number of microseconds."""
     unit = 10 ** (6 - digits)
     m = as_col(c).cast("bigint")
-    rest = m % F.lit(unit)
-    base = (m - rest) / F.lit(unit)
-    base = base.cast("bigint")
-    twice = rest * 2
-    up = (twice > unit) | ((twice == unit) & (base % 2 == 1))
-    units = base + F.when(up, 1).otherwise(0)
-    frac = (units % F.lit(10**digits)).cast("string")
-    whole = ((units - units % F.lit(10**digits)) / F.lit(10**digits)).cast("bigint")
-    return F.concat(whole.cast("string"), F.lit("."), F.lpad(frac, digits, "0"))
+    # Half up, but one less on a tie below an even number of units.
+    even_tie = m % F.lit(2 * unit) == unit // 2
+    shifted = m + F.lit(unit // 2) - F.when(even_tie, 1).otherwise(0)
+    units = (shifted - shifted % F.lit(unit)) / F.lit(unit)
+    return F.format_string(f"%.{digits}f", units / F.lit(float(10**digits)))

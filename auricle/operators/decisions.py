@@ -13,6 +13,7 @@ unique in the session.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -52,7 +53,9 @@ def attach_policy(detections: DataFrame, policies: DataFrame) -> DataFrame:
     Without a profile column in the detections, ``policies`` must hold a single profile.
     """
     on = ["profile_name"] if "profile_name" in detections.columns else []
-    rows = policies.select(*on, F.col("class_name").alias("label"), *POLICY_COLUMNS).withColumn("_has_policy", F.lit(True))
+    rows = policies.select(
+        *on, F.col("class_name").alias("label"), *POLICY_COLUMNS, fixed("confidence_threshold", 2).alias("_threshold_text")
+    )
     profiles = policies.groupBy(*on).agg(
         F.max("preferred_mode").alias("preferred_mode"),
         *([] if on else [F.max("profile_name").alias("profile_name")]),
@@ -72,39 +75,36 @@ def attach_policy(detections: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def gate(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Candidate flag of each detection, or the reason why it is none."""
-    known = F.coalesce(F.col("label").isin(*classes), F.lit(False))
-    enabled = F.coalesce(F.col("enabled"), F.lit(False))
+    """Adds trigger_enabled and candidate: a known, enabled class at or above its threshold."""
     confident = F.coalesce(F.col("confidence") >= F.col("confidence_threshold"), F.lit(False))
-    quoted = F.concat(F.lit("'"), "label", F.lit("'"))
-    reason = (
-        F.when(
-            ~known,
-            F.concat(
-                F.lit("detected class "),
-                F.coalesce(quoted, F.lit("None")),
-                F.lit(" is not a supported trigger class - no action"),
-            ),
-        )
+    rows = rows.withColumn("trigger_enabled", F.coalesce(F.col("enabled"), F.lit(False)))
+    return rows.withColumn("candidate", _known(classes) & F.col("trigger_enabled") & confident)
+
+
+def _known(classes: Sequence[str]) -> Column:
+    return F.coalesce(F.col("label").isin(*classes), F.lit(False))
+
+
+def gate_reason(classes: Sequence[str]) -> Column:
+    """Why a gated detection is no candidate, null when it is one."""
+    shown = F.coalesce(F.concat(F.lit("'"), "label", F.lit("'")), F.lit("None"))
+    return (
+        F.when(F.col("candidate"), F.lit(None).cast("string"))
         .when(
-            ~enabled,
-            F.concat(F.lit("detected class "), quoted, F.lit(" is not enabled in profile '"), "profile_name", F.lit("' - no action")),
+            ~_known(classes),
+            F.concat(F.lit("detected class "), shown, F.lit(" is not a supported trigger class - no action")),
         )
         .when(
-            ~confident,
+            ~F.col("trigger_enabled"),
+            F.concat(F.lit("detected class "), shown, F.lit(" is not enabled in profile '"), "profile_name", F.lit("' - no action")),
+        )
+        .otherwise(
             F.concat(
-                F.lit("confidence "), fixed("confidence", 2), F.lit(" below threshold "),
-                fixed("confidence_threshold", 2), F.lit(" for "), quoted, F.lit(" - no action"),
-            ),
+                F.lit("confidence "), fixed("confidence", 2), F.lit(" below threshold "), "_threshold_text",
+                F.lit(" for "), shown, F.lit(" - no action"),
+            )
         )
     )
-    return rows.withColumns(
-        {
-            "trigger_enabled": enabled,
-            "candidate": known & enabled & confident,
-            "gate_reason": reason,
-        }
-    )
 
 
 def persistence(rows: OrderedRows) -> OrderedRows:
@@ -285,7 +285,7 @@ def verification_state() -> Column:
     )
 
 
-def messages_of(rows: DataFrame) -> DataFrame:
+def messages_of(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Adds the reasons and the time-stamped log lines of each decision."""
     quoted = F.concat(F.lit("'"), "label", F.lit("'"))
     suppressed = F.col("fire_edge") & ~F.col("fired")
@@ -309,7 +309,7 @@ def messages_of(rows: DataFrame) -> DataFrame:
     )
     reasons = F.array_compact(
         F.array(
-            "gate_reason",
+            gate_reason(classes),
             F.when(suppressed, F.concat(F.lit("response for "), quoted, F.lit(" suppressed by cooldown (duplicate alert)"))),
         )
     )
@@ -391,8 +391,14 @@ def _scan(detections, policies, classes, keys, actions, max_rows) -> DataFrame:
 
 
 def _scan_part(detections, policies, classes, keys, actions, chunked) -> DataFrame:
-    gated = gate(attach_policy(detections, policies), classes)
-    rows = audio_mode(verification(persistence(OrderedRows.of(gated, keys, ORDER, chunked)))).result()
+    # The narrow detections are shuffled; the policy joins them where they land. The number of
+    # partitions is given, as the scans cost more than the small shuffled size suggests.
+    if not chunked:
+        n = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        detections = detections.repartition(n, *keys)
+    ordered = OrderedRows.of(detections, keys, ORDER, chunked)
+    gated = replace(ordered, df=gate(attach_policy(ordered.df, policies), classes))
+    rows = audio_mode(verification(persistence(gated))).result()
     if chunked:
         rows = cut_lineage(rows)
     edges = rows.filter("fire_edge").select(*keys, "label", "n", "ts_us", micros("cooldown_seconds").alias("_cooldown"))
@@ -417,7 +423,7 @@ def _scan_part(detections, policies, classes, keys, actions, chunked) -> DataFra
             "release_remaining_seconds": F.when(live, remaining / 1000000.0),
         }
     )
-    return messages_of(rows)
+    return messages_of(rows, classes)
 
 
 def decision_log(decisions: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:

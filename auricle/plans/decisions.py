@@ -242,7 +242,7 @@ def profile_build(spark, sf):
 @query("policy_gate", f"SELECT session_id, seq, trigger_enabled, cand AS candidate, gate_reason AS reason FROM {GATE_SQL}")
 def policy_gate(spark, sf):
     rows = op.gate(op.attach_policy(detections(spark, sf), event_policies(spark)), CLASSES)
-    return rows.select("session_id", "seq", "trigger_enabled", "candidate", F.col("gate_reason").alias("reason"))
+    return rows.select("session_id", "seq", "trigger_enabled", "candidate", op.gate_reason(CLASSES).alias("reason"))
 
 
 def scanned(spark, sf, stage):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.decisions import attach_policy, gate
+from ..operators.decisions import attach_policy, gate, gate_reason
 from .transition import SessionState, advance
 
 ROCKSDB = {
@@ -90,7 +90,7 @@ def decision_stream(detections: DataFrame, policies: DataFrame, classes: Sequenc
     nothing about policies.
     """
     key_type = detections.schema["session_id"].dataType.simpleString()
-    gated = gate(attach_policy(detections, policies), classes)
+    gated = gate(attach_policy(detections, policies), classes).withColumn("gate_reason", gate_reason(classes))
     return gated.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=DecisionProcessor(),
         outputStructType=T.StructType.fromDDL(output_schema(key_type)),

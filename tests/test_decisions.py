@@ -117,7 +117,8 @@ def test_quick_action(spark, limit):
 
 
 def fold(spark, det, pol, classes):
-    gated = D.gate(D.attach_policy(det, pol), classes).orderBy("session_id", "ts_us", "seq").collect()
+    gated = D.gate(D.attach_policy(det, pol), classes).withColumn("gate_reason", D.gate_reason(classes))
+    gated = gated.orderBy("session_id", "ts_us", "seq").collect()
     states, out = {}, []
     for row in gated:
         state = states.setdefault(row.session_id, SessionState(mode=row.preferred_mode))
