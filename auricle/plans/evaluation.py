@@ -22,13 +22,13 @@ def scored_windows(spark, sf):
         F.col("l_tax") * 12.5 + 0.01,
         (F.col("l_partkey") % 100) / 100.0 + 0.01,
     ]
-    rows = table(spark, sf, "lineitem").withColumn("_r", F.array(*raw))
-    r = [F.col("_r")[i] for i in range(K)]
-    total = r[0] + r[1] + r[2] + r[3] + r[4]
+    rows = table(spark, sf, "lineitem").withColumns({f"_s{i}": r for i, r in enumerate(raw)})
+    s = [F.col(f"_s{i}") for i in range(K)]
+    rows = rows.withColumn("_total", s[0] + s[1] + s[2] + s[3] + s[4])
     return rows.select(
         F.col("l_orderkey").alias("clip_id"),
         F.xxhash64("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").alias("window_id"),
-        F.transform("_r", lambda x: x / total).alias("p"),
+        F.array(*[x / F.col("_total") for x in s]).alias("p"),
     )
 
 
