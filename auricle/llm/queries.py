@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import neardup, packing
 from .common import bucket_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +30,8 @@ def query(name: str, sql: str | None = None):
 @query("op1_best_fit_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_minhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
