@@ -19,7 +19,7 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)  # fixed values
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value
 SLICE_BYTES = 2_000_000
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_SPACE = np.isin(np.arange(256), SPACES)
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,12 +92,13 @@ class Words:
     """Words of a slice of texts.
 
     ``hashes``: one 64-bit hash per word in text order; ``bounds``: n + 1 positions, words of text i are
-    ``hashes[bounds[i]:bounds[i + 1]]``; ``starts`` / ``ends``: byte places in ``data``.
+    ``hashes[bounds[i]:bounds[i + 1]]``; ``starts`` / ``ends``: byte places in ``data``. ``table`` maps each
+    byte first; by default it lower-cases A-Z.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, table: bytes = LOWER):
         raw, offsets = raw_utf8(texts)
-        data = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
+        data = np.frombuffer(raw.tobytes().translate(table), np.uint8)
         self.data, self.offsets = data, offsets
         n = len(data)
         solid = ~_IS_SPACE[data]
@@ -116,6 +117,20 @@ class Words:
         raw_hash = (sums[self.ends] - sums[self.starts]) * _power("down", n + 1)[self.starts]
         self.hashes = mix(raw_hash + (self.ends - self.starts).astype(np.uint64))
         self.bounds = np.searchsorted(self.starts, offsets)
+        self.sums = sums
+
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all runs of ``size`` bytes inside words, the byte place of each)."""
+        per_word = np.maximum(self.ends - self.starts - size + 1, 0)
+        at = np.repeat(self.starts, per_word) + ragged(per_word)
+        raw = (self.sums[at + size] - self.sums[at]) * _power("down", len(self.data) + 1)[at]
+        return mix(raw + np.uint64(size << 32)), at
+
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the first ``size`` bytes of longer words, the byte place of each)."""
+        at = self.starts[self.ends - self.starts > size]
+        raw = (self.sums[at + size] - self.sums[at]) * _power("down", len(self.data) + 1)[at]
+        return mix(raw + np.uint64(size << 40)), at
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing
+from . import neardup, packing, toxicity
 from .common import bucket_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +35,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op7_factorization_machine")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~held_out))
+    threshold = toxicity.Settings().threshold
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
