@@ -40,6 +40,16 @@ def bucket_of(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def fenced(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that pass, where the optimizer must not move the condition below what computes it.
+
+    A condition pushed through a projection is evaluated there a second time; with long expressions over whole
+    texts that doubles the work.
+    """
+    marked = df.withColumn("_fence", F.monotonically_increasing_id())
+    return marked.where(condition & (F.col("_fence") >= 0)).drop("_fence")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer."""
     x = x ^ (x >> np.uint64(30))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, toxicity
+from . import neardup, packing, quality, toxicity
 from .common import bucket_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+@query("op5_decision_list")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).drop("text")
