@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, quality, toxicity
+from . import neardup, packing, quality, suffix_tree, toxicity
 from .common import bucket_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learn(docs, read(spark, sf_dir, "labels"))
     return quality.judge(docs, rules).drop("text")
+
+
+@query("op2_suffix_tree")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = bucket_of(F.col("doc_id"), 7) == 2
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    scored = suffix_tree.train_and_score(docs)
+    return scored.select(
+        "doc_id",
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
