@@ -40,14 +40,15 @@ def bucket_of(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def fenced(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows that pass, where the optimizer must not move the condition below what computes it.
+def fenced(df: DataFrame, condition: Column | None = None) -> DataFrame:
+    """Rows that pass, where the optimizer must not move conditions below what computes the columns.
 
-    A condition pushed through a projection is evaluated there a second time; with long expressions over whole
-    texts that doubles the work.
+    A condition pushed through a projection (also one inferred from an explode or a join) is evaluated there a
+    second time, with every column written out; with expressions over whole texts that multiplies the work.
     """
+    kept = F.col("_fence") >= 0
     marked = df.withColumn("_fence", F.monotonically_increasing_id())
-    return marked.where(condition & (F.col("_fence") >= 0)).drop("_fence")
+    return marked.where(kept if condition is None else kept & condition).drop("_fence")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
