@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .common import fenced, materialize
 
-NAME, NUMBER, INNER, UNIT = "", "", "", ""
+NAME, NUMBER, INNER, UNIT = "\ue000", "\ue001", "\ue002", "\ue003"  # private use, not in BREAKS
 UNITS = (
     "km", "m", "cm", "mm", "mi", "miles", "ft", "feet", "inches", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml",
     "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "mph", "kmh",
