@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, neardup, packing, quality, suffix_tree, toxicity, warc
+from . import chat, decontamination, neardup, packing, quality, separators, suffix_tree, toxicity, urls, warc
 from .common import bucket_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,25 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(read(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+URL_RULES = (
+    urls.Rule("block", "net/"),
+    urls.Rule("allow", "example.net/en/"),
+    urls.Rule("block", "example.com/de/"),
+    urls.Rule("allow", "org/fr/"),
+)
+
+
+@query("op6_url_regression")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit(urls.labelled_urls(spark))
+    return urls.judge(read(spark, sf_dir, "pages"), URL_RULES, model)
+
+
+@query("op4_separator_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end_of_text = 49407  # <|endoftext|> of the vocabulary
+    return separators.token_counts(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_of_text
+    )
