@@ -26,6 +26,7 @@ from .checks import DataContractError
 from .ordered import MAX_ROWS_PER_KEY, OrderedRows, Running, join_keys, per_key, row_index, small_side, split_hot
 
 ORDER = ("ts_us", "seq")
+USER_ACTIONS = ("confirm", "reject")
 POLICY_COLUMNS = (
     "enabled target_mode confidence_threshold confirm_windows release_seconds cooldown_seconds "
     "high_priority critical quick_action_label notify"
@@ -33,10 +34,11 @@ POLICY_COLUMNS = (
 
 # The fields of a decision in output order.
 DECISION_FIELDS = (
-    "detected_class detected_confidence trigger_enabled verification_state verified policy_target_mode audio_mode "
-    "preferred_mode notification warning quick_action quick_action_pending release_timer_active "
-    "release_remaining_seconds cooldown_active restored reasons log"
-).split()
+    "detected_class", "detected_confidence", "trigger_enabled", "verification_state", "verified",
+    "policy_target_mode", "audio_mode", "preferred_mode", "notification", "warning", "quick_action",
+    "quick_action_pending", "release_timer_active", "release_remaining_seconds", "cooldown_active", "restored",
+    "reasons", "log",
+)
 
 
 def humanize(label: str | Column) -> Column:
@@ -178,7 +180,7 @@ def cooldown_fires(edges: DataFrame, keys: Sequence[str], chunked: bool) -> Data
             if not len(pdf):
                 continue
             t, wait = pdf["ts_us"].to_numpy(), pdf["_cooldown"].to_numpy()
-            cols = [pdf[c].to_numpy() for c in by]
+            cols = [pdf[c].astype(object).where(pdf[c].notna(), None).to_numpy() for c in by]
             new = np.any([np.append(True, c[1:] != c[:-1]) for c in cols], axis=0)
             starts = np.append(np.flatnonzero(new), len(t))
             fired = []
@@ -253,10 +255,11 @@ def responses(rows: DataFrame) -> DataFrame:
 def pending_and_cooldown(rows: OrderedRows) -> OrderedRows:
     """Adds the action pending after (and before) each row, and whether any cooldown is running.
 
-    Rows may include user actions (``action`` not null), which clear the pending action.
+    Rows may include user actions (``action`` not null): confirm and reject clear the pending action, an
+    unknown one is refused and changes nothing.
     """
     shows = F.col("_shows_action")
-    clears = F.col("restored") | F.col("action").isNotNull()
+    clears = F.col("restored") | F.coalesce(F.col("action").isin(*USER_ACTIONS), F.lit(False))
     event = F.when(
         shows | clears,
         F.struct(
@@ -326,7 +329,7 @@ def decide(
 ) -> DataFrame:
     """One decision per detection: keys, seq, ts_us and the 18 decision fields.
 
-    Session keys are not null.
+    Detections without a session key are one session.
 
     ``detections``: keys, seq, ts_us, label, confidence (and profile_name). ``actions``: keys,
     seq, ts_us, action ("confirm" / "reject") of the user, in the same order space. Sessions
@@ -348,7 +351,7 @@ def quick_action_results(
     """Outcome of each user action; nothing is ever executed, and none pending is an error."""
     rows = _scan(detections, policies, classes, keys, actions, max_rows).filter("action IS NOT NULL")
     text = F.col("_qa_before.text")
-    valid = F.col("action").isin("confirm", "reject")
+    valid = F.col("action").isin(*USER_ACTIONS)
     error = F.when(~valid, "action must be 'confirm' or 'reject'").when(
         text.isNull(), "no user-confirmed quick action is currently pending"
     )
@@ -403,7 +406,7 @@ def _scan_part(detections, policies, classes, keys, actions, chunked) -> DataFra
         rows = cut_lineage(rows)
     edges = rows.filter("fire_edge").select(*keys, "label", "n", "ts_us", micros("cooldown_seconds").alias("_cooldown"))
     fires = cooldown_fires(edges, keys, chunked).withColumn("fired", F.lit(True))
-    rows = rows.join(fires, [*keys, "n"], "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
+    rows = join_keys(rows, fires, [*keys, "n"], "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
     rows = responses(rows).withColumn("action", F.lit(None).cast("string"))
     if actions is not None:
         asked = actions.select(*keys, "seq", "ts_us", "action").withColumns(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.columns import ratio
-from .ordered import split_hot, top_n
+from .ordered import top_n
 
 
 def class_pairs(spark: SparkSession, n_classes: int) -> DataFrame:
@@ -21,9 +21,16 @@ def class_pairs(spark: SparkSession, n_classes: int) -> DataFrame:
 
 
 def confusion_matrix(preds: DataFrame, true: str, pred: str, n_classes: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts of every (true, predicted) pair, zeros included; one matrix per ``keys`` value."""
-    counts = preds.groupBy(*keys, F.col(true).alias("true_id"), F.col(pred).alias("pred_id")).agg(
-        F.count(F.lit(1)).alias("n")
+    """Counts of every (true, predicted) pair, zeros included; one matrix per ``keys`` value.
+
+    Predictions that are null or no class of the list are counted under a null ``pred_id``, so that the
+    support of each true class stays whole. Rows whose true class is not in the list are not evaluated.
+    """
+    listed = F.when(F.col(pred).between(0, n_classes - 1), F.col(pred))
+    counts = (
+        preds.filter(F.col(true).between(0, n_classes - 1))
+        .groupBy(*keys, F.col(true).alias("true_id"), listed.alias("pred_id"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     grid = class_pairs(preds.sparkSession, n_classes)
     if keys:
@@ -34,7 +41,8 @@ def confusion_matrix(preds: DataFrame, true: str, pred: str, n_classes: int, key
             F.floor(F.col("_i") / n_classes).cast("int").alias("true_id"),
             (F.col("_i") % n_classes).cast("int").alias("pred_id"),
         )
-    return grid.join(counts, [*keys, "true_id", "pred_id"], "left").na.fill(0, subset=["n"])
+    full = grid.join(counts, [*keys, "true_id", "pred_id"], "left").na.fill(0, subset=["n"])
+    return full.unionByName(counts.filter("pred_id IS NULL").select(full.columns))
 
 
 def confusion_pivot(confusion: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -48,7 +56,7 @@ def confusion_pivot(confusion: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def per_class_prf(confusion: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Support, precision, recall and F1 per class; 0 where undefined."""
-    diagonal = F.when(F.col("true_id") == F.col("pred_id"), F.col("n")).otherwise(0)
+    diagonal = F.when(F.equal_null("true_id", "pred_id"), F.col("n")).otherwise(0)
     by_true = confusion.groupBy(*keys, F.col("true_id").alias("class_id")).agg(
         F.sum("n").alias("support"), F.sum(diagonal).alias("tp")
     )
@@ -83,10 +91,6 @@ def summary_metrics(prf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-#: A clip with more windows is not gathered into one array.
-MAX_WINDOWS_PER_CLIP = 50_000
-
-
 def _clip_sums(windows: DataFrame, clip: str, probabilities: str, n_classes: int, votes: bool) -> DataFrame:
     """Windows, mean vector ``mean_p`` and vote counts per clip: one wide aggregate, nothing exploded."""
     aggs = [F.avg(F.get(F.col(probabilities), F.lit(i))).alias(f"_m{i}") for i in range(n_classes)]
@@ -117,30 +121,20 @@ def clip_mean_softmax(windows: DataFrame, clip: str, probabilities: str, n_class
 
 
 def clip_topk_mean(
-    windows: DataFrame, clip: str, window: str, probabilities: str, n_classes: int, k: int,
-    max_windows: int = MAX_WINDOWS_PER_CLIP,
+    windows: DataFrame, clip: str, window: str, probabilities: str, n_classes: int, k: int
 ) -> DataFrame:
-    """Per class the mean of the k best windows, then the argmax.
+    """Per class the mean of the k best windows, then the argmax; null scores do not count.
 
-    The windows of an ordinary clip are gathered once. A clip above ``max_windows`` is cut to
-    its k best windows per class before anything meets in one task.
+    Windows are cut to the k best of each clip and class before they are shuffled, so no task holds a clip.
     """
-    cold, hot = split_hot(windows.select(clip, window, probabilities), [clip], max_windows)
-    gathered = cold.groupBy(clip).agg(F.collect_list(probabilities).alias("_p"))
-
-    def best_mean(i):
-        best = F.slice(F.sort_array(F.transform("_p", lambda p: F.get(p, i)), asc=False), 1, k)
-        return F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
-
-    vectors = gathered.select(clip, F.array(*[best_mean(F.lit(i)) for i in range(n_classes)]).alias("_v"))
-    if hot is not None:
-        long = hot.select(clip, window, F.posexplode(probabilities).alias("_class", "_p"))
-        kept = top_n(long, [clip, "_class"], [F.desc("_p"), F.col(window)], k, [window])
-        means = kept.groupBy(clip).agg(
-            *[F.avg(F.when(F.col("_class") == i, F.col("_p"))).alias(f"_m{i}") for i in range(n_classes)]
-        )
-        vectors = vectors.unionByName(means.select(clip, F.array(*[F.col(f"_m{i}") for i in range(n_classes)]).alias("_v")))
-    return vectors.select(clip, v.argmax("_v").alias("pred_topk_mean"))
+    scores = windows.select(clip, window, F.posexplode(probabilities).alias("_class", "_p"))
+    kept = top_n(scores.filter("_p IS NOT NULL"), [clip, "_class"], [F.desc("_p"), F.col(window)], k, [window])
+    means = kept.groupBy(clip).agg(
+        *[F.avg(F.when(F.col("_class") == i, F.col("_p"))).alias(f"_m{i}") for i in range(n_classes)]
+    )
+    every = windows.select(clip).distinct()
+    vector = F.array(*[F.col(f"_m{i}") for i in range(n_classes)])
+    return every.join(means, clip, "left").select(clip, v.argmax(vector).alias("pred_topk_mean"))
 
 
 def clip_majority_vote(windows: DataFrame, clip: str, probabilities: str, n_classes: int) -> DataFrame:

@@ -105,10 +105,11 @@ def policy_problems(
 
 
 def check_policies(policies: DataFrame, **kwargs) -> None:
-    """Raise with every problem of the table (a policy table is small: profiles x classes)."""
-    bad = policies.select("class_name", policy_problems(**kwargs).alias("p")).filter(F.size("p") > 0).limit(20).collect()
+    """Raise with every kind of problem of the table and the number of rows that have it."""
+    problems = policies.select("class_name", F.explode(policy_problems(**kwargs)).alias("p"))
+    bad = problems.groupBy("class_name", "p").agg(F.count(F.lit(1)).alias("n")).orderBy("class_name", "p").collect()
     if bad:
-        raise DataContractError("; ".join(f"{r['class_name']}: {', '.join(r['p'])}" for r in bad))
+        raise DataContractError("; ".join(f"{r['class_name']}: {r['p']} ({r['n']})" for r in bad))
 
 
 def policy_table(
@@ -130,12 +131,17 @@ def policy_table(
     return spark.createDataFrame(rows, POLICY_SCHEMA)
 
 
-def build_profiles(class_modes: DataFrame, classes: Sequence[str] = TAXONOMY) -> DataFrame:
+def build_profiles(
+    class_modes: DataFrame, classes: Sequence[str] = TAXONOMY, defaults: Mapping[str, object] | None = None
+) -> DataFrame:
     """Full policy rows from (profile_name, preferred_mode, class_name, target_mode) rows.
 
-    Every profile gets every class; a class without a row is disabled. An unknown class is
-    an error.
+    Every profile gets every class; a class without a row is disabled. ``defaults`` are the other fields of
+    the enabled classes (threshold, persistence, timers, flags). An unknown class or field is an error.
     """
+    foreign = sorted(set(defaults or ()) - set(FIELDS) | set(defaults or ()) & {"enabled", "target_mode"})
+    if foreign:
+        raise DataContractError(f"unknown default fields {foreign}")
     unknown = class_modes.filter(~F.col("class_name").isin(*classes)).select("class_name").distinct().limit(5).collect()
     if unknown:
         raise DataContractError(f"unknown classes {sorted(r[0] for r in unknown)}")
@@ -148,10 +154,13 @@ def build_profiles(class_modes: DataFrame, classes: Sequence[str] = TAXONOMY) ->
     rows = base.join(own, ["profile_name", "class_name"], "left").withColumn(
         "enabled", F.coalesce("enabled", F.lit(False))
     )
-    defaults = {
-        n: F.lit(v).cast(FIELDS[n]) for n, v in POLICY_DEFAULTS.items() if n not in ("enabled", "target_mode")
+    own_defaults = {**POLICY_DEFAULTS, **(defaults or {})}
+    values = {
+        n: F.when(F.col("enabled"), F.lit(own_defaults[n]).cast(FIELDS[n])).otherwise(F.lit(v).cast(FIELDS[n]))
+        for n, v in POLICY_DEFAULTS.items()
+        if n not in ("enabled", "target_mode")
     }
-    return rows.withColumns(defaults).select("profile_name", "preferred_mode", "class_name", *FIELDS)
+    return rows.withColumns(values).select("profile_name", "preferred_mode", "class_name", *FIELDS)
 
 
 def enabled_list(policies: DataFrame, classes: Sequence[str] = TAXONOMY) -> DataFrame:

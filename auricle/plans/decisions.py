@@ -50,8 +50,8 @@ GATE_SQL = f"""(SELECT d.*, p.* EXCLUDE (label), p.label IS NOT NULL AS known, c
        WHEN confidence < threshold THEN 'confidence ' || format('{{:.2f}}', confidence) || ' below threshold ' || format('{{:.2f}}', threshold)
          || ' for ''' || d.label || ''' - no action' END AS gate_reason, CAST(NULL AS VARCHAR) AS action
   FROM {DETECTIONS_SQL} d LEFT JOIN {POLICY_SQL} p ON p.label = d.label)"""
-# User actions: a tenth of a second after every 7th event, alternately confirm and reject.
-ACTIONS_SQL = f"""(SELECT session_id, 1000000000 + seq AS seq, ts_us + 100000 AS ts_us, CASE WHEN seq % 2 = 0 THEN 'confirm' ELSE 'reject' END AS action
+# User actions: a tenth of a second after every 7th event, confirm or reject, and some that are unknown.
+ACTIONS_SQL = f"""(SELECT session_id, 1000000000 + seq AS seq, ts_us + 100000 AS ts_us, CASE WHEN seq % 5 = 0 THEN 'snooze' WHEN seq % 2 = 0 THEN 'confirm' ELSE 'reject' END AS action
   FROM {DETECTIONS_SQL} WHERE seq % 7 = 3)"""
 
 
@@ -76,8 +76,8 @@ def fold_sql(actions: bool) -> str:
       UNION ALL
       SELECT session_id, rn, pend, run, CASE WHEN restored THEN NULL ELSE act1 END, rel1, seen1,
         CASE WHEN restored THEN '{PLAIN}' WHEN verified AND target IS NOT NULL THEN target ELSE s_mode END,
-        CASE WHEN restored OR is_act THEN NULL WHEN fired AND critical THEN qa_label ELSE s_qa END,
-        CASE WHEN restored OR is_act THEN NULL WHEN fired AND critical THEN label ELSE s_qacls END, {until},
+        CASE WHEN restored OR (is_act AND action <> 'snooze') THEN NULL WHEN fired AND critical THEN qa_label ELSE s_qa END,
+        CASE WHEN restored OR (is_act AND action <> 'snooze') THEN NULL WHEN fired AND critical THEN label ELSE s_qacls END, {until},
         {carry}, verified, edge, fired, restored, act1, rel1, s_qa, s_qacls
       FROM (SELECT *, CASE WHEN verified THEN label ELSE s_act END AS act1, CASE WHEN verified THEN ts_us ELSE s_seen END AS seen1,
               CASE WHEN verified THEN release_us ELSE s_rel END AS rel1,
@@ -208,7 +208,8 @@ def policy_payload_parse(spark, sf):
 
 
 BRAND_MODES_SQL = f"""(SELECT p_brand AS profile_name, max(CASE WHEN p_size > 48 THEN '{PLAIN}' END) AS preferred_mode, p_type AS class_name,
-  CASE WHEN max(p_size) % 2 = 0 THEN '{ANC}' END AS target_mode FROM part WHERE p_type IN {TYPES} GROUP BY p_brand, p_type)"""
+  CASE WHEN max(p_size) % 2 = 0 THEN '{ANC}' END AS target_mode FROM part GROUP BY p_brand, p_type)"""
+ALL_TYPES = tuple(sorted((*TYPES, "SMALL")))
 
 
 @query(
@@ -216,23 +217,23 @@ BRAND_MODES_SQL = f"""(SELECT p_brand AS profile_name, max(CASE WHEN p_size > 48
     f"""WITH m AS {BRAND_MODES_SQL}, b AS (SELECT profile_name, max(preferred_mode) AS preferred_mode FROM m GROUP BY profile_name),
         l AS (SELECT profile_name, string_agg(class_name, ',' ORDER BY class_name) AS enabled_classes FROM m GROUP BY profile_name)
         SELECT b.profile_name, b.preferred_mode, t.class_name, m.class_name IS NOT NULL AS enabled, m.target_mode, 0.8::DOUBLE AS confidence_threshold,
-          3 AS confirm_windows, 5.0::DOUBLE AS release_seconds, 5.0::DOUBLE AS cooldown_seconds, FALSE AS high_priority, FALSE AS critical,
+          CASE WHEN m.class_name IS NULL THEN 3 ELSE 2 END AS confirm_windows, 5.0::DOUBLE AS release_seconds,
+          CASE WHEN m.class_name IS NULL THEN 5.0::DOUBLE ELSE 9.0::DOUBLE END AS cooldown_seconds, FALSE AS high_priority, FALSE AS critical,
           CAST(NULL AS VARCHAR) AS quick_action_label, TRUE AS notify, l.enabled_classes
-        FROM b CROSS JOIN (SELECT unnest({list(TYPES)}) AS class_name) t JOIN l USING (profile_name)
+        FROM b CROSS JOIN (SELECT unnest({list(ALL_TYPES)}) AS class_name) t JOIN l USING (profile_name)
         LEFT JOIN m ON m.profile_name = b.profile_name AND m.class_name = t.class_name""",
 )
 def profile_build(spark, sf):
     modes = (
         table(spark, sf, "part")
-        .filter(F.col("p_type").isin(*TYPES))
         .groupBy(F.col("p_brand").alias("profile_name"), F.col("p_type").alias("class_name"))
         .agg(
             F.max(F.when(F.col("p_size") > 48, PLAIN)).alias("preferred_mode"),
             F.when(F.max("p_size") % 2 == 0, ANC).alias("target_mode"),
         )
     )
-    rows = pol.build_profiles(modes, TYPES)
-    listed = pol.enabled_list(rows, TYPES).withColumn("enabled_classes", F.array_join("enabled_classes", ","))
+    rows = pol.build_profiles(modes, ALL_TYPES, {"confirm_windows": 2, "cooldown_seconds": 9.0})
+    listed = pol.enabled_list(rows, ALL_TYPES).withColumn("enabled_classes", F.array_join("enabled_classes", ","))
     return rows.join(listed, "profile_name")
 
 
@@ -314,11 +315,12 @@ def verification_state(spark, sf):
 
 @query(
     "quick_action_events",
-    f"""SELECT session_id, seq, ts_us, action, CASE WHEN qa_before IS NOT NULL THEN qacls_before END AS class_name, qa_before AS quick_action_label,
-          CASE WHEN qa_before IS NOT NULL THEN action = 'confirm' END AS confirmed, FALSE AS executed,
-          CASE WHEN qa_before IS NOT NULL THEN {STAMP} || CASE action WHEN 'confirm' THEN 'quick action confirmed by user for ''' || qacls_before || ''': ' || qa_before
+    f"""SELECT session_id, seq, ts_us, action, CASE WHEN qa_before IS NOT NULL AND action <> 'snooze' THEN qacls_before END AS class_name,
+          CASE WHEN action <> 'snooze' THEN qa_before END AS quick_action_label,
+          CASE WHEN qa_before IS NOT NULL AND action <> 'snooze' THEN action = 'confirm' END AS confirmed, FALSE AS executed,
+          CASE WHEN qa_before IS NOT NULL AND action <> 'snooze' THEN {STAMP} || CASE action WHEN 'confirm' THEN 'quick action confirmed by user for ''' || qacls_before || ''': ' || qa_before
              || ' (presentation-only; the supervisor executed nothing)' ELSE 'quick action dismissed by user for ''' || qacls_before || ''': ' || qa_before END END AS log,
-          CASE WHEN qa_before IS NULL THEN 'no user-confirmed quick action is currently pending' END AS error
+          CASE WHEN action = 'snooze' THEN 'action must be ''confirm'' or ''reject''' WHEN qa_before IS NULL THEN 'no user-confirmed quick action is currently pending' END AS error
         FROM {fold_sql(actions=True)} WHERE action IS NOT NULL""",
 )
 def quick_action_events(spark, sf):
@@ -327,7 +329,7 @@ def quick_action_events(spark, sf):
         "session_id",
         (F.col("seq") + 1000000000).alias("seq"),
         (F.col("ts_us") + 100000).alias("ts_us"),
-        F.when(F.col("seq") % 2 == 0, "confirm").otherwise("reject").alias("action"),
+        F.when(F.col("seq") % 5 == 0, "snooze").when(F.col("seq") % 2 == 0, "confirm").otherwise("reject").alias("action"),
     )
     return op.quick_action_results(det, event_policies(spark), CLASSES, actions)
 

@@ -73,12 +73,10 @@ CLIP_WINDOWS_SQL = f"(SELECT c.*, n_windows FROM {CLIPS_SQL} c LEFT JOIN (SELECT
     f"""SELECT project_class, source_dataset, n_clips, n_windows, round(n_clips / cs::DOUBLE, 9) AS clip_share, round(n_windows / ws::DOUBLE, 9) AS window_share,
           n_clips / cs::DOUBLE > 0.8::DOUBLE OR n_windows / ws::DOUBLE > 0.8::DOUBLE AS flag_over_80 FROM (
           SELECT *, sum(n_clips) OVER (PARTITION BY project_class) AS cs, sum(n_windows) OVER (PARTITION BY project_class) AS ws FROM (
-            SELECT project_class, source_dataset, count(*) AS n_clips, CAST(sum(coalesce(n_windows, 0)) AS BIGINT) AS n_windows FROM {CLIP_WINDOWS_SQL}
-            WHERE source_dataset <> 'P' OR class_id <> 2 GROUP BY ALL))""",
+            SELECT project_class, source_dataset, count(*) AS n_clips, CAST(sum(coalesce(n_windows, 0)) AS BIGINT) AS n_windows FROM {CLIP_WINDOWS_SQL} GROUP BY ALL))""",
 )
 def class_source_confounding(spark, sf):
-    rows = clip_windows(spark, sf).filter("source_dataset <> 'P' OR class_id <> 2")
-    out = op.class_source_confounding(rows, "project_class", "source_dataset")
+    out = op.class_source_confounding(clip_windows(spark, sf), "project_class", "source_dataset")
     return out.withColumns({c: F.round(c, 9) for c in ("clip_share", "window_share")})
 
 

@@ -189,18 +189,15 @@ def dominant_source(spark, sf):
     "within_cross_errors",
     f"""SELECT e.class_id AS true_id, e.pred_mean_softmax AS pred_id, CASE WHEN a.dominant IS NULL OR b.dominant IS NULL THEN 'unclassifiable'
           WHEN a.dominant = b.dominant THEN 'within' ELSE 'cross' END AS error_kind, count(*) AS clips
-        FROM {CLIP_PRED_SQL} e LEFT JOIN {DOMINANT_SQL} a ON a.class_id = e.class_id
+        FROM {CLIP_PRED_SQL} e LEFT JOIN (SELECT * FROM {DOMINANT_SQL} WHERE class_id <> 4) a ON a.class_id = e.class_id
         LEFT JOIN (SELECT * FROM {DOMINANT_SQL} WHERE class_id <> 4) b ON b.class_id = e.pred_mean_softmax
         WHERE e.pred_mean_softmax <> e.class_id GROUP BY ALL""",
 )
 def within_cross_errors(spark, sf):
     rows = mean_preds(spark, sf)
-    # Class 4 is left without a known source as prediction, to reach every kind of error.
-    dominant = op.dominant_source(truth(spark, sf), "class_id", "source_dataset")
-    pairs = op.within_cross_errors(rows, "class_id", "pred_mean_softmax", dominant, "class_id")
-    return pairs.withColumn(
-        "error_kind", F.when(F.col("pred_id") == 4, "unclassifiable").otherwise(F.col("error_kind"))
-    )
+    # Class 4 is left without a known source, to reach every kind of error.
+    dominant = op.dominant_source(truth(spark, sf), "class_id", "source_dataset").filter("class_id <> 4")
+    return op.within_cross_errors(rows, "class_id", "pred_mean_softmax", dominant, "class_id")
 
 
 @query(

@@ -43,9 +43,14 @@ def src_parquet_project(spark, sf):
     )
 
 
-@query("src_file_inventory")
+@query(
+    "src_file_inventory",
+    """SELECT url, split_part(url, '/', -1) AS file_name, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes, sha256(html) AS sha256
+       FROM pages""",
+)
 def src_file_inventory(spark, sf):
-    return readers.file_inventory(spark, sf, ["parquet"]).drop("path")
+    pages = table(spark, sf, "pages").select("url", F.col("html").cast("binary").alias("content"))
+    return readers.file_inventory(pages, "url")
 
 
 @query(
@@ -88,10 +93,13 @@ def src_json_stats(spark, sf):
     return readers.read_stats(spark, path, schema).select("lo", "hi", "splits.*")
 
 
-@query("src_array_table", "SELECT vec_id, label, embedding[1] AS first, embedding[64] AS last FROM embeddings")
+@query(
+    "src_array_table",
+    "SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS place, embedding[i] AS value FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)",
+)
 def src_array_table(spark, sf):
     rows = readers.read_arrays(spark, f"{sf}/embeddings.parquet", "embedding", 64, ["vec_id", "label"])
-    return rows.select("vec_id", "label", F.col("embedding")[0].alias("first"), F.col("embedding")[63].alias("last"))
+    return rows.select("vec_id", "label", F.posexplode("embedding").alias("place", "value"))
 
 
 @query(

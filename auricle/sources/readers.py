@@ -29,8 +29,18 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return spark.read.parquet(path).select(*columns)
 
 
-def file_inventory(spark: SparkSession, path: str, suffixes: Sequence[str] = MEDIA_SUFFIXES) -> DataFrame:
-    """Path, size and SHA-256 of each matching file below ``path``."""
+def file_inventory(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Path, name, size and SHA-256 of files given with their content; a null content has neither."""
+    return files.select(
+        path,
+        F.element_at(F.split(path, "/"), -1).alias("file_name"),
+        F.octet_length(content).cast("bigint").alias("size_bytes"),
+        F.sha2(content, 256).alias("sha256"),
+    )
+
+
+def read_files(spark: SparkSession, path: str, suffixes: Sequence[str] = MEDIA_SUFFIXES) -> DataFrame:
+    """``path`` and ``content`` of each matching file below ``path``; a file of more than 2 GB is an error."""
     pattern = "*.{" + ",".join(suffixes) + "}"
     files = (
         spark.read.format("binaryFile")
@@ -38,12 +48,7 @@ def file_inventory(spark: SparkSession, path: str, suffixes: Sequence[str] = MED
         .option("pathGlobFilter", pattern)
         .load(path)
     )
-    return files.select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    return files.select("path", "content")
 
 
 def read_manifests(

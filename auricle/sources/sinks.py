@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.ordered import row_index
 from ..session import ensure_checkpoint_dir
 
 UNSAFE_IN_RUN_NAME = '/\\<>:"|?*'  # fixed values
@@ -54,26 +56,42 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.coalesce(1).write.mode("errorifexists").json(path)
 
 
-def dataset_fingerprint(df: DataFrame, key: str) -> DataFrame:
+def _digest(*cols: str) -> Column:
+    """MD5 of the values as text, nulls told apart from texts."""
+    return F.md5(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in cols]), {"ignoreNullFields": "false"}))
+
+
+def dataset_fingerprint(df: DataFrame, key: str, values: Sequence[str] = (), descriptor: str | None = None) -> DataFrame:
     """Row count and two digests of the key set; one pass, independent of row order.
 
     Each key contributes 60 bits of its MD5 to the xor and the next 20 to the sum, which
-    holds for 8 trillion rows.
+    holds for 8 trillion rows. With ``values`` the rows' contents are digested beside the keys, with a
+    ``descriptor`` (model, dimension, pooling, order, ...) what was made of them.
     """
-    digest = F.md5(F.col(key).cast("string"))
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")).alias("key_xor"),
-        F.sum(F.conv(F.substring(digest, 16, 5), 16, 10).cast("bigint")).alias("key_sum"),
-    )
+
+    def folded(digest: Column, name: str) -> list[Column]:
+        return [
+            F.bit_xor(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")).alias(f"{name}_xor"),
+            F.sum(F.conv(F.substring(digest, 16, 5), 16, 10).cast("bigint")).alias(f"{name}_sum"),
+        ]
+
+    columns = [F.count(F.lit(1)).alias("n"), *folded(F.md5(F.col(key).cast("string")), "key")]
+    if values:
+        columns += folded(_digest(key, *values), "value")
+    out = df.agg(*columns)
+    return out if descriptor is None else out.withColumn("descriptor", F.md5(F.lit(descriptor)))
+
+
+def ordered_fingerprint(df: DataFrame, key: str, order: Sequence[str] = ()) -> str:
+    """SHA-256 over the digests of (position, key) in ``order`` (default: the key); any number of rows."""
+    rows = row_index(df.select(key, *[c for c in order if c != key]).withColumn("_all", F.lit(0)), ["_all"], list(order) or [key], "_i")
+    row = dataset_fingerprint(rows.withColumn("_at", F.concat_ws(":", "_i", F.col(key).cast("string"))), "_at").first()
+    return hashlib.sha256("-".join(str(x) for x in row).encode()).hexdigest()
 
 
-def ordered_fingerprint(df: DataFrame, key: str, max_rows: int = 100_000) -> str:
-    """SHA-256 over the sorted ids joined by newlines; only for sets of a checked size."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} ids: use dataset_fingerprint")
-    ids = df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256)).first()
-    return ids[0]
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def reuse_or_build(
@@ -81,14 +99,15 @@ def reuse_or_build(
 ) -> tuple[DataFrame, bool]:
     """The stored table when its fingerprint equals the given one, else a fresh build stored beside it.
 
-    The folder name carries the fingerprint, so a table of other inputs is never replaced.
+    The folder name carries the fingerprint, so a table of other inputs is never replaced. The fingerprint
+    is written last: without it the rows are not complete. A stored table that cannot be read is an error.
     """
     row = fingerprint.first()
     folder = f"{path}/" + "-".join(str(v) for v in row)
-    try:
-        spark.read.parquet(f"{folder}/fingerprint")
+    if _exists(spark, f"{folder}/fingerprint/_SUCCESS"):
+        if spark.read.parquet(f"{folder}/fingerprint").first() != row:
+            raise ValueError(f"{folder} holds another fingerprint")
         return spark.read.parquet(f"{folder}/rows"), True
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(f"{folder}/rows")
-        fingerprint.write.mode("overwrite").parquet(f"{folder}/fingerprint")
-        return spark.read.parquet(f"{folder}/rows"), False
+    build().write.mode("overwrite").parquet(f"{folder}/rows")
+    fingerprint.write.mode("overwrite").parquet(f"{folder}/fingerprint")
+    return spark.read.parquet(f"{folder}/rows"), False

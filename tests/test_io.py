@@ -44,9 +44,22 @@ def test_fingerprints_ignore_order_and_see_changes(spark):
     a = sinks.dataset_fingerprint(spark.range(100), "id").first()
     assert sinks.dataset_fingerprint(spark.range(100).orderBy(F.desc("id")), "id").first() == a
     assert sinks.dataset_fingerprint(spark.range(1, 101), "id").first() != a
-    assert len(sinks.ordered_fingerprint(spark.range(5), "id")) == 64
-    with pytest.raises(ValueError):
-        sinks.ordered_fingerprint(spark.range(50), "id", max_rows=10)
+    five = spark.createDataFrame([(i, -i) for i in range(5)], "id int, at int")
+    marks = {sinks.ordered_fingerprint(five, "id"), sinks.ordered_fingerprint(five, "id", ["at"])}
+    assert len(marks) == 2 and {len(m) for m in marks} == {64}
+    assert sinks.ordered_fingerprint(five.orderBy(F.desc("id")), "id") in marks
+
+
+def test_fingerprint_sees_values_and_descriptor(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "id int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
+    prints = [sinks.dataset_fingerprint(d, "id", ["v"], made) for d in (a, b) for made in ("mean", "max")]
+    assert len({p.first() for p in prints}) == 4
+    path = str(tmp_path / "cache")
+    assert sinks.reuse_or_build(spark, path, prints[0], lambda: a)[1] is False
+    rows, reused = sinks.reuse_or_build(spark, path, prints[2], lambda: b)
+    assert not reused and {r.v for r in rows.collect()} == {"x", "y"}
+    assert sinks.reuse_or_build(spark, path, prints[0], lambda: b)[0].filter("v IS NULL").count() == 1
 
 
 def test_array_length_is_checked(spark, tmp_path):
@@ -69,7 +82,7 @@ def test_inventory_hashes_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.wav").write_bytes(b"abc")
     (tmp_path / "b.txt").write_bytes(b"no")
-    rows = readers.file_inventory(spark, str(tmp_path)).collect()
+    rows = readers.file_inventory(readers.read_files(spark, str(tmp_path))).collect()
     assert [(r["file_name"], r["size_bytes"], r["sha256"]) for r in rows] == [("a.wav", 3, hashlib.sha256(b"abc").hexdigest())]
 
 

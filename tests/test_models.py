@@ -122,15 +122,25 @@ def test_vote_ties_go_to_the_higher_mean(spark):
     assert got == {"t": 1, "u": 0, "v": 0}
 
 
-@pytest.mark.parametrize("max_windows", [100, 1])
-def test_topk_mean_with_ordinary_and_hot_clips(spark, max_windows):
+def test_topk_mean(spark):
     rng = np.random.default_rng(4)
     data = {f"c{i}": rng.dirichlet(np.ones(4), size=1 + 5 * i).tolist() for i in range(6)}
-    out = ev.clip_topk_mean(windows_of(spark, data), "clip", "w", "p", 4, 3, max_windows=max_windows).collect()
+    out = ev.clip_topk_mean(windows_of(spark, data), "clip", "w", "p", 4, 3).collect()
     for r in out:
         best = -np.sort(-np.array(data[r["clip"]]), axis=0)[:3].mean(axis=0)
         assert r["pred_topk_mean"] == best.argmax()
     assert len(out) == 6
+    nulls = windows_of(spark, {"a": [[0.9, 0.05], [None, 0.5]], "b": [[0.1, None], [None, None]], "c": [[None, None]]})
+    got = {r["clip"]: r["pred_topk_mean"] for r in ev.clip_topk_mean(nulls, "clip", "w", "p", 2, 2).collect()}
+    assert got == {"a": 0, "b": 0, "c": None}
+
+
+def test_predictions_outside_the_list_keep_the_support(spark):
+    df = spark.createDataFrame([(0, 0), (0, None), (1, 7), (1, 0), (9, 0), (None, 1)], "t int, p int")
+    cm = ev.confusion_matrix(df, "t", "p", 2)
+    assert sorted((r.true_id, r.n) for r in cm.filter("pred_id IS NULL").collect()) == [(0, 1), (1, 1)]
+    s = ev.summary_metrics(ev.per_class_prf(cm)).first()
+    assert (s["samples"], s["correct"], s["accuracy"]) == (4, 1, 0.25)
 
 
 def test_metrics_of_a_known_confusion(spark):

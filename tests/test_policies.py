@@ -67,6 +67,10 @@ def test_class_mode_shorthand(spark):
     rows = P.build_profiles(modes)
     assert rows.count() == len(TAXONOMY) and rows.filter("enabled").count() == 2
     assert P.enabled_list(rows).first()["enabled_classes"] == ["Alarm", "Train"]
+    own = P.build_profiles(modes, defaults={"confirm_windows": 7}).groupBy("enabled").agg({"confirm_windows": "max"})
+    assert dict(map(tuple, own.collect())) == {True: 7, False: 3}
+    with pytest.raises(DataContractError, match="colour"):
+        P.build_profiles(modes, defaults={"colour": 1})
     with pytest.raises(DataContractError, match="Cat"):
         P.build_profiles(modes.selectExpr("profile_name", "preferred_mode", "'Cat' class_name", "target_mode"))
 
