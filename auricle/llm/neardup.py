@@ -11,12 +11,13 @@ its prefix. Lists of one member take a place in the prefix but cost nothing, so
 
 Only components are asked for, so not every pair of a list is made:
 
-1. In each list every member is paired with one hub, a member picked by hash. The two best pairs of each class
-   are confirmed on the full sets; their components label the classes.
-2. Lists whose members now have one label need nothing more. In the others all pairs of different labels are
-   compared by signature, in blocks of a bounded number of members, and the agreeing ones are confirmed.
-
-A large group of near copies is one component after step 1, so step 2 is left with lists that mix texts.
+1. In each list every member is paired with one hub, the member whose lists are longest in all: in a group of
+   near copies that is the text nearest to the others. The two best pairs of each class are confirmed on the full
+   sets; their components label the classes.
+2. Lists whose members now have one label need nothing more. In the others, members of different labels meet in
+   blocks of a bounded number of members, with their sets. Pairs that agree in ``matches`` coordinates, and in
+   enough bytes of a longer sketch, are confirmed there, the most alike first, unless confirmed links have
+   joined them already. A block emits a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -36,12 +37,18 @@ BLOCK_MEMBERS = 1024
 
 @dataclass(frozen=True)
 class Rules:
-    """``matches`` of ``coordinates`` must agree: at a similarity of 0.75, 12 of 32 miss 2 pairs in a million."""
+    """``matches`` of ``coordinates`` must agree: at a similarity of 0.75, 12 of 32 miss 2 pairs in a million.
+
+    ``sketch`` more min-hashes are kept as bytes and only narrow what is confirmed: ``sketch_matches`` of them
+    and the coordinates must agree; 72 of 128 miss 1 pair in a million.
+    """
 
     words: int = 5
     percent: int = 75
     coordinates: int = 32
     matches: int = 12
+    sketch: int = 96
+    sketch_matches: int = 72
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -72,17 +79,38 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(values: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndarray:
-    factors, salts = _odd(7, coordinates), _odd(11, coordinates)
+    factors, salts, last = _odd(7, coordinates), _odd(11, coordinates), _odd(13, coordinates)
     out = np.zeros((len(starts), coordinates), np.uint32)
     for k in range(coordinates):
-        x = (values ^ salts[k]) * factors[k]
+        x = values ^ salts[k]
+        x *= factors[k]
         x ^= x >> np.uint64(29)
-        x *= factors[-1 - k]
+        x *= last[k]
         out[:, k] = np.minimum.reduceat(x, starts) >> np.uint64(32)
     return out
 
 
-SIGNED_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
+SIGNED_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, sketch binary"
+
+
+def _digests(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each set, zero for an empty one."""
+    out = np.zeros(len(bounds) - 1, np.uint64), np.zeros(len(bounds) - 1, np.uint64)
+    solid = np.flatnonzero(np.diff(bounds))
+    if len(solid):
+        starts = bounds[:-1][solid]
+        out[0][solid] = np.add.reduceat(mix(values + np.uint64(1)), starts)
+        out[1][solid] = np.bitwise_xor.reduceat(mix(values + np.uint64(2)), starts)
+    return out
+
+
+def _rows(matrix: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """Rows of a matrix as binary values at the places ``at`` of ``n``, null elsewhere."""
+    out: list[bytes | None] = [None] * n
+    raw, width = matrix.tobytes(), matrix.shape[1] * matrix.itemsize
+    for j, i in enumerate(at.tolist()):
+        out[i] = raw[j * width : (j + 1) * width]
+    return pa.array(out, pa.binary())
 
 
 def sign(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -94,26 +122,22 @@ def sign(docs: DataFrame, rules: Rules) -> DataFrame:
                 values, bounds = shingle_sets(part.column("text"), rules.words)
                 sizes = np.diff(bounds)
                 n = len(sizes)
-                d1, d2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                signatures: list[bytes | None] = [None] * n
+                d1, d2 = _digests(values, bounds)
                 solid = np.flatnonzero(sizes)
+                found = np.zeros((0, rules.coordinates + rules.sketch), np.uint32)
                 if len(solid):
                     starts = bounds[:-1][solid]
-                    d1[solid] = np.add.reduceat(mix(values + np.uint64(1)), starts)
-                    d2[solid] = np.bitwise_xor.reduceat(mix(values + np.uint64(2)), starts)
-                    width = 4 * rules.coordinates
-                    raw = _signatures(values, starts, rules.coordinates).tobytes()
-                    for j, i in enumerate(solid.tolist()):
-                        signatures[i] = raw[j * width : (j + 1) * width]
+                    found = _signatures(values, starts, rules.coordinates + rules.sketch)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(sizes, pa.int64()),
                         pa.array(signed(d1)),
                         pa.array(signed(d2)),
-                        pa.array(signatures, pa.binary()),
+                        _rows(np.ascontiguousarray(found[:, : rules.coordinates]), solid, n),
+                        _rows((found & 0xFF).astype(np.uint8), solid, n),
                     ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "signature"],
+                    names=["doc_id", "n_shingles", "d1", "d2", "signature", "sketch"],
                 )
 
     return docs.mapInArrow(run, SIGNED_SCHEMA)
@@ -139,31 +163,35 @@ def _posted(classes: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, rules: Rules) -> DataFrame:
-    """The lists that a class is merged in: ``rep, c, v, m`` (members), ``hub``, and all its ``cs`` as bits.
+    """The lists that a class is merged in: ``rep, c, v`` and all its ``cs`` as bits; ``hub`` of each list.
 
     Dropped are classes with fewer than ``matches`` shared lists, and their ``matches - 1`` longest lists.
     """
     posted = _posted(classes, rules)
-    pick = F.struct(F.xxhash64("rep", "c").alias("h"), "rep")
-    lists = posted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("m"), F.min(pick)["rep"].alias("hub"))
-    shared = posted.join(lists.where("m > 1"), ["c", "v"])
-    ordered = F.array_sort(F.collect_list(F.struct("m", "c", "v", "hub")))
-    mine = shared.groupBy("rep").agg(ordered.alias("lists")).where(F.size("lists") >= rules.matches)
+    lists = posted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = posted.join(lists, ["c", "v"])
+    ordered = F.array_sort(F.collect_list(F.struct("m", "c", "v")))
+    mine = shared.groupBy("rep").agg(ordered.alias("lists"), F.sum("m").alias("near"))
+    mine = mine.where(F.size("lists") >= rules.matches)
     short = F.slice("lists", 1, F.size("lists") - (rules.matches - 1))
+    one = F.lit(1).cast("long")
     bits = F.aggregate(
-        short, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["c"]))
+        short, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", one, x["c"]))
     )
-    return mine.select("rep", bits.alias("cs"), F.explode(short).alias("l")).select("rep", "cs", "l.*")
+    rows = mine.select("rep", "near", bits.alias("cs"), F.explode(short).alias("l")).select("rep", "near", "cs", "l.c", "l.v")
+    rows = materialize(rows, "short")
+    hubs = rows.groupBy("c", "v").agg(F.max(F.struct("near", (-F.col("rep")).alias("r")))["r"].alias("r"))
+    return rows.join(hubs, ["c", "v"]).select("rep", "cs", "c", "v", (-F.col("r")).alias("hub"))
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds ``matched``, the agreeing coordinates of classes ``a`` and ``b``."""
-    left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
+    """Adds ``matched``, the agreeing bytes of the sketches of classes ``a`` and ``b``."""
+    left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
+    right = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("sa", "sb"))
             same = (x == y).reshape(len(batch), -1).sum(axis=1) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(same.astype(np.int32))], names=["a", "b", "matched"]
@@ -172,6 +200,17 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, matched int")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets are similar enough."""
 
@@ -180,13 +219,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
             keep = np.zeros(len(batch), bool)
             for i, (x, y) in enumerate(zip(batch.column("xa"), batch.column("xb"))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < rules.percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                keep[i] = 100 * both >= rules.percent * (len(x) + len(y) - both)
+                keep[i] = _similar(x, y, rules.percent)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"]
             )
@@ -206,16 +239,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, rules: Rules) -> DataFrame:
                 raw = values.tobytes()
                 places = (8 * bounds).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), pa.array([raw[i:j] for i, j in zip(places, places[1:])], pa.binary())],
-                    names=["rep", "shingles"],
+                    [
+                        part.column("rep"),
+                        *(pa.array(signed(d)) for d in _digests(values, bounds)),
+                        pa.array([raw[i:j] for i, j in zip(places, places[1:])], pa.binary()),
+                    ],
+                    names=["rep", "d1", "d2", "shingles"],
                 )
 
     texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-    return texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(run, "rep long, shingles binary")
+    return texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(run, "rep long, d1 long, d2 long, shingles binary")
 
 
-def _mixed_pairs(short: DataFrame, labels: DataFrame, classes: DataFrame, rules: Rules) -> DataFrame:
-    """Pairs of differently labelled classes that agree in ``matches`` coordinates, each from one list only."""
+def _mixed_links(short: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
+    """Links between differently labelled classes that share a list: a spanning forest from each block."""
     member = short.join(labels, short["rep"] == labels["node"], "left").select(
         "rep", "cs", "c", "v", F.coalesce("component", "rep").alias("label")
     )
@@ -225,58 +262,72 @@ def _mixed_pairs(short: DataFrame, labels: DataFrame, classes: DataFrame, rules:
         .where("lo <> hi")
         .select("c", "v", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("g"))
     )
-    rows = member.join(mixed, ["c", "v"]).join(classes.select("rep", "n_shingles", "signature"), "rep")
     own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("g")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     rows = (
-        rows.withColumn("own", own)
+        member.join(mixed, ["c", "v"])
+        .withColumn("own", own)
         .withColumn("other", other)
         .withColumn("lo", F.least("own", "other"))
         .withColumn("hi", F.greatest("own", "other"))
+        .drop("g", "other")
     )
+    whole = classes.select("rep", "signature", "sketch", "d1", "d2").join(sets, ["rep", "d1", "d2"]).drop("d1", "d2")
     keys = ["c", "v", "lo", "hi"]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    width = rules.coordinates
+    dealt = rows.join(whole, "rep").repartition(*keys).sortWithinPartitions(*keys)
+    width, total = rules.coordinates, rules.coordinates + rules.sketch
     bit = np.int64(1) << np.arange(width, dtype=np.int64)
 
-    def pairs_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rep, label, size, cs, own = (
-            group.column(k).to_numpy() for k in ("rep", "label", "n_shingles", "cs", "own")
-        )
+    def links_of(group: pa.Table) -> list[tuple[int, int]]:
+        rep, label, cs, own = (group.column(k).to_numpy() for k in ("rep", "label", "cs", "own"))
         c, lo, hi = (group.column(k)[0].as_py() for k in ("c", "lo", "hi"))
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(rep), width)
-        left = np.flatnonzero(own == lo)
-        right = np.flatnonzero(own == hi)
-        out_a, out_b = [], []
+        n = len(rep)
+        signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(n, width)
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(n, total)
+        shingles = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        pairs = []
         for i in left.tolist():
             js = right[rep[right] > rep[i]] if lo == hi else right
-            js = js[(label[js] != label[i])]
-            js = js[100 * np.minimum(size[js], size[i]) >= rules.percent * np.maximum(size[js], size[i])]
-            if not len(js):
-                continue
-            same = sig[js] == sig[i]
-            enough = same.sum(axis=1) >= rules.matches
-            js, same = js[enough], same[enough]
+            js = js[label[js] != label[i]]
+            alike = (sketch[js] == sketch[i]).sum(axis=1)
+            enough = alike >= rules.sketch_matches
+            js, alike = js[enough], alike[enough]
             if not len(js):
                 continue
+            same = signature[js] == signature[i]
             common = same @ bit & cs[js] & cs[i]
-            js = js[common & -common == bit[c]]
-            out_a.append(np.full(len(js), rep[i]))
-            out_b.append(rep[js])
-        none = np.zeros(0, np.int64)
-        return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+            enough = (same.sum(axis=1) >= rules.matches) & (common & -common == bit[c])
+            pairs.extend(zip((-alike[enough]).tolist(), [i] * int(enough.sum()), js[enough].tolist()))
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = above.get(y, y)
+                x = y
+            return x
+
+        links = []
+        for _, i, j in sorted(pairs):
+            x, y = top(int(label[i])), top(int(label[j]))
+            if x != y and _similar(shingles[i], shingles[j], rules.percent):
+                above[max(x, y)] = min(x, y)
+                links.append((int(rep[i]), int(rep[j])))
+        return links
 
     def run(batches):
         held = None
 
         def emit(groups):
-            got = [pairs_of(g) for g in groups]
-            a, b = (np.concatenate([x[k] for x in got] or [np.zeros(0, np.int64)]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found = [link for g in groups for link in links_of(g)]
+            a, b = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            if not len(held):
+                continue
             marks = np.stack([held.column(k).to_numpy() for k in keys])
             cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
             if not len(cuts):
@@ -287,7 +338,7 @@ def _mixed_pairs(short: DataFrame, labels: DataFrame, classes: DataFrame, rules:
         if held is not None and len(held):
             yield emit([held])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -307,14 +358,17 @@ def near_duplicates(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     sized = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     digest = ["d1", "d2", "n_shingles"]
     classes = materialize(
-        sized.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes"
+        sized.groupBy(*digest).agg(
+            F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
+        ),
+        "classes",
     )
     # An id with several texts may stand for several classes: one node with several sets.
     short = materialize(_prefixes(classes, rules), "prefixes")
     sets = materialize(_sets(narrow, short.select("rep").distinct(), rules).distinct(), "sets")
 
     star = short.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    star = _agreeing(star, classes).where(F.col("matched") >= rules.matches)
+    star = _agreeing(star, classes).where(F.col("matched") >= rules.sketch_matches)
     best = star.groupBy("a").agg(
         F.max(F.struct("matched", "b")).alias("x"), F.max(F.struct("matched", (-F.col("b")).alias("b"))).alias("y")
     )
@@ -322,8 +376,7 @@ def near_duplicates(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     first = materialize(_confirmed(best, sets, rules), "first")
     labels = materialize(components(first), "labels")
 
-    more = _confirmed(_mixed_pairs(short, labels, classes, rules), sets, rules)
-    more = materialize(more, "more")
+    more = materialize(_mixed_links(short, labels, classes, sets, rules), "more")
     joined = components(first.unionByName(more)) if not more.isEmpty() else labels
     members = classes.select(*digest, "rep").join(joined, F.col("rep") == F.col("node"), "left")
     members = members.select(*digest, F.coalesce("component", "rep").alias("component_id"))
@@ -336,3 +389,19 @@ def near_duplicates(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def keep_first(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay: one for each component, with all columns.
+
+    Of rows that repeat the id that stays, the smallest row does. Rows without an id stay.
+    """
+    judged = materialize(near_duplicates(docs, rules), "judged")
+    gone = judged.where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    again = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = materialize(again.where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
