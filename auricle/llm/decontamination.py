@@ -185,5 +185,7 @@ def report(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = No
 def remove(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     keys = find(docs, benchmark, settings).select("_key").distinct()
-    keyed = docs.withColumn("_key", document_key())
-    return keyed.join(materialize(keys, "keys"), "_key", "left_anti").drop("_key").select(*docs.columns)
+    own = [f"own{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(document_key().alias("_key"), *[F.col(c).alias(o) for c, o in zip(docs.columns, own)])
+    left = keyed.join(materialize(keys, "keys"), "_key", "left_anti")
+    return left.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own)])

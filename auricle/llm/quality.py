@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fenced, materialize
 
 BLANK = " \t\n\x0b\x0c\r"  # fixed values
 GAPS = r"[\x20\x09-\x0D]+"
@@ -285,11 +285,23 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds the counts, ``base_failed`` and ``kept`` to ``docs`` (column ``text``); its other columns stay,
-    those of the same names are replaced."""
+    """Adds the counts, ``base_failed`` and ``kept`` to ``docs`` (column ``text``); columns of the same names are
+    replaced, others stay if they do not begin with an underscore.
+
+    A null text is empty: no words, so the base rules reject it. Repeated rows are judged each, ids are not
+    read, an empty table gives no rows.
+    """
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     names = [*counts, *(m for m in MEASURES if m not in counts), "base_failed"]
     rows = measures(docs.drop(*names, "kept")).withColumn("base_failed", base)
     rows = rows.withColumn("kept", ~F.col("base_failed") & verdict(rules))
     return rows.drop(*(m for m in MEASURES if m not in counts))
+
+
+def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns. Each text is measured once."""
+    own = [f"_own{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(c).alias(o) for c, o in zip(docs.columns, own)], F.col("text").alias("text"))
+    kept = fenced(judge(rows, rules), F.col("kept"))
+    return kept.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own)])

@@ -205,24 +205,35 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     return Model(s.bits, buckets, *train(rows, features, target, len(buckets), s))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default ``doc_id``) of every row with ``score``, 0 to 1, from the whole text.
+def _scored(batches, model: Model):
+    """(slice, its scores) of batches with a ``text``."""
+    wanted = _wanted(model.buckets, model.bits)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found, buckets = present(part.column("text"), model.bits, wanted)
+            yield part, model.scores(found, np.searchsorted(model.buckets, buckets), len(part))
 
-    Null and empty texts get the score of no terms. Nothing but the text is read by the model.
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id`` and ``score``, 0 to 1, of every row, from the whole text and nothing else.
+
+    Null and empty texts get the score of no terms. Null ids stay null, repeated rows are scored each, other
+    columns are ignored; an empty table gives no rows.
     """
-    keep = keep or ["doc_id"]
-    carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*carried, F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        wanted = _wanted(model.buckets, model.bits)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found, buckets = present(part.column("text"), model.bits, wanted)
-                value = model.scores(found, np.searchsorted(model.buckets, buckets), len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(value)], names=[*part.schema.names[:-1], "score"]
-                )
+        for part, value in _scored(batches, model):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(value)], names=["doc_id", "score"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+
+    def run(batches):
+        for part, value in _scored(batches, model):
+            yield part.filter(pa.array(value < threshold))
 
-    schema = rows.drop("text").schema.add("score", "double")
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return docs.mapInArrow(run, docs.schema)
