@@ -113,12 +113,15 @@ class Scaler:
         return df.withColumn(name, scaled(F.col(values)))
 
 
-def logistic_head(train: DataFrame, features: str, label: str, c: float = 1.0, max_iter: int = 100, weight: str | None = None):
+def logistic_head(
+    train: DataFrame, features: str, label: str, c: float = 1.0, max_iter: int = 100, weight: str | None = None,
+    tol: float = 1e-6,
+):
     """Fit a multinomial logistic head with penalty 1 / (2 C) on already scaled features."""
     n = train.count()
     model = LogisticRegression(
         featuresCol="_x", labelCol=label, family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, probabilityCol="_p", predictionCol="_pred", rawPredictionCol="_raw",
+        standardization=False, maxIter=max_iter, tol=tol, probabilityCol="_p", predictionCol="_pred", rawPredictionCol="_raw",
         **({"weightCol": weight} if weight else {}),
     )
     return model.fit(train.withColumn("_x", array_to_vector(F.col(features))))
@@ -141,7 +144,18 @@ def predict(model, df: DataFrame, features: str, name: str = "probabilities") ->
     )
 
 
-def binary_stack_outputs(df: DataFrame, features: str, label: str, n_classes: int, max_iter: int = 20) -> DataFrame:
+def stack_head(train: DataFrame, stack: str, label: str, n_classes: int, second: str = "logistic", **settings):
+    """The second stage over the outputs of the first: a logistic head, or a perceptron with ``hidden`` units."""
+    if second == "logistic":
+        return logistic_head(train, stack, label, **settings)
+    if second == "mlp":
+        return mlp_head(train, stack, label, dim=n_classes, n_classes=n_classes, **settings)
+    raise DataContractError(f"unknown second stage {second!r}")
+
+
+def binary_stack_outputs(
+    df: DataFrame, features: str, label: str, n_classes: int, max_iter: int = 20, tol: float = 1e-6
+) -> DataFrame:
     """One balanced one-against-rest model per class fitted on train; their outputs as one array per row.
 
     ``df`` carries split. The loop is over classes (a handful), each fit being a Spark job.
@@ -160,7 +174,7 @@ def binary_stack_outputs(df: DataFrame, features: str, label: str, n_classes: in
         weight = F.when(F.col(label) == k, total / (2.0 * pos)).otherwise(total / (2.0 * max(total - pos, 1)))
         train = rows.filter("split = 'train'").withColumns({"_y": target, "_w": weight})
         model = LogisticRegression(
-            featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter, standardization=False,
+            featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter, tol=tol, standardization=False,
             regParam=1.0 / total, probabilityCol=f"_p{k}", predictionCol=f"_c{k}", rawPredictionCol=f"_r{k}",
         ).fit(train)
         out = model.transform(out).drop(f"_c{k}", f"_r{k}")
