@@ -281,6 +281,48 @@ def seeded_splits(clips: DataFrame, group: str, cls: str, seeds: Sequence[int],
     return assign_groups(spread, group, ["seed", "stratum"], ratios)
 
 
+def _ks_of_columns(
+    members: DataFrame, cls: str, metrics: Sequence[str], seeds: Sequence[int], ref: str, others: Sequence[str]
+) -> DataFrame:
+    """``ks_statistic`` per (seed, class, metric), where the splits of seed i are in the column ``_s{i}``.
+
+    Distinct values are ordered once; the running counts of all seeds stand beside each other.
+    """
+    sides = (ref, *others)
+    n = range(len(seeds))
+    long = unpivot(members, [cls, *[f"_s{i}" for i in n]], metrics)
+    counts = (
+        long.filter(F.col("value").isNotNull())
+        .groupBy(cls, "metric", "value")
+        .agg(*[F.count_if(F.col(f"_s{i}") == side).alias(f"k{i}_{side}") for i in n for side in sides])
+    )
+    cum = cumulative_counts(counts, [cls, "metric"], "value", [f"k{i}_{side}" for i in n for side in sides])
+
+    def ecdf(i: int, side: str) -> Column:
+        return F.try_divide(
+            F.col(f"cum_k{i}_{side}").cast("double"), F.col(f"cum_k{i}_{side}_total").cast("double")
+        )
+
+    wide = cum.groupBy(cls, "metric").agg(
+        *[F.max(f"cum_k{i}_{side}_total").alias(f"n{i}_{side}") for i in n for side in sides],
+        *[F.max(F.abs(ecdf(i, ref) - ecdf(i, o))).alias(f"d{i}_{o}") for i in n for o in others],
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("seed"),
+                F.lit(o).alias("other"),
+                F.col(f"n{i}_{ref}").alias("n_ref"),
+                F.col(f"n{i}_{o}").alias("n_other"),
+                F.col(f"d{i}_{o}").alias("d"),
+            )
+            for i, s in enumerate(seeds)
+            for o in others
+        ]
+    )
+    return wide.select(cls, "metric", F.explode(rows).alias("_r")).select(cls, "metric", "_r.*")
+
+
 def best_seed_split(
     clips: DataFrame,
     group: str,
@@ -294,16 +336,23 @@ def best_seed_split(
 
     Best: fewest proportion breaches, then fewest KS crossings, then lowest energy, then lowest seed.
     """
-    placed = seeded_splits(clips, group, cls, seeds, ratios)
-    members = clips.join(placed.select(group, "seed", "split"), group)
-    long = unpivot(members, ["seed", cls, "split"], list(thresholds))
-    ks = ks_statistic(long, ["seed", cls, "metric"], "value")
+    # The splits of all seeds are columns of one row per clip: rows are counted and ordered once, not once a seed.
+    placed = cut_lineage(seeded_splits(clips, group, cls, seeds, ratios))
+    sides = list(ratios)
+    wide = placed.groupBy(group).agg(*[F.max(F.when(F.col("seed") == s, F.col("split"))).alias(f"_s{i}") for i, s in enumerate(seeds)])
+    members = clips.join(wide, group).select(cls, *thresholds, *[f"_s{i}" for i in range(len(seeds))])
+    ks = _ks_of_columns(members, cls, list(thresholds), seeds, sides[0], sides[1:])
     energy = ks_crossings_energy(ks, thresholds, ["seed"])
-    shares = members.groupBy("seed", cls).agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("split") == s).alias(s) for s in ratios]
+    shares = members.groupBy(cls).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(f"_s{i}") == side).alias(f"_{i}_{side}") for i in range(len(seeds)) for side in sides],
     )
-    worst = F.greatest(*[F.abs(F.col(s) / F.col("n") - F.lit(t)) for s, t in ratios.items()])
-    breaches = shares.groupBy("seed").agg(F.count_if(worst > tolerance).alias("breaches"))
+
+    def worst(i: int) -> Column:
+        return F.greatest(*[F.abs(F.col(f"_{i}_{side}") / F.col("n") - F.lit(t)) for side, t in ratios.items()])
+
+    off = F.array(*[F.struct(F.lit(s).alias("seed"), (worst(i) > tolerance).alias("off")) for i, s in enumerate(seeds)])
+    breaches = shares.select(F.explode(off).alias("b")).groupBy("b.seed").agg(F.count_if("b.off").alias("breaches"))
     scores = breaches.join(energy, "seed", "left").na.fill({"crossings": 0, "energy": 0.0})
     best = scores.agg(F.min(F.struct("breaches", "crossings", F.round("energy", 9), "seed"))["seed"].alias("s")).scalar()
     return scores, placed.filter(F.col("seed") == best)

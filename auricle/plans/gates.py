@@ -13,6 +13,7 @@ from ..operators import splits as split_op
 from ..operators import windows as win
 from ..sources import sinks
 from .fixtures import CLIPS_SQL, DOCUMENTS_SQL, clips, documents, hash_split, hash_split_sql, signals
+from ..session import cut_lineage
 from .registry import query
 from .splits import GROUPS_SQL, LONG_SQL, SPLIT_CLIPS_SQL, ks_sql, split_clips
 from .windows import BOUNDS_SQL, FLOOR_DB, FRAMES_SQL, LEVEL_SQL, SPLIT_SIGNALS_SQL, frames, split_signals
@@ -243,11 +244,11 @@ ARTIFACT_SQL = f"""(WITH w AS (SELECT split, count(*) AS raw, count(*) FILTER (W
   UNION ALL SELECT 'truncation_spread', 'all', max(value) - min(value), 'ok' FROM t)"""
 
 
-def artifact_rows(spark, sf):
+def artifact_rows(spark, sf, rows=None):
     counts = win.window_counts(
         frames(spark, sf).withColumn("split", hash_split("clip_id")), "frame", ["split"], FLOOR_DB
     )
-    ledger = split_clips(spark, sf).filter("cents >= 5000000").select(
+    ledger = (rows or split_clips(spark, sf)).filter("cents >= 5000000").select(
         "split", F.lit(0.0).alias("pad_fraction"), (F.col("cents") > 40000000).alias("truncated")
     )
     return op.artifact_levels(counts, scaled_features(spark, sf), "samples", ledger)
@@ -268,10 +269,10 @@ def gate_artifact_levels(spark, sf):
               UNION ALL SELECT CASE WHEN ok THEN 'ok' ELSE 'fail' END FROM {PROPORTIONS_SQL})""",
 )
 def gate_verdict(spark, sf):
-    rows = split_clips(spark, sf)
+    rows = cut_lineage(split_clips(spark, sf))  # the split is made once, all parts read it
     parts = [
         op.distribution_ks(rows, "project_class", KS_LIMITS).select("level"),
-        artifact_rows(spark, sf).select("level"),
+        artifact_rows(spark, sf, rows).select("level"),
         op.proportions(rows, "project_class").select(F.when(F.col("ok"), "ok").otherwise("fail").alias("level")),
     ]
     return op.verdict(reduce(DataFrame.unionByName, parts))

@@ -114,13 +114,8 @@ def inventory_reconcile(spark, sf):
 def duplicate_content_groups(spark, sf):
     docs = documents(spark, sf)
     groups = op.duplicate_content_groups(docs, "sha256", "source_dataset", "project_class")
-    members = op.duplicate_members(docs.select("sha256", "source_file"), groups, "sha256").drop("n")
-    return members.join(
-        groups.select(
-            "sha256", "n", F.array_join("sources", "|").alias("sources"), F.array_join("classes", "|").alias("classes")
-        ),
-        "sha256",
-    )
+    named = groups.withColumns({c: F.array_join(c, "|") for c in ("sources", "classes")})
+    return op.duplicate_members(docs.select("sha256", "source_file"), named, "sha256")
 
 
 @query(
@@ -139,18 +134,20 @@ def cross_source_class_duplicates(spark, sf):
 @query(
     "source_group_stats",
     f"""SELECT group_key, count(*) AS n_clips, count(DISTINCT project_class) AS n_classes,
-          array_to_string(list_sort(list_distinct(list(project_class))), ';') AS classes, count(*) > 1 AS multi_clip,
+          array_to_string(list_sort(list_distinct(list(project_class))), ';') AS classes,
+          array_to_string(list_sort(list_distinct(list(source_dataset))), ';') AS datasets, count(*) > 1 AS multi_clip,
           count(DISTINCT project_class) > 1 AS cross_class
         FROM {CLIPS_SQL} GROUP BY group_key ORDER BY n_clips DESC, group_key LIMIT 25""",
 )
 def source_group_stats(spark, sf):
-    stats = op.source_group_stats(clips(spark, sf), "group_key", "project_class")
+    stats = op.source_group_stats(clips(spark, sf), "group_key", "project_class", "source_dataset")
     return (
         stats.select(
             "group_key",
             "n_clips",
             "n_classes",
             F.array_join("classes", ";").alias("classes"),
+            F.array_join("datasets", ";").alias("datasets"),
             (F.col("n_clips") > 1).alias("multi_clip"),
             (F.col("n_classes") > 1).alias("cross_class"),
         )
