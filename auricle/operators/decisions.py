@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import fixed, fixed_micros
+from ..params import ACTION_LOGS, ACTION_NOTES, NONE_PENDING, UNKNOWN_ACTION, USER_ACTIONS
 from ..session import cut_lineage
 from .checks import DataContractError
 from .ordered import MAX_ROWS_PER_KEY, OrderedRows, Running, join_keys, per_key, row_index, small_side, split_hot
 
 ORDER = ("ts_us", "seq")
-USER_ACTIONS = ("confirm", "reject")
 POLICY_COLUMNS = (
     "enabled target_mode confidence_threshold confirm_windows release_seconds cooldown_seconds "
     "high_priority critical quick_action_label notify"
@@ -352,19 +352,14 @@ def quick_action_results(
     rows = _scan(detections, policies, classes, keys, actions, max_rows).filter("action IS NOT NULL")
     text = F.col("_qa_before.text")
     valid = F.col("action").isin(*USER_ACTIONS)
-    error = F.when(~valid, "action must be 'confirm' or 'reject'").when(
-        text.isNull(), "no user-confirmed quick action is currently pending"
-    )
+    error = F.when(~valid, UNKNOWN_ACTION).when(text.isNull(), NONE_PENDING)
     confirmed = F.col("action") == "confirm"
     cls = F.col("_qa_before.class_name")
     stamp = F.concat(F.lit("t="), fixed_micros("ts_us", 2), F.lit(" "))
-    log = F.when(
-        confirmed,
-        F.concat(
-            F.lit("quick action confirmed by user for '"), cls, F.lit("': "), text,
-            F.lit(" (presentation-only; the supervisor executed nothing)"),
-        ),
-    ).otherwise(F.concat(F.lit("quick action dismissed by user for '"), cls, F.lit("': "), text))
+    log = F.when(confirmed, F.format_string(ACTION_LOGS["confirm"], cls, text)).otherwise(
+        F.format_string(ACTION_LOGS["reject"], cls, text)
+    )
+    note = F.when(confirmed, ACTION_NOTES["confirm"]).otherwise(ACTION_NOTES["reject"])
     ok = error.isNull()
     return rows.select(
         *keys,
@@ -375,6 +370,7 @@ def quick_action_results(
         F.when(ok, text).alias("quick_action_label"),
         F.when(ok, confirmed).alias("confirmed"),
         F.lit(False).alias("executed"),
+        F.when(ok, note).alias("note"),
         F.when(ok, F.concat(stamp, log)).alias("log"),
         error.alias("error"),
     )

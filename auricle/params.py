@@ -108,3 +108,16 @@ EARBUD_RESPONSES = {
     "Train": "Max ANC Mode",
     "Vehicle_Horn": "Alert Mode",
 }
+
+# What a user's answer to a quick action is told and logs.
+USER_ACTIONS = ("confirm", "reject")
+ACTION_NOTES = {
+    "confirm": "presentation-only UI shortcut prototype; no action was executed and no emergency capability is claimed",
+    "reject": "dismissed; no action was executed",
+}
+ACTION_LOGS = {
+    "confirm": "quick action confirmed by user for '%s': %s (presentation-only; the supervisor executed nothing)",
+    "reject": "quick action dismissed by user for '%s': %s",
+}
+UNKNOWN_ACTION = "action must be 'confirm' or 'reject'"
+NONE_PENDING = "no user-confirmed quick action is currently pending"

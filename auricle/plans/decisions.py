@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions as op
 from ..operators import policies as pol
 from ..operators import service
-from ..params import AUDIO_MODES
+from ..params import ACTION_NOTES, AUDIO_MODES
 from ..streaming.windows import live_sliding_windows as sliding
 from .fixtures import CLIPS_SQL, DETECTIONS_SQL, clips, detections, hash_split, hash_split_sql
 from .registry import query, table
@@ -318,6 +318,7 @@ def verification_state(spark, sf):
     f"""SELECT session_id, seq, ts_us, action, CASE WHEN qa_before IS NOT NULL AND action <> 'snooze' THEN qacls_before END AS class_name,
           CASE WHEN action <> 'snooze' THEN qa_before END AS quick_action_label,
           CASE WHEN qa_before IS NOT NULL AND action <> 'snooze' THEN action = 'confirm' END AS confirmed, FALSE AS executed,
+          CASE WHEN qa_before IS NOT NULL AND action <> 'snooze' THEN CASE action WHEN 'confirm' THEN '{ACTION_NOTES["confirm"]}' ELSE '{ACTION_NOTES["reject"]}' END END AS note,
           CASE WHEN qa_before IS NOT NULL AND action <> 'snooze' THEN {STAMP} || CASE action WHEN 'confirm' THEN 'quick action confirmed by user for ''' || qacls_before || ''': ' || qa_before
              || ' (presentation-only; the supervisor executed nothing)' ELSE 'quick action dismissed by user for ''' || qacls_before || ''': ' || qa_before END END AS log,
           CASE WHEN action = 'snooze' THEN 'action must be ''confirm'' or ''reject''' WHEN qa_before IS NULL THEN 'no user-confirmed quick action is currently pending' END AS error

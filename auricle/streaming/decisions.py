@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.decisions import attach_policy, gate, gate_reason
-from .transition import SessionState, advance
+from .transition import SessionState, advance, answer
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,13 +32,24 @@ _FIELDS = (
 )
 
 
-def output_schema(key_type: str) -> str:
-    return f"session_id {key_type}, seq bigint, ts_us bigint, {_FIELDS}, late boolean"
+_ACTION_FIELDS = (
+    "action string, class_name string, quick_action_label string, confirmed boolean, executed boolean, note string, "
+    "error string"
+)
+RESET = "reset"
+
+
+def output_schema(key_type: str, actions: bool = False) -> str:
+    more = f", {_ACTION_FIELDS}" if actions else ""
+    return f"session_id {key_type}, seq bigint, ts_us bigint, {_FIELDS}, late boolean{more}"
 
 
 class DecisionProcessor(StatefulProcessor):
     """State: the session as JSON, and the position of the last decided row."""
 
+    def __init__(self, actions: bool):
+        self._actions = actions
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType(
             [
@@ -55,22 +66,30 @@ class DecisionProcessor(StatefulProcessor):
         stored = self._state.get() if self._state.exists() else None
         state = SessionState(**json.loads(stored[0])) if stored else None
         last = (stored[1], stored[2]) if stored else None
-        names = [f.split()[0] for f in output_schema("x").split(", ")]
+        names = [f.split()[0] for f in output_schema("x", self._actions).split(", ")]
         out = []
         for row in batch.itertuples(index=False):
             at = (int(row.ts_us), int(row.seq))
-            base = dict.fromkeys(names) | {
-                "session_id": key[0],
-                "seq": at[1],
-                "ts_us": at[0],
+            late = last is not None and at <= last
+            place = {"session_id": key[0], "seq": at[1], "ts_us": at[0], "late": late}
+            asked = row.action if self._actions else None
+            if asked is not None:
+                base = dict.fromkeys(names) | place | {"action": asked, "executed": False}
+                if not late:
+                    fresh = state is None or asked == RESET
+                    state = SessionState(mode=row.preferred_mode) if fresh else state
+                    base.update({} if asked == RESET else answer(state, row))
+                    last = at
+                out.append(base)
+                continue
+            base = dict.fromkeys(names) | place | {
                 "detected_class": row.label,
                 "detected_confidence": 0.0 if row.confidence is None else row.confidence,
                 "trigger_enabled": bool(row.trigger_enabled),
                 "policy_target_mode": row.target_mode,
                 "preferred_mode": row.preferred_mode,
-                "late": last is not None and at <= last,
             }
-            if not base["late"]:
+            if not late:
                 state = state or SessionState(mode=row.preferred_mode)
                 base.update(advance(state, row))
                 last = at
@@ -86,14 +105,19 @@ class DecisionProcessor(StatefulProcessor):
 def decision_stream(detections: DataFrame, policies: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Decisions of a stream of (session_id, seq, ts_us, label, confidence).
 
+    With a column ``action`` the stream also carries what the user does, in the same order space: "confirm" and
+    "reject" answer the pending quick action, "reset" starts the session afresh (a new profile), anything else
+    is refused. Such a row returns the outcome of the action and no decision.
+
     The policy is joined and the gate applied before the keyed state, so the state holds
     nothing about policies.
     """
+    actions = "action" in detections.columns
     key_type = detections.schema["session_id"].dataType.simpleString()
     gated = gate(attach_policy(detections, policies), classes).withColumn("gate_reason", gate_reason(classes))
     return gated.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=DecisionProcessor(),
-        outputStructType=T.StructType.fromDDL(output_schema(key_type)),
+        statefulProcessor=DecisionProcessor(actions),
+        outputStructType=T.StructType.fromDDL(output_schema(key_type, actions)),
         outputMode="Append",
         timeMode="None",
     )

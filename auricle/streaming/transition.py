@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from ..params import ACTION_LOGS, ACTION_NOTES, NONE_PENDING, UNKNOWN_ACTION, USER_ACTIONS
+
 
 @dataclass
 class SessionState:
@@ -101,3 +103,20 @@ def _respond(state: SessionState, row, now: int, out: dict, reasons: list, lines
         out["quick_action"] = state.action
         lines.append(f"quick action presented (awaiting user confirmation): {state.action}")
     state.until[row.label] = now + round(row.cooldown_seconds * 1_000_000)
+
+
+def answer(state: SessionState, row) -> dict:
+    """Apply a user's answer to the pending quick action; a refused one changes nothing."""
+    if row.action not in USER_ACTIONS:
+        return {"error": UNKNOWN_ACTION}
+    if state.action is None:
+        return {"error": NONE_PENDING}
+    out = {
+        "class_name": state.action_class,
+        "quick_action_label": state.action,
+        "confirmed": row.action == "confirm",
+        "note": ACTION_NOTES[row.action],
+        "log": [f"t={_seconds(int(row.ts_us), 2)} {ACTION_LOGS[row.action] % (state.action_class, state.action)}"],
+    }
+    state.action = state.action_class = None
+    return out

@@ -41,6 +41,35 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert [r.asDict() for r in rows] == [r.asDict() for r in want]
 
 
+def test_user_actions_and_resets_in_the_stream(spark, sf, tmp_path):
+    """The stream with answers equals the batch; after a reset a session decides as a new one would."""
+    det, pol = detections(spark, sf), event_policies(spark)
+    shift = F.when(F.col("seq") % 5 == 0, "snooze").when(F.col("seq") % 2 == 0, "confirm").otherwise("reject")
+    acts = det.filter("seq % 3 = 1").select(
+        "session_id", (F.col("seq") + 10**9).alias("seq"), (F.col("ts_us") + 100_000).alias("ts_us"), shift.alias("action")
+    )
+    folder = str(tmp_path / "acted")
+    write_in_order(spark, det.unionByName(acts, allowMissingColumns=True), folder, 3)
+    stream = spark.readStream.schema(f"{SCHEMA}, action string").option("maxFilesPerTrigger", 1).parquet(folder)
+    got = run_stream(spark, decision_stream(stream, pol, CLASSES), tmp_path, "acted_out")
+    fields = ["session_id", "seq", "ts_us", "action", "class_name", "quick_action_label", "confirmed", "executed", "note", "error"]
+    want = D.quick_action_results(det, pol, CLASSES, acts)
+    rows = got.filter("action IS NOT NULL")
+    assert sorted(map(str, rows.select(fields).collect())) == sorted(map(str, want.select(fields).collect()))
+    logs = sorted(r.log[0] for r in rows.filter("log IS NOT NULL").collect())
+    assert logs == sorted(r.log for r in want.filter("log IS NOT NULL").collect()) and logs
+    decided = D.decide(det, pol, CLASSES, actions=acts)
+    mine = got.filter("action IS NULL").select(decided.columns)
+    assert sorted(map(str, mine.collect())) == sorted(map(str, decided.collect()))
+
+    folder = str(tmp_path / "reset")
+    first = [(1, 1, 10**6, "error", 0.9, None), (1, 2, 2 * 10**6, None, None, "reset"), (1, 3, 3 * 10**6, "error", 0.9, None)]
+    spark.createDataFrame(first, f"{SCHEMA}, action string").coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(f"{SCHEMA}, action string").parquet(folder)
+    rows = run_stream(spark, decision_stream(stream, pol, CLASSES), tmp_path, "reset_out").orderBy("seq").collect()
+    assert [r.quick_action for r in rows] == ["Call emergency contact", None, "Call emergency contact"]
+
+
 def test_late_rows_are_marked(spark, tmp_path):
     pol = event_policies(spark)
     folder = str(tmp_path / "late")
