@@ -71,7 +71,74 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_template_windows")
+def _words_sql(column: str) -> str:
+    """``decontamination.canonical_words`` as SQL. Patterns that look around are applied twice instead."""
+    d = decontamination
+    out = f"coalesce({column}, '')"
+    for _ in range(2):
+        out = f"regexp_replace({out}, '([\\p{{Ll}},;:] )(\\p{{Lu}}\\p{{L}}+)', '\\1{d.NAME}\\2', 'g')"
+    out = f"lower({out})"
+    for _ in range(2):
+        out = f"regexp_replace({out}, '([0-9])[.,:/]([0-9])', '\\1{d.INNER}\\2', 'g')"
+    out = f"regexp_replace({out}, '([0-9][0-9{d.INNER}]*)', ' {d.NUMBER}\\1 ', 'g')"
+    units = "|".join(sorted(d.UNITS, key=len, reverse=True))
+    out = (
+        f"regexp_replace({out}, '({d.NUMBER}[0-9{d.INNER}]+ +)({units})([^\\p{{L}}0-9]|$)', '\\1{d.UNIT}\\2\\3', 'g')"
+    )
+    return f"list_filter(string_split_regex({out}, '{d.BREAKS}'), lambda w: w <> '')"
+
+
+def _contaminated_sql() -> str:
+    d, s = decontamination, decontamination.Settings()
+    slot = f"substr(w, 1, 1) IN ('{d.NAME}', '{d.NUMBER}', '{d.UNIT}')"
+    template = f"lambda w: CASE WHEN {slot} THEN substr(w, 1, 1) ELSE w END"
+    cut = f"words[place + 1 : place + {s.window}]"
+    window = f"array_to_string(list_transform({cut}, {template}), ' ')"
+    return f"""
+    WITH items AS (
+        SELECT item_id AS item, {_words_sql("text")} AS words FROM benchmark WHERE item_id IS NOT NULL
+    ), firsts AS (
+        SELECT min(item) AS item, arg_min(words, (item, words)) AS words
+        FROM items GROUP BY array_to_string(list_transform(words, {template}), ' ')
+    ), placed AS (
+        SELECT item, words, unnest(range(0, len(words) - {s.window} + 1)) AS place FROM firsts
+    ), evidence AS (
+        SELECT item, place AS q, {window} AS win, {cut} AS vals FROM placed
+        WHERE len(list_filter({cut}, lambda w: NOT ({slot}))) >= {s.literals}
+    ), sizes AS (
+        SELECT item, count(DISTINCT win) AS size FROM evidence GROUP BY item
+    ), texts AS (
+        SELECT doc_id, {_words_sql("text")} AS words FROM documents
+    ), doc_places AS (
+        SELECT doc_id, words, unnest(range(0, len(words) - {s.window} + 1)) AS place FROM texts
+    ), met AS (
+        SELECT w.doc_id, e.item, e.win, e.q, w.place AS p, e.vals, w.found
+        FROM (SELECT doc_id, place, {window} AS win, {cut} AS found FROM doc_places) w JOIN evidence e USING (win)
+    ), covered AS (
+        SELECT doc_id, item, count(DISTINCT win) AS matched FROM met GROUP BY doc_id, item
+    ), slots AS (
+        SELECT doc_id, item, count(*) AS slots, count(*) FILTER (one) AS consistent FROM (
+            SELECT doc_id, item, p - q AS shift, w, min(found[j]) = max(found[j]) AS one
+            FROM (SELECT *, vals[j] AS w FROM (SELECT *, unnest(range(1, {s.window + 1})) AS j FROM met)) WHERE {slot}
+            GROUP BY doc_id, item, shift, w
+        ) GROUP BY doc_id, item
+    ), found AS (
+        SELECT c.doc_id, c.item, c.matched, z.size, c.matched / z.size::DOUBLE AS coverage,
+               coalesce(t.slots, 0) AS slots, coalesce(t.consistent, 0) AS consistent
+        FROM covered c JOIN sizes z USING (item) LEFT JOIN slots t ON t.doc_id = c.doc_id AND t.item = c.item
+        WHERE c.matched >= ceil(z.size * {s.coverage}::DOUBLE - 1e-9)
+          AND coalesce(t.consistent, 0) >= {s.agreement} * coalesce(t.slots, 0)
+    ), best AS (
+        SELECT doc_id, count(*) AS items, max((coverage, -item)) AS top FROM found GROUP BY doc_id
+    )
+    SELECT x.doc_id, b.items IS NOT NULL AS contaminated, coalesce(b.items, 0) AS items, f.item AS item_id,
+           f.matched AS matched_windows, f.size AS item_windows, f.coverage, f.slots, f.consistent AS consistent_slots
+    FROM documents x LEFT JOIN best b ON b.doc_id = x.doc_id
+    LEFT JOIN found f ON f.doc_id = x.doc_id AND (f.coverage, -f.item) = b.top
+    """
+
+
+@query("op3_template_windows", _contaminated_sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
