@@ -12,11 +12,15 @@ task. The helpers here keep the answer exact and the tasks bounded:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
 
@@ -242,10 +246,57 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def _running_sums(keys: Sequence[str], counts: Sequence[str]):
+    """Adds ``cum_<count>``: sums within the key, over the rows of one sorted partition in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, {}
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for k in keys:
+                codes = pd.factorize(batch.column(k).to_pandas())[0]
+                new[1:] |= codes[1:] != codes[:-1]
+            first = tuple(batch.column(k)[0].as_py() for k in keys)
+            new[0] = first != last
+            starts = np.flatnonzero(new)
+            row = np.cumsum(new) - 1  # the key's place among those that begin here; -1: it goes on
+            out = []
+            for c in counts:
+                sums = np.cumsum(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64))
+                before = np.append(np.concatenate([[0], sums])[starts], -carry.get(c, 0))  # the last entry is row -1
+                total = sums - before[row]
+                carry[c] = int(total[-1])
+                out.append(pa.array(total))
+            last = tuple(batch.column(k)[n - 1].as_py() for k in keys)
+            names = [*batch.schema.names, *[f"cum_{c}" for c in counts]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=names)
+
+    return run
+
+
 def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
-    """Running sums of pre-aggregated ``counts`` in value order, as ``cum_<count>``, and their totals."""
-    rows = OrderedRows.of(df, keys, [value], chunked=True)
-    return rows.running(**{f"cum_{c}": Running("sum", F.col(c), total=True) for c in counts}).result()
+    """Running sums of pre-aggregated ``counts`` in value order, as ``cum_<count>``, and their totals.
+
+    A sorted chunk is scanned where it lies: only one summary row per key and chunk is shuffled again.
+    """
+    rows = ordered_chunks(df, keys, [value])
+    sums = rows.groupBy(*keys, "_chunk").agg(*[F.sum(c).cast("long").alias(f"_t_{c}") for c in counts])
+    whole = Window.partitionBy(*keys)
+    carry = sums.select(
+        *keys,
+        "_chunk",
+        *[F.coalesce(F.sum(f"_t_{c}").over(_carry_window(keys)), F.lit(0)).alias(f"_c_{c}") for c in counts],
+        *[F.sum(f"_t_{c}").over(whole).alias(f"cum_{c}_total") for c in counts],
+    )
+    added = [StructField(f"cum_{c}", LongType()) for c in counts]
+    local = rows.mapInArrow(_running_sums(keys, counts), StructType([*rows.schema, *added]))
+    out = join_keys(local, small_side(cut_lineage(carry)), [*keys, "_chunk"])
+    return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_c_{c}") for c in counts}).drop(
+        "_chunk", "_pos", *[f"_c_{c}" for c in counts]
+    )
 
 
 def exact_quantiles(

@@ -29,7 +29,10 @@ def clean_waveform(channels: str, max_samples: int) -> Column:
 def check_long_enough(df: DataFrame, samples: str, window: int) -> None:
     """No clip may be shorter than one window."""
     require_zero(
-        df.agg(F.count_if(F.size(samples) < window).alias("clips_shorter_than_a_window")), "cleaned waveforms"
+        df.agg(
+            F.count_if(F.col(samples).isNull() | (F.size(samples) < window)).alias("clips_shorter_than_a_window")
+        ),
+        "cleaned waveforms",
     )
 
 
@@ -68,7 +71,10 @@ def window_counts(windows: DataFrame, frame: str, keys, floor_db: float = SILENT
     )
 
 
-def check_windows_left(counts: DataFrame) -> None:
+def check_windows_left(counts: DataFrame, clips: DataFrame | None = None, key: str | None = None) -> None:
+    """No clip may be without windows; with the table of ``clips``, those that gave no window row count too."""
+    if clips is not None:
+        counts = clips.select(key).distinct().join(counts, key, "left").fillna(0, ["windows"])
     require_zero(counts.agg(F.count_if(F.col("windows") == 0).alias("clips_without_windows")), "window energy filter")
 
 

@@ -60,6 +60,12 @@ def test_silent_windows_are_dropped_and_reported(spark):
     assert sorted(map(tuple, counts.collect())) == [(1, 2, 1, 1), (2, 2, 2, 0)]
     with pytest.raises(DataContractError, match="clips_without_windows=1"):
         op.check_windows_left(counts)
+    some = counts.filter("windows > 0")
+    op.check_windows_left(some, df.filter("id = 1"), "id")
+    with pytest.raises(DataContractError, match="clips_without_windows=1"):
+        op.check_windows_left(some, df, "id")
+    with pytest.raises(DataContractError, match="clips_shorter_than_a_window=1"):
+        op.check_long_enough(spark.createDataFrame([(1, None)], "id int, samples array<double>"), "samples", 4)
 
 
 def test_mono_is_the_mean_of_the_channels(spark):
