@@ -78,6 +78,9 @@ def check_windows_left(counts: DataFrame, clips: DataFrame | None = None, key: s
     require_zero(counts.agg(F.count_if(F.col("windows") == 0).alias("clips_without_windows")), "window energy filter")
 
 
+WINDOWS_AT_ONCE = 256
+
+
 def mel_matrix(sample_rate: int, n_fft: int, n_mels: int) -> np.ndarray:
     """Triangular mel bands (linear below 1 kHz, logarithmic above), each of unit area in Hz."""
     # The scale is linear (200/3 Hz per mel) up to 1 kHz, then log with 27 steps to 6.4 kHz.
@@ -102,22 +105,27 @@ def mel_power(frames: np.ndarray, bands: np.ndarray, n_fft: int, hop: int) -> np
     """(windows, samples) -> (windows, bands, sub-frames) mel power."""
     taper = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n_fft) / n_fft)
     sub = np.lib.stride_tricks.sliding_window_view(frames, n_fft, axis=1)[:, ::hop]
-    power = np.abs(np.fft.rfft(sub * taper, axis=2)) ** 2
-    return np.einsum("mb,wfb->wmf", bands, power)
+    spectrum = np.fft.rfft(sub * taper, axis=2)
+    power = spectrum.real**2 + spectrum.imag**2
+    return (power @ bands.T).swapaxes(1, 2)
 
 
 def mel_features(
     windows: DataFrame, frame: str, sample_rate: int, n_fft: int, hop: int, n_mels: int, name: str = "mel"
 ) -> DataFrame:
-    """Mel power per window, flattened row-major (band, sub-frame); Arrow batches, no shuffle."""
+    """Mel power per window, flattened row-major (band, sub-frame); Arrow batches, no shuffle.
+
+    Windows are transformed some hundred at a time, so that spectra of a batch are never all in memory.
+    """
     keep = [c for c in windows.columns if c != frame]
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = mel_matrix(sample_rate, n_fft, n_mels)
         for pdf in parts:
-            if len(pdf):
-                power = mel_power(np.stack(pdf[frame].to_numpy()).astype(np.float64), bands, n_fft, hop)
-                yield pdf[keep].assign(**{name: list(power.reshape(len(pdf), -1))})
+            for i in range(0, len(pdf), WINDOWS_AT_ONCE):
+                some = pdf.iloc[i : i + WINDOWS_AT_ONCE]
+                power = mel_power(np.stack(some[frame].to_numpy()).astype(np.float64), bands, n_fft, hop)
+                yield some[keep].assign(**{name: list(power.reshape(len(some), -1))})
 
     schema = ", ".join(f"{c} {windows.schema[c].dataType.simpleString()}" for c in keep)
     return windows.mapInPandas(batches, f"{schema}, {name} array<double>")
