@@ -175,7 +175,16 @@ def enabled_list(policies: DataFrame, classes: Sequence[str] = TAXONOMY) -> Data
 def parse_payloads(
     payloads: DataFrame, key: str, text: str, classes: Sequence[str] = TAXONOMY, modes: Sequence[str] = AUDIO_MODES
 ) -> tuple[DataFrame, DataFrame]:
-    """(typed policy rows of accepted payloads, problems of rejected ones) from JSON texts.
+    """(typed policy rows of accepted payloads, problems of rejected ones) of ``judge_payloads``, as rows."""
+    judged = judge_payloads(payloads, key, text, classes, modes)
+    rows = judged.select(key, F.explode("policies").alias("p")).select(key, "p.*")
+    return rows, judged.select(key, F.explode("problems").alias("problem"))
+
+
+def judge_payloads(
+    payloads: DataFrame, key: str, text: str, classes: Sequence[str] = TAXONOMY, modes: Sequence[str] = AUDIO_MODES
+) -> DataFrame:
+    """One row per JSON text: its ``problems``, and without any its typed ``policies``, one for each class.
 
     A payload is rejected for any unknown class or field, wrong type or broken policy rule.
     A class that is absent or null is disabled; blank texts are null. Everything is decided
@@ -248,7 +257,6 @@ def parse_payloads(
         "_problems",
         F.when(~is_object(F.col("_kind")), F.array(F.lit("payload is not an object"))).otherwise(F.concat(top, nested)),
     )
-    rejects = rows.select(key, F.explode("_problems").alias("problem"))
     listed = F.transform(
         F.array(*[F.lit(c) for c in classes]),
         lambda c: F.struct(
@@ -256,16 +264,16 @@ def parse_payloads(
             F.get(F.filter("_entries", lambda e: (e["class_name"] == c) & is_object(e["kind"])), F.lit(0)).alias("own"),
         ),
     )
-    accepted = rows.filter(F.size("_problems") == 0).select(
-        key,
-        F.when(no_name, "Custom").otherwise(F.col("_name")).alias("profile_name"),
-        F.col("_mode").alias("preferred_mode"),
-        F.explode(listed).alias("c"),
-    )
-    fields = [
-        F.coalesce(F.col(f"c.own.{n}"), F.lit(POLICY_DEFAULTS[n]).cast(t)).alias(n) for n, t in FIELDS.items()
-    ]
-    return accepted.select(key, "profile_name", "preferred_mode", "c.class_name", *fields), rejects
+    def policy(c: Column) -> Column:
+        return F.struct(
+            F.when(no_name, "Custom").otherwise(F.col("_name")).alias("profile_name"),
+            F.col("_mode").alias("preferred_mode"),
+            c["class_name"].alias("class_name"),
+            *[F.coalesce(c["own"][n], F.lit(POLICY_DEFAULTS[n]).cast(t)).alias(n) for n, t in FIELDS.items()],
+        )
+
+    policies = F.when(F.size("_problems") == 0, F.transform(listed, policy))
+    return rows.select(key, F.col("_problems").alias("problems"), policies.alias("policies"))
 
 
 def _typed(entry: Column, name: str, kind: str) -> Column:

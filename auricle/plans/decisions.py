@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions as op
 from ..operators import policies as pol
 from ..operators import service
-from ..params import ACTION_NOTES, AUDIO_MODES
+from ..params import ACTION_NOTES, AUDIO_MODES, TAXONOMY
 from ..streaming.windows import live_sliding_windows as sliding
 from .fixtures import CLIPS_SQL, DETECTIONS_SQL, clips, detections, hash_split, hash_split_sql
 from .registry import query, table
@@ -188,23 +188,25 @@ PAYLOAD = f"""CASE c_custkey % 37 WHEN 10 THEN '[1]' WHEN 11 THEN 'not json' WHE
              OR (f = 'confirm_windows' AND json_type(v, '$.confirm_windows') NOT IN ('UBIGINT', 'BIGINT'))
           UNION ALL SELECT c_custkey, cls || ': threshold_not_in_0_1' FROM k WHERE cls = 'Siren' AND json_type(v, '$.confidence_threshold') = 'UBIGINT'
           UNION ALL SELECT c_custkey, cls || ': confirm_windows_below_1' FROM k WHERE cls = 'Siren' AND v->>'$.confirm_windows' = '0'),
-        a AS (SELECT o.*, s.cls, CASE WHEN ps = 'OBJECT' THEN json_extract(j, '$.policies.' || s.cls) END AS v FROM o, (VALUES ('Siren'), ('Alarm')) AS s(cls)
+        a AS (SELECT o.*, s.cls, CASE WHEN ps = 'OBJECT' THEN json_extract(j, '$.policies.' || s.cls) END AS v FROM o, (SELECT unnest({list(TAXONOMY)}) AS cls) AS s
               WHERE c_custkey NOT IN (SELECT c_custkey FROM r))
         SELECT c_custkey, 'problem' AS kind, problem AS item, NULL AS detail FROM r
         UNION ALL SELECT c_custkey, 'policy', cls, concat_ws('|', coalesce(nullif(j->>'$.profile_name', ''), 'Custom'), nullif(trim(mode), ''),
-          coalesce(v->>'$.enabled', 'false'), coalesce(v->>'$.confidence_threshold', '0.8'), coalesce(v->>'$.confirm_windows', '3')) FROM a""",
+          coalesce(v->>'$.enabled', 'false'), coalesce(v->>'$.confidence_threshold', '0.8'), coalesce(v->>'$.confirm_windows', '3'), '5.0', '5.0', 'false', 'false', 'true') FROM a""",
 )
 def policy_payload_parse(spark, sf):
     payloads = table(spark, sf, "customer").select("c_custkey", F.expr(PAYLOAD).alias("payload"))
-    rows, rejects = pol.parse_payloads(payloads, "c_custkey", "payload")
-    detail = F.concat_ws("|", "profile_name", "preferred_mode", "enabled", "confidence_threshold", "confirm_windows")
-    return rejects.select(
-        "c_custkey", F.lit("problem").alias("kind"), F.col("problem").alias("item"), F.lit(None).cast("string").alias("detail")
-    ).unionByName(
-        rows.filter("class_name IN ('Siren', 'Alarm')").select(
-            "c_custkey", F.lit("policy").alias("kind"), F.col("class_name").alias("item"), detail.alias("detail")
-        )
+    judged = pol.judge_payloads(payloads, "c_custkey", "payload")
+    fields = ("profile_name", "preferred_mode", *op.POLICY_COLUMNS)
+
+    def row(kind, item, detail):
+        return F.struct(F.lit(kind).alias("kind"), item.alias("item"), detail.alias("detail"))
+
+    problems = F.transform("problems", lambda p: row("problem", p, F.lit(None).cast("string")))
+    policies = F.transform(
+        "policies", lambda p: row("policy", p["class_name"], F.concat_ws("|", *[p[f].cast("string") for f in fields]))
     )
+    return judged.select("c_custkey", F.explode(F.concat(problems, F.coalesce(policies, F.array()))).alias("r")).select("c_custkey", "r.*")
 
 
 BRAND_MODES_SQL = f"""(SELECT p_brand AS profile_name, max(CASE WHEN p_size > 48 THEN '{PLAIN}' END) AS preferred_mode, p_type AS class_name,
