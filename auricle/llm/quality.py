@@ -160,7 +160,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "line_words": share("n_words", "_n_lines"),
         }
     )
-    return rows.drop("_text", "_words", "_n", "_h", "_low", "_s", "_p", "_lines", "_n_lines", "_upper", "_marks", "_digits", "_same")
+    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
@@ -301,7 +301,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns. Each text is measured once."""
-    own = [f"_own{i}" for i in range(len(docs.columns))]
+    own = [f"own{i}" for i in range(len(docs.columns))]
     rows = docs.select(*[F.col(c).alias(o) for c, o in zip(docs.columns, own)], F.col("text").alias("text"))
     kept = fenced(judge(rows, rules), F.col("kept"))
     return kept.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own)])

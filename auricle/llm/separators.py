@@ -47,8 +47,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int) -> tuple[
                 out.write(flat.tobytes())
                 size += len(flat)
                 n = len(part)
+                places = pa.array(np.arange(ordinal, ordinal + n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n), pa.array(np.arange(ordinal, ordinal + n)), part.column("doc_id"), pa.nulls(n, pa.int64())],
+                    [pa.array([name] * n), places, part.column("doc_id"), pa.nulls(n, pa.int64())],
                     names=["path", "ordinal", "doc_id", "tokens"],
                 )
                 ordinal += n

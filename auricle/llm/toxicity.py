@@ -1,12 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its lower-cased words, their beginnings of 4 to 10 bytes and their runs of 6 bytes, hashed
-into ``2 ** bits`` buckets; a bucket is present or not. The machine scores ``w0 + sum w_i + sum over pairs <v_i, v_j>`` through a logistic
-link, so a pair of terms can weigh more, or less, than both alone.
+into ``2 ** bits`` buckets; a bucket is present or not. The machine scores ``w0 + sum w_i + sum over pairs
+<v_i, v_j>`` through a logistic link, so a pair of terms can weigh more, or less, than both alone.
 
 Fitting takes at most ``sample_rows`` labelled rows, chosen by the hash of their id. Their buckets are counted
 per label by Spark, and the ``features`` buckets that speak most for toxicity (log likelihood ratio of at least
-``least_gain``) carry weights; the others are zero. The model is a few arrays of fixed size. Scoring reads every whole text.
+``least_gain``) carry weights; the others are zero. The model is a few arrays of fixed size. Scoring reads every
+whole text.
 """
 
 from __future__ import annotations

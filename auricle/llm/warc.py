@@ -59,8 +59,9 @@ class Member:
 
 def _local_header(name: bytes, crc: int, size: int, wide: bool) -> bytes:
     extra = struct.pack("<HHQQ", 1, 16, size, size) if wide else b""
-    small = FULL32 if wide else size
-    return struct.pack("<4s5H3I2H", LOCAL, 45 if wide else 20, 0x800, 0, 0, 33, crc, small, small, len(name), len(extra)) + name + extra
+    small, version = (FULL32, 45) if wide else (size, 20)
+    head = struct.pack("<4s5H3I2H", LOCAL, version, 0x800, 0, 0, 33, crc, small, small, len(name), len(extra))
+    return head + name + extra
 
 
 class PackageWriter:
@@ -224,11 +225,12 @@ def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return again.groupBy("page_id").agg(F.max("refers_to").alias("refers_to"))
 
 
-def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES, zip64: bool = True) -> DataFrame:
+def write_packages(
+    pages: DataFrame, folder: str, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES, zip64: bool = True
+) -> DataFrame:
     """Write a record for each row of ``pages`` (``page_id, url, html``); one row (``path``) per package."""
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
-    )
+    types = {"page_id": "long", "url": "string", "html": "string"}
+    rows = pages.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
     marked = rows.join(decide(rows, least_bytes), "page_id", "left")
 
     def run(batches):
@@ -309,7 +311,10 @@ def _ranges(offsets: np.ndarray, sizes: np.ndarray, limit: int = 8_000_000) -> I
             first = i
 
 
-RECORDS = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
+RECORDS = (
+    "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, "
+    "payload binary"
+)
 
 
 def read_records(located: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:

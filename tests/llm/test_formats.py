@@ -8,7 +8,7 @@ import numpy as np
 import oracle
 import public_tokenizers
 import pytest
-from helpers import awkward, docs, empty, prose
+from helpers import awkward, empty
 
 from auricle.llm import chat, packing, separators, warc
 from auricle.llm.queries import ORACLES, QUERIES
