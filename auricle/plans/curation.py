@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import label_set, seeded_key
+from ..functions.columns import label_set
 from ..operators import curation as op
 from ..operators.ordered import exact_quantiles
 from .fixtures import CLIPS_SQL, DOCUMENTS_SQL, clips, documents
