@@ -273,7 +273,8 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, settings: Settings | N
     per_text = tree.tokens / ends["n"] if ends else 500
     blocks = max(1, int(np.ceil(texts.count() * per_text / s.block_tokens)))
     block = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int")
-    dealt = texts.withColumn("block", block).repartition(blocks, "block")
+    # Many blocks share a partition; in order of block, each Arrow batch asks for few blocks.
+    dealt = texts.withColumn("block", block).repartition("block").sortWithinPartitions("block")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         words = right.column("word").to_numpy().view(np.uint64)
