@@ -1,5 +1,6 @@
 """Curation rules on small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,19 @@ def test_signal_diagnostics(spark):
     assert r["crest_factor"] == pytest.approx(np.abs(x).max() / np.sqrt((x * x).mean()))
     assert out[2]["silence_ratio"] == 1.0 and out[2]["crest_factor"] is None
     assert out[3]["silence_ratio"] == 1.0 and out[3]["zcr"] == 0.0
+
+
+def test_signal_diagnostics_of_odd_signals(spark):
+    rng = np.random.default_rng(3)
+    signals = {1: [], 2: None, 3: [0.0] * 32, 4: [1.0, -1.0] * 16, 5: [0.5] * 3, 6: rng.normal(size=40).tolist()}
+    df = spark.createDataFrame(list(signals.items()), "id int, s array<double>")
+    got = {r.id: r for r in health.signal_diagnostics(df, "id", "s", 100, 16).collect()}
+    assert len(got) == 6 and [got[2][c] for c in ("dc_offset", "silence_ratio", "zcr", "spectral_centroid_hz", "crest_factor")] == [None] * 5
+    assert (got[1].dc_offset, got[1].silence_ratio, got[1].zcr, got[1].crest_factor) == (0.0, 1.0, 0.0, None)
+    assert (got[3].silence_ratio, got[3].crest_factor, got[3].spectral_centroid_hz) == (1.0, None, 0.0)
+    assert (got[4].zcr, got[4].silence_ratio, got[4].crest_factor) == (1.0, 0.0, 1.0)
+    assert (got[5].silence_ratio, got[5].zcr, got[5].dc_offset) == (1.0, 0.0, 0.5)
+    x = np.array(signals[6])
+    weights = np.abs(np.fft.rfft(x * np.hanning(40)))
+    assert got[6].spectral_centroid_hz == pytest.approx((weights * np.fft.rfftfreq(40, 0.01)).sum() / weights.sum())
+    assert got[6].crest_factor == pytest.approx(np.abs(x).max() / np.sqrt((x * x).mean()))
