@@ -398,7 +398,8 @@ def keep_first(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """
     judged = materialize(near_duplicates(docs, rules), "judged")
     gone = judged.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    # Texts and ids are shuffled at every size: the ids grow with the input, so they are no side to broadcast.
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     again = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     again = materialize(again.where("n > 1").select("doc_id"), "again")
     if again.isEmpty():
