@@ -1,24 +1,26 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Training counts words over all training texts, then grows contexts level by level. A context is a candidate when
-its share of the training tokens reaches ``context_share``; its successors with a share of ``next_share`` are
-told apart, the rest is one class. A candidate is retained when its next-symbol distribution diverges from that
-of its longest retained suffix by at least ``divergence`` nats. Both shares bound the tree: at most
-``1 / context_share`` contexts and ``1 / next_share`` successors a level, so it can be sent to every task, while
-what is counted grows with the corpus.
+Training counts words and runs of up to ``depth + 1`` words over all training texts, then grows contexts level by
+level. A context is a candidate from ``min_count`` occurrences on; its successors with ``min_count`` of them are told
+apart, the rest is one class. A candidate is retained when its next-symbol distribution diverges from that of its
+longest retained suffix by at least ``divergence`` nats. Nothing else prunes, so the tree grows with the corpus; a
+caller may ask for least shares of the training tokens besides (``context_share``, ``next_share``), by default none.
 
 A state's distribution gives its told-apart successors a discounted share and hands the rest down:
 ``P(c | s) = (n - discount) / n_s``, else ``weight(s) * P(c | suffix)``, with ``weight`` such that all symbols sum
 to one. The root is the smoothed word distribution ``(c + 1) / (N + V + 1)``, which also has room for one unknown
 word. Words are known by 64-bit hashes; the end of a text is a symbol, but no context crosses it.
 
-Word counts are far too many to send. For scoring, texts are dealt to blocks of about ``block_tokens`` tokens;
-each block asks once for each of its words, and the answers meet its texts again.
+Neither words nor contexts are sent to tasks: a run of words is known by one hash, be it a context or a context and
+its successor, and all levels are written tables by that hash. For scoring, texts are dealt to blocks of about
+``block_tokens`` tokens; each block asks once for each of its runs, and the answers meet its texts again. Runs that
+are counted or asked for travel packed, in buckets of the leading bits of their hash.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,14 @@ from .common import Words, materialize, mix, signed, slices
 _B = np.uint64(0xD1342543DE82EF95)
 END = mix(np.array([0x5EED], np.uint64))[0]
 GATHER_BYTES = 16_000_000
+BUCKET_RUNS = 2_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
     depth: int = 3
-    context_share: float = 2e-5
-    next_share: float = 2e-6
+    context_share: float = 0.0
+    next_share: float = 0.0
     min_count: int = 3
     discount: float = 0.5
     divergence: float = 0.02
@@ -58,13 +61,53 @@ class Level:
 
 @dataclass
 class Tree:
-    """``frequent``: sorted hashes of the words that can be told-apart successors, and their counts."""
+    """``grams``: for each length from 1 on a table of counted runs, ``gram, lower, word, n, p, told``: the hash of the
+    run, that of the run without its first word, its last word, and the probability of that after the others;
+    ``told`` where a retained state says so. ``contexts``: for each level ``context, parent, weight`` of the
+    candidates with successors; ``weight`` is null where one is not retained.
+
+    ``frequent``, ``counts`` and ``levels`` are the same tree in arrays, for one that fits the driver."""
 
     tokens: int
     words: int
-    frequent: np.ndarray
-    counts: np.ndarray
-    levels: list[Level] = field(default_factory=list)
+    least: int
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+
+    @cached_property
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        word, n = _columns(self.grams[0].where(F.col("n") >= self.least), "word", "n")
+        order = np.argsort(word.view(np.uint64))
+        return word.view(np.uint64)[order], n[order]
+
+    @property
+    def frequent(self) -> np.ndarray:
+        return self._frequent[0]
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self._frequent[1]
+
+    @cached_property
+    def levels(self) -> list[Level]:
+        out, effective = [], {0: (0, 0)}
+        for depth, (rows, states) in enumerate(zip(self.grams[1:], self.contexts), 1):
+            candidates = sorted((int(np.uint64(r.context % 2**64)), r.parent, r.weight) for r in states.collect())
+            here, kept = {}, []
+            for raw, parent, weight in candidates:
+                up = effective[parent % 2**64]
+                here[raw] = up if weight is None else (depth, len(kept))
+                if weight is not None:
+                    kept.append((raw, weight, *up))
+            effective = here
+            raw, weight, up_level, up_index = (np.array(c, t) for c, t in zip(
+                zip(*kept) if kept else [()] * 4, (np.uint64, float, np.int64, np.int64)
+            ))
+            context, word, p = _columns(rows.where("told"), "context", "word", "p")
+            code = np.searchsorted(raw, context.view(np.uint64)) << 32 | np.searchsorted(self.frequent, word.view(np.uint64))
+            order = np.argsort(code)
+            out.append(Level(raw, weight, up_level, up_index, code[order], p[order]))
+        return out
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1.0) / (self.tokens + self.words + 1.0)
@@ -90,20 +133,6 @@ class Tree:
         out[open_] *= root[open_]
         return out
 
-    def states(self, raws: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(level, index) of the longest retained suffix; ``raws[k]`` are context hashes of length k + 1."""
-        n = len(raws[0]) if raws else 0
-        level, index = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for depth in range(len(self.levels), 0, -1):
-            known, raw = self.levels[depth - 1].raw, raws[depth - 1]
-            if not len(known):
-                continue
-            open_ = np.flatnonzero(level == 0)
-            at = np.minimum(np.searchsorted(known, raw[open_]), len(known) - 1)
-            hit = known[at] == raw[open_]
-            level[open_[hit]], index[open_[hit]] = depth, at[hit]
-        return level, index
-
 
 class Sequences:
     """Symbols of a slice of texts, each text followed by the end, and the hashes of the contexts before them."""
@@ -151,28 +180,82 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _successors(texts: DataFrame, depth: int, contexts: np.ndarray, frequent: np.ndarray, least: int) -> DataFrame:
-    """Counts of (context index << 32 | word index) over the training texts, of at least ``least``."""
+def _bits(runs: float) -> int:
+    """Leading bits of a hash that make buckets of about ``BUCKET_RUNS``, 16 at least."""
+    return max(4, int(np.ceil(np.log2(max(1.0, runs / BUCKET_RUNS)))))
 
-    def run(batches):
+
+def _dealt(keys: np.ndarray, bits: int):
+    """(bucket, from, to) of rising keys."""
+    ends = np.searchsorted(keys, np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits))
+    ends = np.append(ends, len(keys))
+    starts = np.append(0, ends[:-1])
+    return [(b, int(starts[b]), int(ends[b])) for b in np.flatnonzero(ends > starts).tolist()]
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rising distinct keys, the place of one row of each, their sums)."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+    return ranked[first], order[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _runs(texts: DataFrame, longest: int, bits: int, least: int) -> DataFrame:
+    """``length, gram, context, word, n`` of the runs of 2 to ``longest`` symbols with at least ``least``
+    occurrences in the training texts."""
+
+    def parts(batches):
         for batch in batches:
             for big in slices(batch, "text", GATHER_BYTES):
-                codes = []
+                found = [[] for _ in range(longest - 1)]
                 for part in slices(big, "text"):
                     seq = Sequences(part.column("text"))
-                    raw = seq.contexts(depth)[-1]
-                    old = np.flatnonzero(seq.position >= depth)
-                    at = np.minimum(np.searchsorted(contexts, raw[old]), len(contexts) - 1)
-                    hit = contexts[at] == raw[old]
-                    old, at = old[hit], at[hit]
-                    word = np.minimum(np.searchsorted(frequent, seq.symbols[old]), len(frequent) - 1)
-                    known = frequent[word] == seq.symbols[old]
-                    codes.append(at[known] << 32 | word[known])
-                keys, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n)], names=["pair", "n"])
+                    for k, raw in enumerate(seq.contexts(longest - 1)):
+                        old = np.flatnonzero(seq.position > k)
+                        found[k].append((raw[old], seq.symbols[old]))
+                for k, pairs in enumerate(found):
+                    context, word = (np.concatenate(x) for x in zip(*pairs))
+                    keys, at, n = _sums((word + context) * _B, np.ones(len(word), np.int64))
+                    context, word = context[at], word[at]
+                    for bucket, i, j in _dealt(keys, bits):
+                        cut = [x[i:j].tobytes() for x in (context, word, n.astype(np.uint32))]
+                        yield pa.RecordBatch.from_pylist(
+                            [{"length": k + 2, "bucket": bucket, "context": cut[0], "word": cut[1], "n": cut[2]}],
+                            pa.schema(
+                                [("length", pa.int32()), ("bucket", pa.int32())]
+                                + [(c, pa.binary()) for c in ("context", "word", "n")]
+                            ),
+                        )
+
+    def whole(rows: pa.Table) -> pa.Table:
+        context, word = _joined(rows.column("context"), np.uint64), _joined(rows.column("word"), np.uint64)
+        keys, at, n = _sums((word + context) * _B, _joined(rows.column("n"), np.uint32).astype(np.int64))
+        often = n >= least
+        keys, at, n = keys[often], at[often], n[often]
+        length = np.full(len(keys), rows.column("length")[0].as_py(), np.int32)
+        columns = [length, signed(keys), signed(context[at]), signed(word[at]), n]
+        return pa.table(columns, names=["length", "gram", "context", "word", "n"])
+
+    dealt = texts.where("train").select("text").mapInArrow(
+        parts, "length int, bucket int, context binary, word binary, n binary"
+    )
+    return dealt.groupBy("length", "bucket").applyInArrow(whole, "length int, gram long, context long, word long, n long")
 
-    parts = texts.where("train").select("text").mapInArrow(run, "pair long, n long")
-    return parts.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+def _extended(rows: DataFrame, first: str, by: str) -> DataFrame:
+    """Adds ``by``, the hash of the run of hash ``first`` and ``word`` behind it."""
+
+    def run(batches):
+        for batch in batches:
+            before, word = (batch.column(c).to_numpy().view(np.uint64) for c in (first, "word"))
+            yield batch.append_column(by, pa.array(signed((before + word) * _B)))
+
+    return rows.mapInArrow(run, rows.select("*", F.lit(0).cast("long").alias(by)).schema)
 
 
 def _columns(rows: DataFrame, *names: str) -> list[np.ndarray]:
@@ -180,34 +263,22 @@ def _columns(rows: DataFrame, *names: str) -> list[np.ndarray]:
     return [table.column(n).combine_chunks().to_numpy() for n in names]
 
 
-def _retain(tree: Tree, s: Settings, raw, parent, total, pairs, n, effective) -> tuple[Level, tuple]:
-    """The level of the candidates that pass the divergence test, and every candidate's state (level, index)."""
-    context, word = pairs >> 32, pairs & 0xFFFFFFFF
-    depth = len(tree.levels) + 1
-    if depth == 1:
-        up_level, up_index = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
-    else:
-        known, levels, indexes = effective
-        at = np.minimum(np.searchsorted(known, parent), len(known) - 1)
-        up_level, up_index = levels[at], indexes[at]
-    root = tree.root(tree.counts[word])
-    below = tree.probability(up_level[context], up_index[context], word, root)
-    own = (n - s.discount) / total[context]
-    told, covered = np.bincount(context, own, len(raw)), np.bincount(context, below, len(raw))
-    rest, rest_below = np.maximum(1 - told, 1e-12), np.maximum(1 - covered, 1e-12)
-    gain = np.bincount(context, own * np.log(own / below), len(raw)) + rest * np.log(rest / rest_below)
-    keep = gain >= s.divergence
-    new = np.cumsum(keep) - 1
-    chosen = keep[context]
-    level = Level(
-        raw[keep],
-        (rest / rest_below)[keep],
-        up_level[keep],
-        up_index[keep],
-        new[context[chosen]] << 32 | word[chosen],
-        own[chosen],
-    )
-    return level, (raw, np.where(keep, depth, up_level), np.where(keep, new, up_index))
+def _level(runs: DataFrame, below: DataFrame, s: Settings, least_context: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(grams, states) of the contexts of ``depth`` words; ``below`` are the grams of that length."""
+    often = below.where((F.col("n") >= least_context) & (F.col("word") != F.lit(int(END.view(np.int64)))))
+    contexts = often.select(F.col("gram").alias("context"), F.col("lower").alias("parent"), F.col("n").alias("total"))
+    mine = runs.where(F.col("length") == depth + 1).drop("length").join(contexts, "context")
+    suffix = below.select(F.col("gram").alias("lower"), F.col("p").alias("below"))
+    rows = _extended(mine, "parent", "lower").join(suffix, "lower")
+    rows = rows.withColumn("own", (F.col("n") - s.discount) / F.col("total")).drop("total")
+    rows = materialize(rows, "successors")
+    rest, rest_below = (F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("own", "below"))
+    gain = F.sum(F.col("own") * F.log(F.col("own") / F.col("below"))) + rest * F.log(rest / rest_below)
+    states = rows.groupBy("context", "parent").agg(F.when(gain >= s.divergence, rest / rest_below).alias("weight"))
+    states = materialize(states, "states")
+    kept = rows.join(states.select("context", F.col("weight").isNotNull().alias("told")), "context")
+    p = F.when(F.col("told"), F.col("own")).otherwise(F.col("below"))
+    return materialize(kept.select("context", "gram", "lower", "word", "n", p.alias("p"), "told"), "grams"), states
 
 
 def grow(docs: DataFrame, settings: Settings | None = None) -> tuple[Tree, DataFrame]:
@@ -219,49 +290,110 @@ def grow(docs: DataFrame, settings: Settings | None = None) -> tuple[Tree, DataF
     tokens = size["tokens"]
     least = max(s.min_count, int(np.ceil(s.next_share * tokens)))
     least_context = max(s.min_count, int(np.ceil(s.context_share * tokens)))
-    word, n = _columns(counts.where(F.col("n") >= least), "word", "n")  # at most 1 / next_share rows
-    frequent = word.view(np.uint64)
-    order = np.argsort(frequent)
-    tree = Tree(tokens, size["words"], frequent[order], n[order])
-    effective = None
-    often = (tree.counts >= least_context) & (tree.frequent != END)
-    raw, parent, total = tree.frequent[often] * _B, np.zeros(int(often.sum()), np.uint64), tree.counts[often]
-    for depth in range(1, s.depth + 1):
-        if not len(raw):
-            break
-        order = np.argsort(raw)
-        raw, parent, total = raw[order], parent[order], total[order]
-        pairs, n = _columns(_successors(texts, depth, raw, tree.frequent, least), "pair", "n")
-        order = np.argsort(pairs)
-        pairs, n = pairs[order], n[order]
-        level, effective = _retain(tree, s, raw, parent, total, pairs, n, effective)
-        tree.levels.append(level)
-        longer = (n >= least_context) & (tree.frequent[pairs & 0xFFFFFFFF] != END)
-        context, word = pairs[longer] >> 32, tree.frequent[pairs[longer] & 0xFFFFFFFF]
-        raw, parent, total = (word + raw[context]) * _B, (word + parent[context]) * _B, n[longer]
-        if depth == 1:
-            parent = word * _B
+    root = (F.col("n") + 1.0) / (tokens + size["words"] + 1.0)
+    zero = F.lit(0).cast("long")
+    single = _extended(counts.withColumn("lower", zero), "lower", "gram")
+    tree = Tree(tokens, size["words"], least, [single.withColumn("p", root)], [])
+    if s.depth and tokens:
+        runs = materialize(_runs(texts, s.depth + 1, _bits(tokens), least), "runs")
+        for depth in range(1, s.depth + 1):
+            grams, states = _level(runs, tree.grams[-1], s, least_context, depth)
+            tree.grams.append(grams)
+            tree.contexts.append(states)
     return tree, counts
 
 
 SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _answers(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(block, word, n) for the known words of each block, each once for every Arrow batch."""
+#: What the table says of a run: how often a single word occurs, the last word's probability, the state's weight.
+TIMES, CHANCE, WEIGHT = range(3)
 
-    def run(batches):
+
+def _facts(tree: Tree) -> DataFrame:
+    """``key, kind, value`` of all runs the tree knows."""
+
+    def rows(table: DataFrame, key: str, kind: int, value: str) -> DataFrame:
+        return table.select(F.col(key).alias("key"), F.lit(kind).alias("kind"), F.col(value).cast("double").alias("value"))
+
+    parts = [rows(tree.grams[0], "gram", TIMES, "n")]
+    parts += [rows(g.where("told"), "gram", CHANCE, "p") for g in tree.grams[1:]]
+    parts += [rows(x.where("weight IS NOT NULL"), "context", WEIGHT, "weight") for x in tree.contexts]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _ends(seq: Sequences, longest: int) -> list[np.ndarray]:
+    """For lengths 1 to ``longest``: the hash of the run that ends at each symbol; 0 where the text is younger."""
+    runs = [seq.symbols * _B]
+    for k, raw in enumerate(seq.contexts(longest - 1), 1):
+        runs.append(np.where(seq.position >= k, (raw + seq.symbols) * _B, np.uint64(0)))
+    return runs
+
+
+def _answers(texts: DataFrame, tree: Tree, bits: int) -> DataFrame:
+    """``block, kind, keys, values``, packed, for the known runs of each block."""
+    longest = len(tree.grams)
+
+    def asked(batches):
         for batch in batches:
             block = batch.column("block").to_numpy()
             for b in np.unique(block).tolist():
                 rows = batch.filter(pa.array(block == b))
-                found = [np.unique(Sequences(p.column("text")).symbols) for p in slices(rows, "text")]
+                found = [
+                    np.unique(np.concatenate(_ends(Sequences(p.column("text")), longest))) for p in slices(rows, "text")
+                ]
                 keys = np.unique(np.concatenate(found))
+                cuts = _dealt(keys, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), b, np.int32)), pa.array(signed(keys))], names=["block", "word"]
+                    [
+                        pa.array([c[0] for c in cuts], pa.int32()),
+                        pa.array([b] * len(cuts), pa.int32()),
+                        pa.array([keys[i:j].tobytes() for _, i, j in cuts], pa.binary()),
+                    ],
+                    names=["bucket", "block", "keys"],
                 )
 
-    return texts.mapInArrow(run, "block int, word long").join(counts, "word").select("block", "word", "n")
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, kind = right.column("key").to_numpy().view(np.uint64), right.column("kind").to_numpy()
+        value = right.column("value").to_numpy()
+        out = []
+        for k in (TIMES, CHANCE, WEIGHT):
+            mine = np.flatnonzero(kind == k)
+            if not len(mine):
+                continue
+            mine = mine[np.argsort(key[mine])]
+            known, says = key[mine], value[mine]
+            for block, keys in zip(left.column("block").to_pylist(), left.column("keys").to_pylist()):
+                keys = np.frombuffer(keys, np.uint64)
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                if hit.any():
+                    out.append((block, k, keys[hit].tobytes(), says[at[hit]].tobytes()))
+        columns = list(zip(*out)) if out else [()] * 4
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "kind", "keys", "values"])
+
+    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
+    facts = _facts(tree).select(bucket, "key", "kind", "value")
+    ask = texts.mapInArrow(asked, "bucket int, block int, keys binary")
+    return ask.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(
+        answer, "block int, kind int, keys binary, values binary"
+    )
+
+
+def _looked_up(rows: pa.Table, kind: int):
+    """A function from runs to (known, value) by the answers of one kind."""
+    rows = rows.filter(pa.array(rows.column("kind").to_numpy() == kind))
+    keys, first = np.unique(_joined(rows.column("keys"), np.uint64), return_index=True)
+    values = _joined(rows.column("values"), np.float64)[first]
+
+    def look(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(runs), bool), np.zeros(len(runs))
+        at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+        return keys[at] == runs, values[at]
+
+    return look
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -271,33 +403,31 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, settings: Settings | N
     texts = _texts(docs)
     ends = counts.where(F.col("word") == F.lit(int(np.uint64(END).view(np.int64)))).first()
     per_text = tree.tokens / ends["n"] if ends else 500
-    blocks = max(1, int(np.ceil(texts.count() * per_text / s.block_tokens)))
+    symbols = texts.count() * per_text
+    blocks = max(1, int(np.ceil(symbols / s.block_tokens)))
     block = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int")
     # Many blocks share a partition; in order of block, each Arrow batch asks for few blocks.
     dealt = texts.withColumn("block", block).repartition("block").sortWithinPartitions("block")
+    longest, root_of = len(tree.grams), float(tree.tokens + tree.words + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(words)
-        words, known = words[order], right.column("n").to_numpy()[order]
-        words, first = np.unique(words, return_index=True)
-        known = known[first]
+        times, chance, weight = (_looked_up(right, k) for k in (TIMES, CHANCE, WEIGHT))
         out = []
         for batch in left.combine_chunks().to_batches():
             for part in slices(batch, "text"):
                 seq = Sequences(part.column("text"))
-                n = np.zeros(len(seq.symbols), np.int64)
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, seq.symbols), len(words) - 1)
-                    hit = words[at] == seq.symbols
-                    n[hit] = known[at[hit]]
-                root = tree.root(n)
-                p = root
-                if tree.levels:
-                    level, index = tree.states(seq.contexts(len(tree.levels)))
-                    word = np.minimum(np.searchsorted(tree.frequent, seq.symbols), len(tree.frequent) - 1)
-                    word = np.where(tree.frequent[word] == seq.symbols, word, -1)
-                    p = tree.probability(level, index, word, root)
+                runs = _ends(seq, longest)
+                known, n = times(runs[0])
+                root = (np.where(known, n, 0.0) + 1.0) / root_of
+                p, open_ = np.ones(len(seq.symbols)), np.arange(len(seq.symbols))
+                for length in range(longest, 1, -1):
+                    hit, value = chance(runs[length - 1][open_])
+                    p[open_[hit]] *= value[hit]
+                    open_ = open_[~hit]
+                    old = open_[seq.position[open_] >= length - 1]
+                    state, value = weight(runs[length - 2][old - 1])  # the context ends one symbol before
+                    p[old[state]] *= value[state]
+                p[open_] *= root[open_]
                 starts = seq.bounds[:-1]
                 out.append(
                     pa.table(
@@ -305,7 +435,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, settings: Settings | N
                             "doc_id": part.column("doc_id"),
                             "train": part.column("train"),
                             "n_tokens": pa.array(seq.sizes, pa.int64()),
-                            "n_known": pa.array(np.add.reduceat((n > 0).astype(np.int64), starts)),
+                            "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                             "base_score": pa.array(np.add.reduceat(np.log10(root), starts)),
                             "score": pa.array(np.add.reduceat(np.log10(p), starts)),
                         }
@@ -316,7 +446,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, settings: Settings | N
         none = {"doc_id": pa.int64(), "train": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
         return pa.schema({**none, "base_score": pa.float64(), "score": pa.float64()}.items()).empty_table()
 
-    asked = _answers(dealt, counts)
+    asked = _answers(dealt, tree, _bits(symbols * longest))
     return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, SCORED)
 
 

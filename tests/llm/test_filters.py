@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import WORD, awkward, docs, empty, prose, words
 from pyspark.sql import functions as F
@@ -186,6 +187,46 @@ def test_tree_is_a_distribution_and_scores_like_a_plain_walk(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_tree_keeps_what_it_learned_when_the_corpus_grows(spark):
+    phrase = [f"odd{i} pair{i} here{i}" for i in range(5)] * 4
+    small = docs(spark, [prose(i, 20) for i in range(5)] + phrase).withColumn("train", F.lit(True))
+    filler = spark.range(1000).select(
+        (F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("la li lu "), 1000).alias("text"), F.lit(True).alias("train")
+    )
+    large = small.select("doc_id", "text", "train").unionByName(filler)  # 3 million tokens
+    told = []
+    for table in (small, large):
+        tree, counts = suffix_tree.grow(table)
+        told.append(set(tree.levels[0].raw.tolist()))
+        scored = {r.doc_id: r for r in suffix_tree.score(small, tree, counts).collect()}
+        assert all(scored[i].score > scored[i].base_score / 2 for i in range(5, 25))
+    assert told[0] and told[0] <= told[1]
+
+
+def test_tree_scores_by_its_tables_as_by_its_arrays(spark):
+    texts = [prose(i % 7, 30) + " " + prose(i, 12) for i in range(40)] + ["", "ba na", "ba"]
+    table = docs(spark, texts).withColumn("train", F.col("doc_id") % 5 != 2)
+    s = suffix_tree.Settings(divergence=0.01)
+    tree, counts = suffix_tree.grow(table, s)
+    assert len(tree.levels) == 3 and all(len(x.raw) for x in tree.levels)
+    known = {r.word: r.n for r in counts.collect()}
+    got = {r.doc_id: r.score for r in suffix_tree.score(table, tree, counts, s).collect()}
+    for i, text in enumerate(texts):
+        seq = suffix_tree.Sequences(pa.array([text]))
+        raws, total = seq.contexts(3), 0.0
+        for j, symbol in enumerate(seq.symbols):
+            level = index = 0
+            for depth in (1, 2, 3):
+                at = np.flatnonzero(tree.levels[depth - 1].raw == raws[depth - 1][j]) if j >= depth else []
+                if len(at):
+                    level, index = depth, at[0]
+            word = np.flatnonzero(tree.frequent == symbol)
+            root = tree.root(np.array([known.get(int(symbol.view(np.int64)), 0)]))
+            one = (np.array([level]), np.array([index]), np.array([word[0] if len(word) else -1]), root)
+            total += math.log10(tree.probability(*one)[0])
+        assert math.isclose(got[i], total, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_tree_on_awkward_tables(spark):
     odd = awkward(spark).withColumn("train", F.col("doc_id") != 4)
     got = suffix_tree.train_and_score(odd).collect()
