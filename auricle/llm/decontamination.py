@@ -10,6 +10,9 @@ A document is contaminated by an item when at least ``coverage`` of the item's d
 at least ``agreement`` of the item's slot values are met consistently. To reach the coverage it must contain one
 of the item's rarest windows, so only those make candidate pairs: a phrase that all items share makes none.
 
+Items without such a window (short ones, or hardly any word that is no slot) are met whole: their words, slot values
+included, one after the other.
+
 Window hashes of the benchmark are broadcast in blocks of at most ``block_rows``; a larger benchmark is joined
 block after block.
 """
@@ -79,16 +82,20 @@ def _window_hashes(rows: DataFrame, size: int) -> DataFrame:
     return fenced(rows.withColumn("_windows", F.when(F.size("_hashed") >= size, wins).otherwise(empty)).drop("_hashed"))
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("item_id").isNotNull()).select(
+        F.col("item_id").cast("long").alias("item"), canonical_words(F.col("text")).alias("_words")
+    )
+
+
 def item_windows(benchmark: DataFrame, s: Settings) -> DataFrame:
     """``item, hash, q, values, size, rank`` of the windows that count as evidence.
 
     Items with one template are one item, the smallest id. ``size`` is the item's number of distinct windows,
     ``rank`` the place of a window among them from the rarest on. Windows with fewer than ``literals`` words
-    that are not slots are no evidence; neither is an item shorter than a window.
+    that are not slots are no evidence; neither is an item shorter than a window (see ``whole_items``).
     """
-    rows = benchmark.where(F.col("item_id").isNotNull()).select(
-        F.col("item_id").cast("long").alias("item"), canonical_words(F.col("text")).alias("_words")
-    )
+    rows = _items(benchmark)
     rows = rows.withColumn("_key", F.sha2(F.array_join(F.transform("_words", _template), " "), 256))
     first = rows.groupBy("_key").agg(F.min_by("_words", F.struct("item", "_words")).alias("_words"), F.min("item").alias("item"))
     exploded = _window_hashes(first, s.window).select("item", "_words", F.posexplode("_windows").alias("q", "hash"))
@@ -113,10 +120,62 @@ def item_windows(benchmark: DataFrame, s: Settings) -> DataFrame:
     return materialize(kept.join(ranks, ["item", "hash"]), "ranked")
 
 
+def whole_items(benchmark: DataFrame, s: Settings) -> DataFrame:
+    """``item, values, span, hash`` of the items without a window that counts as evidence: all words, folded, and the
+    hash of the first ``span``, which are all of them or a window. Items of the same words are one, the smallest id."""
+    words = F.transform("_words", _folded)
+    thin = F.transform(
+        F.sequence(F.lit(0), F.size("_words") - s.window),
+        lambda i: F.size(F.filter(F.slice("_words", i + 1, s.window), lambda w: ~_is_slot(w))) < s.literals,
+    )
+    bare = (F.size("_words") > 0) & F.when(F.size("_words") >= s.window, F.forall(thin, lambda x: x)).otherwise(True)
+    rows = _items(benchmark).where(bare).groupBy(words.alias("values")).agg(F.min("item").alias("item"))
+    rows = rows.withColumn("span", F.least(F.size("values"), F.lit(s.window)))
+    first = F.xxhash64(F.array_join(F.slice("values", F.lit(1), F.col("span")), " "))
+    return materialize(rows.withColumn("hash", first), "whole")
+
+
+def _folded(word: Column) -> Column:
+    return F.when(F.substring(word, 1, 1) == NAME, F.substring(word, 2, 2**31 - 1)).otherwise(word)
+
+
+def _contains(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
+    """The pairs of ``find`` for ``whole_items``; a copy counts as one window."""
+    items = whole_items(benchmark, s)
+    words = F.transform(canonical_words(F.col("text")), _folded)
+    parts = []
+    for r in items.groupBy("span").agg(F.count_distinct("hash").alias("n")).orderBy("span").collect():  # 1 to ``window``
+        rows = fenced(docs.select(document_key().alias("_key"), words.alias("_words")))
+        places = F.sequence(F.lit(0), F.size("_words") - r["span"])
+        hashes = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("_words", i + 1, r["span"]), " ")))  # noqa: B023
+        wins = fenced(rows.where(F.size("_words") >= r["span"]).withColumn("_windows", hashes))
+        wins = wins.select("_key", "_words", F.posexplode("_windows").alias("p", "hash"))
+        mine, blocks = items.where(F.col("span") == r["span"]), -(-r["n"] // s.block_rows)
+        for b in range(blocks):
+            evidence = mine.where(F.pmod("hash", F.lit(blocks)) == b).select("hash").distinct()
+            found = wins.join(F.broadcast(evidence), "hash")  # <= block_rows longs
+            # The longest item bounds what follows the place.
+            longest = mine.agg(F.max(F.size("values"))).first()[0]
+            here = F.slice("_words", F.col("p") + 1, F.lit(longest)).alias("here")
+            here = materialize(found.select("_key", "hash", here).distinct(), "here").join(mine, "hash")
+            parts.append(here.where(F.slice("here", F.lit(1), F.size("values")) == F.col("values")))
+    slots = F.size(F.filter("values", _is_slot)).cast("long")
+    one = F.lit(1).cast("long")
+    shape = [one.alias("matched"), one.alias("size"), slots.alias("slots"), slots.alias("consistent"), F.lit(1.0).alias("coverage")]
+    if not parts:
+        none = items.select(F.lit("").alias("_key"), "item", *shape).where("false")
+        return none
+    return reduce(DataFrame.unionAll, parts).select("_key", "item", *shape).distinct()
+
+
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One row per contaminated pair: ``_key`` (see ``document_key``), ``item``, ``matched``, ``size``,
     ``coverage``, ``slots`` and ``consistent`` slot values."""
     s = settings or Settings()
+    return materialize(_covers(docs, benchmark, s).unionByName(_contains(docs, benchmark, s)), "found")
+
+
+def _covers(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
     items = item_windows(benchmark, s)
     evidence = items.select("hash").distinct()
     blocks = max(1, -(-evidence.count() // s.block_rows))
@@ -147,7 +206,7 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None
     )
     out = covered.where("matched >= " + f"ceil(size * {s.coverage} - 1e-9)").join(agreed, ["_key", "item"], "left")
     out = out.fillna(0, ["slots", "consistent"]).withColumn("coverage", F.col("matched") / F.col("size"))
-    return materialize(out.where(F.col("consistent") >= s.agreement * F.col("slots")), "contaminated")
+    return out.where(F.col("consistent") >= s.agreement * F.col("slots"))
 
 
 def document_key() -> Column:
@@ -161,7 +220,7 @@ def report(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = No
     smallest id) ``item_id``, ``matched_windows``, ``item_windows``, ``coverage``, ``slots``,
     ``consistent_slots``; null where nothing was found. ``items`` counts the items found.
 
-    Null and short texts contain nothing. Documents without an id are told apart by their text; texts that
+    Null and empty texts contain nothing; of an item met whole the one window is the item. Documents without an id are told apart by their text; texts that
     share an id are judged together, and repeated rows alike. Null item ids are passed over. Other columns are
     ignored; an empty table gives no rows, an empty benchmark finds nothing.
     """

@@ -153,6 +153,19 @@ def test_decontamination_finds_what_contains_an_item(spark, sf):
     assert want and got == want
 
 
+def test_items_without_windows_are_found_whole(spark):
+    items = ["What is the capital of France?", "Compute 3 + 4 * 12 - 5.", "What is 12 * 45 + 7 - 3 * 8 / 2 + 19?"]
+    bench = spark.createDataFrame([(i + 1, t) for i, t in enumerate([*items, items[0], " ", None])], "item_id long, text string")
+    filler = prose(4, 30)
+    texts = [f"{filler}. {t} {filler}" for t in items]
+    texts += [items[0].lower(), items[0].replace("France", "Spain"), items[1].replace("12", "13"), items[2].replace("19", "20"), filler, None, ""]
+    table = docs(spark, texts)
+    got = {r.doc_id: r.item_id for r in decontamination.report(table, bench).collect()}
+    assert [got[i] for i in range(len(texts))] == [1, 2, 3, 1, None, None, None, None, None, None]
+    assert decontamination.report(table, bench, decontamination.Settings(block_rows=1)).where("contaminated").count() == 4
+    assert {r.doc_id for r in decontamination.remove(table, bench).collect()} == set(range(4, len(texts)))
+
+
 # --- suffix tree
 
 
