@@ -10,6 +10,10 @@ A document is contaminated by an item when at least ``coverage`` of the item's d
 at least ``agreement`` of the item's slot values are met consistently. To reach the coverage it must contain one
 of the item's rarest windows, so only those make candidate pairs: a phrase that all items share makes none.
 
+A text is read in three ways (``READINGS``): names inside a sentence are slots; every capitalised word is one, so names
+that open a sentence or follow a number or quote are too; none is, so case does not matter. The later readings judge
+documents in which the first found nothing, but for pairs that it covered and whose values disagreed.
+
 Items without such a window (short ones, or hardly any word that is no slot) are met whole: their words, slot values
 included, one after the other.
 
@@ -34,6 +38,8 @@ UNITS = (
     "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "mph", "kmh",
     "percent", "dollars", "euros", "usd", "eur", "cents", "degrees", "hz", "khz", "mhz", "ghz", "w", "kw", "v",
 )
+#: What is a name, by reading; the first one decides where it finds something.
+READINGS = {"inner": r"(?<=[\p{Ll},;:] )(\p{Lu}\p{L}+)", "all": r"(?<!\p{L})(\p{Lu}\p{L}+)", "folded": None}
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -50,10 +56,11 @@ def _replace(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 
 
-def canonical_words(text: Column) -> Column:
+def canonical_words(text: Column, reading: str = "inner") -> Column:
     """Words of a text; a placeholder keeps its value after its mark."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    named = _replace(text, r"(?<=[\p{Ll},;:] )(\p{Lu}\p{L}+)", f"{NAME}$1")
+    names = READINGS[reading]
+    named = _replace(text, names, f"{NAME}$1") if names else text
     low = F.lower(named)
     joined = _replace(low, r"(?<=[0-9])[.,:/](?=[0-9])", INNER)
     marked = _replace(joined, f"[0-9][0-9{INNER}]*", f" {NUMBER}$0 ")
@@ -82,20 +89,20 @@ def _window_hashes(rows: DataFrame, size: int) -> DataFrame:
     return fenced(rows.withColumn("_windows", F.when(F.size("_hashed") >= size, wins).otherwise(empty)).drop("_hashed"))
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
+def _items(benchmark: DataFrame, reading: str = "inner") -> DataFrame:
     return benchmark.where(F.col("item_id").isNotNull()).select(
-        F.col("item_id").cast("long").alias("item"), canonical_words(F.col("text")).alias("_words")
+        F.col("item_id").cast("long").alias("item"), canonical_words(F.col("text"), reading).alias("_words")
     )
 
 
-def item_windows(benchmark: DataFrame, s: Settings) -> DataFrame:
+def item_windows(benchmark: DataFrame, s: Settings, reading: str = "inner") -> DataFrame:
     """``item, hash, q, values, size, rank`` of the windows that count as evidence.
 
     Items with one template are one item, the smallest id. ``size`` is the item's number of distinct windows,
     ``rank`` the place of a window among them from the rarest on. Windows with fewer than ``literals`` words
     that are not slots are no evidence; neither is an item shorter than a window (see ``whole_items``).
     """
-    rows = _items(benchmark)
+    rows = _items(benchmark, reading)
     rows = rows.withColumn("_key", F.sha2(F.array_join(F.transform("_words", _template), " "), 256))
     first = rows.groupBy("_key").agg(F.min_by("_words", F.struct("item", "_words")).alias("_words"), F.min("item").alias("item"))
     exploded = _window_hashes(first, s.window).select("item", "_words", F.posexplode("_windows").alias("q", "hash"))
@@ -172,14 +179,22 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None
     """One row per contaminated pair: ``_key`` (see ``document_key``), ``item``, ``matched``, ``size``,
     ``coverage``, ``slots`` and ``consistent`` slot values."""
     s = settings or Settings()
-    return materialize(_covers(docs, benchmark, s).unionByName(_contains(docs, benchmark, s)), "found")
-
-
-def _covers(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
-    items = item_windows(benchmark, s)
+    covered = materialize(_covers(docs, benchmark, s, "inner"), "covered")
+    first = materialize(covered.where("agrees").drop("agrees").unionByName(_contains(docs, benchmark, s)), "first")
+    others = reduce(DataFrame.unionByName, [_covers(docs, benchmark, s, r) for r in list(READINGS)[1:]]).where("agrees")
+    others = others.join(first.select("_key").distinct(), "_key", "left_anti")
+    others = others.join(covered.where("NOT agrees").select("_key", "item"), ["_key", "item"], "left_anti")
+    best = F.max(F.struct("coverage", "matched", "size", "slots", "consistent")).alias("b")
+    one = others.groupBy("_key", "item").agg(best).select("_key", "item", "b.*")
+    return materialize(first.unionByName(one), "found")
+
+
+def _covers(docs: DataFrame, benchmark: DataFrame, s: Settings, reading: str) -> DataFrame:
+    """The pairs with enough coverage by one reading; ``agrees`` where the slot values do."""
+    items = item_windows(benchmark, s, reading)
     evidence = items.select("hash").distinct()
     blocks = max(1, -(-evidence.count() // s.block_rows))
-    rows = docs.select(document_key().alias("_key"), canonical_words(F.col("text")).alias("_words"))
+    rows = docs.select(document_key().alias("_key"), canonical_words(F.col("text"), reading).alias("_words"))
     wins = _window_hashes(rows, s.window).select("_key", "_words", F.posexplode("_windows").alias("p", "hash"))
     parts = [
         wins.join(F.broadcast(evidence.where(F.pmod("hash", F.lit(blocks)) == b)), "hash")  # <= block_rows longs
@@ -206,7 +221,7 @@ def _covers(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
     )
     out = covered.where("matched >= " + f"ceil(size * {s.coverage} - 1e-9)").join(agreed, ["_key", "item"], "left")
     out = out.fillna(0, ["slots", "consistent"]).withColumn("coverage", F.col("matched") / F.col("size"))
-    return out.where(F.col("consistent") >= s.agreement * F.col("slots"))
+    return out.withColumn("agrees", F.col("consistent") >= s.agreement * F.col("slots"))
 
 
 def document_key() -> Column:

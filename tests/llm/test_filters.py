@@ -166,6 +166,18 @@ def test_items_without_windows_are_found_whole(spark):
     assert {r.doc_id for r in decontamination.remove(table, bench).collect()} == set(range(4, len(texts)))
 
 
+def test_names_count_wherever_they_stand_and_case_does_not(spark):
+    item = "Anna buys 12 apples at the market. Anna gives 5 of them to Bert. How many apples does Anna keep?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("of them", "of her apples").replace("at the market", "in town").replace("How many", "Which")
+    mixed = changed(item).replace("does Carla", "does Otto").replace("to Dieter", "to Carla").replace("17 of", "40 of")
+    texts = [changed(item), item.lower(), item.upper(), f"{prose(5, 30)}. {changed(item)}", other, prose(6, 40)]
+    got = {r.doc_id: r.contaminated for r in decontamination.report(docs(spark, texts), bench).collect()}
+    assert [got[i] for i in range(len(texts))] == [True] * 4 + [False] * 2
+    strict = decontamination.Settings(agreement=1.0)
+    assert not decontamination.report(docs(spark, [mixed]), bench, strict).first().contaminated
+
+
 # --- suffix tree
 
 
