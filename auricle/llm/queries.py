@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, neardup, packing, quality, separators, suffix_tree, toxicity, urls, warc
+from . import (
+    chat,
+    decontamination,
+    hard_negatives,
+    neardup,
+    online_packing,
+    packing,
+    quality,
+    separators,
+    suffix_tree,
+    toxicity,
+    urls,
+    vector_codes,
+    warc,
+)
 from .common import bucket_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,3 +237,106 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(
         read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_of_text
     )
+
+
+@query("op11_online_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _floors_sql(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT)"
+
+
+@query(
+    "op12_threshold_negatives",
+    f"""
+    WITH kept AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_floors_sql(256)} AS vec
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_SOUND}
+    ), pairs AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+               list_sum(list_transform(range(1, len(a.vec) + 1), lambda i: a.vec[i] * b.vec[i]))::BIGINT AS score
+        FROM kept a JOIN kept b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+    ), positives AS (
+        SELECT * FROM pairs WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+    )
+    SELECT p.anchor_id, p.other_id AS positive_id,
+           row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)::INTEGER AS rank,
+           n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+        AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+    QUALIFY rank <= 3
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select(
+        "vec_id", moved.alias("label"), hard_negatives.quantise(F.col("embedding"), 256).alias("vec")
+    )
+    return hard_negatives.mine(rows, every=50)
+
+
+def _codes_sql() -> str:
+    """``vector_codes`` as SQL: four rounds, one after the other."""
+    far = "list_sum(list_transform(range(1, len(a.part) + 1), lambda i: (a.part[i] - b.part[i]) * (a.part[i] - b.part[i])))"
+    steps = [
+        f"""
+        kept AS MATERIALIZED (SELECT vec_id, label, {_floors_sql(1024)} AS vec FROM embeddings WHERE {_SOUND}),
+        parts AS MATERIALIZED (
+            SELECT vec_id, p, vec[(p * len(vec) // 4 + 1)::BIGINT : ((p + 1) * len(vec) // 4)::BIGINT] AS part
+            FROM kept, range(0, 4) r(p)
+        ),
+        book0 AS MATERIALIZED (
+            SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry, part FROM parts
+            QUALIFY entry < 256
+        )"""
+    ]
+    for r in range(5):
+        steps.append(f"""
+        near{r} AS MATERIALIZED (
+            SELECT vec_id, a.p, first(a.part) AS part, min(struct_pack(far := {far}::BIGINT, entry := b.entry)) AS best
+            FROM parts a JOIN book{r} b ON a.p = b.p GROUP BY vec_id, a.p
+        )""")
+        if r < 4:
+            steps.append(f"""
+        sums{r} AS (
+            SELECT p, entry, list((floor(total::HUGEINT / n) - CASE WHEN floor(total::HUGEINT / n) * n > total THEN 1
+                       ELSE 0 END)::BIGINT ORDER BY i) AS part
+            FROM (SELECT p, best.entry AS entry, i, sum(part[i]) AS total, count(*) AS n
+                  FROM near{r}, range(1, 17) t(i) WHERE i <= len(part) GROUP BY ALL) GROUP BY p, entry
+        ),
+        book{r + 1} AS MATERIALIZED (
+            SELECT b.p, b.entry, coalesce(s.part, b.part) AS part FROM book{r} b LEFT JOIN sums{r} s USING (p, entry)
+        )""")
+    return f"""
+    WITH {",".join(steps)},
+    coded AS (
+        SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY p) AS code, sum(best.far)::BIGINT AS error
+        FROM near4 GROUP BY vec_id
+    ), digest AS (
+        SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book4
+    )
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM coded JOIN kept USING (vec_id), digest
+    """
+
+
+@query("op13_limb_codes", _codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", hard_negatives.quantise(F.col("embedding"), 1024).alias("vec")
+    )
+    coded, books = vector_codes.compress(rows)
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return coded.select(
+        "vec_id",
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.sha256()).alias("codebooks_sha256"),
+    )
