@@ -4,20 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.columns import ratio
-from .ordered import top_n
-
-
-def class_pairs(spark: SparkSession, n_classes: int) -> DataFrame:
-    """All (true, predicted) class ids."""
-    k = F.lit(n_classes)
-    return spark.range(n_classes * n_classes).select(
-        F.floor(F.col("id") / k).cast("int").alias("true_id"), (F.col("id") % k).cast("int").alias("pred_id")
-    )
 
 
 def confusion_matrix(preds: DataFrame, true: str, pred: str, n_classes: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -25,24 +16,32 @@ def confusion_matrix(preds: DataFrame, true: str, pred: str, n_classes: int, key
 
     Predictions that are null or no class of the list are counted under a null ``pred_id``, so that the
     support of each true class stays whole. Rows whose true class is not in the list are not evaluated.
+
+    The rows are counted by their raw prediction, in one pass; all else happens on the counts.
     """
-    listed = F.when(F.col(pred).between(0, n_classes - 1), F.col(pred))
-    counts = (
-        preds.filter(F.col(true).between(0, n_classes - 1))
-        .groupBy(*keys, F.col(true).alias("true_id"), listed.alias("pred_id"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    raw = (
+        preds.select(*keys, F.col(true).alias("_true"), F.col(pred).alias("_pred"))
+        .filter(F.col("_true").between(0, n_classes - 1))
+        .groupBy(*keys, "_true", "_pred")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    grid = class_pairs(preds.sparkSession, n_classes)
-    if keys:
-        scopes = counts.select(*keys).distinct()
-        pair = F.explode(F.sequence(F.lit(0), F.lit(n_classes * n_classes - 1)))
-        grid = scopes.withColumn("_i", pair).select(
-            *keys,
-            F.floor(F.col("_i") / n_classes).cast("int").alias("true_id"),
-            (F.col("_i") % n_classes).cast("int").alias("pred_id"),
-        )
-    full = grid.join(counts, [*keys, "true_id", "pred_id"], "left").na.fill(0, subset=["n"])
-    return full.unionByName(counts.filter("pred_id IS NULL").select(full.columns))
+    listed = F.when(F.col("_pred").between(0, n_classes - 1), F.col("_pred").cast("int"))
+    counts = raw.groupBy(*keys, F.col("_true").cast("int").alias("true_id"), listed.alias("pred_id")).agg(F.sum("_n").alias("n"))
+    # At most n_classes * (n_classes + 1) cells a key: the grid is filled inside the row.
+    cell = F.struct(F.col("true_id") * n_classes + F.col("pred_id"), F.col("n"))
+    cells = counts.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("pred_id").isNotNull(), cell))).alias("_listed"),
+        F.collect_list(F.when(F.col("pred_id").isNull(), F.struct("true_id", "pred_id", "n"))).alias("_unlisted"),
+    )
+    grid = F.transform(
+        F.sequence(F.lit(0), F.lit(n_classes * n_classes - 1)),
+        lambda i: F.struct(
+            F.floor(i / n_classes).cast("int").alias("true_id"),
+            (i % n_classes).cast("int").alias("pred_id"),
+            F.coalesce(F.element_at("_listed", i), F.lit(0).cast("bigint")).alias("n"),
+        ),
+    )
+    return cells.select(*keys, F.explode(F.concat(grid, "_unlisted")).alias("_c")).select(*keys, "_c.*")
 
 
 def confusion_pivot(confusion: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -57,11 +56,19 @@ def confusion_pivot(confusion: DataFrame, names: Sequence[str]) -> DataFrame:
 def per_class_prf(confusion: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Support, precision, recall and F1 per class; 0 where undefined."""
     diagonal = F.when(F.equal_null("true_id", "pred_id"), F.col("n")).otherwise(0)
-    by_true = confusion.groupBy(*keys, F.col("true_id").alias("class_id")).agg(
-        F.sum("n").alias("support"), F.sum(diagonal).alias("tp")
+    none = F.lit(0).cast("bigint")
+    # Each cell counts for its true class and for its predicted one.
+    sides = F.array(
+        F.struct(F.col("true_id").alias("class_id"), F.col("n").alias("support"), diagonal.alias("tp"), none.alias("predicted")),
+        F.struct(F.col("pred_id").alias("class_id"), none.alias("support"), none.alias("tp"), F.col("n").alias("predicted")),
+    )
+    rows = (
+        confusion.select(*keys, F.explode(sides).alias("_s"))
+        .select(*keys, "_s.*")
+        .filter("class_id IS NOT NULL")
+        .groupBy(*keys, "class_id")
+        .agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")])
     )
-    by_pred = confusion.groupBy(*keys, F.col("pred_id").alias("class_id")).agg(F.sum("n").alias("predicted"))
-    rows = by_true.join(by_pred, [*keys, "class_id"])
     precision = ratio(F.col("tp"), F.col("predicted"))
     recall = ratio(F.col("tp"), F.col("support"))
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
@@ -120,21 +127,35 @@ def clip_mean_softmax(windows: DataFrame, clip: str, probabilities: str, n_class
     )
 
 
-def clip_topk_mean(
-    windows: DataFrame, clip: str, window: str, probabilities: str, n_classes: int, k: int
-) -> DataFrame:
+#: Rows of a table that are looked at together; 2^33, the row numbers of a partition, is a multiple.
+RUN = 1 << 16
+
+
+def _best(values: Column, k: int) -> Column:
+    """The k largest non-null entries of an array, largest first."""
+    return F.slice(F.sort_array(F.filter(values, lambda x: x.isNotNull()), asc=False), 1, k)
+
+
+def clip_topk_mean(windows: DataFrame, clip: str, probabilities: str, n_classes: int, k: int) -> DataFrame:
     """Per class the mean of the k best windows, then the argmax; null scores do not count.
 
-    Windows are cut to the k best of each clip and class before they are shuffled, so no task holds a clip.
+    The windows of a clip that lie together (runs of ``RUN`` rows) are cut to k scores a class before the clip's runs
+    meet, so a clip of any length is a list of k scores a class and run at most.
     """
-    scores = windows.select(clip, window, F.posexplode(probabilities).alias("_class", "_p"))
-    kept = top_n(scores.filter("_p IS NOT NULL"), [clip, "_class"], [F.desc("_p"), F.col(window)], k, [window])
-    means = kept.groupBy(clip).agg(
-        *[F.avg(F.when(F.col("_class") == i, F.col("_p"))).alias(f"_m{i}") for i in range(n_classes)]
+    classes = range(n_classes)
+
+    def scores_of(i: int) -> Column:
+        return F.transform("_all", lambda p: F.get(p, F.lit(i)))
+
+    run = F.floor(F.monotonically_increasing_id() / RUN)
+    here = windows.select(clip, run.alias("_run"), F.col(probabilities).alias("_p"))
+    parts = here.groupBy(clip, "_run").agg(F.collect_list("_p").alias("_all"))
+    best = [_best(scores_of(i), k).alias(f"_b{i}") for i in classes]
+    whole = parts.select(clip, *best).groupBy(clip).agg(*[F.flatten(F.collect_list(f"_b{i}")).alias(f"_b{i}") for i in classes])
+    means = whole.select(clip, *[_best(F.col(f"_b{i}"), k).alias(f"_b{i}") for i in classes]).select(
+        clip, F.array(*[F.when(F.size(f"_b{i}") > 0, v.mean(f"_b{i}")) for i in classes]).alias("_means")
     )
-    every = windows.select(clip).distinct()
-    vector = F.array(*[F.col(f"_m{i}") for i in range(n_classes)])
-    return every.join(means, clip, "left").select(clip, v.argmax(vector).alias("pred_topk_mean"))
+    return means.select(clip, v.argmax("_means").alias("pred_topk_mean"))
 
 
 def clip_majority_vote(windows: DataFrame, clip: str, probabilities: str, n_classes: int) -> DataFrame:
@@ -144,7 +165,7 @@ def clip_majority_vote(windows: DataFrame, clip: str, probabilities: str, n_clas
 
 
 def clip_predictions(
-    windows: DataFrame, truth: DataFrame, clip: str, window: str, probabilities: str, n_classes: int, k: int = 5
+    windows: DataFrame, truth: DataFrame, clip: str, probabilities: str, n_classes: int, k: int = 5
 ) -> DataFrame:
     """Truth and the three clip-level predictions; clips without windows keep null predictions."""
     sums = _clip_sums(windows, clip, probabilities, n_classes, votes=True).select(
@@ -152,7 +173,7 @@ def clip_predictions(
     )
     return (
         truth.join(sums, clip, "left")
-        .join(clip_topk_mean(windows, clip, window, probabilities, n_classes, k), clip, "left")
+        .join(clip_topk_mean(windows, clip, probabilities, n_classes, k), clip, "left")
         .withColumn("n_windows", F.coalesce("n_windows", F.lit(0)))
     )
 

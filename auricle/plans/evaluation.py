@@ -62,7 +62,7 @@ CLIP_PRED_SQL = f"""(SELECT clip_id, class_id, source_dataset, cents, coalesce(n
 
 
 def clip_preds(spark, sf):
-    return op.clip_predictions(scored_windows(spark, sf), truth(spark, sf), "clip_id", "window_id", "p", K, TOP_K)
+    return op.clip_predictions(scored_windows(spark, sf), truth(spark, sf), "clip_id", "p", K, TOP_K)
 
 
 def mean_preds(spark, sf):
@@ -149,7 +149,7 @@ def clip_mean_softmax(spark, sf):
 
 @query("clip_topk_mean", f"SELECT clip_id, CAST(pred_topk_mean AS INTEGER) AS pred_topk_mean FROM {TOPK_SQL}")
 def clip_topk_mean(spark, sf):
-    return op.clip_topk_mean(scored_windows(spark, sf), "clip_id", "window_id", "p", K, TOP_K)
+    return op.clip_topk_mean(scored_windows(spark, sf), "clip_id", "p", K, TOP_K)
 
 
 @query("clip_majority_vote", f"SELECT clip_id, CAST(pred_majority_vote AS INTEGER) AS pred_majority_vote FROM {VOTE_SQL}")

@@ -125,13 +125,13 @@ def test_vote_ties_go_to_the_higher_mean(spark):
 def test_topk_mean(spark):
     rng = np.random.default_rng(4)
     data = {f"c{i}": rng.dirichlet(np.ones(4), size=1 + 5 * i).tolist() for i in range(6)}
-    out = ev.clip_topk_mean(windows_of(spark, data), "clip", "w", "p", 4, 3).collect()
+    out = ev.clip_topk_mean(windows_of(spark, data), "clip", "p", 4, 3).collect()
     for r in out:
         best = -np.sort(-np.array(data[r["clip"]]), axis=0)[:3].mean(axis=0)
         assert r["pred_topk_mean"] == best.argmax()
     assert len(out) == 6
     nulls = windows_of(spark, {"a": [[0.9, 0.05], [None, 0.5]], "b": [[0.1, None], [None, None]], "c": [[None, None]]})
-    got = {r["clip"]: r["pred_topk_mean"] for r in ev.clip_topk_mean(nulls, "clip", "w", "p", 2, 2).collect()}
+    got = {r["clip"]: r["pred_topk_mean"] for r in ev.clip_topk_mean(nulls, "clip", "p", 2, 2).collect()}
     assert got == {"a": 0, "b": 0, "c": None}
 
 
