@@ -24,7 +24,7 @@ from ..functions.columns import fixed, fixed_micros
 from ..params import ACTION_LOGS, ACTION_NOTES, NONE_PENDING, UNKNOWN_ACTION, USER_ACTIONS
 from ..session import cut_lineage
 from .checks import DataContractError
-from .ordered import MAX_ROWS_PER_KEY, OrderedRows, Running, join_keys, per_key, row_index, small_side, split_hot
+from .ordered import MAX_ROWS_PER_KEY, OrderedRows, Running, as_of, join_keys, per_key, row_index, small_side, split_hot
 
 ORDER = ("ts_us", "seq")
 POLICY_COLUMNS = (
@@ -109,25 +109,78 @@ def gate_reason(classes: Sequence[str]) -> Column:
     )
 
 
-def persistence(rows: OrderedRows) -> OrderedRows:
-    """Adds ``n`` (position from 1) and ``streak``: consecutive candidates of the same class."""
+def persistence(rows: OrderedRows, silence_us: int | None = None) -> OrderedRows:
+    """Adds ``n`` (position from 1) and ``streak``: consecutive candidates of the same class.
+
+    With ``silence_us`` a streak also ends when the session sends nothing for longer than that.
+    """
     pending = F.when(F.col("candidate"), F.col("label"))
     at = rows.with_columns(pending=pending).running(
-        n=Running("sum", F.lit(1)),
-        _before=Running("last", F.struct("pending"), exclusive=True),
+        n=Running("sum", F.lit(1), total=silence_us is not None),
+        _before=Running("last", F.struct("pending", "ts_us"), exclusive=True),
     )
-    starts = F.col("candidate") & ~F.equal_null(F.col("_before.pending"), F.col("label"))
+    goes_on = F.equal_null(F.col("_before.pending"), F.col("label"))
+    if silence_us is not None:
+        goes_on &= F.col("ts_us") - F.col("_before.ts_us") <= silence_us
+    starts = F.col("candidate") & ~F.coalesce(goes_on, F.lit(False))
     at = at.running(_from=Running("last", F.when(starts, F.col("n"))))
     streak = F.when(F.col("candidate"), F.col("n") - F.col("_from") + 1).otherwise(0)
     return at.with_columns(streak=streak)
 
 
-def verification(rows: OrderedRows) -> OrderedRows:
-    """Adds verified, restored, fire_edge and the active class after each row, with its timer."""
+#: Place of a silent row among the rows of one time: after all of them.
+SILENT_SEQ = (1 << 63) - 1
+
+
+def _silent_rows(rows: OrderedRows, silence_us: int, until: Column | None) -> OrderedRows:
+    """Adds a row "nothing heard", ``silent``, wherever the release of the last verified class may fall into a silence.
+
+    A session that sends nothing for longer than ``silence_us`` has heard nothing: its active class is released at
+    the end of its release time, or of the silence if that is later, unless a row comes up to then. After the
+    last row of a session the time is known up to ``until``.
+    """
+    last, at = F.col("_last"), F.col("ts_us")
+    own = F.when(F.col("verified"), F.struct("n", "label", "ts_us", "_release")).otherwise(last)
+
+    def moment(mark: Column, heard: Column) -> Column:
+        return F.greatest(mark["ts_us"] + mark["_release"], heard + silence_us)
+
+    before, after = moment(last, F.col("_before.ts_us")), moment(own, at)
+    kinds = [
+        F.when(last.isNotNull() & (before < at), F.struct(F.lit(-1).alias("place"), before.alias("t"), last.alias("mark"))),
+        F.struct(F.lit(0).alias("place"), at.alias("t"), last.alias("mark")),
+    ]
+    if until is not None:
+        ends = (F.col("n") == 2 * F.col("n_total")) & own.isNotNull() & (after < until)
+        kinds.append(F.when(ends, F.struct(F.lit(1).alias("place"), after.alias("t"), own.alias("mark"))))
+    df = rows.df.withColumn("_k", F.explode(F.array_compact(F.array(*kinds))))
+    silent = F.col("_k.place") != 0
+
+    def unless_silent(name: str, value=None) -> Column:
+        return F.when(silent, F.lit(value).cast(df.schema[name].dataType)).otherwise(F.col(name))
+
+    cols = {"silent": silent, "n": F.col("n") + F.col("_k.place"), "ts_us": F.col("_k.t"), "_last": F.col("_k.mark")}
+    cols |= {c: unless_silent(c) for c in ("label", "confidence", "pending", "_release", *POLICY_COLUMNS)}
+    cols |= {c: unless_silent(c, False) for c in ("trigger_enabled", "candidate", "verified")}
+    cols |= {"streak": unless_silent("streak", 0), "seq": unless_silent("seq", SILENT_SEQ)}
+    if rows.chunked:
+        cols["_pos"] = 2 * F.col("_pos") + F.col("_k.place")
+    return replace(rows, df=df.withColumns(cols).drop("_k"), fixed=False)
+
+
+def verification(rows: OrderedRows, silence_us: int | None = None, until: Column | None = None) -> OrderedRows:
+    """Adds verified, restored, fire_edge and the active class after each row, with its timer.
+
+    With ``silence_us`` also a row for each release that falls into a silence, marked ``silent``.
+    """
     verified = F.col("candidate") & (F.col("streak") >= F.col("confirm_windows"))
     rows = rows.with_columns(verified=verified, _release=micros("release_seconds"))
+    if silence_us is not None:
+        rows = rows.with_columns(n=2 * F.col("n"))  # room for a silent row on either side
     mark = F.when(F.col("verified"), F.struct("n", "label", "ts_us", "_release"))
     rows = rows.running(_last=Running("last", mark, exclusive=True))
+    if silence_us is not None:
+        rows = _silent_rows(rows, silence_us, until)
     absent = (
         ~F.col("verified")
         & F.col("_last").isNotNull()
@@ -142,13 +195,15 @@ def verification(rows: OrderedRows) -> OrderedRows:
     before = F.when(alive, F.col("_last.label"))
     restored = alive & F.col("_absent").isNotNull()
     current = F.col("verified")
-    return rows.with_columns(
+    rows = rows.with_columns(
         restored=restored,
         fire_edge=current & ~F.equal_null(before, F.col("label")),
         active_class=F.when(current, F.col("label")).when(~restored, before),
         _seen=F.when(current, F.col("ts_us")).otherwise(F.col("_last.ts_us")),
         _timer=F.when(current, F.col("_release")).otherwise(F.col("_last._release")),
     )
+    # A silence in which nothing was active changes nothing.
+    return rows if silence_us is None else replace(rows, df=rows.df.filter("restored OR NOT silent"))
 
 
 def audio_mode(rows: OrderedRows) -> OrderedRows:
@@ -326,6 +381,8 @@ def decide(
     keys: Sequence[str] = ("session_id",),
     actions: DataFrame | None = None,
     max_rows: int = MAX_ROWS_PER_KEY,
+    silence_us: int | None = None,
+    until: Column | int | None = None,
 ) -> DataFrame:
     """One decision per detection: keys, seq, ts_us and the 18 decision fields.
 
@@ -334,10 +391,19 @@ def decide(
     ``detections``: keys, seq, ts_us, label, confidence (and profile_name). ``actions``: keys,
     seq, ts_us, action ("confirm" / "reject") of the user, in the same order space. Sessions
     above ``max_rows`` rows are scanned in chunks, with the same result.
+
+    Without ``silence_us`` a class is released by the next detection only. With it, a session that sends nothing for
+    longer than that has heard nothing: a streak ends, and the release itself is a row without ``seq``, marked
+    ``silent`` (see ``_silent_rows``). ``until`` is the time in microseconds up to which sessions are known, a number
+    or a column of the detections; without it nothing is known after the last row of a session.
     """
-    return _scan(detections, policies, classes, keys, actions, max_rows).filter("action IS NULL").select(
-        *keys, "seq", "ts_us", *DECISION_FIELDS
-    )
+    if silence_us is not None and silence_us < 1:
+        raise ValueError("a silence takes some time")
+    rows = _scan(detections, policies, classes, keys, actions, max_rows, silence_us, until).filter("action IS NULL")
+    if silence_us is None:
+        return rows.select(*keys, "seq", "ts_us", *DECISION_FIELDS)
+    seq = F.when(~F.col("silent"), F.col("seq")).alias("seq")
+    return rows.select(*keys, seq, "ts_us", *DECISION_FIELDS, "silent")
 
 
 def quick_action_results(
@@ -376,7 +442,7 @@ def quick_action_results(
     )
 
 
-def _scan(detections, policies, classes, keys, actions, max_rows) -> DataFrame:
+def _scan(detections, policies, classes, keys, actions, max_rows, silence_us=None, until=None) -> DataFrame:
     cold, hot = split_hot(detections, keys, max_rows)
     parts = [(cold, False)] + ([(hot, True)] if hot is not None else [])
     out = None
@@ -384,12 +450,12 @@ def _scan(detections, policies, classes, keys, actions, max_rows) -> DataFrame:
         mine = actions
         if actions is not None and hot is not None:
             mine = join_keys(actions, hot.select(*keys).distinct(), keys, "left_semi" if chunked else "left_anti")
-        done = _scan_part(rows, policies, classes, list(keys), mine, chunked)
+        done = _scan_part(rows, policies, classes, list(keys), mine, chunked, silence_us, until)
         out = done if out is None else out.unionByName(done)
     return out
 
 
-def _scan_part(detections, policies, classes, keys, actions, chunked) -> DataFrame:
+def _scan_part(detections, policies, classes, keys, actions, chunked, silence_us, until) -> DataFrame:
     # The narrow detections are shuffled; the policy joins them where they land. The number of
     # partitions is given, as the scans cost more than the small shuffled size suggests.
     if not chunked:
@@ -397,7 +463,8 @@ def _scan_part(detections, policies, classes, keys, actions, chunked) -> DataFra
         detections = detections.repartition(n, *keys)
     ordered = OrderedRows.of(detections, keys, ORDER, chunked)
     gated = replace(ordered, df=gate(attach_policy(ordered.df, policies), classes))
-    rows = audio_mode(verification(persistence(gated))).result()
+    end = F.lit(until) if isinstance(until, int) else until
+    rows = audio_mode(verification(persistence(gated, silence_us), silence_us, end)).result()
     if chunked:
         rows = cut_lineage(rows)
     edges = rows.filter("fire_edge").select(*keys, "label", "n", "ts_us", micros("cooldown_seconds").alias("_cooldown"))
@@ -487,6 +554,50 @@ def session_epochs(
     return per_key(rows, keys, order, scan, max_rows)
 
 
+def profiles_in_force(
+    rows: DataFrame, changes: DataFrame, first: str, keys: Sequence[str] = ("session_id",), max_rows: int = MAX_ROWS_PER_KEY
+) -> DataFrame:
+    """Adds the ``profile_name`` in force at each row, its ``epoch`` in the session (0 before any change, where the
+    profile is ``first``) and when the epoch ends, ``epoch_end`` (null for the last one).
+
+    ``changes``: keys, ts_us, seq, profile_name. A change at the time of a row is in force for it. Every change
+    begins an epoch, also one to the profile in force.
+    """
+    numbered = row_index(changes.select(*keys, "ts_us", "seq", "profile_name"), list(keys), ["ts_us", "seq"], "_i").drop("_i_total")
+    numbered = cut_lineage(numbered)
+    begun = numbered.withColumn("epoch", F.col("_i") + 1)
+    out = as_of(rows.drop("profile_name"), begun, keys, "ts_us", ["profile_name", "epoch"], ["epoch"], max_rows)
+    out = out.withColumns(
+        {"profile_name": F.coalesce("profile_name", F.lit(first)), "epoch": F.coalesce("epoch", F.lit(0).cast("bigint"))}
+    )
+    ends = numbered.select(*keys, F.col("_i").alias("epoch"), F.col("ts_us").alias("epoch_end"))
+    return join_keys(out, ends, [*keys, "epoch"], "left")
+
+
+def decide_under_profiles(
+    detections: DataFrame,
+    changes: DataFrame,
+    policies: DataFrame,
+    first: str,
+    classes: Sequence[str],
+    keys: Sequence[str] = ("session_id",),
+    max_rows: int = MAX_ROWS_PER_KEY,
+    silence_us: int | None = None,
+    until_us: int | None = None,
+) -> DataFrame:
+    """``decide`` under the profile in force at each detection: keys, epoch, profile_name and the decision.
+
+    A profile that is applied starts the session afresh: streak, active class, mode, cooldowns and a pending action
+    are those of a new session. What is silent at the end of an epoch is released only if that comes first.
+    """
+    rows = profiles_in_force(detections, changes, first, keys, max_rows)
+    until = None
+    if silence_us is not None:
+        known = F.lit(until_us).cast("bigint")
+        until = F.least("epoch_end", known) if until_us is not None else F.col("epoch_end")
+    return decide(rows, policies, classes, [*keys, "epoch", "profile_name"], None, max_rows, silence_us, until)
+
+
 def session_snapshot(decisions: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """Latest decision of each session; a map-side combined aggregate."""
     rest = [c for c in decisions.columns if c not in keys]

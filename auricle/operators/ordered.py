@@ -188,6 +188,35 @@ def per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], scan, max_
     return out.unionByName(scan(OrderedRows.of(hot, keys, order, chunked=True)))
 
 
+def as_of(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    columns: Sequence[str],
+    ties: Sequence[str] = (),
+    max_rows: int = MAX_ROWS_PER_KEY,
+) -> DataFrame:
+    """As-of join: ``columns`` of the latest right row of the key that is not later than the left row; null without one.
+
+    Both sides meet in one order, where the latest right row is a running value: a sorted merge of the two, with one
+    shuffle, in chunks for a key of more than ``max_rows`` rows. Of right rows at one time the last by ``ties`` counts.
+    A null key meets a null key; right rows without a time are never in force, left rows without one get nothing.
+    """
+    marks = right.filter(F.col(time).isNotNull()).select(
+        *keys, time, F.struct(*columns).alias("_mark"), F.lit(0).alias("_side"), F.struct(F.lit(0), *ties).alias("_tie")
+    )
+    probes = left.withColumn("_side", F.lit(1))
+
+    def scan(rows: OrderedRows) -> DataFrame:
+        return rows.running(_hit=Running("last", F.col("_mark"))).result().filter("_side = 1")
+
+    both = probes.unionByName(marks, allowMissingColumns=True)
+    out = per_key(both, keys, [time, "_side", "_tie"], scan, max_rows)
+    hit = F.when(F.col(time).isNotNull(), F.col("_hit"))
+    return out.withColumns({c: hit[c] for c in columns}).select(*left.columns, *columns)
+
+
 def hash_ordered_sum(
     df: DataFrame, keys: Sequence[str], hash_col: str, tie: Sequence[str], value: str, name: str
 ) -> DataFrame:

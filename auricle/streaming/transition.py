@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 
 from ..params import ACTION_LOGS, ACTION_NOTES, NONE_PENDING, UNKNOWN_ACTION, USER_ACTIONS
 
@@ -20,10 +21,37 @@ class SessionState:
     action: str | None = None
     action_class: str | None = None
     until: dict[str, int] = field(default_factory=dict)
+    #: Profile in force, whether it was applied in mid-session, and its mode; when the last detection came.
+    profile: str | None = None
+    applied: bool = False
+    preferred: str | None = None
+    heard_us: int | None = None
 
     def clear_trigger(self) -> None:
         self.active = self.action = self.action_class = None
 
+    def silent_from(self, silence_us: int) -> int | None:
+        """When the active class is released unless something is heard up to then; None without one."""
+        if self.active is None or self.heard_us is None:
+            return None
+        return max(self.seen_us + self.release_us, self.heard_us + silence_us)
+
+
+NOTHING_HEARD = SimpleNamespace(label=None, candidate=False, gate_reason="detected class None is not a supported trigger class - no action")
+
+
+def release_silent(state: SessionState, at_us: int) -> dict:
+    """The decision on hearing nothing: the active class is released."""
+    row = SimpleNamespace(**vars(NOTHING_HEARD), ts_us=at_us, preferred_mode=state.preferred)
+    return advance(state, row)
+
+
+def hear(state: SessionState, at_us: int, silence_us: int | None) -> None:
+    """A detection comes; a streak does not outlast a silence."""
+    if silence_us is not None and state.heard_us is not None and at_us - state.heard_us > silence_us:
+        state.pending, state.run = None, 0
+    state.heard_us = at_us
+
 
 def _seconds(us: int, digits: int) -> str:
     unit = 10 ** (6 - digits)
