@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import vectors as v
 from ..functions.columns import seeded_key
@@ -135,20 +138,60 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     return F.when(lam < 0.05, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
+#: Samples up to this size get the exact p-value.
+EXACT_KS = 10_000
+
+
+def exact_ks_p(d: float, n: int, m: int) -> float:
+    """Exact two-sided p-value of D: the share of lattice paths from (0, 0) to (n, m) that leave the band.
+
+    All orders of both samples are equally likely; an order is a path, and D is its largest |i / n - j / m|. The
+    share ``q(i, j)`` of the paths to a point that have been outside is 1 outside the band, else
+    ``i / (i + j) q(i - 1, j) + j / (i + j) q(i, j - 1)``: sums of positive shares, so small p-values keep
+    their digits. One diagonal ``i + j`` is one vector.
+    """
+    if n > m:
+        n, m = m, n
+    far = round(d * n * m)
+    if far <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    q = np.zeros(n + 1)
+    for k in range(1, n + m + 1):
+        lo, hi = max(0, k - m), min(n, k)
+        here = i[lo : hi + 1]
+        before = q[max(lo - 1, 0) : hi] if lo else np.append(0.0, q[:hi])
+        new = (here * before + (k - here) * q[lo : hi + 1]) / k
+        new[np.abs(here * m - (k - here) * n) >= far] = 1.0
+        q[lo : hi + 1] = new
+    return float(q[n])
+
+
+@F.pandas_udf(DoubleType())
+def _exact_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else exact_ks_p(x, int(a), int(b)) for x, a, b in zip(d, n, m)], dtype="float64")
+
+
 def distribution_ks(clips: DataFrame, cls: str, thresholds: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """C2: D of train against val and test per class and metric, with its level."""
+    """C2: D of train against val and test per class and metric, with its level.
+
+    The p-value is exact while both samples have at most ``EXACT_KS`` values, the asymptotic series beyond.
+    """
     long = unpivot(clips, [cls, "split"], list(thresholds))
     ks = ks_statistic(long, [cls, "metric"], "value")
     fewest = F.least("n_ref", "n_other")
     graded = F.coalesce(*[F.when(F.col("metric") == m, level_of(F.col("d"), t)) for m, t in thresholds.items()])
     enough = fewest >= 2
+    small = F.greatest("n_ref", "n_other") <= EXACT_KS
     level = F.when(~enough, "insufficient_n").when(fewest < KS_MIN_N, "underpowered_n").otherwise(graded)
     return ks.select(
         cls,
         "metric",
         F.concat(F.lit("train vs "), "other").alias("comparison"),
         F.when(enough, F.col("d")).alias("ks_d"),
-        F.when(enough, ks_p_value(F.col("d"), F.col("n_ref"), F.col("n_other"))).alias("p_value"),
+        F.when(enough & small, _exact_p(F.when(enough & small, F.col("d")), "n_ref", "n_other"))
+        .when(enough, ks_p_value(F.col("d"), F.col("n_ref"), F.col("n_other")))
+        .alias("p_value"),
         level.alias("level"),
     )
 

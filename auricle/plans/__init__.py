@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("curation", "health", "ledger", "windows", "io", "splits", "gates", "evaluation", "diagnostics", "models", "decisions", "sessions")
+GROUPS = ("curation", "health", "ledger", "windows", "io", "splits", "gates", "evaluation", "diagnostics", "models", "decisions", "sessions", "files")
 
 
 def load():

@@ -160,9 +160,21 @@ GATE_KS_SQL = f"""(SELECT project_class, metric, 'train vs ' || other AS compari
   FROM {ks_sql(LONG_SQL, 'project_class, metric')})"""
 
 
+# The exact p-value: lattice paths that leave the band, one diagonal a step; the series beyond the switch.
+EXACT_KS_SQL = f"""(WITH RECURSIVE base AS MATERIALIZED (SELECT *, 'train vs ' || other AS comparison, least(n_ref, n_other) AS n, greatest(n_ref, n_other) AS m,
+    CAST(round(d * n_ref * n_other) AS BIGINT) AS far FROM {ks_sql(LONG_SQL, 'project_class, metric')}),
+  walk AS (SELECT project_class, metric, comparison, n, m, far, CAST(0 AS BIGINT) AS k, list_transform(range(0, n + 1), lambda i: 0.0::DOUBLE) AS q
+      FROM base WHERE n >= 2 AND m <= 10000
+    UNION ALL SELECT project_class, metric, comparison, n, m, far, k + 1, list_transform(range(0, n + 1), lambda i:
+        CASE WHEN i > k + 1 OR k + 1 - i > m THEN 0 WHEN abs(i * m - (k + 1 - i) * n) >= far THEN 1
+             ELSE (i * coalesce(q[i], 0) + (k + 1 - i) * q[i + 1]) / (k + 1) END) FROM walk WHERE k < n + m)
+  SELECT project_class, metric, comparison, q[n + 1] AS exact_p FROM walk WHERE k = n + m)"""
+
+
 @query(
     "gate_distribution_ks",
-    f"SELECT project_class, metric, comparison, round(ks_d, 9) AS ks_d, round(p_value, 9) AS p_value, level FROM {GATE_KS_SQL}",
+    f"""SELECT project_class, metric, comparison, round(ks_d, 9) AS ks_d, round(coalesce(exact_p, p_value), 9) AS p_value, level
+        FROM {GATE_KS_SQL} LEFT JOIN {EXACT_KS_SQL} USING (project_class, metric, comparison)""",
 )
 def gate_distribution_ks(spark, sf):
     out = op.distribution_ks(split_clips(spark, sf), "project_class", KS_LIMITS)

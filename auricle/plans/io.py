@@ -129,10 +129,20 @@ def sink_write_once(spark, sf):
     return spark.read.parquet(path).withColumn("second_write", F.lit(second))
 
 
+# What was made of the rows: changes with the model, its dimension or its pooling.
+DESCRIPTOR = "orders;priority;v1"
+ROW_JSON_SQL = """'{"o_orderkey":"' || o_orderkey || '","o_orderpriority":"' || o_orderpriority || '","o_custkey":"' || o_custkey || '"}'"""
+
+
+def _folded_sql(text: str, name: str) -> str:
+    return f"""bit_xor(CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)) AS {name}_xor,
+      CAST(sum(CAST('0x' || substr(md5({text}), 16, 5) AS BIGINT)) AS BIGINT) AS {name}_sum"""
+
+
 @query(
     "dataset_fingerprint",
-    """SELECT count(*) AS n, bit_xor(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT)) AS key_xor,
-         CAST(sum(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 16, 5) AS BIGINT)) AS BIGINT) AS key_sum FROM orders""",
+    f"""SELECT count(*) AS n, {_folded_sql("CAST(o_orderkey AS VARCHAR)", "key")}, {_folded_sql(ROW_JSON_SQL, "value")},
+          md5('{DESCRIPTOR}') AS descriptor FROM orders""",
 )
 def dataset_fingerprint(spark, sf):
-    return sinks.dataset_fingerprint(table(spark, sf, "orders"), "o_orderkey")
+    return sinks.dataset_fingerprint(table(spark, sf, "orders"), "o_orderkey", ["o_orderpriority", "o_custkey"], DESCRIPTOR)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..operators import models as op
+from ..operators import networks
 from ..operators.windows import frame_windows
 from .diagnostics import CENTROID_SQL, DIGITS, VECTORS_SQL, vectors
 from .evaluation import METRIC_NAMES, WINDOW_CONFUSION_SQL, CLIP_CONFUSION_SQL, clip_confusion, prf_sql, summary_sql, window_confusion
@@ -107,21 +108,24 @@ def held_out(model, rows, features):
 @query("logistic_head")
 def logistic_head(spark, sf):
     rows = scaled_vectors(spark, sf)
-    model = op.logistic_head(rows.filter("split = 'train'"), "scaled", "label", c=1.0, max_iter=200, tol=1e-12)
+    model = op.logistic_head(rows.filter("split = 'train'"), "scaled", "label", c=1.0, max_iter=200)
     return held_out(model, rows, "scaled")
 
 
 @query("mlp_head")
 def mlp_head(spark, sf):
+    """Rectified units with dropout and class weights, stopped early by the validation loss."""
     rows = scaled_vectors(spark, sf)
-    model = op.mlp_head(rows.filter("split = 'train'"), "scaled", "label", 32, 64, 10, seed=42, max_iter=100)
-    return held_out(model, rows, "scaled")
+    net = networks.fit_network(rows, "scaled", "label", "vec_id", 10)
+    return networks.predict(net, rows.filter("split <> 'train'"), "scaled").select(
+        "vec_id", "label", "split", "prediction", F.array_max("probabilities").alias("confidence")
+    )
 
 
 @query("binary_stack_head")
 def binary_stack_head(spark, sf):
-    stacked = op.binary_stack_outputs(scaled_vectors(spark, sf), "scaled", "label", 10, max_iter=200, tol=1e-12)
-    model = op.stack_head(stacked.filter("split = 'train'"), "stack", "label", 10, c=1.0, max_iter=500, tol=1e-14)
+    stacked = op.binary_stack_outputs(scaled_vectors(spark, sf), "scaled", "label", 10, max_iter=200)
+    model = op.stack_head(stacked.filter("split = 'train'"), "stack", "label", 10, c=1.0, max_iter=500)
     return held_out(model, stacked, "stack")
 
 

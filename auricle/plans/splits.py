@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import repair
 from ..operators import splits as op
+from ..params import PROPORTION_TOLERANCE
 from .fixtures import CLIPS_SQL, clips
-from .registry import query
+from .registry import query, table
 
 SPLIT_CASE = "CASE WHEN ({c} + n_clips / 2.0::DOUBLE) / {t} < 0.7::DOUBLE THEN 'train' WHEN ({c} + n_clips / 2.0::DOUBLE) / {t} < 0.85::DOUBLE THEN 'val' ELSE 'test' END"
 DOMINANT_SQL = f"""(SELECT group_key, CAST(sum(k) AS BIGINT) AS n_clips, arg_min(project_class, (-k, project_class)) AS stratum,
@@ -202,3 +204,22 @@ def max_proportion_deviation(spark, sf):
     return op.max_proportion_deviation(split_clips(spark, sf), "project_class").select(
         F.round("max_deviation", 9).alias("max_deviation")
     )
+
+
+def brand_parts(spark, sf):
+    """Parts as clips of few large groups: 25 brands, six classes."""
+    return table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("group_key"), F.col("p_type").alias("project_class"))
+
+
+@query(
+    "split_repair",
+    """SELECT p_type AS project_class, s.split, count(*) AS n, s.target, TRUE AS inside FROM part,
+       (VALUES ('train', 0.7::DOUBLE), ('val', 0.15::DOUBLE), ('test', 0.15::DOUBLE)) AS s(split, target) GROUP BY ALL""",
+)
+def split_repair(spark, sf):
+    """Classes of a split that is repaired until each share is inside the band; the twin says that all are."""
+    rows = brand_parts(spark, sf)
+    placed = op.group_stratified_split(rows, "group_key", "project_class", 42)
+    fixed = op.apply_split(rows, repair.repair_split(rows, placed, "group_key", "project_class"), "group_key")
+    shares = op.class_split_shares(fixed, "project_class")
+    return shares.select("project_class", "split", "n", "target", (F.col("deviation") <= PROPORTION_TOLERANCE).alias("inside"))
