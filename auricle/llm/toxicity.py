@@ -5,9 +5,11 @@ into ``2 ** bits`` buckets; a bucket is present or not. The machine scores ``w0
 <v_i, v_j>`` through a logistic link, so a pair of terms can weigh more, or less, than both alone.
 
 Fitting takes at most ``sample_rows`` labelled rows, chosen by the hash of their id. Their buckets are counted
-per label by Spark, and the ``features`` buckets that speak most for toxicity (log likelihood ratio of at least
-``least_gain``) carry weights; the others are zero. The model is a few arrays of fixed size. Scoring reads every
-whole text.
+per label by Spark, and ``features`` of them carry weights; the others are zero. Half of these places go to the buckets
+that speak most for toxicity by themselves (log likelihood ratio of at least ``least_gain``), an eighth to those that speak
+most against it, and the rest to partners: buckets that tell the labels apart, either way, among the rows that hold one of
+the first kind. A group mention that is as common in clean texts, or a word of quoting that makes an insult harmless,
+says nothing by itself but is a partner. The model is a few arrays of fixed size. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -104,30 +106,61 @@ def _counted(sample: DataFrame, bits: int) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _telling(counts: DataFrame, n0: int, n1: int, limit: int, least: float) -> np.ndarray:
-    """The buckets that speak for label 1 with the largest log likelihood ratio, in rising order.
+def _telling(counts: DataFrame, limit: int, least: float, toward: tuple[int, ...]) -> np.ndarray:
+    """The buckets with the largest log likelihood ratio, of those that speak for a label in ``toward``, in rising order.
 
-    ``least`` keeps out what a million buckets show by chance.
+    ``counts``: ``bucket, n0, n1, all0, all1``. ``least`` keeps out what a million buckets show by chance.
     """
+    n0, n1, all0, all1 = (F.col(c).cast("double") for c in ("n0", "n1", "all0", "all1"))
+    both, n = n0 + n1, all0 + all1
 
     def term(x: Column, expected: Column) -> Column:
         return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
 
-    n = n0 + n1
-    both = F.col("n0") + F.col("n1")
     gain = sum(
-        (
-            term(F.col(c) + F.lit(0.0), both * size / n) + term(size - F.col(c) + F.lit(0.0), (n - both) * size / n)
-            for c, size in (("n0", n0), ("n1", n1))
-        ),
-        F.lit(0.0),
+        (term(x, both * size / n) + term(size - x, (n - both) * size / n) for x, size in ((n0, all0), (n1, all1))), F.lit(0.0)
     )
-    more = F.col("n1") * n > both * n1
-    top = counts.where(more).select("bucket", gain.alias("gain")).where(F.col("gain") >= least)
+    speaks_for = F.when(n1 * n > both * all1, 1).otherwise(0)
+    top = counts.where(speaks_for.isin(*toward)).select("bucket", gain.alias("gain")).where(F.col("gain") >= least)
     rows = top.orderBy(F.desc("gain"), "bucket").limit(limit).collect()
     return np.array(sorted(r["bucket"] for r in rows), np.int64)
 
 
+def _screened(sample: DataFrame, n0: int, n1: int, s: Settings) -> np.ndarray:
+    """The buckets that carry weights, in rising order."""
+    counts = materialize(_counted(sample, s.bits), "counts")
+    whole = counts.withColumns({"all0": F.lit(n0), "all1": F.lit(n1)})
+    chosen = _telling(whole, s.features // 2, s.least_gain, (1,))
+    if not len(chosen):
+        return chosen
+    against = _telling(whole, s.features // 8, s.least_gain, (0,))
+    among = _counted(_holding(sample, chosen, s.bits), s.bits)
+    sizes = _holding(sample, chosen, s.bits).groupBy().agg(
+        F.count_if(F.col("label") == 0).alias("all0"), F.count_if(F.col("label") == 1).alias("all1")
+    )
+    held = sizes.first()
+    partners = chosen[:0]
+    if held["all0"] and held["all1"]:
+        among = among.withColumns({c: F.lit(held[c]) for c in ("all0", "all1")})
+        partners = _telling(among, s.features - len(chosen) - len(against), s.least_gain, (0, 1))
+    return np.unique(np.concatenate([chosen, against, partners]))
+
+
+def _holding(sample: DataFrame, buckets: np.ndarray, bits: int) -> DataFrame:
+    """The rows of the sample that hold one of the buckets."""
+
+    def run(batches):
+        wanted = _wanted(buckets, bits)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows, _ = present(part.column("text"), bits, wanted)
+                held = np.zeros(len(part), bool)
+                held[rows] = True
+                yield part.filter(pa.array(held))
+
+    return sample.mapInArrow(run, sample.schema)
+
+
 def _wanted(buckets: np.ndarray, bits: int) -> np.ndarray:
     marks = np.zeros(1 << bits, bool)
     marks[buckets] = True
@@ -179,8 +212,8 @@ def train(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, size: int,
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """A model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``), both with every row
-    that may be learned from. Null ids and labels other than 0 and 1 are passed over. Without labelled rows the
-    model scores every text 0.5 at zero weights."""
+    that may be learned from. Null ids and labels other than 0 and 1 are passed over; a text with contradicting
+    labels is toxic. Without labelled rows the model scores every text 0.5 at zero weights."""
     s = settings or Settings()
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -191,13 +224,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picked = texts.join(F.broadcast(known), "doc_id")  # at most ``sample_rows`` narrow rows
-    sample = materialize(picked.select("text", "label").dropDuplicates(["text"]), "sample")
+    # One row a text: toxic if any of its rows is.
+    sample = materialize(picked.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("label").alias("label")), "sample")
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     empty = np.zeros(0)
     if not n0 + n1:
         return Model(s.bits, empty.astype(np.int64), 0.0, empty, np.zeros((0, s.factors)))
-    buckets = _telling(_counted(sample, s.bits), n0, n1, s.features, s.least_gain) if n0 and n1 else empty.astype(np.int64)
+    buckets = _screened(sample, n0, n1, s) if n0 and n1 else empty.astype(np.int64)
     collected = _features(sample, buckets, s.bits).collect()  # at most ``sample_rows`` rows
     present_in = [np.frombuffer(r["features"] or b"", np.int32) for r in collected]
     rows = np.repeat(np.arange(len(collected)), [len(x) for x in present_in])

@@ -24,28 +24,35 @@ GRAM_BYTES = (3, 4, 5)
 #: No byte ends a run: blanks inside a URL are part of it.
 _TABLE = bytes(0x5F if b in (0x20, 9, 10, 11, 12, 13) else LOWER[b] for b in range(256))
 
-#: The labelled table that the query trains from: hosts that a crawl refuses, and ordinary ones.
+#: The labelled table that the query trains from: what such lists commonly refuse, and ordinary sites. It names no host
+#: of the given tables.
 BLOCKED = (
-    "spam-farm.example.org/en/1", "www.spam-farm.example.net/es/7.html", "m.spam-farm.example.com/de/22",
-    "adult-x.example.com/en/3", "m.adult-x.example.org/de/100", "blog.adult-x.example.net/fr/15",
-    "casino-win.example.com/en/70", "www.casino-win.example.org/fr/8.html", "m.casino-win.example.net/de/9/",
-    "cheap-pills.example.org/en/5", "www.cheap-pills.example.com/es/31", "blog.cheap-pills.example.net/en/4",
-    "free-bets.example.com/en/810", "www.free-bets.example.org/de/6", "m.free-bets.example.net/fr/2.html",
-    "ads-track.example.org/en/44", "www.ads-track.example.com/fr/3/", "m.ads-track.example.net/es/12",
-    "adult-videos.example.org/watch", "casino-bonus.example.com/play", "poker-casino.example.net/en/4",
-    "free-casino.example.org/de/2", "sports-bets.example.com/en/6", "free-spam.example.com/offer",
-    "link-farm.example.org/en/55", "content-farm.example.com/fr/12", "ads-server.example.net/pixel",
-    "click-track.example.org/en/9", "diet-pills.example.com/buy", "pills-shop.example.net/en/10",
+    "royal-casino.biz/play", "www.casinoslots.info/bonus/7", "casino-bonus.example/spins", "poker-jackpot.org/join",
+    "winbig-lottery.com/en", "easy-win.biz/claim", "win-prizes.info/now", "sportsbetting.net/odds/3", "bets-today.info/live",
+    "betting-odds.biz/tips", "free-spins.biz/offer", "freeringtones.info/get", "free-coupons.biz/x", "spam-mailer.info/send",
+    "bulkspam.net/mail", "link-farm.biz/page/7", "content-farm.info/a/12", "seofarm.net/links", "click-farm.org/likes",
+    "adult-dating.biz/meet", "www.adultvideos.net/watch", "xxx-cams.info/live", "adult-chat.org/room/3", "x-rated.biz/clip",
+    "discount-pills.biz/buy", "diet-pills.org/order", "pills-online.info/cart", "cheap-meds.info/order", "cheapwatches.biz/sale",
+    "cheap-replica.net/bags", "ads-server.net/pixel", "ads.banner-farm.biz/b.js", "popup-ads.info/show", "click-tracker.biz/r",
+    "usertrack.info/px", "track-visitors.net/beacon", "m.online-casino.org/en/70", "www.casino-night.net/fr/8.html",
+    "blog.free-money.org/de/6", "www.bets-club.com/es/31", "m.ads-pool.com/en/44", "www.ad-tracking.org/fr/3/",
+    "blog.spam-king.com/de/22", "m.adult-zone.org/es/7.html", "www.pills-market.com/en/5", "blog.win-money.com/en/4",
+    "m.free-games-casino.net/fr/2.html", "www.bets-arena.org/en/810",
 )
 ALLOWED = (
-    "www.example.com/en/1", "www.example.org/de/22", "www.example.net/es/7.html", "blog.example.com/en/3",
-    "blog.example.net/fr/15", "m.example.org/de/100", "m.example.com/en/8", "news.example.org/watch",
-    "example.net/live", "example.com/play", "example.org/de/2", "library.example.net/en/4",
-    "www.library.example.com/offer", "farming.example.org/list", "adulthood.example.edu/en/55",
-    "university.example.org/fr/12", "docs.example.net/setup.html", "bank.example.com/login",
-    "www.pharmacy.example.org/buy", "wiki.example.net/page", "weather.example.com/get", "blog.then.example.org/es/9",
-    "www.other.example.net/en/1234", "m.theother.example.com/fr/771", "nation.example.net/en/40029",
-    "blog.ration.example.com/de/8/", "thing.example.org/en/21959", "there.example.com/es/38367",
+    "library.uni-city.edu/catalog", "www.weather-service.org/today", "docs.opensource.dev/guide/2", "news-daily.com/world/12",
+    "museum.org/en/visit", "city-council.gov/fr/plan", "blog.gardening.net/2019/roses", "recipes.home.org/soup",
+    "www.railway.co/timetable", "shop.bookstore.com/cart", "farmers-market.org/stalls", "adult-education.edu/courses",
+    "pharmacy-school.edu/admissions", "trackandfield.org/results", "wildlife.park.net/birds", "maps.region.info/de/5",
+    "forum.linux.org/t/99", "wiki.history.net/page", "radio.station.fm/live", "bank.local.com/login", "hospital.org/contact",
+    "chess.club.net/games/4", "freedom-press.org/story", "winter-sports.net/ski", "betterhomes.com/ideas", "cheapside-parish.org/en",
+    "alphabet-school.edu/reader", "bookstores.net/pages/31", "people.university.edu/~kim", "archive.newspaper.com/1999/03",
+    "www.orchestra.org/tickets", "translate.dictionary.net/fr/word", "photos.travel.net/es/7.html", "m.cinema.com/de/22",
+    "data.statistics.gov/en/table", "code.project.dev/issues/8", "www.mountain-hiking.com/en/12", "m.local-theatre.org/de/9/",
+    "blog.baking-bread.net/fr/15", "www.city-orchestra.org/es/12", "m.bus-times.com/en/6", "blog.old-maps.org/en/55",
+    "m.online-courses.org/en/70", "www.museum-night.net/fr/8.html", "blog.free-software.org/de/6", "www.rowing-club.com/es/31",
+    "m.swimming-pool.com/en/44", "www.parcel-tracking.org/fr/3/", "blog.king-penguins.com/de/22", "m.play-zone.org/es/7.html",
+    "www.antiques-market.com/en/5", "blog.pocket-money.com/en/4", "m.board-games.net/fr/2.html", "www.ice-arena.org/en/810",
 )
 
 

@@ -18,11 +18,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import scratch_path
@@ -187,7 +188,7 @@ def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, ref
         f"X-Payload-Length: {len(payload)}",
     ]
     if url:
-        lines.append("WARC-Target-URI: " + "".join(c for c in url if c.isprintable()))
+        lines.append("WARC-Target-URI: " + "".join(c if c.isprintable() else quote(c, safe="") for c in url))
     if refers_to is not None:
         lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
@@ -213,16 +214,21 @@ def parse_record(member: bytes) -> Record:
 
 
 def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, refers_to`` for pages whose payload of at least ``least_bytes`` bytes a larger id also has.
+    """``page_id, size, digest, refers_to`` for pages whose payload of at least ``least_bytes`` bytes a larger id also has.
 
-    Equal payloads are found by length and SHA-1; the response of a group is its largest id.
+    Equal payloads are found by length and SHA-1; the response of a group is its largest id. An id with several
+    payloads has a decision for each of them.
     """
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.octet_length(payload).alias("size"), F.sha1(payload).alias("digest"))
+    rows = pages.select("page_id", *_payload())
     rows = rows.where(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes))
     groups = rows.groupBy("size", "digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     again = rows.join(groups.where("n > 1"), ["size", "digest"]).where("page_id < refers_to")
-    return again.groupBy("page_id").agg(F.max("refers_to").alias("refers_to"))
+    return again.groupBy("page_id", "size", "digest").agg(F.max("refers_to").alias("refers_to"))
+
+
+def _payload() -> tuple[Column, Column]:
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    return F.octet_length(payload).alias("size"), F.sha1(payload).alias("digest")
 
 
 def write_packages(
@@ -231,7 +237,7 @@ def write_packages(
     """Write a record for each row of ``pages`` (``page_id, url, html``); one row (``path``) per package."""
     types = {"page_id": "long", "url": "string", "html": "string"}
     rows = pages.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
-    marked = rows.join(decide(rows, least_bytes), "page_id", "left")
+    marked = rows.select("*", *_payload()).join(decide(rows, least_bytes), ["page_id", "size", "digest"], "left")
 
     def run(batches):
         fs, root = file_system(folder)
@@ -366,7 +372,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0
     """Write ``pages`` as packages and read every record back.
 
     Null html is an empty payload; a null ``page_id`` is written as such, is always a response and never named by
-    another record; of rows that share an id and a payload each is a record of the same kind. Other columns are
+    another record; of rows that share an id and a payload each is a record of the same kind, and an id with several
+    payloads is judged for each of them. Characters of a url that no header can hold are percent-encoded. Other columns are
     ignored; an empty table writes no package. ``folder`` is by default a new one below the shared checkpoint
     folder.
     """

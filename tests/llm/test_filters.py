@@ -79,6 +79,51 @@ def test_machine_learns_a_pair_that_weights_miss():
     assert np.allclose(p, 1 / (1 + np.exp(-brute)))
 
 
+def spoken(kinds, per):
+    """Texts of each kind: prose with the kind's words, each text unlike the others."""
+    out = []
+    for k, words_of_kind in enumerate(kinds):
+        for i in range(per):
+            r = prose(10_000 * k + i, 30).split()
+            for j, w in enumerate(words_of_kind):
+                r.insert(7 * (j + 1), w)
+            out.append(" ".join(r))
+    return out
+
+
+@pytest.mark.parametrize(
+    "kinds, toxic",
+    [
+        # An insult with a group mention; either alone is harmless, and the mention is commoner in harmless texts.
+        ([("grobnik", "zulvarian"), ("grobnik",), ("zulvarian",), ("zulvarian",), ()], [1, 0, 0, 0, 0]),
+        # An insult that is toxic alone and harmless beside a word of quoting, which is as common elsewhere.
+        ([("grobnik",), ("grobnik", "quothsay"), ("quothsay",), ("quothsay",), ()], [1, 0, 0, 0, 0]),
+    ],
+)
+def test_fit_learns_pairs_that_single_terms_miss(spark, kinds, toxic):
+    per = 150
+    texts = spoken(kinds, 2 * per)
+    label = [toxic[i // (2 * per)] for i in range(len(texts))]
+    known = [i for i in range(len(texts)) if i % 2 == 0]
+    table = docs(spark, texts)
+    labels = spark.createDataFrame([(i, label[i]) for i in known], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+    held = [(got[i] >= 0.3, label[i]) for i in range(len(texts)) if i % 2]
+    assert sum(p and t for p, t in held) >= 0.9 * sum(t for _, t in held)
+    assert sum(p and not t for p, t in held) <= 0.05 * sum(not t for _, t in held)
+
+
+def test_a_text_with_contradicting_labels_is_toxic(spark):
+    texts = [prose(i % 40, 30) + (" vileword" if i % 40 < 20 else "") for i in range(80)]
+    rows = [(i, int(i % 40 < 20 and i < 40)) for i in range(80)]  # each text once toxic, once not
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    a, b = (toxicity.fit(docs(spark, texts).repartition(n), labels) for n in (1, 5))
+    assert (a.buckets == b.buckets).all() and np.allclose(a.linear, b.linear)
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, texts), a).collect()}
+    assert min(got[i] for i in range(20)) > 0.3 > max(got[i] for i in range(20, 40))
+
+
 def test_toxicity_on_awkward_tables(spark):
     bad = [prose(i, 40) + " vileword " + prose(50 + i, 20) for i in range(60)]
     table = docs(spark, [prose(200 + i, 60) for i in range(140)] + bad)
@@ -292,6 +337,55 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert got.verdict == verdict or verdict is None
 
 
+def test_url_regression_equals_a_plain_one(spark):
+    """Runs of bytes as they are, weights in a dictionary, one row after the other."""
+    s = urls.Settings(bits=22, steps=40)
+    rows = [(r.url, r.label) for r in urls.labelled_urls(spark).collect()]
+
+    def runs(url):
+        host, _, path = url.partition("://")[2].partition("/")
+        out = set()
+        for mark, text in (("^", host.lower()), (">", "/" + path)):
+            framed = (mark + text + "$").lower().encode()
+            out |= {(mark, framed[i : i + n]) for n in (3, 4, 5) for i in range(len(framed) - n + 1)}
+        return out
+
+    texts, target = [runs(u) for u, _ in rows], [y for _, y in rows]
+    n, ones = len(rows), sum(target)
+    share = [n / (2 * (ones if y else n - ones)) / n for y in target]
+    weights, speed, bias, speed_bias = {}, {}, 0.0, 0.0
+    for _ in range(s.steps):
+        grad, all_errors = {g: s.decay * w for g, w in weights.items()}, 0.0
+        for x, y, part in zip(texts, target, share):
+            margin = bias + sum(weights.get(g, 0.0) for g in x) / len(x) ** 0.5
+            error = (1 / (1 + np.exp(-margin)) - y) * part
+            all_errors += error
+            for g in x:
+                grad[g] = grad.get(g, 0.0) + error / len(x) ** 0.5
+        for g, d in grad.items():
+            speed[g] = 0.9 * speed.get(g, 0.0) - s.rate * d
+            weights[g] = weights.get(g, 0.0) + speed[g]
+        speed_bias = 0.9 * speed_bias - s.rate * all_errors
+        bias += speed_bias
+    table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r.score for r in urls.judge(table, [], urls.fit(urls.labelled_urls(spark), s), s).collect()}
+    for i, x in enumerate(texts):
+        margin = bias + sum(weights.get(g, 0.0) for g in x) / len(x) ** 0.5
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-2)  # a bucket may hold two runs
+
+
+def test_url_hosts_that_were_not_trained_on(spark):
+    """No host of the given pages is in the labelled table; unwanted ones are still told apart."""
+    unwanted = ("spam-farm", "adult-x", "casino-win", "cheap-pills", "free-bets", "ads-track")
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = urls.judge(table, [], urls.fit(urls.labelled_urls(spark))).filter("host <> ''").collect()
+    trained = {u.split("/")[0] for u in (*urls.BLOCKED, *urls.ALLOWED)}
+    assert not any(r.host in trained or any(n in t for t in trained for n in unwanted) for r in got)
+    bad = [r.verdict == "block" for r in got if any(n in r.host for n in unwanted)]
+    good = [r.verdict == "allow" for r in got if not any(n in r.host for n in unwanted)]
+    assert np.mean(bad) >= 0.9 and np.mean(good) >= 0.95
+
+
 def test_url_model(spark):
     table = spark.createDataFrame([(None, None), (2, ""), (2, "")], "page_id long, url string")
     model = urls.fit(urls.labelled_urls(spark))

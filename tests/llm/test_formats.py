@@ -202,21 +202,62 @@ def test_long_conversations_keep_their_spans():
     short = chat.Renderer(chat.marked, history=4)
     out = [short.add(t) for t in turns]
     whole = chat.marked(turns)
-    assert "".join(p for p, *_ in out) == whole and all(x[-1] for x in out)
+    assert "".join(p for p, *_ in out) == whole and {x[-1] for x in out} == {chat.KEPT}
     assert [whole[lo:hi] for _, _, lo, hi, _ in out] == [t for _, t in turns]
 
 
+def number_templates():
+    """The same template twice, as a black box and one that goes on from a state (made here: tasks take it by value)."""
+
+    def numbered(turns):
+        return "BEGIN" + "".join(f"<{i}>{t}" for i, (_, t) in enumerate(turns))
+
+    class Numbered(chat.Resumable):
+        def begin(self):
+            return "BEGIN", 0
+
+        def turn(self, state, turn):
+            return f"<{state}>{turn[1]}", state + 1
+
+    return numbered, Numbered()
+
+
 def test_templates_that_rewrite_history_are_noticed():
     shortens = lambda turns: "".join(f"{r}:{t}\n" if i == len(turns) - 1 else f"{r}\n" for i, (r, t) in enumerate(turns))
     r = chat.Renderer(shortens)
-    assert r.add(("user", "a"))[-1] and not r.add(("assistant", "b"))[-1] and not r.add(("user", "c"))[-1]
-    numbered = lambda turns: "BEGIN" + "".join(f"<{i}>{t}" for i, (_, t) in enumerate(turns))
-    r = chat.Renderer(numbered, history=3)
-    got = [r.add(("user", f"t{i}"))[-1] for i in range(9)]
-    assert got == [True] * 6 + [False] * 3
+    assert [r.add((who, "a"))[-1] for who in ("user", "assistant", "user")] == [chat.KEPT, chat.REWRITTEN, chat.REWRITTEN]
     trims = lambda turns: "".join(f"[{t.strip()}]" for _, t in turns)
-    piece, start, lo, hi, stable = chat.Renderer(trims).add(("user", "  x "))
-    assert (piece, piece[lo:hi], stable) == ("[x]", "x", True)
+    piece, start, lo, hi, status = chat.Renderer(trims).add(("user", "  x "))
+    assert (piece, piece[lo:hi], status) == ("[x]", "x", chat.KEPT)
+
+
+def test_a_cut_history_is_not_a_rewritten_one():
+    """A black box that looks further back than the history: nothing was rewritten, but spans end at the cut."""
+    r = chat.Renderer(number_templates()[0], history=3)
+    out = [r.add(("user", f"t{i}")) for i in range(9)]
+    assert [x[-1] for x in out] == [chat.KEPT] * 6 + [chat.CUT] * 3 and all(x[:4] == (None,) * 4 for x in out[6:])
+
+    def wants_the_beginning(turns):
+        if turns and turns[0][0] != "system":
+            raise ValueError("the first turn must be the system's")
+        return chat.marked(turns)
+
+    r = chat.Renderer(wants_the_beginning, history=2)
+    got = [r.add(("system" if i == 0 else "user", "x"))[-1] for i in range(7)]
+    assert got == [chat.KEPT] * 4 + [chat.CUT] * 3
+
+
+def test_resumable_templates_keep_spans_at_any_length(spark):
+    texts = [f"t{i}" for i in range(400)]
+    numbered, resumable = number_templates()
+    r = chat.Renderer(resumable, history=3)
+    out = [r.add(("user", t)) for t in texts]
+    whole = numbered([("user", t) for t in texts])
+    assert "".join(x[0] for x in out) == whole and {x[-1] for x in out} == {chat.KEPT}
+    assert [whole[x[2] : x[3]] for x in out] == texts
+    table = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts[:150])], "conv_id long, turn long, role string, text string")
+    for template, status in ((resumable, {chat.KEPT}), (numbered, {chat.KEPT, chat.CUT})):
+        assert {r.status for r in chat.format_turns(table, template).collect()} == status
 
 
 # --- archives
@@ -247,6 +288,21 @@ def test_archives_round_trip(spark, tmp_path):
     assert names and all(zipfile.ZipFile(p).testzip() is None for p in names)
 
 
+def test_an_id_with_several_payloads_is_judged_for_each(spark, tmp_path):
+    rows = [(1, "u", "AAA"), (1, "u", "BBB"), (2, "u", "AAA"), (3, "a b\x07c\u200b\n", "CCC")]
+    located = warc.places(warc.write_packages(pages(spark, rows), f"file://{tmp_path}"), f"file://{tmp_path}")
+    got = warc.read_records(located, f"file://{tmp_path}").collect()
+    kinds = {(r.page_id, r.payload_digest): (r.record_type, r.refers_to, r.payload and bytes(r.payload).decode()) for r in got}
+    digest = {t: warc.digest_of(t.encode()) for t in ("AAA", "BBB", "CCC")}
+    assert kinds == {
+        (1, digest["AAA"]): ("revisit", 2, None),
+        (1, digest["BBB"]): ("response", None, "BBB"),
+        (2, digest["AAA"]): ("response", None, "AAA"),
+        (3, digest["CCC"]): ("response", None, "CCC"),
+    }
+    assert {r.url for r in got if r.page_id == 3} == {"a b%07c%E2%80%8B%0A"}
+
+
 class Source(io.BytesIO):
     def size(self):
         return len(self.getvalue())
