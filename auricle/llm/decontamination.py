@@ -12,13 +12,15 @@ of the item's rarest windows, so only those make candidate pairs: a phrase that
 
 A text is read in three ways (``READINGS``): names inside a sentence are slots; every capitalised word is one, so names
 that open a sentence or follow a number or quote are too; none is, so case does not matter. The later readings judge
-documents in which the first found nothing, but for pairs that it covered and whose values disagreed.
+documents in which the first found nothing, but for pairs that it covered and whose values disagreed. A text is
+marked once, names inside a sentence and other capitalised words apart; the words of a reading follow from the marks.
 
 Items without such a window (short ones, or hardly any word that is no slot) are met whole: their words, slot values
 included, one after the other.
 
-Window hashes of the benchmark are broadcast in blocks of at most ``block_rows``; a larger benchmark is joined
-block after block.
+One pass over the texts hashes the windows of all readings, and the beginnings of whole items, beside each other.
+Hashes of the benchmark are broadcast in blocks of at most ``block_rows``; a larger benchmark is joined block after
+block.
 """
 
 from __future__ import annotations
@@ -32,14 +34,16 @@ from pyspark.sql.window import Window
 
 from .common import fenced, materialize
 
-NAME, NUMBER, INNER, UNIT = "\ue000", "\ue001", "\ue002", "\ue003"  # private use, not in BREAKS
+NAME, NUMBER, INNER, UNIT, OPENER = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"  # private use, not in BREAKS
 UNITS = (
     "km", "m", "cm", "mm", "mi", "miles", "ft", "feet", "inches", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml",
     "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "mph", "kmh",
     "percent", "dollars", "euros", "usd", "eur", "cents", "degrees", "hz", "khz", "mhz", "ghz", "w", "kw", "v",
 )
-#: What is a name, by reading; the first one decides where it finds something.
-READINGS = {"inner": r"(?<=[\p{Ll},;:] )(\p{Lu}\p{L}+)", "all": r"(?<!\p{L})(\p{Lu}\p{L}+)", "folded": None}
+#: What is a name: by the first reading a capitalised word inside a sentence, by the second every one, by the third none.
+READINGS = ("inner", "all", "folded")
+INNER_NAME = r"(?<=[\p{Ll},;:] )(\p{Lu}\p{L}+)"
+OTHER_NAME = r"(?:^|(?<=[\x00-\x40\x5B-\x60\x7B-\x7F]))(\p{Lu}\p{L}+)"
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -56,37 +60,58 @@ def _replace(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 
 
-def canonical_words(text: Column, reading: str = "inner") -> Column:
-    """Words of a text; a placeholder keeps its value after its mark."""
+def marked_words(text: Column) -> Column:
+    """Words of a text; a placeholder keeps its value after its mark, and capitalised words have a mark of their kind."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    names = READINGS[reading]
-    named = _replace(text, names, f"{NAME}$1") if names else text
+    named = _replace(_replace(text, INNER_NAME, f"{NAME}$1"), OTHER_NAME, f"{OPENER}$1")
     low = F.lower(named)
     joined = _replace(low, r"(?<=[0-9])[.,:/](?=[0-9])", INNER)
-    marked = _replace(joined, f"[0-9][0-9{INNER}]*", f" {NUMBER}$0 ")
+    numbered = _replace(joined, f"[0-9][0-9{INNER}]*", f" {NUMBER}$0 ")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    united = _replace(marked, f"({NUMBER}[0-9{INNER}]+ +)({units})(?![\\p{{L}}0-9])", f"$1{UNIT}$2")
+    unit = f"({NUMBER}[0-9{INNER}]+ +)({OPENER}?)({units})(?![\\p{{L}}0-9])"
+    united = _replace(numbered, unit, f"$1{UNIT}$2$3")
     plain = F.when(low.rlike("[0-9]"), united).otherwise(low)
     return F.array_remove(F.split(plain, BREAKS), "")
 
 
+def read_as(word: Column, reading: str) -> Column:
+    """A marked word as a reading has it. Most words sort before all marks and stay as they are."""
+    if reading == "inner":
+        special = F.replace(word, F.lit(OPENER), F.lit(""))
+    elif reading == "all":
+        special = (
+            F.when(F.startswith(word, F.lit(OPENER)), F.concat(F.lit(NAME), F.substring(word, 2, 2**31 - 1)))
+            .when(F.startswith(word, F.lit(UNIT + OPENER)), F.concat(F.lit(NAME), F.substring(word, 3, 2**31 - 1)))
+            .otherwise(word)
+        )
+    else:
+        special = F.replace(F.replace(word, F.lit(OPENER), F.lit("")), F.lit(NAME), F.lit(""))
+    return F.when(word < NAME, word).otherwise(special)
+
+
+def canonical_words(text: Column, reading: str = "inner") -> Column:
+    """Words of a text by a reading; a placeholder keeps its value after its mark."""
+    return F.transform(marked_words(text), lambda w: read_as(w, reading))
+
+
 def _is_slot(word: Column) -> Column:
     return F.substring(word, 1, 1).isin(NAME, NUMBER, UNIT)
 
 
 def _template(word: Column) -> Column:
-    return F.when(_is_slot(word), F.substring(word, 1, 1)).otherwise(word)
+    return F.when((word >= NAME) & _is_slot(word), F.substring(word, 1, 1)).otherwise(word)
 
 
-def _window_hashes(rows: DataFrame, size: int) -> DataFrame:
-    """Adds ``_windows``, the template hashes of all windows of ``_words``; none in a shorter text."""
-    rows = rows.withColumn("_hashed", F.transform("_words", lambda w: F.xxhash64(_template(w))))
-    at = lambda i, k: F.get("_hashed", i + k)
-    wins = F.transform(
-        F.sequence(F.lit(0), F.size("_hashed") - size), lambda i: F.xxhash64(*[at(i, k) for k in range(size)])
-    )
-    empty = F.array().cast("array<bigint>")
-    return fenced(rows.withColumn("_windows", F.when(F.size("_hashed") >= size, wins).otherwise(empty)).drop("_hashed"))
+def _reading_hashes(words: Column, reading: str) -> Column:
+    """Hashes of the template words by a reading."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(w < NAME, w).otherwise(_template(read_as(w, reading)))))
+
+
+def _run_hash(hashes: str, at: str, size: int) -> Column:
+    """Hash of ``size`` entries from a position on; null where there are not as many. A plain expression, so that it is
+    compiled: the rows are positions, not arrays of windows."""
+    entries = [F.get(F.col(hashes), F.col(at) + k) for k in range(size)]
+    return F.when(F.col(at) <= F.size(hashes) - size, F.xxhash64(*entries))
 
 
 def _items(benchmark: DataFrame, reading: str = "inner") -> DataFrame:
@@ -105,7 +130,11 @@ def item_windows(benchmark: DataFrame, s: Settings, reading: str = "inner") -> D
     rows = _items(benchmark, reading)
     rows = rows.withColumn("_key", F.sha2(F.array_join(F.transform("_words", _template), " "), 256))
     first = rows.groupBy("_key").agg(F.min_by("_words", F.struct("item", "_words")).alias("_words"), F.min("item").alias("item"))
-    exploded = _window_hashes(first, s.window).select("item", "_words", F.posexplode("_windows").alias("q", "hash"))
+    hashed = fenced(first.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(_template(w)))))
+    exploded = hashed.select("item", "_words", "_h", F.posexplode("_h").alias("q", "_")).select(
+        "item", "_words", "q", _run_hash("_h", "q", s.window).alias("hash")
+    )
+    exploded = fenced(exploded).where("hash IS NOT NULL")
     values = F.slice("_words", F.col("q") + 1, s.window)
     kept = exploded.select("item", "hash", "q", values.alias("values")).where(
         F.size(F.filter("values", lambda w: ~_is_slot(w))) >= s.literals
@@ -138,50 +167,70 @@ def whole_items(benchmark: DataFrame, s: Settings) -> DataFrame:
     bare = (F.size("_words") > 0) & F.when(F.size("_words") >= s.window, F.forall(thin, lambda x: x)).otherwise(True)
     rows = _items(benchmark).where(bare).groupBy(words.alias("values")).agg(F.min("item").alias("item"))
     rows = rows.withColumn("span", F.least(F.size("values"), F.lit(s.window)))
-    first = F.xxhash64(F.array_join(F.slice("values", F.lit(1), F.col("span")), " "))
-    return materialize(rows.withColumn("hash", first), "whole")
+    hashed = F.transform("values", lambda w: F.xxhash64(w))
+    return materialize(rows.withColumn("hash", F.xxhash64(F.slice(hashed, F.lit(1), F.col("span")))), "whole")
 
 
 def _folded(word: Column) -> Column:
     return F.when(F.substring(word, 1, 1) == NAME, F.substring(word, 2, 2**31 - 1)).otherwise(word)
 
 
-def _contains(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
+def _met(docs: DataFrame, items: dict[str, DataFrame], whole: DataFrame, s: Settings) -> DataFrame:
+    """``_key, tag, hash, p, found``: the places in documents where evidence of a reading, or the beginning of a whole
+    item, stands. ``tag`` is the reading's number, or that of the readings plus the span; ``found`` are the marked words
+    from ``p`` on, as many as a window or the longest item of the span has."""
+    first = len(READINGS)
+    spans = {r["span"]: r["longest"] for r in whole.groupBy("span").agg(F.max(F.size("values")).alias("longest")).collect()}
+    parts = [items[r].select("hash", F.lit(t).alias("of")) for t, r in enumerate(READINGS)]
+    parts.append(whole.select("hash", (F.col("span") + first).alias("of")))
+    evidence = materialize(reduce(DataFrame.unionAll, parts).distinct(), "evidence")
+
+    rows = fenced(docs.select(document_key().alias("_key"), marked_words(F.col("text")).alias("_words")))
+    hashed = {f"_h{t}": _reading_hashes(F.col("_words"), r) for t, r in enumerate(READINGS)}
+    if spans:
+        hashed["_plain"] = F.transform("_words", lambda w: F.xxhash64(read_as(w, "folded")))
+    rows = fenced(rows.withColumns(hashed)).select("*", F.posexplode("_h0").alias("p", "_"))
+    # One place of a text is one row; the runs that begin there are hashed by each reading.
+    runs = {t: _run_hash(f"_h{t}", "p", s.window) for t in range(first)}
+    runs |= {first + span: _run_hash("_plain", "p", span) for span in sorted(spans)}
+    tags = F.array(*[F.lit(t) for t in runs])
+    placed = rows.select("_key", "_words", "p", F.posexplode(F.array(*runs.values())).alias("_t", "hash"))
+    placed = placed.select("_key", "_words", "p", F.get(tags, F.col("_t")).alias("tag"), "hash")
+    length = F.lit(s.window)
+    for span, longest in spans.items():
+        length = F.when(F.col("tag") == first + span, longest).otherwise(length)
+    blocks = max(1, -(-evidence.count() // s.block_rows))
+    met = []
+    for b in range(blocks):
+        block = evidence.where(F.pmod("hash", F.lit(blocks)) == b)  # <= block_rows narrow rows
+        met.append(placed.join(F.broadcast(block), "hash").where(F.col("tag") == F.col("of")))
+    found = F.slice("_words", F.col("p") + 1, length).alias("found")
+    return materialize(reduce(DataFrame.unionAll, met).select("_key", "tag", "hash", "p", found), "met")
+
+
+def _contains(met: DataFrame, whole: DataFrame) -> DataFrame:
     """The pairs of ``find`` for ``whole_items``; a copy counts as one window."""
-    items = whole_items(benchmark, s)
-    words = F.transform(canonical_words(F.col("text")), _folded)
-    parts = []
-    for r in items.groupBy("span").agg(F.count_distinct("hash").alias("n")).orderBy("span").collect():  # 1 to ``window``
-        rows = fenced(docs.select(document_key().alias("_key"), words.alias("_words")))
-        places = F.sequence(F.lit(0), F.size("_words") - r["span"])
-        hashes = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("_words", i + 1, r["span"]), " ")))  # noqa: B023
-        wins = fenced(rows.where(F.size("_words") >= r["span"]).withColumn("_windows", hashes))
-        wins = wins.select("_key", "_words", F.posexplode("_windows").alias("p", "hash"))
-        mine, blocks = items.where(F.col("span") == r["span"]), -(-r["n"] // s.block_rows)
-        for b in range(blocks):
-            evidence = mine.where(F.pmod("hash", F.lit(blocks)) == b).select("hash").distinct()
-            found = wins.join(F.broadcast(evidence), "hash")  # <= block_rows longs
-            # The longest item bounds what follows the place.
-            longest = mine.agg(F.max(F.size("values"))).first()[0]
-            here = F.slice("_words", F.col("p") + 1, F.lit(longest)).alias("here")
-            here = materialize(found.select("_key", "hash", here).distinct(), "here").join(mine, "hash")
-            parts.append(here.where(F.slice("here", F.lit(1), F.size("values")) == F.col("values")))
+    read = F.transform("found", lambda w: read_as(w, "folded"))
+    first = len(READINGS)
+    here = met.where(F.col("tag") > first).select("_key", "hash", read.alias("here"), (F.col("tag") - first).alias("span")).distinct()
+    pairs = here.join(whole, ["hash", "span"]).where(F.slice("here", F.lit(1), F.size("values")) == F.col("values"))
     slots = F.size(F.filter("values", _is_slot)).cast("long")
     one = F.lit(1).cast("long")
     shape = [one.alias("matched"), one.alias("size"), slots.alias("slots"), slots.alias("consistent"), F.lit(1.0).alias("coverage")]
-    if not parts:
-        none = items.select(F.lit("").alias("_key"), "item", *shape).where("false")
-        return none
-    return reduce(DataFrame.unionAll, parts).select("_key", "item", *shape).distinct()
+    return pairs.select("_key", "item", *shape).distinct()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One row per contaminated pair: ``_key`` (see ``document_key``), ``item``, ``matched``, ``size``,
     ``coverage``, ``slots`` and ``consistent`` slot values."""
     s = settings or Settings()
-    covered = materialize(_covers(docs, benchmark, s, "inner"), "covered")
-    first = materialize(covered.where("agrees").drop("agrees").unionByName(_contains(docs, benchmark, s)), "first")
-    others = reduce(DataFrame.unionByName, [_covers(docs, benchmark, s, r) for r in list(READINGS)[1:]]).where("agrees")
+    items = {r: item_windows(benchmark, s, r) for r in READINGS}
+    whole = whole_items(benchmark, s)
+    met = _met(docs, items, whole, s)
+    covers = [_covers(met, items[r], s, t, r) for t, r in enumerate(READINGS)]
+    covered = materialize(covers[0], "covered")
+    first = materialize(covered.where("agrees").drop("agrees").unionByName(_contains(met, whole)), "first")
+    others = reduce(DataFrame.unionByName, covers[1:]).where("agrees")
     others = others.join(first.select("_key").distinct(), "_key", "left_anti")
     others = others.join(covered.where("NOT agrees").select("_key", "item"), ["_key", "item"], "left_anti")
     best = F.max(F.struct("coverage", "matched", "size", "slots", "consistent")).alias("b")
@@ -189,21 +238,10 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None
     return materialize(first.unionByName(one), "found")
 
 
-def _covers(docs: DataFrame, benchmark: DataFrame, s: Settings, reading: str) -> DataFrame:
+def _covers(met: DataFrame, items: DataFrame, s: Settings, tag: int, reading: str) -> DataFrame:
     """The pairs with enough coverage by one reading; ``agrees`` where the slot values do."""
-    items = item_windows(benchmark, s, reading)
-    evidence = items.select("hash").distinct()
-    blocks = max(1, -(-evidence.count() // s.block_rows))
-    rows = docs.select(document_key().alias("_key"), canonical_words(F.col("text"), reading).alias("_words"))
-    wins = _window_hashes(rows, s.window).select("_key", "_words", F.posexplode("_windows").alias("p", "hash"))
-    parts = [
-        wins.join(F.broadcast(evidence.where(F.pmod("hash", F.lit(blocks)) == b)), "hash")  # <= block_rows longs
-        for b in range(blocks)
-    ]
-    met = reduce(DataFrame.unionAll, parts).select(
-        "_key", "hash", "p", F.slice("_words", F.col("p") + 1, s.window).alias("found")
-    )
-    met = materialize(met, "met")
+    found = F.transform("found", lambda w: read_as(w, reading)).alias("found")
+    met = met.where(F.col("tag") == tag).select("_key", "hash", "p", found)
     needed = F.ceil(F.col("size") * s.coverage - 1e-9)
     rare = items.where(F.col("rank") <= F.col("size") - needed + 1).select("item", "hash").distinct()
     pairs = met.select("_key", "hash").distinct().join(rare, "hash").select("_key", "item").distinct()

@@ -85,12 +85,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _words_sql(column: str) -> str:
+def _words_sql(column: str, reading: str) -> str:
     """``decontamination.canonical_words`` as SQL. Patterns that look around are applied twice instead."""
     d = decontamination
     out = f"coalesce({column}, '')"
-    for _ in range(2):
-        out = f"regexp_replace({out}, '([\\p{{Ll}},;:] )(\\p{{Lu}}\\p{{L}}+)', '\\1{d.NAME}\\2', 'g')"
+    names = {"inner": "([\\p{Ll},;:] )", "all": "(^|[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F])"}
+    if reading in names:
+        for _ in range(2):
+            out = f"regexp_replace({out}, '{names[reading]}(\\p{{Lu}}\\p{{L}}+)', '\\1{d.NAME}\\2', 'g')"
     out = f"lower({out})"
     for _ in range(2):
         out = f"regexp_replace({out}, '([0-9])[.,:/]([0-9])', '\\1{d.INNER}\\2', 'g')"
@@ -102,53 +104,82 @@ def _words_sql(column: str) -> str:
     return f"list_filter(string_split_regex({out}, '{d.BREAKS}'), lambda w: w <> '')"
 
 
-def _contaminated_sql() -> str:
+def _reading_sql(r: str) -> str:
+    """The pairs that a reading covers, as the table ``pairs_<reading>``."""
     d, s = decontamination, decontamination.Settings()
     slot = f"substr(w, 1, 1) IN ('{d.NAME}', '{d.NUMBER}', '{d.UNIT}')"
     template = f"lambda w: CASE WHEN {slot} THEN substr(w, 1, 1) ELSE w END"
     cut = f"words[place + 1 : place + {s.window}]"
     window = f"array_to_string(list_transform({cut}, {template}), ' ')"
     return f"""
-    WITH items AS (
-        SELECT item_id AS item, {_words_sql("text")} AS words FROM benchmark WHERE item_id IS NOT NULL
-    ), firsts AS (
+    items_{r} AS (
+        SELECT item_id AS item, {_words_sql("text", r)} AS words FROM benchmark WHERE item_id IS NOT NULL
+    ), firsts_{r} AS (
         SELECT min(item) AS item, arg_min(words, (item, words)) AS words
-        FROM items GROUP BY array_to_string(list_transform(words, {template}), ' ')
-    ), placed AS (
-        SELECT item, words, unnest(range(0, len(words) - {s.window} + 1)) AS place FROM firsts
-    ), evidence AS (
-        SELECT item, place AS q, {window} AS win, {cut} AS vals FROM placed
+        FROM items_{r} GROUP BY array_to_string(list_transform(words, {template}), ' ')
+    ), placed_{r} AS (
+        SELECT item, words, unnest(range(0, len(words) - {s.window} + 1)) AS place FROM firsts_{r}
+    ), evidence_{r} AS (
+        SELECT item, place AS q, {window} AS win, {cut} AS vals FROM placed_{r}
         WHERE len(list_filter({cut}, lambda w: NOT ({slot}))) >= {s.literals}
-    ), sizes AS (
-        SELECT item, count(DISTINCT win) AS size FROM evidence GROUP BY item
-    ), texts AS (
-        SELECT doc_id, {_words_sql("text")} AS words FROM documents
-    ), doc_places AS (
-        SELECT doc_id, words, unnest(range(0, len(words) - {s.window} + 1)) AS place FROM texts
-    ), met AS (
+    ), sizes_{r} AS (
+        SELECT item, count(DISTINCT win) AS size FROM evidence_{r} GROUP BY item
+    ), texts_{r} AS MATERIALIZED (
+        SELECT doc_id, {_words_sql("text", r)} AS words FROM documents
+    ), doc_places_{r} AS (
+        SELECT doc_id, words, unnest(range(0, len(words) - {s.window} + 1)) AS place FROM texts_{r}
+    ), met_{r} AS MATERIALIZED (
         SELECT w.doc_id, e.item, e.win, e.q, w.place AS p, e.vals, w.found
-        FROM (SELECT doc_id, place, {window} AS win, {cut} AS found FROM doc_places) w JOIN evidence e USING (win)
-    ), covered AS (
-        SELECT doc_id, item, count(DISTINCT win) AS matched FROM met GROUP BY doc_id, item
-    ), slots AS (
+        FROM (SELECT doc_id, place, {window} AS win, {cut} AS found FROM doc_places_{r}) w JOIN evidence_{r} e USING (win)
+    ), covered_{r} AS (
+        SELECT doc_id, item, count(DISTINCT win) AS matched FROM met_{r} GROUP BY doc_id, item
+    ), slots_{r} AS (
         SELECT doc_id, item, count(*) AS slots, count(*) FILTER (one) AS consistent FROM (
             SELECT doc_id, item, p - q AS shift, w, min(found[j]) = max(found[j]) AS one
-            FROM (SELECT *, vals[j] AS w FROM (SELECT *, unnest(range(1, {s.window + 1})) AS j FROM met)) WHERE {slot}
+            FROM (SELECT *, vals[j] AS w FROM (SELECT *, unnest(range(1, {s.window + 1})) AS j FROM met_{r})) WHERE {slot}
             GROUP BY doc_id, item, shift, w
         ) GROUP BY doc_id, item
-    ), found AS (
+    ), pairs_{r} AS MATERIALIZED (
         SELECT c.doc_id, c.item, c.matched, z.size, c.matched / z.size::DOUBLE AS coverage,
-               coalesce(t.slots, 0) AS slots, coalesce(t.consistent, 0) AS consistent
-        FROM covered c JOIN sizes z USING (item) LEFT JOIN slots t ON t.doc_id = c.doc_id AND t.item = c.item
+               coalesce(t.slots, 0) AS slots, coalesce(t.consistent, 0) AS consistent,
+               coalesce(t.consistent, 0) >= {s.agreement} * coalesce(t.slots, 0) AS agrees
+        FROM covered_{r} c JOIN sizes_{r} z USING (item) LEFT JOIN slots_{r} t ON t.doc_id = c.doc_id AND t.item = c.item
         WHERE c.matched >= ceil(z.size * {s.coverage}::DOUBLE - 1e-9)
-          AND coalesce(t.consistent, 0) >= {s.agreement} * coalesce(t.slots, 0)
+    )"""
+
+
+def _contaminated_sql() -> str:
+    d, s = decontamination, decontamination.Settings()
+    slot = f"substr(w, 1, 1) IN ('{d.NAME}', '{d.NUMBER}', '{d.UNIT}')"
+    pair = "doc_id, item, matched, size, coverage, slots, consistent"
+    return f"""
+    WITH {",".join(_reading_sql(r) for r in d.READINGS)}, whole AS (
+        SELECT f.words AS vals, min(item) AS item FROM items_inner i JOIN items_folded f USING (item)
+        WHERE len(i.words) > 0 AND len(list_filter(range(0, len(i.words) - {s.window} + 1),
+            lambda p: len(list_filter(i.words[p + 1 : p + {s.window}], lambda w: NOT ({slot}))) >= {s.literals})) = 0
+        GROUP BY f.words
+    ), contained AS (
+        SELECT DISTINCT doc_id, item, CAST(1 AS BIGINT) AS matched, CAST(1 AS BIGINT) AS size, 1.0::DOUBLE AS coverage,
+               len(list_filter(vals, lambda w: {slot})) AS slots, len(list_filter(vals, lambda w: {slot})) AS consistent
+        FROM (SELECT *, unnest(range(0, len(words) - len(vals) + 1)) AS p FROM texts_folded, whole)
+        WHERE words[p + 1 : p + len(vals)] = vals
+    ), first AS (
+        SELECT {pair} FROM pairs_inner WHERE agrees UNION ALL SELECT {pair} FROM contained
+    ), later AS (
+        SELECT doc_id, item, max((coverage, matched, size, slots, consistent)) AS m
+        FROM (SELECT * FROM pairs_all UNION ALL SELECT * FROM pairs_folded) o
+        WHERE agrees AND doc_id NOT IN (SELECT doc_id FROM first)
+          AND NOT EXISTS (SELECT 1 FROM pairs_inner n WHERE NOT n.agrees AND n.doc_id = o.doc_id AND n.item = o.item)
+        GROUP BY doc_id, item
+    ), found AS (
+        SELECT * FROM first UNION ALL SELECT doc_id, item, m[2], m[3], m[1], m[4], m[5] FROM later
     ), best AS (
         SELECT doc_id, count(*) AS items, max((coverage, -item)) AS top FROM found GROUP BY doc_id
     )
     SELECT x.doc_id, b.items IS NOT NULL AS contaminated, coalesce(b.items, 0) AS items, f.item AS item_id,
            f.matched AS matched_windows, f.size AS item_windows, f.coverage, f.slots, f.consistent AS consistent_slots
     FROM documents x LEFT JOIN best b ON b.doc_id = x.doc_id
-    LEFT JOIN found f ON f.doc_id = x.doc_id AND (f.coverage, -f.item) = b.top
+    LEFT JOIN found f ON f.doc_id = b.doc_id AND f.item = -b.top[2]
     """
 
 

@@ -9,7 +9,7 @@ from helpers import WORD, awkward, docs, empty, prose, words
 from pyspark.sql import functions as F
 
 from auricle.llm import decontamination, quality, suffix_tree, toxicity, urls
-from auricle.llm.queries import QUERIES, URL_RULES
+from auricle.llm.queries import ORACLES, QUERIES, URL_RULES
 
 
 # --- quality rules
@@ -223,6 +223,28 @@ def test_names_count_wherever_they_stand_and_case_does_not(spark):
     assert not decontamination.report(docs(spark, [mixed]), bench, strict).first().contaminated
 
 
+def test_every_reading_equals_its_sql(spark):
+    """The twin knows all readings and whole items: the items of the tests above, and mixtures of them."""
+    import duckdb
+
+    long = "Anna buys 12 apples at the market. Anna gives 5 of them to Bert. How many apples does Anna keep after 3 Km?"
+    items = [ITEM, long, "What is the capital of France?", "Compute 3 + 4 * 12 - 5.", "What is 12 * 45 + 7 - 3 * 8 / 2 + 19?", long, " ", None]
+    bench = spark.createDataFrame([(i + 1, t) for i, t in enumerate(items)], "item_id long, text string")
+    filler = prose(4, 30)
+    texts = [f"{filler}. {t} {filler}" for t in items if t]
+    texts += [changed(t) for t in items if t] + [t.lower() for t in items if t] + [t.upper() for t in items if t]
+    texts += [long.replace("12", "x"), long + " " + ITEM, changed(long).replace("does Carla", "does Otto"), "“Anna” 5 km, 7 Euros. 3,5 KG", None, ""]
+    texts += [ITEM.replace("Anna", "anna"), long.replace("keep", "keep,"), f"5{long}", f"“{long}"]
+    table = docs(spark, texts)
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    con.register("benchmark", bench.toPandas())
+    columns = decontamination.report(table, bench).columns
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op3_template_windows']}) ORDER BY doc_id").fetchall()
+    got = [tuple(r) for r in decontamination.report(table, bench).orderBy("doc_id").collect()]
+    assert got == want and sum(r[1] for r in got) >= 15 and {r[3] for r in got} >= {1, 2, 3, 4, 5, None}
+
+
 # --- suffix tree
 
 
