@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank_to_null, messages, seeded_key
+from ..session import cut_lineage
 from .ordered import first_row, small_side, top_n
 
 
@@ -68,26 +69,58 @@ def priority_assign(
     """Give each row to the first rule that takes it; rows cut by a cap stay available.
 
     A capped rule draws its rows in seeded order. Only the order key of its last accepted
-    row is needed to mark them, so the rules stay one chain of column expressions.
+    row is needed to mark them, so the rules stay one chain of column expressions. Those keys are found on the few
+    rows that a cap can reach, which one scan of the table brings together. Rows that share an id count once.
     """
-    out = df.withColumns({name: F.lit(None).cast("string"), "_key": seeded_key(seed, id_col)})
-    for rule in rules:
-        free = F.col(name).isNull() & F.coalesce(rule.predicate, F.lit(False))
-        taken = free
+    keyed = df.withColumn("_key", seeded_key(seed, id_col))
+    id_type = df.schema[id_col].dataType
+
+    def chain(rows: DataFrame, wants: Sequence[Column], ends: Mapping[int, tuple | None]) -> DataFrame:
+        """``rows`` with the class that the rules up to the last one in ``ends`` give."""
+        out = rows.withColumn(name, F.lit(None).cast("string"))
+        for i, rule in enumerate(rules[: len(ends)]):
+            taken = F.col(name).isNull() & wants[i]
+            if ends[i] is not None:
+                key, last = ends[i]
+                taken &= F.struct("_key", id_col) <= F.struct(F.lit(key), F.lit(last).cast(id_type))
+            out = out.withColumn(name, F.when(taken, F.lit(rule.name)).otherwise(F.col(name)))
+        return out
+
+    few = _within_reach(keyed, id_col, rules)
+    flags = [F.col("_p")[i] for i in range(len(rules))]
+    ends: dict[int, tuple | None] = {}
+    for i, rule in enumerate(rules):
+        end = None
         if rule.cap is not None:
-            drawn = top_n(
-                out.filter(free).select("_key", id_col), [], [F.col("_key"), F.col(id_col)], rule.cap, [id_col]
-            )
-            last = drawn.agg(
-                F.count(F.lit(1)).alias("n"), F.max(F.struct("_key", id_col)).alias("last")
-            ).first()
+            free = chain(few, flags, ends).filter(F.col(name).isNull() & flags[i])
+            drawn = top_n(free.select("_key", id_col), [], [F.col("_key"), F.col(id_col)], rule.cap, [id_col])
+            last = drawn.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("_key", id_col)).alias("last")).first()
             if last["n"] == rule.cap:
-                taken = free & (
-                    F.struct("_key", id_col)
-                    <= F.struct(F.lit(last["last"]["_key"]), F.lit(last["last"][id_col]).cast(df.schema[id_col].dataType))
-                )
-        out = out.withColumn(name, F.when(taken, F.lit(rule.name)).otherwise(F.col(name)))
-    return out.filter(F.col(name).isNotNull()).drop("_key")
+                end = tuple(last["last"])
+        ends[i] = end
+    wants = [F.coalesce(rule.predicate, F.lit(False)) for rule in rules]
+    return chain(keyed, wants, ends).filter(F.col(name).isNotNull()).drop("_key")
+
+
+def _within_reach(keyed: DataFrame, id_col: str, rules: Sequence[Rule]) -> DataFrame | None:
+    """``_key``, id and ``_p`` (what each rule says) of the rows that a capped rule may draw.
+
+    A capped rule draws from rows that no rule without a cap took before it. Of these in seeded order, caps before it
+    hold as many as they say at most, so its own rows are among the first of all caps together.
+    """
+    capped = [i for i, rule in enumerate(rules) if rule.cap is not None]
+    if not capped:
+        return None
+    marked = keyed.select("_key", id_col, F.array(*[F.coalesce(r.predicate, F.lit(False)) for r in rules]).alias("_p"))
+
+    def within(i: int) -> Column:
+        before = [F.col("_p")[j] for j in range(i) if rules[j].cap is None]
+        return reduce(lambda a, b: a & ~b, before, F.col("_p")[i])
+
+    of = F.array_compact(F.array(*[F.when(within(i), F.lit(i)) for i in capped]))
+    rows = marked.withColumn("_rule", F.explode(of))
+    first = top_n(rows, ["_rule"], [F.col("_key"), F.col(id_col)], sum(rules[i].cap for i in capped), [id_col])
+    return cut_lineage(first.drop("_rule").distinct())
 
 
 def capped_sample(df: DataFrame, keys: Sequence[str], id_col: str, cap: int, seed: int) -> DataFrame:

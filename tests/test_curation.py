@@ -27,6 +27,27 @@ def test_items_cut_by_a_cap_stay_available(spark):
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_many_capped_rules_equal_a_loop(spark, seed):
+    """Rules with and without caps over random labels, against taking them one after the other."""
+    import hashlib
+    import random
+
+    r = random.Random(seed)
+    rows = [(i, ",".join(x for x in "abcde" if r.random() < 0.4)) for i in range(120)]
+    plan = [(f"R{k}", "abcde"[r.randrange(5)], r.choice([None, 1, 3, 8, 500])) for k in range(7)]
+    df = spark.createDataFrame(rows, "id long, labels string")
+    rules = [op.Rule(n, op.match_any(label_set("labels"), [x]), cap=c) for n, x, c in plan]
+    left = sorted(rows, key=lambda t: (hashlib.md5(f"5:{t[0]}".encode()).hexdigest(), t[0]))
+    want = {}
+    for n, x, cap in plan:
+        hits = [t for t in left if x in t[1].split(",")][:cap]
+        want.update({t[0]: n for t in hits})
+        left = [t for t in left if t not in hits]
+    got = op.priority_assign(df, "id", rules, seed=5).collect()
+    assert {t["id"]: t["project_class"] for t in got} == want and len(got) == len(want)
+
+
 def test_cap_above_the_hits_takes_all(spark):
     df = spark.createDataFrame([(i, "a") for i in range(3)], "id long, labels string")
     out = op.priority_assign(df, "id", [op.Rule("A", op.match_any(label_set("labels"), ["a"]), cap=5)], seed=1)
