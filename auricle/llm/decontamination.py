@@ -189,13 +189,16 @@ def _met(docs: DataFrame, items: dict[str, DataFrame], whole: DataFrame, s: Sett
     hashed = {f"_h{t}": _reading_hashes(F.col("_words"), r) for t, r in enumerate(READINGS)}
     if spans:
         hashed["_plain"] = F.transform("_words", lambda w: F.xxhash64(read_as(w, "folded")))
-    rows = fenced(rows.withColumns(hashed)).select("*", F.posexplode("_h0").alias("p", "_"))
-    # One place of a text is one row; the runs that begin there are hashed by each reading.
-    runs = {t: _run_hash(f"_h{t}", "p", s.window) for t in range(first)}
-    runs |= {first + span: _run_hash("_plain", "p", span) for span in sorted(spans)}
-    tags = F.array(*[F.lit(t) for t in runs])
-    placed = rows.select("_key", "_words", "p", F.posexplode(F.array(*runs.values())).alias("_t", "hash"))
-    placed = placed.select("_key", "_words", "p", F.get(tags, F.col("_t")).alias("tag"), "hash")
+    rows = fenced(rows.withColumns(hashed))
+    # A text is one row a tag, then one row a place: a single compiled expression hashes the run that begins there.
+    tags = [*range(first), *(first + span for span in sorted(spans))]
+    arrays = F.array(*[F.col(f"_h{t}" if t < first else "_plain") for t in tags])
+    rows = rows.select("_key", "_words", F.posexplode(arrays).alias("_t", "_h"))
+    placed = rows.select("_key", "_words", F.get(F.array(*map(F.lit, tags)), F.col("_t")).alias("tag"), "_h", F.posexplode("_h").alias("p", "_"))
+    run = _run_hash("_h", "p", s.window)
+    for span in sorted(spans):
+        run = F.when(F.col("tag") == first + span, _run_hash("_h", "p", span)).otherwise(run)
+    placed = placed.select("_key", "_words", "p", "tag", run.alias("hash"))
     length = F.lit(s.window)
     for span, longest in spans.items():
         length = F.when(F.col("tag") == first + span, longest).otherwise(length)
