@@ -84,22 +84,36 @@ def present(texts: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tup
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
-def _counted(sample: DataFrame, bits: int) -> DataFrame:
-    """Rows of the sample with each bucket, by label."""
+#: Bytes of text whose terms are counted at once: all of them are held, not only those that carry weights.
+COUNTED_BYTES = 1_000_000
+#: The row of ``_counted`` that counts the texts themselves.
+TEXTS = -1
+
+
+def _counted(sample: DataFrame, bits: int, holding: np.ndarray | None = None) -> DataFrame:
+    """Rows of the sample with each bucket, by label, and a row ``TEXTS`` for all of them; with ``holding`` only of the
+    rows that hold one of these buckets. One operator, so that a task has one Python worker."""
 
     def run(batches):
-        total = np.zeros((2, 1 << bits), np.int64)
+        total, texts = np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
+        wanted = None if holding is None else _wanted(holding, bits)
         for batch in batches:
-            label = batch.column("label").to_numpy()
-            at = 0
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", COUNTED_BYTES):
+                if wanted is not None:
+                    held = np.zeros(len(part), bool)
+                    held[present(part.column("text"), bits, wanted)[0]] = True
+                    part = part.filter(pa.array(held))
+                    if not len(part):
+                        continue
+                label = part.column("label").to_numpy()
                 rows, buckets = present(part.column("text"), bits)
                 for k in (0, 1):
-                    total[k] += np.bincount(buckets[label[at + rows] == k], minlength=1 << bits)
-                at += len(part)
+                    total[k] += np.bincount(buckets[label[rows] == k], minlength=1 << bits)
+                    texts[k] += (label == k).sum()
         some = np.flatnonzero(total.sum(axis=0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], names=["bucket", "n0", "n1"]
+            [pa.array(np.append(some, TEXTS)), *(pa.array(np.append(total[k][some], texts[k])) for k in (0, 1))],
+            names=["bucket", "n0", "n1"],
         )
 
     parts = sample.mapInArrow(run, "bucket long, n0 long, n1 long")
@@ -126,41 +140,28 @@ def _telling(counts: DataFrame, limit: int, least: float, toward: tuple[int, ...
     return np.array(sorted(r["bucket"] for r in rows), np.int64)
 
 
-def _screened(sample: DataFrame, n0: int, n1: int, s: Settings) -> np.ndarray:
-    """The buckets that carry weights, in rising order."""
-    counts = materialize(_counted(sample, s.bits), "counts")
-    whole = counts.withColumns({"all0": F.lit(n0), "all1": F.lit(n1)})
-    chosen = _telling(whole, s.features // 2, s.least_gain, (1,))
+def _screened(sample: DataFrame, s: Settings) -> np.ndarray:
+    """The buckets that carry weights, in rising order; none where only one label is known."""
+
+    def counts(name: str, holding: np.ndarray | None = None) -> DataFrame | None:
+        rows = materialize(_counted(sample, s.bits, holding), name)
+        texts = rows.where(F.col("bucket") == TEXTS).first()
+        if texts is None or not texts["n0"] or not texts["n1"]:
+            return None
+        return rows.where(F.col("bucket") != TEXTS).withColumns({"all0": F.lit(texts["n0"]), "all1": F.lit(texts["n1"])})
+
+    none = np.zeros(0, np.int64)
+    whole = counts("counts")
+    chosen = none if whole is None else _telling(whole, s.features // 2, s.least_gain, (1,))
     if not len(chosen):
-        return chosen
+        return none
     against = _telling(whole, s.features // 8, s.least_gain, (0,))
-    among = _counted(_holding(sample, chosen, s.bits), s.bits)
-    sizes = _holding(sample, chosen, s.bits).groupBy().agg(
-        F.count_if(F.col("label") == 0).alias("all0"), F.count_if(F.col("label") == 1).alias("all1")
-    )
-    held = sizes.first()
-    partners = chosen[:0]
-    if held["all0"] and held["all1"]:
-        among = among.withColumns({c: F.lit(held[c]) for c in ("all0", "all1")})
-        partners = _telling(among, s.features - len(chosen) - len(against), s.least_gain, (0, 1))
+    among = counts("among", chosen)
+    room = s.features - len(chosen) - len(against)
+    partners = none if among is None else _telling(among, room, s.least_gain, (0, 1))
     return np.unique(np.concatenate([chosen, against, partners]))
 
 
-def _holding(sample: DataFrame, buckets: np.ndarray, bits: int) -> DataFrame:
-    """The rows of the sample that hold one of the buckets."""
-
-    def run(batches):
-        wanted = _wanted(buckets, bits)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows, _ = present(part.column("text"), bits, wanted)
-                held = np.zeros(len(part), bool)
-                held[rows] = True
-                yield part.filter(pa.array(held))
-
-    return sample.mapInArrow(run, sample.schema)
-
-
 def _wanted(buckets: np.ndarray, bits: int) -> np.ndarray:
     marks = np.zeros(1 << bits, bool)
     marks[buckets] = True
@@ -226,12 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     picked = texts.join(F.broadcast(known), "doc_id")  # at most ``sample_rows`` narrow rows
     # One row a text: toxic if any of its rows is.
     sample = materialize(picked.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("label").alias("label")), "sample")
-    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = size.get(0, 0), size.get(1, 0)
     empty = np.zeros(0)
-    if not n0 + n1:
+    if sample.isEmpty():
         return Model(s.bits, empty.astype(np.int64), 0.0, empty, np.zeros((0, s.factors)))
-    buckets = _screened(sample, n0, n1, s) if n0 and n1 else empty.astype(np.int64)
+    buckets = _screened(sample, s)
     collected = _features(sample, buckets, s.bits).collect()  # at most ``sample_rows`` rows
     present_in = [np.frombuffer(r["features"] or b"", np.int32) for r in collected]
     rows = np.repeat(np.arange(len(collected)), [len(x) for x in present_in])
