@@ -4,6 +4,7 @@ import struct
 import zipfile
 import zlib
 
+import duckdb
 import numpy as np
 import oracle
 import public_tokenizers
@@ -337,3 +338,42 @@ def test_directories_of_other_writers():
     struct.pack_into("<I", broken, len(broken) - 22 - len(b"a comment with PK\5\6 inside") + 16, 1)
     with pytest.raises(ValueError):
         warc.directory(Source(bytes(broken)), len(broken))
+
+
+def test_spans_do_not_depend_on_a_length(spark):
+    """Without a history, or with a declared look-back, a long conversation has the spans of its whole rendering."""
+    turns = [(("user", "assistant")[i % 2], f"t{i}") for i in range(300)]
+    numbered, _ = number_templates()
+
+    def after(turns):  # a turn says what the two before it were
+        return "BEGIN" + "".join(f"<{[t for _, t in turns[max(0, i - 2) : i]]}>{t}" for i, (_, t) in enumerate(turns))
+
+    for template, history in ((numbered, None), (after, None), (chat.Near(after, 2), 1), (chat.Near(after, 5), 1)):
+        r = chat.Renderer(template, history=history)
+        out, whole = [r.add(t) for t in turns], template(turns)
+        assert len(r.turns) == (template.reach if isinstance(template, chat.Near) else len(turns))
+        assert "".join(x[0] for x in out) == whole and {x[-1] for x in out} == {chat.KEPT}
+        assert [whole[x[2] : x[3]] for x in out] == [t for _, t in turns]
+
+    def forgets(turns):  # rewrites its beginning, but only in long conversations
+        return numbered(turns) if len(turns) <= 200 else "..." + numbered(turns[-200:])
+
+    r = chat.Renderer(forgets, history=None)
+    assert [r.add(t)[-1] for t in turns] == [chat.KEPT] * 200 + [chat.REWRITTEN] * 100
+    table = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    assert {x.status for x in chat.format_turns(table, numbered, history=None).collect()} == {chat.KEPT}
+
+
+def test_the_chat_query_renders_few_turns_at_any_length(spark, tmp_path):
+    """As the SQL says for 1,000 turns in one conversation, and each turn is rendered by itself."""
+    rows = [(c, i, ("user", "assistant")[i % 2], HOSTILE[i % len(HOSTILE)]) for c in (1, None) for i in range(1000)]
+    talks(spark, rows).drop("piece").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = QUERIES["op9_incremental_rendering"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['op9_incremental_rendering']})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    made = []
+    counted = chat.Near(lambda turns: made.append(len(turns)) or chat.marked(turns))
+    r = chat.Renderer(counted)
+    assert all(r.add((role, text or ""))[-1] == chat.KEPT for _, _, role, text in rows) and max(made) == 1
