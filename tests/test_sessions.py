@@ -229,3 +229,17 @@ def test_windows_feed_decisions_on_a_stream(spark, tmp_path):
     closed = batch.filter(F.col("ts_us") <= 8_000_000)  # windows open behind the watermark are not given out
     assert same(got.drop("late"), D.decide(closed, pol, NAMES)) == closed.count()
     assert got.filter("late").isEmpty() and not got.filter("verified").isEmpty()
+
+
+def test_stream_tells_nan_from_null(spark, tmp_path):
+    """Rows of the state come typed: a confidence that is no number is above the threshold as in batch, a null is not."""
+    det = heard(spark, (1, 0, "Siren"), (2, 0, "Siren"), (3, 0, "Siren"))
+    odd = F.when(F.col("session_id") == 1, F.lit(float("nan"))).when(F.col("session_id") == 2, F.col("confidence"))
+    det, pol = det.withColumn("confidence", odd), policy(spark, Siren={"confirm_windows": 1, "target_mode": SAFETY})
+    det.coalesce(1).write.parquet(str(tmp_path / "odd"))
+    got = run_stream(spark, live.decision_stream(read_slices(spark, str(tmp_path / "odd"), det.schema), pol, NAMES), tmp_path, "odd_out")
+    rows = {r.session_id: r for r in got.collect()}
+    assert rows[1].detected_confidence != rows[1].detected_confidence and rows[3].detected_confidence == 0.0
+    assert [rows[i].verified for i in (1, 2, 3)] == [True, True, False]
+    want = {r.session_id: r for r in D.decide(det, pol, NAMES).collect()}
+    assert all(rows[i].reasons == want[i].reasons and rows[i].audio_mode == want[i].audio_mode for i in want)
