@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix, signed, slices
+from .common import TEXTS_PER_BATCH, Words, materialize, mix, signed, slices
 from .components import components
 
 BLOCK_MEMBERS = 1024
@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     if rules.coordinates > 62:
         raise ValueError("at most 62 coordinates")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(sign(narrow, rules), "signed")
+    rows = materialize(sign(narrow, rules), "signed", TEXTS_PER_BATCH)
     sized = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     digest = ["d1", "d2", "n_shingles"]
     classes = materialize(
@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     )
     # An id with several texts may stand for several classes: one node with several sets.
     short = materialize(_prefixes(classes, rules), "prefixes")
-    sets = materialize(_sets(narrow, short.select("rep").distinct(), rules).distinct(), "sets")
+    sets = materialize(_sets(narrow, short.select("rep").distinct(), rules).distinct(), "sets", TEXTS_PER_BATCH)
 
     star = short.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     star = _agreeing(star, classes).where(F.col("matched") >= rules.sketch_matches)

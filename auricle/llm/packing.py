@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import TEXTS_PER_BATCH, materialize, slices
 from .tokens import encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -253,5 +253,5 @@ def pack(docs: DataFrame, path: str, caps: Capacities | None = None, end_id: int
     an empty table gives no rows; other columns are ignored. Ties go to the class that was opened first.
     """
     caps = caps or Capacities()
-    pieces = materialize(cut_pieces(docs, path, caps.longest, end_id), "pieces")
+    pieces = materialize(cut_pieces(docs, path, caps.longest, end_id), "pieces", TEXTS_PER_BATCH)
     return place(pieces, caps).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,10 +1,12 @@
 import collections
 
 import corpus_pipeline
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import awkward, docs, empty, prose, words
 
-from auricle.llm import neardup
+from auricle.llm import common, neardup, packing
 from auricle.llm.components import components
 from auricle.llm.queries import QUERIES
 
@@ -110,3 +112,30 @@ def test_pipeline_on_awkward_tables(spark, sf):
         assert stage(spark, empty(spark), sf).count() == 0, name
         odd = stage(spark, awkward(spark), sf)
         assert odd.count() >= 0, name
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Signatures, sets and pieces are made of batches of few texts; the session's own limit is as before."""
+    limit, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(limit)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    rows = spark.range(25_000).coalesce(1).mapInArrow(sizes, "n long")
+    got = [r.n for r in common.materialize(rows, "sizes", common.TEXTS_PER_BATCH).collect()]
+    assert sum(got) == 25_000 and max(got) <= common.TEXTS_PER_BATCH < int(before)
+    plain = common.materialize
+
+    def noted(df, name, batch_rows=None):
+        seen.append((name, batch_rows))
+        return plain(df, name, batch_rows)
+
+    monkeypatch.setattr(neardup, "materialize", noted)
+    monkeypatch.setattr(packing, "materialize", noted)
+    table = docs(spark, [prose(i % 3, 40) for i in range(9)])
+    neardup.near_duplicates(table, neardup.Rules()).collect()
+    packing.pack(table, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert {n for n, k in seen if k == common.TEXTS_PER_BATCH} == {"signed", "sets", "pieces"}
+    assert spark.conf.get(limit) == before
