@@ -11,27 +11,33 @@ A state's distribution gives its told-apart successors a discounted share and ha
 to one. The root is the smoothed word distribution ``(c + 1) / (N + V + 1)``, which also has room for one unknown
 word. Words are known by 64-bit hashes; the end of a text is a symbol, but no context crosses it.
 
-Neither words nor contexts are sent to tasks: a run of words is known by one hash, be it a context or a context and
-its successor, and all levels are written tables by that hash. For scoring, texts are dealt to blocks of about
-``block_tokens`` tokens; each block asks once for each of its runs, and the answers meet its texts again. Runs that
-are counted or asked for travel packed, in buckets of the leading bits of their hash.
+Neither words nor contexts are sent to tasks. A run of words is known by one hash, be it a context or a context and
+its successor. Texts are read once, into blocks of about ``block_tokens`` tokens that are written as codes of the
+block's own words. Runs are counted length by length: a block asks for a run only where the two runs in it that are
+shorter by one have ``min_count`` occurrences, as no other can have them, and the bucket of the run's hash answers with
+its count over all blocks. Blocks and answers are written; where runs lie in a block follows from them, so neither
+hashes nor texts are kept. One of the blocks with a run is its owner and adds it to its context's sums. Scoring asks
+once more, for the weights of the contexts met.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix, signed, slices
+from .common import TEXTS_PER_BATCH, Words, materialize, mix, signed, slices
 
 _B = np.uint64(0xD1342543DE82EF95)
 END = mix(np.array([0x5EED], np.uint64))[0]
-GATHER_BYTES = 16_000_000
 BUCKET_RUNS = 2_000_000
 
 
@@ -61,10 +67,11 @@ class Level:
 
 @dataclass
 class Tree:
-    """``grams``: for each length from 1 on a table of counted runs, ``gram, lower, word, n, p, told``: the hash of the
-    run, that of the run without its first word, its last word, and the probability of that after the others;
-    ``told`` where a retained state says so. ``contexts``: for each level ``context, parent, weight`` of the
-    candidates with successors; ``weight`` is null where one is not retained.
+    """``grams``: for each length from 1 on a table of counted runs, ``gram, context, lower, word, n, p, told``: the hash
+    of the run, those of the run without its last and without its first word, its last word; ``told`` where a retained
+    state tells it apart, with the probability ``p``. These tables are not written but read off the blocks.
+    ``contexts``: for each level ``context, parent, weight`` of the candidates with successors; ``weight`` is null
+    where one is not retained.
 
     ``frequent``, ``counts`` and ``levels`` are the same tree in arrays, for one that fits the driver."""
 
@@ -159,6 +166,23 @@ class Sequences:
         return out
 
 
+@contextmanager
+def _passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when it is written."""
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(cleanup, before)
+
+
+def _written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    with _passing_shuffles(df.sparkSession):
+        return materialize(df, name, batch_rows)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """``doc_id, text, train``; null texts are empty, a null flag is not for training."""
     return docs.select(
@@ -168,16 +192,63 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
+def _planes(x: np.ndarray) -> bytes:
+    """First all lowest bytes, then all next ones; the upper ones are mostly zero, which Spark's codecs shorten."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unplaned(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+BLOCKS = (
+    "block long, symbols long, trained long, doc_id array<long>, train array<boolean>, sizes array<long>, "
+    "words binary, codes binary"
+)
+
+
+def _block_row(block: int, docs: list, train: list, sizes: list, symbols: list) -> pa.RecordBatch:
+    words, codes, n = np.unique(np.concatenate(symbols), return_inverse=True, return_counts=True)
+    order = np.argsort(-n)  # frequent words get small codes
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    docs, train, sizes = (pa.concat_arrays(docs), pa.concat_arrays(train), np.concatenate(sizes))
+    trained = int(sizes[train.to_numpy(zero_copy_only=False)].sum())
+    packed = zlib.compress(_planes(rank[codes]), 1)
+    columns = [[block], [len(codes)], [trained], [docs], [train], [sizes], [words[order].tobytes()], [packed]]
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    columns = [[x.tolist() if hasattr(x, "tolist") else x.to_pylist() if hasattr(x, "to_pylist") else x for x in c] for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _blocks(texts: DataFrame, block_tokens: int) -> DataFrame:
+    """All texts as written rows of about ``block_tokens`` symbols; a longer text is a row of its own."""
+
     def run(batches):
+        block, held, found = TaskContext.get().partitionId() << 32, 0, ([], [], [], [])
         for batch in batches:
-            for big in slices(batch, "text", GATHER_BYTES):
-                found = [Sequences(s.column("text")).symbols for s in slices(big, "text")]
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n)], names=["word", "n"])
-
-    parts = texts.where("train").select("text").mapInArrow(run, "word long, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+            for part in slices(batch, "text"):
+                seq = Sequences(part.column("text"))
+                start = 0
+                while start < len(part):
+                    room = seq.bounds[start] + block_tokens - held
+                    end = max(start + (not held), int(np.searchsorted(seq.bounds, room, "right")) - 1)
+                    if end > start:
+                        found[0].append(part.column("doc_id").slice(start, end - start))
+                        found[1].append(part.column("train").slice(start, end - start))
+                        found[2].append(seq.sizes[start:end])
+                        found[3].append(seq.symbols[seq.bounds[start] : seq.bounds[end]])
+                        held += len(found[3][-1])
+                    if end < len(part):
+                        yield _block_row(block, *found)
+                        block, held, found = block + 1, 0, ([], [], [], [])
+                    start = end
+        if held:
+            yield _block_row(block, *found)
+
+    return _written(texts.select("doc_id", "text", "train").mapInArrow(run, BLOCKS), "blocks", TEXTS_PER_BATCH)
 
 
 def _bits(runs: float) -> int:
@@ -193,58 +264,189 @@ def _dealt(keys: np.ndarray, bits: int):
     return [(b, int(starts[b]), int(ends[b])) for b in np.flatnonzero(ends > starts).tolist()]
 
 
-def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rising distinct keys, the place of one row of each, their sums)."""
-    order = np.argsort(keys)
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The places of the keys by rising key."""
+    low = (np.uint64(1) << np.uint64(max(1, len(keys)).bit_length())) - np.uint64(1)
+    packed = keys & ~low
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()  # several times as fast as to sort places, and leaves out of order only keys with all upper bits equal
+    packed &= low
+    order = packed.view(np.int64)
+    ranked = keys[order]
+    return order if (ranked[1:] >= ranked[:-1]).all() else np.argsort(keys)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rising distinct keys, the place of one row of each, the distinct key of each row)."""
+    order = _order(keys)
     ranked = keys[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
-    return ranked[first], order[first], np.add.reduceat(n[order], first) if len(first) else n
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], order[new], which
 
 
 def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _runs(texts: DataFrame, longest: int, bits: int, least: int) -> DataFrame:
-    """``length, gram, context, word, n`` of the runs of 2 to ``longest`` symbols with at least ``least``
-    occurrences in the training texts."""
+def _bits_of(flags: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(flags, sizes)]).astype(bool)
 
-    def parts(batches):
-        for batch in batches:
-            for big in slices(batch, "text", GATHER_BYTES):
-                found = [[] for _ in range(longest - 1)]
-                for part in slices(big, "text"):
-                    seq = Sequences(part.column("text"))
-                    for k, raw in enumerate(seq.contexts(longest - 1)):
-                        old = np.flatnonzero(seq.position > k)
-                        found[k].append((raw[old], seq.symbols[old]))
-                for k, pairs in enumerate(found):
-                    context, word = (np.concatenate(x) for x in zip(*pairs))
-                    keys, at, n = _sums((word + context) * _B, np.ones(len(word), np.int64))
-                    context, word = context[at], word[at]
-                    for bucket, i, j in _dealt(keys, bits):
-                        cut = [x[i:j].tobytes() for x in (context, word, n.astype(np.uint32))]
-                        yield pa.RecordBatch.from_pylist(
-                            [{"length": k + 2, "bucket": bucket, "context": cut[0], "word": cut[1], "n": cut[2]}],
-                            pa.schema(
-                                [("length", pa.int32()), ("bucket", pa.int32())]
-                                + [(c, pa.binary()) for c in ("context", "word", "n")]
-                            ),
-                        )
-
-    def whole(rows: pa.Table) -> pa.Table:
-        context, word = _joined(rows.column("context"), np.uint64), _joined(rows.column("word"), np.uint64)
-        keys, at, n = _sums((word + context) * _B, _joined(rows.column("n"), np.uint32).astype(np.int64))
-        often = n >= least
-        keys, at, n = keys[often], at[often], n[often]
-        length = np.full(len(keys), rows.column("length")[0].as_py(), np.int32)
-        columns = [length, signed(keys), signed(context[at]), signed(word[at]), n]
-        return pa.table(columns, names=["length", "gram", "context", "word", "n"])
-
-    dealt = texts.where("train").select("text").mapInArrow(
-        parts, "length int, bucket int, context binary, word binary, n binary"
+
+class Block:
+    """Symbols of a block's texts, and what the answers on runs of up to ``longest`` symbols say of those that end at each.
+
+    ``ends[k]``: hashes of the runs of ``k`` symbols. ``n[k]``: their counts in training, 0 below ``least`` from two
+    symbols on and where the text is younger. ``owned[k]``: a place of each run that this block owns. ``followed[k]``:
+    hashes of those with ``least`` occurrences that have a symbol behind them here.
+    """
+
+    def __init__(self, row: pa.Table, answers: pa.Table, longest: int, least: int):
+        self.least = least
+        self.words = np.frombuffer(row.column("words")[0].as_py(), np.uint64)
+        self.codes = _unplaned(zlib.decompress(row.column("codes")[0].as_py()), np.uint32)
+        self.symbols = self.words[self.codes]
+        self.docs, self.train = (row.column(c).combine_chunks().flatten() for c in ("doc_id", "train"))
+        self.sizes = row.column("sizes").combine_chunks().flatten().to_numpy()
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.position = (np.arange(len(self.symbols)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
+        self.ends = [None, self.symbols * _B]
+        self.n, self.owned, self.followed = [None], [None], [None]
+        before = np.append(self.position[1:] > 0, False)
+        length = answers.column("length").to_numpy()
+        for k in range(1, longest + 1):
+            at, keys, some, which = self.asked(k)
+            mine = answers.filter(pa.array(length == k)).sort_by("bucket")
+            n, own = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            if len(mine):
+                said = [_unplaned(x, np.int64) for x in mine.column("n").to_pylist()]
+                n = np.concatenate(said)
+                own = _bits_of(mine.column("own").to_pylist(), [len(x) for x in said])
+            self.n.append(np.zeros(len(self.symbols), np.int64))
+            self.n[k][at] = n[which]
+            self.owned.append(at[some[own & (n > 0)]])
+            open_ = np.zeros(len(keys), bool)
+            open_[which[before[at]]] = True
+            self.followed.append(keys[open_ & (n >= least)])
+
+    def asked(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the runs of ``k`` symbols that may have ``least`` occurrences, and ``_distinct`` of their hashes)."""
+        if k == 1:
+            keys, some, which = _distinct(self.words * _B)
+            first = np.empty(len(self.words), np.int64)
+            first[self.codes] = np.arange(len(self.codes))
+            return np.arange(len(self.symbols)), keys, first[some], which[self.codes]
+        if len(self.ends) == k:
+            longer = np.zeros(len(self.symbols), np.uint64)
+            longer[1:] = (self.ends[-1][:-1] + self.symbols[1:]) * _B
+            self.ends.append(longer)
+        often = self.n[k - 1] >= self.least
+        often[1:] &= often[:-1]
+        at = np.flatnonzero(often & (self.position >= k - 1))
+        return at, *_distinct(self.ends[k][at])
+
+    def trained(self) -> np.ndarray:
+        return np.repeat(self.train.to_numpy(zero_copy_only=False), self.sizes)
+
+
+ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+ANSWERS = "block long, length int, bucket int, n binary, own binary, words long"
+
+
+def _asks(block: int, keys: np.ndarray, n: np.ndarray | None, bits: int, cut: np.uint64 = np.uint64(0)) -> pa.Table:
+    return pa.Table.from_pylist(
+        [
+            {
+                "bucket": b,
+                "block": block,
+                "keys": _planes(np.diff(keys[i:j] >> cut, prepend=np.uint64(0))),
+                "n": b"" if n is None else _planes(n[i:j]),
+            }
+            for b, i, j in _dealt(keys, bits)
+        ],
+        ASKED,
     )
-    return dealt.groupBy("length", "bucket").applyInArrow(whole, "length int, gram long, context long, word long, n long")
+
+
+def _keys(rows: pa.Table, column: str = "keys") -> list[np.ndarray]:
+    return [np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in rows.column(column).to_pylist()]
+
+
+def _met(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def _answered(blocks: DataFrame, answers: DataFrame, k: int, least: int, bits: int, known: DataFrame | None) -> DataFrame:
+    """Counts of the runs of ``k`` symbols that blocks ask for: those of the blocks' training texts, or those that
+    ``known`` (``gram, n``) has."""
+    counted = known is None
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left, right, k - 1, least)
+        at, keys, _, which = block.asked(k)
+        n = np.bincount(which[block.trained()[at]], minlength=len(keys))
+        return _asks(left.column("block")[0].as_py(), keys, n if counted else None, bits)
+
+    def rows(asked: pa.Table, keys: list[np.ndarray], n: np.ndarray, own: np.ndarray) -> pa.Table:
+        if k > 1:
+            n = np.where(n >= least, n, 0)
+        out, bounds = [], np.cumsum([0] + [len(x) for x in keys]).tolist()
+        for block, i, j in zip(asked.column("block").to_pylist(), bounds, bounds[1:]):
+            words = int((own[i:j] & (n[i:j] > 0)).sum())
+            out.append((block, k, _planes(n[i:j]), np.packbits(own[i:j]).tobytes(), words))
+        block, length, n, own, words = zip(*out)
+        columns = [pa.array(block, pa.int64()), pa.array(length, pa.int32()), asked.column("bucket"), pa.array(n, pa.binary())]
+        columns += [pa.array(own, pa.binary()), pa.array(words, pa.int64())]
+        return pa.table(columns, names=[x.split()[0] for x in ANSWERS.split(", ")])
+
+    def count(asked: pa.Table) -> pa.Table:
+        keys = _keys(asked)
+        n = np.concatenate([_unplaned(x, np.int64) for x in asked.column("n").to_pylist()])
+        found, some, which = _distinct(np.concatenate(keys))
+        own = np.zeros(len(n), bool)
+        own[some] = True
+        total = np.bincount(which, n, len(found)).astype(np.int64)
+        return rows(asked, keys, total[which], own)
+
+    def look(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not len(asked):
+            return pa.table([pa.array([], t) for t in KINDS], names=[x.split()[0] for x in ANSWERS.split(", ")])
+        keys = _keys(asked)
+        wanted = np.concatenate(keys)
+        hit, n = _looked_up(there.column("gram").to_numpy().view(np.uint64), there.column("n").to_numpy())(wanted)
+        return rows(asked, keys, np.where(hit, n, 0).astype(np.int64), np.zeros(len(wanted), bool))
+
+    asks = _met(blocks, answers, ask, "bucket int, block long, keys binary, n binary")
+    if counted:
+        return _written(asks.groupBy("bucket").applyInArrow(count, ANSWERS), "answers")
+    bucket = F.shiftrightunsigned("gram", 64 - bits).cast("int").alias("bucket")
+    there = known.select(bucket, "gram", "n").groupBy("bucket")
+    return _written(asks.groupBy("bucket").cogroup(there).applyInArrow(look, ANSWERS), "answers")
+
+
+KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+
+
+def _no_answers(blocks: DataFrame) -> DataFrame:
+    return blocks.sparkSession.createDataFrame([], ANSWERS)
+
+
+RUNS = "gram long, context long, lower long, word long, n long, total long"
+
+
+def _runs(blocks: DataFrame, answers: DataFrame, k: int, least: int) -> DataFrame:
+    """The counted runs of ``k`` symbols, each from its owner; ``total`` is the count of the run's context."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left, right, k, least)
+        at = block.owned[k]
+        shorter = [signed(block.ends[k - 1][at - 1]), signed(block.ends[k - 1][at])] if k > 1 else [np.zeros(len(at), np.int64)] * 2
+        total = block.n[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.int64)
+        columns = [signed(block.ends[k][at]), *shorter, signed(block.symbols[at]), block.n[k][at], total]
+        return pa.table(columns, names=[x.split()[0] for x in RUNS.split(", ")])
+
+    return _met(blocks, answers.where(F.col("length") <= k), run, RUNS)
 
 
 def _extended(rows: DataFrame, first: str, by: str) -> DataFrame:
@@ -263,129 +465,103 @@ def _columns(rows: DataFrame, *names: str) -> list[np.ndarray]:
     return [table.column(n).combine_chunks().to_numpy() for n in names]
 
 
-def _level(runs: DataFrame, below: DataFrame, s: Settings, least_context: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(grams, states) of the contexts of ``depth`` words; ``below`` are the grams of that length."""
-    often = below.where((F.col("n") >= least_context) & (F.col("word") != F.lit(int(END.view(np.int64)))))
-    contexts = often.select(F.col("gram").alias("context"), F.col("lower").alias("parent"), F.col("n").alias("total"))
-    mine = runs.where(F.col("length") == depth + 1).drop("length").join(contexts, "context")
-    suffix = below.select(F.col("gram").alias("lower"), F.col("p").alias("below"))
-    rows = _extended(mine, "parent", "lower").join(suffix, "lower")
-    rows = rows.withColumn("own", (F.col("n") - s.discount) / F.col("total")).drop("total")
-    rows = materialize(rows, "successors")
-    rest, rest_below = (F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("own", "below"))
-    gain = F.sum(F.col("own") * F.log(F.col("own") / F.col("below"))) + rest * F.log(rest / rest_below)
-    states = rows.groupBy("context", "parent").agg(F.when(gain >= s.divergence, rest / rest_below).alias("weight"))
-    states = materialize(states, "states")
-    kept = rows.join(states.select("context", F.col("weight").isNotNull().alias("told")), "context")
-    p = F.when(F.col("told"), F.col("own")).otherwise(F.col("below"))
-    return materialize(kept.select("context", "gram", "lower", "word", "n", p.alias("p"), "told"), "grams"), states
+def _context_sums(blocks: DataFrame, answers: DataFrame, tree: Tree, s: Settings, least_context: int) -> DataFrame:
+    """``depth, context, parent, weight_0, weight_1, ...`` of the contexts with successors: the weight of a context where
+    its longest retained suffix has so many words; null where it does not diverge from that one."""
+    ends, least, root_of = range(s.depth), tree.least, float(tree.tokens + tree.words + 1)
+    sums = ["own", *(f"{c}_{e}" for e in ends for c in ("gain", "below"))]
+    schema = "depth int, context long, parent long, " + ", ".join(f"{c} double" for c in sums)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, out = Block(left, right, s.depth + 1, least), []
+        for d in range(1, s.depth + 1):
+            at = block.owned[d + 1]
+            at = at[block.n[d][at - 1] >= least_context]
+            context, some, which = _distinct(block.ends[d][at - 1])
+            own = (block.n[d + 1][at] - s.discount) / block.n[d][at - 1]
+            parts = [own]
+            for e in ends:
+                if e >= d:
+                    parts += [np.zeros(len(at))] * 2
+                    continue
+                # What a retained suffix of e words says; its own successors are counted wherever these are.
+                n = block.n[e + 1][at]
+                below = (n - s.discount) / block.n[e][at - 1] if e else (n + 1.0) / root_of
+                parts += [own * np.log(own / below), below]
+            parent = block.ends[d - 1][at - 1][some] if d > 1 else np.zeros(len(some), np.uint64)
+            columns = [np.full(len(context), d, np.int32), signed(context), signed(parent)]
+            columns += [np.bincount(which, p, len(context)).astype(float) for p in parts]
+            out.append(pa.table(columns, names=["depth", "context", "parent", *sums]))
+        kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.float64()] * len(sums)
+        none = pa.table([pa.array([], t) for t in kinds], names=["depth", "context", "parent", *sums])
+        return pa.concat_tables([none, *out])
+
+    parts = _met(blocks, answers, run, schema)
+    whole = parts.groupBy("depth", "context", "parent").agg(*(F.sum(c).alias(c) for c in sums))
+    rest = F.greatest(1 - F.col("own"), F.lit(1e-12))
+
+    def weight(e: int):
+        rest_below = F.greatest(1 - F.col(f"below_{e}"), F.lit(1e-12))
+        gain = F.col(f"gain_{e}") + rest * F.log(rest / rest_below)
+        return F.when((F.col("depth") > e) & (gain >= s.divergence), rest / rest_below).alias(f"weight_{e}")
+
+    return _written(whole.select("depth", "context", "parent", *(weight(e) for e in ends)), "weights")
+
+
+def _states(weights: DataFrame, depth: int) -> list[DataFrame]:
+    """For each level ``context, parent, weight, suffix``: the words of the longest retained suffix, itself included."""
+    out = []
+    for d in range(1, depth + 1):
+        mine = weights.where(F.col("depth") == d)
+        if d == 1:
+            mine = mine.withColumn("below", F.lit(0))
+        else:
+            mine = mine.join(out[-1].select(F.col("context").alias("parent"), F.col("suffix").alias("below")), "parent")
+        weight = F.coalesce(*(F.when(F.col("below") == e, F.col(f"weight_{e}")) for e in range(d)))
+        suffix = F.when(F.col("weight").isNull(), F.col("below")).otherwise(d).cast("int").alias("suffix")
+        mine = mine.withColumn("weight", weight).select("context", "parent", "weight", suffix)
+        out.append(_written(mine, "states"))
+    return out
+
+
+def _learned(blocks: DataFrame, s: Settings) -> tuple[Tree, DataFrame, DataFrame]:
+    """(tree, word counts, answers to all blocks) from the training texts of the blocks."""
+    size = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("symbols", "trained"))).first()
+    tokens, bits = size["trained"], _bits(size["symbols"])
+    least = max(s.min_count, int(np.ceil(s.next_share * tokens)))
+    least_context = max(s.min_count, int(np.ceil(s.context_share * tokens)))
+    answers = _answered(blocks, _no_answers(blocks), 1, least, bits, None)
+    words = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    tree = Tree(tokens, words, least, [], [])
+    depth = s.depth if tokens else 0
+    for k in range(2, depth + 2):
+        answers = answers.unionAll(_answered(blocks, answers, k, least, bits, None))
+    if depth:
+        tree.contexts += _states(_context_sums(blocks, answers, tree, s, least_context), depth)
+    single = _runs(blocks, answers, 1, least)
+    root = (F.col("n") + 1.0) / (tokens + words + 1.0)
+    tree.grams.append(single.select("gram", "context", "lower", "word", "n", root.alias("p"), F.lit(True).alias("told")))
+    for d, states in enumerate(tree.contexts, 1):
+        runs = _runs(blocks, answers, d + 1, least).join(states.select("context", "weight"), "context", "left")
+        told = F.col("weight").isNotNull()
+        p = F.when(told, (F.col("n") - s.discount) / F.col("total")).alias("p")
+        tree.grams.append(runs.select("gram", "context", "lower", "word", "n", p, told.alias("told")))
+    return tree, single.select("word", "n"), answers
 
 
 def grow(docs: DataFrame, settings: Settings | None = None) -> tuple[Tree, DataFrame]:
     """(tree, word counts) learned from the rows of ``docs`` (``doc_id``, ``text``, ``train``) with ``train``."""
     s = settings or Settings()
-    texts = _texts(docs)
-    counts = materialize(_word_counts(texts), "words")
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
-    tokens = size["tokens"]
-    least = max(s.min_count, int(np.ceil(s.next_share * tokens)))
-    least_context = max(s.min_count, int(np.ceil(s.context_share * tokens)))
-    root = (F.col("n") + 1.0) / (tokens + size["words"] + 1.0)
-    zero = F.lit(0).cast("long")
-    single = _extended(counts.withColumn("lower", zero), "lower", "gram")
-    tree = Tree(tokens, size["words"], least, [single.withColumn("p", root)], [])
-    if s.depth and tokens:
-        runs = materialize(_runs(texts, s.depth + 1, _bits(tokens), least), "runs")
-        for depth in range(1, s.depth + 1):
-            grams, states = _level(runs, tree.grams[-1], s, least_context, depth)
-            tree.grams.append(grams)
-            tree.contexts.append(states)
-    return tree, counts
+    return _learned(_blocks(_texts(docs), s.block_tokens), s)[:2]
 
 
 SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-#: What the table says of a run: how often a single word occurs, the last word's probability, the state's weight.
-TIMES, CHANCE, WEIGHT = range(3)
-
-
-def _facts(tree: Tree) -> DataFrame:
-    """``key, kind, value`` of all runs the tree knows."""
-
-    def rows(table: DataFrame, key: str, kind: int, value: str) -> DataFrame:
-        return table.select(F.col(key).alias("key"), F.lit(kind).alias("kind"), F.col(value).cast("double").alias("value"))
-
-    parts = [rows(tree.grams[0], "gram", TIMES, "n")]
-    parts += [rows(g.where("told"), "gram", CHANCE, "p") for g in tree.grams[1:]]
-    parts += [rows(x.where("weight IS NOT NULL"), "context", WEIGHT, "weight") for x in tree.contexts]
-    return reduce(DataFrame.unionAll, parts)
-
-
-def _ends(seq: Sequences, longest: int) -> list[np.ndarray]:
-    """For lengths 1 to ``longest``: the hash of the run that ends at each symbol; 0 where the text is younger."""
-    runs = [seq.symbols * _B]
-    for k, raw in enumerate(seq.contexts(longest - 1), 1):
-        runs.append(np.where(seq.position >= k, (raw + seq.symbols) * _B, np.uint64(0)))
-    return runs
-
-
-def _answers(texts: DataFrame, tree: Tree, bits: int) -> DataFrame:
-    """``block, kind, keys, values``, packed, for the known runs of each block."""
-    longest = len(tree.grams)
-
-    def asked(batches):
-        for batch in batches:
-            block = batch.column("block").to_numpy()
-            for b in np.unique(block).tolist():
-                rows = batch.filter(pa.array(block == b))
-                found = [
-                    np.unique(np.concatenate(_ends(Sequences(p.column("text")), longest))) for p in slices(rows, "text")
-                ]
-                keys = np.unique(np.concatenate(found))
-                cuts = _dealt(keys, bits)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([c[0] for c in cuts], pa.int32()),
-                        pa.array([b] * len(cuts), pa.int32()),
-                        pa.array([keys[i:j].tobytes() for _, i, j in cuts], pa.binary()),
-                    ],
-                    names=["bucket", "block", "keys"],
-                )
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, kind = right.column("key").to_numpy().view(np.uint64), right.column("kind").to_numpy()
-        value = right.column("value").to_numpy()
-        out = []
-        for k in (TIMES, CHANCE, WEIGHT):
-            mine = np.flatnonzero(kind == k)
-            if not len(mine):
-                continue
-            mine = mine[np.argsort(key[mine])]
-            known, says = key[mine], value[mine]
-            for block, keys in zip(left.column("block").to_pylist(), left.column("keys").to_pylist()):
-                keys = np.frombuffer(keys, np.uint64)
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[at] == keys
-                if hit.any():
-                    out.append((block, k, keys[hit].tobytes(), says[at[hit]].tobytes()))
-        columns = list(zip(*out)) if out else [()] * 4
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "kind", "keys", "values"])
-
-    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
-    facts = _facts(tree).select(bucket, "key", "kind", "value")
-    ask = texts.mapInArrow(asked, "bucket int, block int, keys binary")
-    return ask.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(
-        answer, "block int, kind int, keys binary, values binary"
-    )
-
-
-def _looked_up(rows: pa.Table, kind: int):
-    """A function from runs to (known, value) by the answers of one kind."""
-    rows = rows.filter(pa.array(rows.column("kind").to_numpy() == kind))
-    keys, first = np.unique(_joined(rows.column("keys"), np.uint64), return_index=True)
-    values = _joined(rows.column("values"), np.float64)[first]
+def _looked_up(keys: np.ndarray, values: np.ndarray):
+    """A function from runs to (known, value)."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
 
     def look(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(keys):
@@ -396,58 +572,98 @@ def _looked_up(rows: pa.Table, kind: int):
     return look
 
 
+WEIGHTS = "block long, contexts binary, weights binary"
+#: Weights are asked for by so many bits of a hash besides those of its bucket; answers name the contexts in full.
+ASKED_BITS = 28
+
+
+def _weights(blocks: DataFrame, answers: DataFrame, tree: Tree, bits: int) -> DataFrame:
+    """For each block the retained ones of its contexts with their weights, and a few others with like hashes."""
+    least, depth, cut = tree.least, len(tree.contexts), np.uint64(max(0, 64 - bits - ASKED_BITS))
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = np.concatenate(Block(left, right, depth + 1, least).followed[1 : depth + 1])
+        keys.sort()
+        keys = keys >> cut
+        keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+        return _asks(left.column("block")[0].as_py(), keys << cut, None, bits, cut)
+
+    def look(asked: pa.Table, there: pa.Table) -> pa.Table:
+        context, weight = there.column("context").to_numpy().view(np.uint64), there.column("weight").to_numpy()
+        order = np.argsort(context)
+        context, weight = context[order], weight[order]
+        start, out = context >> cut, []
+        for keys in _keys(asked):
+            at = np.minimum(np.searchsorted(keys, start), len(keys) - 1)
+            hit = keys[at] == start
+            out.append((_planes(np.diff(context[hit], prepend=np.uint64(0))), weight[hit].tobytes()))
+        contexts, weights = zip(*out) if out else ((), ())
+        columns = [asked.column("block"), pa.array(contexts, pa.binary()), pa.array(weights, pa.binary())]
+        return pa.table(columns, names=["block", "contexts", "weights"])
+
+    retained = reduce(DataFrame.unionAll, (x.where("weight IS NOT NULL").select("context", "weight") for x in tree.contexts))
+    bucket = F.shiftrightunsigned("context", 64 - bits).cast("int").alias("bucket")
+    asks = _met(blocks, answers, ask, "bucket int, block long, keys binary, n binary")
+    there = retained.select(bucket, "context", "weight").groupBy("bucket")
+    return _written(asks.groupBy("bucket").cogroup(there).applyInArrow(look, WEIGHTS), "weights_met")
+
+
+def _scored(blocks: DataFrame, answers: DataFrame, tree: Tree, s: Settings) -> DataFrame:
+    least, depth, root_of = tree.least, len(tree.contexts), float(tree.tokens + tree.words + 1)
+    none = F.lit(None).cast("binary")
+    said = answers.select("block", "length", "bucket", "n", "own", none.alias("contexts"), none.alias("weights"))
+    if depth:
+        bits = _bits(blocks.agg(F.coalesce(F.sum("symbols"), F.lit(0))).first()[0])
+        zero = F.lit(0)
+        columns = [zero.alias("length"), zero.alias("bucket"), none.alias("n"), none.alias("own"), "contexts", "weights"]
+        said = said.unionAll(_weights(blocks, answers, tree, bits).select("block", *columns))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        of_contexts = right.column("length").to_numpy() == 0
+        block = Block(left, right.filter(pa.array(~of_contexts)), depth + 1, least)
+        mine = right.filter(pa.array(of_contexts))
+        keys, values = np.concatenate([np.zeros(0, np.uint64), *_keys(mine, "contexts")]), _joined(mine.column("weights"), np.float64)
+        weight = _looked_up(keys, values)
+        known = block.n[1] > 0
+        root = (block.n[1] + 1.0) / root_of
+        p, open_ = np.ones(len(root)), np.ones(len(root), bool)
+        for k in range(depth + 1, 1, -1):
+            at = np.flatnonzero(open_ & (block.position >= k - 1))
+            at = at[block.n[k - 1][at - 1] >= least]  # the context ends one symbol before
+            state, value = weight(block.ends[k - 1][at - 1])
+            at, value = at[state], value[state]
+            n = block.n[k][at]
+            told = n > 0
+            p[at[~told]] *= value[~told]
+            at, n = at[told], n[told]
+            p[at] *= (n - s.discount) / block.n[k - 1][at - 1]
+            open_[at] = False
+        p[open_] *= root[open_]
+        return pa.table(
+            {
+                "doc_id": block.docs,
+                "train": block.train,
+                "n_tokens": pa.array(block.sizes, pa.int64()),
+                "n_known": pa.array(np.add.reduceat(known.astype(np.int64), block.starts)),
+                "base_score": pa.array(np.add.reduceat(np.log10(root), block.starts)),
+                "score": pa.array(np.add.reduceat(np.log10(p), block.starts)),
+            }
+        )
+
+    return _met(blocks, said, run, SCORED)
+
+
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One row per document: tokens (the end is one), those known from training, and log10 probabilities of the
     whole text by the word distribution (``base_score``) and by the tree (``score``)."""
     s = settings or Settings()
-    texts = _texts(docs)
-    ends = counts.where(F.col("word") == F.lit(int(np.uint64(END).view(np.int64)))).first()
-    per_text = tree.tokens / ends["n"] if ends else 500
-    symbols = texts.count() * per_text
-    blocks = max(1, int(np.ceil(symbols / s.block_tokens)))
-    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int")
-    # Many blocks share a partition; in order of block, each Arrow batch asks for few blocks.
-    dealt = texts.withColumn("block", block).repartition("block").sortWithinPartitions("block")
-    longest, root_of = len(tree.grams), float(tree.tokens + tree.words + 1)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        times, chance, weight = (_looked_up(right, k) for k in (TIMES, CHANCE, WEIGHT))
-        out = []
-        for batch in left.combine_chunks().to_batches():
-            for part in slices(batch, "text"):
-                seq = Sequences(part.column("text"))
-                runs = _ends(seq, longest)
-                known, n = times(runs[0])
-                root = (np.where(known, n, 0.0) + 1.0) / root_of
-                p, open_ = np.ones(len(seq.symbols)), np.arange(len(seq.symbols))
-                for length in range(longest, 1, -1):
-                    hit, value = chance(runs[length - 1][open_])
-                    p[open_[hit]] *= value[hit]
-                    open_ = open_[~hit]
-                    old = open_[seq.position[open_] >= length - 1]
-                    state, value = weight(runs[length - 2][old - 1])  # the context ends one symbol before
-                    p[old[state]] *= value[state]
-                p[open_] *= root[open_]
-                starts = seq.bounds[:-1]
-                out.append(
-                    pa.table(
-                        {
-                            "doc_id": part.column("doc_id"),
-                            "train": part.column("train"),
-                            "n_tokens": pa.array(seq.sizes, pa.int64()),
-                            "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                            "base_score": pa.array(np.add.reduceat(np.log10(root), starts)),
-                            "score": pa.array(np.add.reduceat(np.log10(p), starts)),
-                        }
-                    )
-                )
-        if out:
-            return pa.concat_tables(out)
-        none = {"doc_id": pa.int64(), "train": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
-        return pa.schema({**none, "base_score": pa.float64(), "score": pa.float64()}.items()).empty_table()
-
-    asked = _answers(dealt, tree, _bits(symbols * longest))
-    return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, SCORED)
+    blocks = _blocks(_texts(docs), s.block_tokens)
+    bits = _bits(blocks.agg(F.coalesce(F.sum("symbols"), F.lit(0))).first()[0])
+    single = _extended(counts.withColumn("lower", F.lit(0).cast("long")), "lower", "gram")
+    answers = _answered(blocks, _no_answers(blocks), 1, tree.least, bits, single)
+    for k in range(2, len(tree.contexts) + 2):
+        answers = answers.unionAll(_answered(blocks, answers, k, tree.least, bits, tree.grams[k - 1]))
+    return _scored(blocks, answers, tree, s)
 
 
 def train_and_score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -457,5 +673,7 @@ def train_and_score(docs: DataFrame, settings: Settings | None = None) -> DataFr
     null; repeated rows are scored each; other columns are ignored; an empty table gives no rows. Without
     training rows every word is unknown.
     """
-    tree, counts = grow(docs, settings)
-    return score(docs, tree, counts, settings).withColumn("train_tokens", F.lit(tree.tokens).cast("long"))
+    s = settings or Settings()
+    blocks = _blocks(_texts(docs), s.block_tokens)
+    tree, _, answers = _learned(blocks, s)
+    return _scored(blocks, answers, tree, s).withColumn("train_tokens", F.lit(tree.tokens).cast("long"))

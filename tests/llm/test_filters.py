@@ -319,6 +319,30 @@ def test_tree_scores_by_its_tables_as_by_its_arrays(spark):
         assert math.isclose(got[i], total, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_tree_sends_only_runs_that_may_be_frequent_whatever_the_blocks(spark, monkeypatch):
+    texts = [prose(i % 7, 30) + " " + " ".join(f"once{i}x{j}" for j in range(60)) for i in range(30)] + ["", "ba na"]
+    table = docs(spark, texts).withColumn("train", F.col("doc_id") % 5 != 2)
+    written, materialize = {}, suffix_tree.materialize
+
+    def kept(df, name, batch_rows=None):
+        written.setdefault(name, []).append(materialize(df, name, batch_rows))
+        return written[name][-1]
+
+    monkeypatch.setattr(suffix_tree, "materialize", kept)
+    got = []
+    for tokens in (1_500_000, 200):
+        written.clear()
+        rows = suffix_tree.train_and_score(table, suffix_tree.Settings(block_tokens=tokens)).collect()
+        got.append({r.doc_id: (r.n_tokens, r.n_known, r.score) for r in rows})
+        # Of 90 and more symbols a text, 30 and the end repeat: longer runs are asked for among these alone.
+        asked = {r.length: r.n for x in written["answers"] for r in x.groupBy("length").agg(F.sum(F.length("n") / 8).alias("n")).collect()}
+        assert asked[1] > 1800 and max(asked[k] for k in (2, 3, 4)) <= 32 * 32
+        assert (written["blocks"][0].count() > 5) == (tokens == 200)
+    assert len(got[0]) == len(texts)
+    for i, (n, known, score) in got[0].items():
+        assert got[1][i][:2] == (n, known) and math.isclose(got[1][i][2], score, rel_tol=1e-9)
+
+
 def test_tree_on_awkward_tables(spark):
     odd = awkward(spark).withColumn("train", F.col("doc_id") != 4)
     got = suffix_tree.train_and_score(odd).collect()
