@@ -264,25 +264,28 @@ def _dealt(keys: np.ndarray, bits: int):
     return [(b, int(starts[b]), int(ends[b])) for b in np.flatnonzero(ends > starts).tolist()]
 
 
-def _order(keys: np.ndarray) -> np.ndarray:
-    """The places of the keys by rising key."""
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the places of the keys by rising key, the keys in this order)."""
     low = (np.uint64(1) << np.uint64(max(1, len(keys)).bit_length())) - np.uint64(1)
-    packed = keys & ~low
-    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed = np.arange(len(keys), dtype=np.uint64)
+    packed |= keys & ~low
     packed.sort()  # several times as fast as to sort places, and leaves out of order only keys with all upper bits equal
     packed &= low
     order = packed.view(np.int64)
     ranked = keys[order]
-    return order if (ranked[1:] >= ranked[:-1]).all() else np.argsort(keys)
+    if (ranked[1:] < ranked[:-1]).any():
+        order = np.argsort(keys)
+        ranked = keys[order]
+    return order, ranked
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rising distinct keys, the place of one row of each, the distinct key of each row)."""
-    order = _order(keys)
-    ranked = keys[order]
+    order, ranked = _ranked(keys)
     new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
     which = np.empty(len(keys), np.int32)
-    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    which[order] = np.cumsum(new, dtype=np.int32)
+    which -= 1
     return ranked[new], order[new], which
 
 
@@ -298,11 +301,11 @@ class Block:
     """Symbols of a block's texts, and what the answers on runs of up to ``longest`` symbols say of those that end at each.
 
     ``ends[k]``: hashes of the runs of ``k`` symbols. ``n[k]``: their counts in training, 0 below ``least`` from two
-    symbols on and where the text is younger. ``owned[k]``: a place of each run that this block owns. ``followed[k]``:
-    hashes of those with ``least`` occurrences that have a symbol behind them here.
+    symbols on and where the text is younger. ``owned[k]``: a place of each run that this block owns. ``followed[k]``, if
+    wanted: hashes of those with ``least`` occurrences that have a symbol behind them here.
     """
 
-    def __init__(self, row: pa.Table, answers: pa.Table, longest: int, least: int):
+    def __init__(self, row: pa.Table, answers: pa.Table, longest: int, least: int, followed: bool = False):
         self.least = least
         self.words = np.frombuffer(row.column("words")[0].as_py(), np.uint64)
         self.codes = _unplaned(zlib.decompress(row.column("codes")[0].as_py()), np.uint32)
@@ -323,12 +326,16 @@ class Block:
                 said = [_unplaned(x, np.int64) for x in mine.column("n").to_pylist()]
                 n = np.concatenate(said)
                 own = _bits_of(mine.column("own").to_pylist(), [len(x) for x in said])
-            self.n.append(np.zeros(len(self.symbols), np.int64))
-            self.n[k][at] = n[which]
+            narrow = np.uint32 if n.max(initial=0) < 2**32 else np.int64
+            self.n.append(np.zeros(len(self.symbols), narrow))
+            self.n[k][at] = n.astype(narrow)[which]
             self.owned.append(at[some[own & (n > 0)]])
-            open_ = np.zeros(len(keys), bool)
-            open_[which[before[at]]] = True
-            self.followed.append(keys[open_ & (n >= least)])
+            if followed:
+                open_ = np.zeros(len(keys), bool)
+                open_[which[before[at]]] = True
+                self.followed.append(keys[open_ & (n >= least)])
+            if k == 1:
+                del self.words, self.codes
 
     def asked(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(places of the runs of ``k`` symbols that may have ``least`` occurrences, and ``_distinct`` of their hashes)."""
@@ -443,7 +450,7 @@ def _runs(blocks: DataFrame, answers: DataFrame, k: int, least: int) -> DataFram
         at = block.owned[k]
         shorter = [signed(block.ends[k - 1][at - 1]), signed(block.ends[k - 1][at])] if k > 1 else [np.zeros(len(at), np.int64)] * 2
         total = block.n[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.int64)
-        columns = [signed(block.ends[k][at]), *shorter, signed(block.symbols[at]), block.n[k][at], total]
+        columns = [signed(block.ends[k][at]), *shorter, signed(block.symbols[at]), block.n[k][at].astype(np.int64), total.astype(np.int64)]
         return pa.table(columns, names=[x.split()[0] for x in RUNS.split(", ")])
 
     return _met(blocks, answers.where(F.col("length") <= k), run, RUNS)
@@ -582,7 +589,7 @@ def _weights(blocks: DataFrame, answers: DataFrame, tree: Tree, bits: int) -> Da
     least, depth, cut = tree.least, len(tree.contexts), np.uint64(max(0, 64 - bits - ASKED_BITS))
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = np.concatenate(Block(left, right, depth + 1, least).followed[1 : depth + 1])
+        keys = np.concatenate(Block(left, right, depth + 1, least, followed=True).followed[1 : depth + 1])
         keys.sort()
         keys = keys >> cut
         keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
