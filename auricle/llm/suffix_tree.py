@@ -16,8 +16,9 @@ its successor. Texts are read once, into blocks of about ``block_tokens`` tokens
 block's own words. Runs are counted length by length: a block asks for a run only where the two runs in it that are
 shorter by one have ``min_count`` occurrences, as no other can have them, and the bucket of the run's hash answers with
 its count over all blocks. Blocks and answers are written; where runs lie in a block follows from them, so neither
-hashes nor texts are kept. One of the blocks with a run is its owner and adds it to its context's sums. Scoring asks
-once more, for the weights of the contexts met.
+hashes nor texts are kept. One of the blocks with a run is its owner and adds it to its context's sums. An answer also
+keeps the rank of each frequent run in its bucket, and the owner's the hash, so that weights are dealt out to blocks by
+rank, without another question. Blocks are scored in ``rounds``: what is moved for one round is gone in the next.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,7 @@ class Settings:
     discount: float = 0.5
     divergence: float = 0.02
     block_tokens: int = 1_500_000
+    rounds: int = 4
 
 
 @dataclass
@@ -167,19 +170,21 @@ class Sequences:
 
 
 @contextmanager
-def _passing_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written inside go when it is written."""
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
+def _sparing_disk(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when it is written; it is written with a codec for small numbers."""
+    sparing = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {k: spark.conf.get(k, None) for k in sparing}
+    for k, v in sparing.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(cleanup, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def _written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    with _passing_shuffles(df.sparkSession):
+    with _sparing_disk(df.sparkSession):
         return materialize(df, name, batch_rows)
 
 
@@ -301,11 +306,11 @@ class Block:
     """Symbols of a block's texts, and what the answers on runs of up to ``longest`` symbols say of those that end at each.
 
     ``ends[k]``: hashes of the runs of ``k`` symbols. ``n[k]``: their counts in training, 0 below ``least`` from two
-    symbols on and where the text is younger. ``owned[k]``: a place of each run that this block owns. ``followed[k]``, if
-    wanted: hashes of those with ``least`` occurrences that have a symbol behind them here.
+    symbols on and where the text is younger. ``owned[k]``: a place of each run that this block owns. ``weight[k]``, where
+    ``weights`` tell them: the weights of the runs that are retained contexts, 0 for others.
     """
 
-    def __init__(self, row: pa.Table, answers: pa.Table, longest: int, least: int, followed: bool = False):
+    def __init__(self, row: pa.Table, answers: pa.Table, longest: int, least: int, weights: pa.Table | None = None):
         self.least = least
         self.words = np.frombuffer(row.column("words")[0].as_py(), np.uint64)
         self.codes = _unplaned(zlib.decompress(row.column("codes")[0].as_py()), np.uint32)
@@ -315,13 +320,12 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.position = (np.arange(len(self.symbols)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
         self.ends = [None, self.symbols * _B]
-        self.n, self.owned, self.followed = [None], [None], [None]
-        before = np.append(self.position[1:] > 0, False)
+        self.n, self.owned, self.weight = [None], [None], [None]
         length = answers.column("length").to_numpy()
         for k in range(1, longest + 1):
             at, keys, some, which = self.asked(k)
             mine = answers.filter(pa.array(length == k)).sort_by("bucket")
-            n, own = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            n, own, said = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), []
             if len(mine):
                 said = [_unplaned(x, np.int64) for x in mine.column("n").to_pylist()]
                 n = np.concatenate(said)
@@ -330,10 +334,14 @@ class Block:
             self.n.append(np.zeros(len(self.symbols), narrow))
             self.n[k][at] = n.astype(narrow)[which]
             self.owned.append(at[some[own & (n > 0)]])
-            if followed:
-                open_ = np.zeros(len(keys), bool)
-                open_[which[before[at]]] = True
-                self.followed.append(keys[open_ & (n >= least)])
+            if weights is not None and k < longest:
+                told = weights.filter(pc.equal(weights.column("length"), k)).sort_by("bucket")
+                value = np.zeros(len(keys))
+                if len(told):
+                    retained = _bits_of(told.column("retained").to_pylist(), [int((x >= least).sum()) for x in said])
+                    value[np.flatnonzero(n >= least)[retained]] = _joined(told.column("weights"), np.float64)
+                self.weight.append(np.zeros(len(self.symbols)))
+                self.weight[k][at] = value[which]
             if k == 1:
                 del self.words, self.codes
 
@@ -358,16 +366,16 @@ class Block:
 
 
 ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-ANSWERS = "block long, length int, bucket int, n binary, own binary, words long"
+ANSWERS = "block long, length int, bucket int, n binary, own binary, words long, ranks binary, keys binary"
 
 
-def _asks(block: int, keys: np.ndarray, n: np.ndarray | None, bits: int, cut: np.uint64 = np.uint64(0)) -> pa.Table:
+def _asks(block: int, keys: np.ndarray, n: np.ndarray | None, bits: int) -> pa.Table:
     return pa.Table.from_pylist(
         [
             {
                 "bucket": b,
                 "block": block,
-                "keys": _planes(np.diff(keys[i:j] >> cut, prepend=np.uint64(0))),
+                "keys": _gaps(keys[i:j]),
                 "n": b"" if n is None else _planes(n[i:j]),
             }
             for b, i, j in _dealt(keys, bits)
@@ -376,17 +384,28 @@ def _asks(block: int, keys: np.ndarray, n: np.ndarray | None, bits: int, cut: np
     )
 
 
-def _keys(rows: pa.Table, column: str = "keys") -> list[np.ndarray]:
-    return [np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in rows.column(column).to_pylist()]
+def _gaps(rising: np.ndarray) -> bytes:
+    return _planes(np.diff(rising, prepend=rising.dtype.type(0)))
+
+
+def _keys(rows: pa.Table, column: str = "keys", kind=np.uint64) -> list[np.ndarray]:
+    return [np.cumsum(_unplaned(x, kind), dtype=kind) for x in rows.column(column).to_pylist()]
 
 
 def _met(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def _answered(blocks: DataFrame, answers: DataFrame, k: int, least: int, bits: int, known: DataFrame | None) -> DataFrame:
+def _on_counts(answers: DataFrame) -> DataFrame:
+    return answers.select("block", "length", "bucket", "n", "own")
+
+
+def _answered(
+    blocks: DataFrame, answers: DataFrame, k: int, least: int, bits: int, known: DataFrame | None, ranked: bool
+) -> DataFrame:
     """Counts of the runs of ``k`` symbols that blocks ask for: those of the blocks' training texts, or those that
-    ``known`` (``gram, n``) has."""
+    ``known`` (``gram, n``) has. If ``ranked``, with them ``ranks`` of those that have ``least`` occurrences among all such
+    that are asked for in the bucket; each one's hash is in the ``keys`` of one answer."""
     counted = known is None
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -395,44 +414,50 @@ def _answered(blocks: DataFrame, answers: DataFrame, k: int, least: int, bits: i
         n = np.bincount(which[block.trained()[at]], minlength=len(keys))
         return _asks(left.column("block")[0].as_py(), keys, n if counted else None, bits)
 
-    def rows(asked: pa.Table, keys: list[np.ndarray], n: np.ndarray, own: np.ndarray) -> pa.Table:
+    def rows(asked: pa.Table, keys: list[np.ndarray], n: np.ndarray, some: np.ndarray, which: np.ndarray) -> pa.Table:
         if k > 1:
             n = np.where(n >= least, n, 0)
+        first, often = np.zeros(len(n), bool), n >= least
+        first[some] = True
+        own = first if counted else np.zeros(len(n), bool)
+        rank = (np.cumsum(often[some]) - 1).astype(np.uint32)[which] if ranked else None
         out, bounds = [], np.cumsum([0] + [len(x) for x in keys]).tolist()
-        for block, i, j in zip(asked.column("block").to_pylist(), bounds, bounds[1:]):
+        for block, mine, i, j in zip(asked.column("block").to_pylist(), keys, bounds, bounds[1:]):
             words = int((own[i:j] & (n[i:j] > 0)).sum())
-            out.append((block, k, _planes(n[i:j]), np.packbits(own[i:j]).tobytes(), words))
-        block, length, n, own, words = zip(*out)
+            ranks = (_gaps(rank[i:j][often[i:j]]), _gaps(mine[(first & often)[i:j]])) if ranked else (None, None)
+            out.append((block, k, _planes(n[i:j]), np.packbits(own[i:j]).tobytes(), words, *ranks))
+        block, length, n, own, words, ranks, named = zip(*out)
         columns = [pa.array(block, pa.int64()), pa.array(length, pa.int32()), asked.column("bucket"), pa.array(n, pa.binary())]
-        columns += [pa.array(own, pa.binary()), pa.array(words, pa.int64())]
+        columns += [pa.array(own, pa.binary()), pa.array(words, pa.int64()), pa.array(ranks, pa.binary()), pa.array(named, pa.binary())]
         return pa.table(columns, names=[x.split()[0] for x in ANSWERS.split(", ")])
 
     def count(asked: pa.Table) -> pa.Table:
         keys = _keys(asked)
         n = np.concatenate([_unplaned(x, np.int64) for x in asked.column("n").to_pylist()])
         found, some, which = _distinct(np.concatenate(keys))
-        own = np.zeros(len(n), bool)
-        own[some] = True
         total = np.bincount(which, n, len(found)).astype(np.int64)
-        return rows(asked, keys, total[which], own)
+        return rows(asked, keys, total[which], some, which)
 
     def look(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not len(asked):
             return pa.table([pa.array([], t) for t in KINDS], names=[x.split()[0] for x in ANSWERS.split(", ")])
         keys = _keys(asked)
-        wanted = np.concatenate(keys)
-        hit, n = _looked_up(there.column("gram").to_numpy().view(np.uint64), there.column("n").to_numpy())(wanted)
-        return rows(asked, keys, np.where(hit, n, 0).astype(np.int64), np.zeros(len(wanted), bool))
+        found, some, which = _distinct(np.concatenate(keys))
+        hit, n = _looked_up(there.column("gram").to_numpy().view(np.uint64), there.column("n").to_numpy())(found)
+        return rows(asked, keys, np.where(hit, n, 0).astype(np.int64)[which], some, which)
 
-    asks = _met(blocks, answers, ask, "bucket int, block long, keys binary, n binary")
+    asks = _met(blocks, _on_counts(answers), ask, "bucket int, block long, keys binary, n binary")
     if counted:
         return _written(asks.groupBy("bucket").applyInArrow(count, ANSWERS), "answers")
-    bucket = F.shiftrightunsigned("gram", 64 - bits).cast("int").alias("bucket")
-    there = known.select(bucket, "gram", "n").groupBy("bucket")
+    there = known.select(_bucket("gram", bits), "gram", "n").groupBy("bucket")
     return _written(asks.groupBy("bucket").cogroup(there).applyInArrow(look, ANSWERS), "answers")
 
 
-KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+def _bucket(column: str, bits: int):
+    return F.shiftrightunsigned(column, 64 - bits).cast("int").alias("bucket")
+
+
+KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
 
 def _no_answers(blocks: DataFrame) -> DataFrame:
@@ -453,7 +478,7 @@ def _runs(blocks: DataFrame, answers: DataFrame, k: int, least: int) -> DataFram
         columns = [signed(block.ends[k][at]), *shorter, signed(block.symbols[at]), block.n[k][at].astype(np.int64), total.astype(np.int64)]
         return pa.table(columns, names=[x.split()[0] for x in RUNS.split(", ")])
 
-    return _met(blocks, answers.where(F.col("length") <= k), run, RUNS)
+    return _met(blocks, _on_counts(answers).where(F.col("length") <= k), run, RUNS)
 
 
 def _extended(rows: DataFrame, first: str, by: str) -> DataFrame:
@@ -503,7 +528,7 @@ def _context_sums(blocks: DataFrame, answers: DataFrame, tree: Tree, s: Settings
         none = pa.table([pa.array([], t) for t in kinds], names=["depth", "context", "parent", *sums])
         return pa.concat_tables([none, *out])
 
-    parts = _met(blocks, answers, run, schema)
+    parts = _met(blocks, _on_counts(answers), run, schema)
     whole = parts.groupBy("depth", "context", "parent").agg(*(F.sum(c).alias(c) for c in sums))
     rest = F.greatest(1 - F.col("own"), F.lit(1e-12))
 
@@ -537,12 +562,12 @@ def _learned(blocks: DataFrame, s: Settings) -> tuple[Tree, DataFrame, DataFrame
     tokens, bits = size["trained"], _bits(size["symbols"])
     least = max(s.min_count, int(np.ceil(s.next_share * tokens)))
     least_context = max(s.min_count, int(np.ceil(s.context_share * tokens)))
-    answers = _answered(blocks, _no_answers(blocks), 1, least, bits, None)
+    depth = s.depth if tokens else 0
+    answers = _answered(blocks, _no_answers(blocks), 1, least, bits, None, depth > 0)
     words = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     tree = Tree(tokens, words, least, [], [])
-    depth = s.depth if tokens else 0
     for k in range(2, depth + 2):
-        answers = answers.unionAll(_answered(blocks, answers, k, least, bits, None))
+        answers = answers.unionAll(_answered(blocks, answers, k, least, bits, None, k <= depth))
     if depth:
         tree.contexts += _states(_context_sums(blocks, answers, tree, s, least_context), depth)
     single = _runs(blocks, answers, 1, least)
@@ -579,66 +604,70 @@ def _looked_up(keys: np.ndarray, values: np.ndarray):
     return look
 
 
-WEIGHTS = "block long, contexts binary, weights binary"
-#: Weights are asked for by so many bits of a hash besides those of its bucket; answers name the contexts in full.
-ASKED_BITS = 28
+RANKED = "length int, bucket int, retained binary, weights binary"
+WEIGHTS = f"block long, {RANKED}"
 
 
-def _weights(blocks: DataFrame, answers: DataFrame, tree: Tree, bits: int) -> DataFrame:
-    """For each block the retained ones of its contexts with their weights, and a few others with like hashes."""
-    least, depth, cut = tree.least, len(tree.contexts), np.uint64(max(0, 64 - bits - ASKED_BITS))
+def _ranked_weights(answers: DataFrame, tree: Tree, bits: int) -> DataFrame:
+    """For each length and bucket which of the frequent runs, by rank, are retained contexts, and the weights of these."""
 
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = np.concatenate(Block(left, right, depth + 1, least, followed=True).followed[1 : depth + 1])
-        keys.sort()
-        keys = keys >> cut
-        keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
-        return _asks(left.column("block")[0].as_py(), keys << cut, None, bits, cut)
+    def run(named: pa.Table, there: pa.Table) -> pa.Table:
+        columns = [[], [], [], []]
+        if len(named):
+            keys = np.sort(np.concatenate(_keys(named)))
+            context, weight = there.column("context").to_numpy().view(np.uint64), there.column("weight").to_numpy()
+            retained, value = _looked_up(context, weight)(keys)
+            columns = [[named.column(c)[0].as_py()] for c in ("length", "bucket")]
+            columns += [[np.packbits(retained).tobytes()], [value[retained].tobytes()]]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in RANKED.split(", ")])
 
-    def look(asked: pa.Table, there: pa.Table) -> pa.Table:
-        context, weight = there.column("context").to_numpy().view(np.uint64), there.column("weight").to_numpy()
-        order = np.argsort(context)
-        context, weight = context[order], weight[order]
-        start, out = context >> cut, []
-        for keys in _keys(asked):
-            at = np.minimum(np.searchsorted(keys, start), len(keys) - 1)
-            hit = keys[at] == start
-            out.append((_planes(np.diff(context[hit], prepend=np.uint64(0))), weight[hit].tobytes()))
-        contexts, weights = zip(*out) if out else ((), ())
-        columns = [asked.column("block"), pa.array(contexts, pa.binary()), pa.array(weights, pa.binary())]
-        return pa.table(columns, names=["block", "contexts", "weights"])
-
-    retained = reduce(DataFrame.unionAll, (x.where("weight IS NOT NULL").select("context", "weight") for x in tree.contexts))
-    bucket = F.shiftrightunsigned("context", 64 - bits).cast("int").alias("bucket")
-    asks = _met(blocks, answers, ask, "bucket int, block long, keys binary, n binary")
-    there = retained.select(bucket, "context", "weight").groupBy("bucket")
-    return _written(asks.groupBy("bucket").cogroup(there).applyInArrow(look, WEIGHTS), "weights_met")
+    levels = (
+        x.where("weight IS NOT NULL").select(F.lit(d).alias("length"), _bucket("context", bits), "context", "weight")
+        for d, x in enumerate(tree.contexts, 1)
+    )
+    by = ("length", "bucket")
+    named = answers.where(F.col("length") <= len(tree.contexts)).select(*by, "keys").groupBy(*by)
+    return _written(named.cogroup(reduce(DataFrame.unionAll, levels).groupBy(*by)).applyInArrow(run, RANKED), "ranked")
+
+
+def _weights(answers: DataFrame, ranked: DataFrame, depth: int) -> DataFrame:
+    """Which of the frequent runs in each answer are retained contexts, and the weights of these."""
+
+    def run(said: pa.Table, there: pa.Table) -> pa.Table:
+        ranks, retained, weights = _keys(said, "ranks", np.uint32), [], []
+        if len(said):
+            weight = _joined(there.column("weights"), np.float64)
+            kept = np.unpackbits(_joined(there.column("retained"), np.uint8)).astype(bool)
+            place = np.cumsum(kept) - 1
+            for mine in ranks:
+                hit = kept[mine]
+                retained.append(np.packbits(hit).tobytes())
+                weights.append(weight[place[mine[hit]]].tobytes())
+        columns = [said.column(c) for c in ("block", "length", "bucket")]
+        columns += [pa.array(retained, pa.binary()), pa.array(weights, pa.binary())]
+        return pa.table(columns, names=[x.split()[0] for x in WEIGHTS.split(", ")])
+
+    by = ("length", "bucket")
+    said = answers.where(F.col("length") <= depth).select("block", *by, "ranks").groupBy(*by)
+    return said.cogroup(ranked.groupBy(*by)).applyInArrow(run, WEIGHTS)
 
 
 def _scored(blocks: DataFrame, answers: DataFrame, tree: Tree, s: Settings) -> DataFrame:
     least, depth, root_of = tree.least, len(tree.contexts), float(tree.tokens + tree.words + 1)
-    none = F.lit(None).cast("binary")
-    said = answers.select("block", "length", "bucket", "n", "own", none.alias("contexts"), none.alias("weights"))
-    if depth:
-        bits = _bits(blocks.agg(F.coalesce(F.sum("symbols"), F.lit(0))).first()[0])
-        zero = F.lit(0)
-        columns = [zero.alias("length"), zero.alias("bucket"), none.alias("n"), none.alias("own"), "contexts", "weights"]
-        said = said.unionAll(_weights(blocks, answers, tree, bits).select("block", *columns))
+    size = blocks.agg(F.coalesce(F.sum("symbols"), F.lit(0)).alias("symbols"), F.count(F.lit(1)).alias("n")).first()
+    ranked = _ranked_weights(answers, tree, _bits(size["symbols"])) if depth else None
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        of_contexts = right.column("length").to_numpy() == 0
-        block = Block(left, right.filter(pa.array(~of_contexts)), depth + 1, least)
-        mine = right.filter(pa.array(of_contexts))
-        keys, values = np.concatenate([np.zeros(0, np.uint64), *_keys(mine, "contexts")]), _joined(mine.column("weights"), np.float64)
-        weight = _looked_up(keys, values)
+        of_contexts = right.column("weights").is_valid()
+        block = Block(left, right.filter(pc.invert(of_contexts)), depth + 1, least, right.filter(of_contexts))
         known = block.n[1] > 0
         root = (block.n[1] + 1.0) / root_of
         p, open_ = np.ones(len(root)), np.ones(len(root), bool)
         for k in range(depth + 1, 1, -1):
             at = np.flatnonzero(open_ & (block.position >= k - 1))
-            at = at[block.n[k - 1][at - 1] >= least]  # the context ends one symbol before
-            state, value = weight(block.ends[k - 1][at - 1])
-            at, value = at[state], value[state]
+            value = block.weight[k - 1][at - 1]  # the context ends one symbol before
+            at, value = at[value > 0], value[value > 0]
             n = block.n[k][at]
             told = n > 0
             p[at[~told]] *= value[~told]
@@ -657,7 +686,16 @@ def _scored(blocks: DataFrame, answers: DataFrame, tree: Tree, s: Settings) -> D
             }
         )
 
-    return _met(blocks, said, run, SCORED)
+    none = F.lit(None).cast("binary")
+    out, rounds = [], max(1, min(s.rounds, size["n"]))
+    for i in range(rounds):
+        now = F.pmod(F.xxhash64("block"), F.lit(rounds)) == i
+        said = _on_counts(answers.where(now)).select("*", none.alias("retained"), none.alias("weights"))
+        if depth:
+            weights = _weights(answers.where(now), ranked, depth)
+            said = said.unionAll(weights.select("block", "length", "bucket", none.alias("n"), none.alias("own"), "retained", "weights"))
+        out.append(_written(_met(blocks.where(now), said, run, SCORED), "scores"))
+    return reduce(DataFrame.unionAll, out)
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -667,9 +705,10 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, settings: Settings | N
     blocks = _blocks(_texts(docs), s.block_tokens)
     bits = _bits(blocks.agg(F.coalesce(F.sum("symbols"), F.lit(0))).first()[0])
     single = _extended(counts.withColumn("lower", F.lit(0).cast("long")), "lower", "gram")
-    answers = _answered(blocks, _no_answers(blocks), 1, tree.least, bits, single)
-    for k in range(2, len(tree.contexts) + 2):
-        answers = answers.unionAll(_answered(blocks, answers, k, tree.least, bits, tree.grams[k - 1]))
+    depth = len(tree.contexts)
+    answers = _answered(blocks, _no_answers(blocks), 1, tree.least, bits, single, depth > 0)
+    for k in range(2, depth + 2):
+        answers = answers.unionAll(_answered(blocks, answers, k, tree.least, bits, tree.grams[k - 1], k <= depth))
     return _scored(blocks, answers, tree, s)
 
 

@@ -343,6 +343,35 @@ def test_tree_sends_only_runs_that_may_be_frequent_whatever_the_blocks(spark, mo
         assert got[1][i][:2] == (n, known) and math.isclose(got[1][i][2], score, rel_tol=1e-9)
 
 
+def test_tree_writes_weights_once_and_scores_in_rounds_whatever_the_blocks(spark, monkeypatch):
+    texts = [prose(i % 7, 30) + " " + prose(i, 12) for i in range(40)] + ["", "ba na", "ba", "unheard of"]
+    table = docs(spark, texts).withColumn("train", F.col("doc_id") % 5 != 2)
+    written, materialize = {}, suffix_tree.materialize
+
+    def kept(df, name, batch_rows=None):
+        written.setdefault(name, []).append(materialize(df, name, batch_rows))
+        return written[name][-1]
+
+    monkeypatch.setattr(suffix_tree, "materialize", kept)
+    got, weights = [], []
+    for tokens, rounds in ((1_500_000, 1), (100, 1), (100, 3)):
+        written.clear()
+        s = suffix_tree.Settings(divergence=0.01, block_tokens=tokens, rounds=rounds)
+        got.append({r.doc_id: r for r in suffix_tree.train_and_score(table, s).collect()})
+        tables = [x for name in written for x in written[name] if "weights" in x.columns]
+        weights.append(sum(x.agg(F.sum(F.length("weights"))).first()[0] for x in tables))
+        assert (written["blocks"][0].count() > 10) == (tokens == 100)
+        assert [x.count() > 0 for x in written["scores"]] == [True] * rounds
+    # One weight for each retained context; before, one for each block that met it.
+    assert weights[0] > 0 and weights == weights[:1] * 3
+    assert len(got[0]) == len(texts) and any(r.score > r.base_score for r in got[0].values())
+    for other in got[1:]:
+        for i, r in got[0].items():
+            assert (other[i].n_tokens, other[i].n_known, other[i].train) == (r.n_tokens, r.n_known, r.train)
+            assert math.isclose(other[i].base_score, r.base_score, rel_tol=1e-9)
+            assert math.isclose(other[i].score, r.score, rel_tol=1e-9)
+
+
 def test_tree_on_awkward_tables(spark):
     odd = awkward(spark).withColumn("train", F.col("doc_id") != 4)
     got = suffix_tree.train_and_score(odd).collect()
