@@ -499,10 +499,13 @@ def _columns(rows: DataFrame, *names: str) -> list[np.ndarray]:
 
 def _context_sums(blocks: DataFrame, answers: DataFrame, tree: Tree, s: Settings, least_context: int) -> DataFrame:
     """``depth, context, parent, weight_0, weight_1, ...`` of the contexts with successors: the weight of a context where
-    its longest retained suffix has so many words; null where it does not diverge from that one."""
+    its longest retained suffix has so many words; null where it does not diverge from that one.
+
+    Where a block owns so much of a context that no other successor can have ``least`` occurrences, its sums are the
+    whole ones, and weights are made there; only those of other contexts are gathered."""
     ends, least, root_of = range(s.depth), tree.least, float(tree.tokens + tree.words + 1)
     sums = ["own", *(f"{c}_{e}" for e in ends for c in ("gain", "below"))]
-    schema = "depth int, context long, parent long, " + ", ".join(f"{c} double" for c in sums)
+    schema = "depth int, context long, parent long, whole boolean, " + ", ".join(f"{c} double" for c in sums)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block, out = Block(left, right, s.depth + 1, least), []
@@ -521,15 +524,14 @@ def _context_sums(blocks: DataFrame, answers: DataFrame, tree: Tree, s: Settings
                 below = (n - s.discount) / block.n[e][at - 1] if e else (n + 1.0) / root_of
                 parts += [own * np.log(own / below), below]
             parent = block.ends[d - 1][at - 1][some] if d > 1 else np.zeros(len(some), np.uint64)
-            columns = [np.full(len(context), d, np.int32), signed(context), signed(parent)]
+            whole = block.n[d][at - 1][some] - np.bincount(which, block.n[d + 1][at], len(context)) < least
+            columns = [np.full(len(context), d, np.int32), signed(context), signed(parent), whole]
             columns += [np.bincount(which, p, len(context)).astype(float) for p in parts]
-            out.append(pa.table(columns, names=["depth", "context", "parent", *sums]))
-        kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.float64()] * len(sums)
-        none = pa.table([pa.array([], t) for t in kinds], names=["depth", "context", "parent", *sums])
+            out.append(pa.table(columns, names=["depth", "context", "parent", "whole", *sums]))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_()] + [pa.float64()] * len(sums)
+        none = pa.table([pa.array([], t) for t in kinds], names=["depth", "context", "parent", "whole", *sums])
         return pa.concat_tables([none, *out])
 
-    parts = _met(blocks, _on_counts(answers), run, schema)
-    whole = parts.groupBy("depth", "context", "parent").agg(*(F.sum(c).alias(c) for c in sums))
     rest = F.greatest(1 - F.col("own"), F.lit(1e-12))
 
     def weight(e: int):
@@ -537,7 +539,13 @@ def _context_sums(blocks: DataFrame, answers: DataFrame, tree: Tree, s: Settings
         gain = F.col(f"gain_{e}") + rest * F.log(rest / rest_below)
         return F.when((F.col("depth") > e) & (gain >= s.divergence), rest / rest_below).alias(f"weight_{e}")
 
-    return _written(whole.select("depth", "context", "parent", *(weight(e) for e in ends)), "weights")
+    by, weights = ("depth", "context", "parent"), [f"weight_{e}" for e in ends]
+    parts = _met(blocks, _on_counts(answers), run, schema)
+    kept = [F.when(F.col("whole"), weight(e)).alias(w) for e, w in enumerate(weights)]
+    parts = _written(parts.select(*by, "whole", *kept, *(F.when(~F.col("whole"), F.col(c)).alias(c) for c in sums)), "sums")
+    shared = parts.where(~F.col("whole")).groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums))
+    shared = _written(shared.select(*by, *(weight(e) for e in ends)), "weights")
+    return parts.where("whole").select(*by, *weights).unionAll(shared)
 
 
 def _states(weights: DataFrame, depth: int) -> list[DataFrame]:

@@ -362,6 +362,10 @@ def test_tree_writes_weights_once_and_scores_in_rounds_whatever_the_blocks(spark
         weights.append(sum(x.agg(F.sum(F.length("weights"))).first()[0] for x in tables))
         assert (written["blocks"][0].count() > 10) == (tokens == 100)
         assert [x.count() > 0 for x in written["scores"]] == [True] * rounds
+        sums = written["sums"][0].select("depth", "context", "whole").collect()
+        whole = [(r.depth, r.context) for r in sums if r.whole]
+        shared = {(r.depth, r.context) for r in sums if not r.whole}  # the only ones that are gathered
+        assert len(whole) > len(shared) > 0 and len(set(whole)) == len(whole) and not shared & set(whole)
     # One weight for each retained context; before, one for each block that met it.
     assert weights[0] > 0 and weights == weights[:1] * 3
     assert len(got[0]) == len(texts) and any(r.score > r.base_score for r in got[0].values())
