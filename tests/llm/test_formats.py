@@ -377,3 +377,28 @@ def test_the_chat_query_renders_few_turns_at_any_length(spark, tmp_path):
     counted = chat.Near(lambda turns: made.append(len(turns)) or chat.marked(turns))
     r = chat.Renderer(counted)
     assert all(r.add((role, text or ""))[-1] == chat.KEPT for _, _, role, text in rows) and max(made) == 1
+
+
+def test_the_chat_query_compares_whole_prefixes(spark, tmp_path, monkeypatch):
+    """Its template is a black box: one that numbers its turns is read back as rendered whole, one that rewrites is noticed."""
+
+    def numbered(turns):
+        said = [(chat.escape(r), f"{i} {chat.escape(t)}") for i, (r, t) in enumerate(turns)]
+        return "".join(f"{chat.BEGIN}{chat.ROLE}{r}{chat.TEXT}{t}{chat.END}\n" for r, t in said)
+
+    def forgets(turns):  # rewrites its beginning, but only in long conversations
+        return numbered(turns if len(turns) <= 200 else turns[-200:])
+
+    rows = [(c, i, ("user", "assistant")[i % 2], f"<s>{i}") for c, n in ((1, 3), (2, 300)) for i in range(n)]
+    talks(spark, rows).drop("piece").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(chat, "marked", numbered)
+    got = {r.conv_id: r for r in QUERIES["op9_incremental_rendering"](spark, str(tmp_path)).collect()}
+    for c in (1, 2):
+        turns = [r for r in rows if r[0] == c]
+        every, loss = "".join(f"{r}\n{i} {t}\n" for _, i, r, t in turns), "".join(t for _, i, r, t in turns if i % 2)
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(every.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c].formatted_chars == len(numbered([r[2:] for r in turns]))
+    monkeypatch.setattr(chat, "marked", forgets)
+    with pytest.raises(Exception, match="conversation 2: the template rewrote"):
+        QUERIES["op9_incremental_rendering"](spark, str(tmp_path)).collect()
